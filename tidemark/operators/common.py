@@ -22,12 +22,16 @@ def app(
 
 
 def between_ms(df: DataFrame, col: str, start_ms: int | None, end_ms: int | None) -> DataFrame:
-    """Half-open epoch-ms range, with the day range beside it where the table is split by day."""
+    """Half-open epoch-ms range, with the day range beside it where the table is split by day.
+
+    ``log_date`` is the day a row starts; for an end time it bounds the range from above only.
+    """
+    starts = col in ("log_tm", "page_start_tm")
     for ms, low in ((start_ms, True), (end_ms, False)):
         if ms is None:
             continue
         df = df.filter(F.col(col) >= ms if low else F.col(col) < ms)
-        if "log_date" in df.columns:
+        if "log_date" in df.columns and (starts or not low):
             day = dt.datetime.fromtimestamp((ms if low else ms - 1) / 1000, dt.timezone.utc).date()
             df = df.filter(F.col("log_date") >= F.lit(day) if low else F.col("log_date") <= F.lit(day))
     return df
