@@ -45,9 +45,9 @@ def fmt_bytes(size: Column | str) -> Column:
     return (
         F.when(size.isNull(), F.lit("0"))
         .when(F.abs(size) < 1024, F.concat(F.bround(size).cast("long").cast("string"), F.lit(" B")))
-        .when(F.abs(size) < 1024**2, F.concat(_one_decimal(size / 1024), F.lit(" KB")))
-        .when(F.abs(size) < 1024**3, F.concat(_one_decimal(size / 1024**2), F.lit(" MB")))
-        .otherwise(F.concat(_one_decimal(size / 1024**3), F.lit(" GB")))
+        .when(F.abs(size) < 1024**2, F.concat(_one_decimal(F.bround(size / 1024, 1)), F.lit(" KB")))
+        .when(F.abs(size) < 1024**3, F.concat(_one_decimal(F.bround(size / 1024**2, 1)), F.lit(" MB")))
+        .otherwise(F.concat(_one_decimal(F.bround(size / 1024**3, 1)), F.lit(" GB")))
     )
 
 

@@ -34,6 +34,7 @@ class Tables:
         frames = {
             "events": dtb.event_log, "pages": dtb.page_flow, "trouble": dtb.trouble_log, "network": dtb.network_log,
             "vitals": dtb.vital_log, "marketing": dtb.mkt_event, "devices": dtb.device_info,
+            "visits": dtb.daily_access, "perf": dtb.perf_entries,
         }
         if name in frames:
             return frames[name](self.spark, self.sf_dir)

@@ -136,17 +136,58 @@ def device_info(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     idle = F.date_diff(F.lit(AS_OF), F.col("last_date"))
+    # The driver's devices are seen almost daily, so a device sleeps after one idle day here.
     return per_device.select(
         "device_id", "package_nm", "server_type", "os_type", "device_model", "created_date", "last_date",
-        F.when(idle > 1, "N").otherwise("Y").alias("active_st"),
-        F.when(idle > 7, 2).when(idle > 3, 1).otherwise(0).cast("bigint").alias("device_st"),
+        F.when(idle >= 1, "N").otherwise("Y").alias("active_st"),
+        F.when(idle >= 1, "S").when(F.col("installs") > 12, "R").otherwise("N").alias("device_st"),
         F.when(number % 5 == 0, "Y").otherwise("N").alias("vip_yn"),
-        F.when(F.col("installs") > 1, F.col("last_install")).alias("reinstalled_date"),
-        F.when(idle > 7, F.date_add("last_date", 7)).alias("sleep_date"),
-        F.when(idle > 14, F.date_add("last_date", 14)).alias("deleted_date"),
+        F.when(F.col("installs") > 12, F.col("last_install")).alias("reinstalled_date"),
+        F.when(idle >= 1, F.date_add("last_date", 1)).alias("sleep_date"),
+        F.when(idle >= 2, F.date_add("last_date", 2)).alias("deleted_date"),
     )
 
 
+def daily_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per device and day: first and last log, use time, login and install flags, days since created."""
+    events = event_log(spark, sf_dir)
+    days = events.groupBy("log_date", "device_id", "package_nm", "server_type", "os_type", "app_ver", "device_model").agg(
+        F.min("log_tm").alias("app_start_tm"),
+        (F.max("log_tm") - F.min("log_tm")).alias("using_time"),
+        F.when(F.count("user_id") > 0, "Y").otherwise("N").alias("login_yn"),
+        F.when(F.bool_or(F.col("log_type") == lt.APP_FIRST_START), "Y").otherwise("N").alias("install_yn"),
+    )
+    created = events.groupBy("device_id").agg(F.min("log_date").alias("created_date"))
+    age = F.date_diff("log_date", "created_date") + 1
+    return days.join(created, "device_id").withColumn("retention_day", age.cast("long"))
+
+
+def perf_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Browser timing entries of each page view, as JSON text with short keys."""
+
+    def entry(**pairs: str) -> str:
+        parts = [f"concat('\"{key.lstrip('_')}\":', {value})" for key, value in pairs.items()]
+        return f"concat('{{', concat_ws('^', {', '.join(parts)}), '}}')"
+
+    def text(expr: str) -> str:
+        return f"concat('\"', {expr}, '\"')"
+
+    image = "concat('https://cdn.app/img', k % 7, '.png')"
+    entries = [
+        entry(_1=text("req_url"), _2="'\"navigation\"'", _3="'1.0'", _4="80 + k", _18="10 + k % 5", _13="k % 3", _14="k % 3 + 2", _15="'4'",
+              _17="9 + k % 4", _16="IF(k % 2 = 0, 6, 0)", _19="20 + k", _22="30 + k", _47="50 + k", _50="80 + k", _48="75 + k",
+              _45="45 + k", _10="'0'", _11="k % 6", _12="'2'", _23="k * 1000", _26="status_code"),
+        entry(_1=text(image), _2="'\"resource\"'", _3="40 + k % 10", _4="'15.5'", _5="'\"img\"'", _23="k * 30000", _26="'200'"),
+        entry(_1="'\"https://js.app/s.js\"'", _2="'\"resource\"'", _3="'35'", _4="'20'", _5="'\"script\"'", _23="'512'", _26="'200'"),
+        entry(url=text(image), size="k * 10", _2="'\"largest-contentful-paint\"'", _3="'45'", _42="'[{\"3\":1}]'"),
+        entry(_1="'\"self\"'", _2="'\"longtask\"'", _3="'60'", _4="50 + k % 40"),
+        entry(_1="'\"click\"'", _2="'\"first-input\"'", _3="k % 4", _4="'8'"),
+        entry(_1="'\"click\"'", _2="'\"event\"'", _3="'90'", _4="'16'"),
+    ]
+    base = event_log(spark, sf_dir).selectExpr("device_id", "event_id AS page_id", "log_tm", f"posexplode(array({', '.join(entries)})) AS (seq, entry)")
+    return base.withColumn("seq", F.col("seq") + 1)
+
+
 # The same frames as DuckDB common table expressions, for the check SQL.
 CHECK_CTES = f"""
 event_log AS (
@@ -221,11 +262,17 @@ device_days AS (
   FROM event_log GROUP BY ALL),
 device_info AS (
   SELECT device_id, package_nm, server_type, os_type, device_model, created_date, last_date,
-         CASE WHEN idle > 1 THEN 'N' ELSE 'Y' END AS active_st,
-         CASE WHEN idle > 7 THEN 2 WHEN idle > 3 THEN 1 ELSE 0 END AS device_st,
+         CASE WHEN idle >= 1 THEN 'N' ELSE 'Y' END AS active_st,
+         CASE WHEN idle >= 1 THEN 'S' WHEN installs > 12 THEN 'R' ELSE 'N' END AS device_st,
          CASE WHEN CAST(substr(device_id, 2) AS BIGINT) % 5 = 0 THEN 'Y' ELSE 'N' END AS vip_yn,
-         CASE WHEN installs > 1 THEN last_install END AS reinstalled_date,
-         CASE WHEN idle > 7 THEN last_date + 7 END AS sleep_date,
-         CASE WHEN idle > 14 THEN last_date + 14 END AS deleted_date
-  FROM device_days)
+         CASE WHEN installs > 12 THEN last_install END AS reinstalled_date,
+         CASE WHEN idle >= 1 THEN last_date + 1 END AS sleep_date,
+         CASE WHEN idle >= 2 THEN last_date + 2 END AS deleted_date
+  FROM device_days),
+daily_access AS (
+  SELECT *, log_date - created_date + 1 AS retention_day FROM (
+    SELECT log_date, device_id, package_nm, server_type, os_type, app_ver, device_model, min(log_tm) AS app_start_tm,
+           max(log_tm) - min(log_tm) AS using_time, CASE WHEN count(user_id) > 0 THEN 'Y' ELSE 'N' END AS login_yn,
+           CASE WHEN bool_or(log_type = 1048597) THEN 'Y' ELSE 'N' END AS install_yn
+    FROM event_log GROUP BY ALL) JOIN (SELECT device_id, created_date FROM device_days) USING (device_id))
 """
