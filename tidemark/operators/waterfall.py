@@ -31,11 +31,12 @@ NESTED = ("serverTiming", "attribution", "scripts", "sources", "notRestoredReaso
 VIEW = ["device_id", "page_id"]
 
 
-def _body(col: str) -> Column:
-    """The JSON object text: escaped commas undone, and a JSON string around the object."""
-    raw = F.trim(F.translate(F.col(col), "^|", ",\n"))
-    inner = F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), F.lit(0))
-    return F.when(raw.startswith('"'), inner).otherwise(raw)
+def _with_body(df: DataFrame, col: str) -> DataFrame:
+    """Entry text as a JSON object: escaped commas undone, and a JSON string around the object."""
+    plain = F.replace(F.replace(F.col(col), F.lit("^"), F.lit(",")), F.lit("|"), F.lit("\n"))
+    raw = df.filter(F.col(col).rlike(r'^\s*["{]')).withColumn(col, F.trim(plain))
+    inner = F.get(F.from_json(F.concat(F.lit("["), F.col(col), F.lit("]")), "array<string>"), F.lit(0))
+    return raw.withColumn(col, F.when(F.col(col).startswith('"'), inner).otherwise(F.col(col)))
 
 
 def expand_perf_keys(df: DataFrame, col: str = "entry", keys: dict[str, str] | None = None) -> DataFrame:
@@ -47,7 +48,7 @@ def expand_perf_keys(df: DataFrame, col: str = "entry", keys: dict[str, str] | N
     def full(value: Column) -> Column:
         return F.aggregate(quoted, value, lambda text, pair: F.replace(text, pair["s"], pair["f"]))
 
-    parsed = df.withColumn(col, F.from_json(_body(col), "map<string,string>")).filter(F.col(col).isNotNull())
+    parsed = _with_body(df, col).withColumn(col, F.from_json(col, "map<string,string>")).filter(F.col(col).isNotNull())
     named = F.transform_keys(F.col(col), lambda k, _: F.coalesce(F.element_at(names, k), k))
     return parsed.withColumn(col, F.transform_values(named, lambda k, v: F.when(k.isin(*NESTED), full(v)).otherwise(v)))
 
@@ -66,7 +67,7 @@ def read_entries(df: DataFrame, col: str = "entry") -> DataFrame:
     short = {name: key for key, name in PERF_KEYS.items()}
     fields = {**{short[name]: name for name in _USED}, "url": "url", "size": "size"}
     schema = T.StructType([T.StructField(key, T.StringType()) for key in fields])
-    parsed = df.withColumn("_e", F.from_json(_body(col), schema)).filter("_e IS NOT NULL")
+    parsed = _with_body(df, col).withColumn("_e", F.from_json(col, schema))
     entry = F.struct(*[F.col("_e")[key].alias(name) for key, name in fields.items()])
     rows = parsed.select(*[c for c in df.columns if c != col], entry.alias("entry"))
     return rows.withColumns(

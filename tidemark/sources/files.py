@@ -1,4 +1,4 @@
-"""Daily-partitioned tables: range scans and idempotent writes."""
+"""Daily-partitioned tables: range scans, idempotent writes, compaction and retention."""
 
 from __future__ import annotations
 
@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.ranking import top_n
+PARTITIONS = ("log_date", "package_nm", "server_type")
 
 
 def scan_range(
     spark: SparkSession, path: str, schema: T.StructType, start: dt.date, end: dt.date, fmt: str = "parquet"
 ) -> DataFrame:
-    """Rows of the daily partitions from ``start`` to ``end``, both kept; other folders are not listed as input."""
+    """Rows of the daily partitions from ``start`` to ``end``, both kept; other folders are not read."""
     return spark.read.schema(schema).format(fmt).load(path).filter(F.col("log_date").between(F.lit(start), F.lit(end)))
 
 
@@ -32,47 +32,55 @@ def with_doc_id(df: DataFrame, keys: Sequence[str], name: str = "doc_id") -> Dat
     return df.withColumn(name, F.concat_ws("_", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
 
 
-def write_partitioned(
-    df: DataFrame,
-    path: str,
-    partitions: Sequence[str] = ("package_nm", "server_type", "log_date"),
-    doc_id: Sequence[str] | None = None,
+def one_per_doc(df: DataFrame, keys: Sequence[str], version: str | None = None) -> DataFrame:
+    """One row per document id, the newest version first, then by content; reduced before the shuffle."""
+    values = [c for c in df.columns if c not in keys]
+    rank = F.struct(*([F.col(version)] if version else []), F.xxhash64(*[F.col(c) for c in df.columns]))
+    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*values), rank).alias("_row"))
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def write_batch(
+    df: DataFrame, path: str, batch_id: int, partitions: Sequence[str] = PARTITIONS, doc_id: Sequence[str] | None = None,
     version: str | None = None,
 ) -> None:
-    """Write by package, server and date.
+    """Write one micro-batch under its own id. Writing the same batch again replaces it.
 
-    Without ``doc_id`` rows are appended. With it the touched partitions are read, merged by id (the
-    newest ``version`` wins) and replaced, so writing the same rows twice changes nothing.
+    Old data is never read, so the cost follows the batch, not the table. Copies in different batches
+    are settled when the table is read or compacted.
     """
-    spark = df.sparkSession
-    if doc_id is None:
-        df.write.mode("append").partitionBy(*partitions).parquet(path)
-        return
-    merged = with_doc_id(df, doc_id).withColumn("_new", F.lit(1))
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
-        # Only the partitions the new rows touch: at most one row per partition folder is joined.
-        touched = df.select(*partitions).distinct()
-        casts = [old[c].cast(df.schema[c].dataType).alias(c) if c in df.columns else old[c] for c in old.columns]
-        merged = merged.unionByName(
-            old.select(*casts).join(touched, list(partitions), "left_semi").withColumn("_new", F.lit(0)),
-            allowMissingColumns=True,
-        )
-    order = [F.col(version).desc()] if version else []
-    newest = top_n(merged, [*partitions, "doc_id"], [*order, F.col("_new").desc(), F.xxhash64(*[F.col(c) for c in df.columns])], 1)
+    rows = df if doc_id is None else one_per_doc(with_doc_id(df, doc_id), ["doc_id"], version)
     (
-        newest.drop("_new")
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
+        .partitionBy("batch_id", *partitions)
         .parquet(path)
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.exists(hadoop)
+def read_latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], version: str | None = None) -> DataFrame:
+    """A batch-written table with one row per key; among equal versions the later batch wins."""
+    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(stored).parquet(path)
+    rank = F.struct(*([F.col(version)] if version else []), F.col("batch_id"))
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in schema.names if c not in keys]), rank).alias("_row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in schema.names])
+
+
+def compact(
+    spark: SparkSession, path: str, target: str, schema: T.StructType, keys: Sequence[str], day: dt.date, version: str | None = None
+) -> None:
+    """Settle one closed day of a batch-written table into a table without batch folders."""
+    day_rows = read_latest(spark, path, schema, keys, version).filter(F.col("log_date") == F.lit(day))
+    (
+        day_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(target)
+    )
+
+
+def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS, mode: str = "append") -> None:
+    """Append by day, package and server, or replace only the partitions the rows touch."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def write_with_dead_letter(
@@ -84,12 +92,12 @@ def write_with_dead_letter(
         return True
     except Exception as error:  # noqa: BLE001 - any failed write is kept
         kept = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("row"))
+        target = dead_letter if batch_id is None else f"{dead_letter}/batch_id={batch_id}"
         (
             kept.withColumn("error", F.lit(str(error)[:2000]))
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .withColumn("failed_at", F.current_timestamp())
-            .write.mode("append")
-            .parquet(dead_letter)
+            .write.mode("append" if batch_id is None else "overwrite")
+            .parquet(target)
         )
         return False
 
