@@ -25,6 +25,7 @@ class SegmentedScan:
         self.keys = list(keys)
         self.order = list(order)
         self.df = df if segment is None else df.withColumn(SEGMENT, segment.cast("long"))
+        self._values: dict[str, Column] = {}
         self._local: dict[str, Column] = {}
         self._summary: dict[str, Column] = {}
         self._carry: dict[str, Column] = {}
@@ -59,7 +60,7 @@ class SegmentedScan:
 
     def running_sum(self, name: str, col: Column) -> SegmentedScan:
         """Sum from the first row of the group up to and including this one."""
-        self.df = self.df.withColumn(f"_v_{name}", col)
+        self._values[f"_v_{name}"] = col
         self._local[f"_l_{name}"] = F.sum(f"_v_{name}").over(self._here)
         self._summary[f"_s_{name}"] = F.sum(f"_v_{name}")
         self._carry[f"_c_{name}"] = F.sum(f"_s_{name}").over(self._before)
@@ -68,7 +69,7 @@ class SegmentedScan:
 
     def running_last(self, name: str, col: Column) -> SegmentedScan:
         """Latest non-NULL value of ``col`` up to and including this row."""
-        self.df = self.df.withColumn(f"_v_{name}", col)
+        self._values[f"_v_{name}"] = col
         self._local[f"_l_{name}"] = F.last(f"_v_{name}", ignorenulls=True).over(self._here)
         self._summary[f"_s_{name}"] = F.max_by(
             F.col(f"_v_{name}"), F.when(F.col(f"_v_{name}").isNotNull(), self._sort_key())
@@ -79,7 +80,7 @@ class SegmentedScan:
 
     def total(self, name: str, col: Column) -> SegmentedScan:
         """Sum over the whole group, on every row."""
-        self.df = self.df.withColumn(f"_v_{name}", col)
+        self._values[f"_v_{name}"] = col
         self._summary[f"_s_{name}"] = F.sum(f"_v_{name}")
         self._carry[f"_c_{name}"] = F.sum(f"_s_{name}").over(self._whole)
         self._final[name] = F.col(f"_c_{name}")
@@ -94,12 +95,10 @@ class SegmentedScan:
 
     def done(self, keep_segment: bool = False) -> DataFrame:
         part = [*self.keys, SEGMENT]
-        plain = [c for c in self.df.columns if (keep_segment or c != SEGMENT) and not c.startswith("_v_")]
-        local = self.df.select(
-            *[c for c in self.df.columns if not c.startswith("_v_")],
-            *[col.alias(name) for name, col in self._local.items()],
-        )
-        summary = self.df.groupBy(*part).agg(*[col.alias(name) for name, col in self._summary.items()])
+        plain = [c for c in self.df.columns if keep_segment or c != SEGMENT]
+        valued = self.df.withColumns(self._values) if self._values else self.df
+        local = valued.select(*self.df.columns, *[col.alias(name) for name, col in self._local.items()])
+        summary = valued.groupBy(*part).agg(*[col.alias(name) for name, col in self._summary.items()])
         carry = summary.select(*part, *[col.alias(name) for name, col in self._carry.items()])
         return local.join(carry, part).select(*plain, *[col.alias(name) for name, col in self._final.items()])
 

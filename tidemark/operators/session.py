@@ -104,11 +104,11 @@ def with_flow(
 
 def sessionize(
     pages: DataFrame, gap_ms: int = 30 * tg.MINUTE, starters: Sequence[int] = (lt.APP_FIRST_START,),
-    ts: str = "page_start_tm", order: Sequence[str] = ("page_start_tm", "page_id"), width: int = SLICE,
+    ts: str = "page_start_tm", order: Sequence[str] = ("page_start_tm", "page_id"), width: int = SLICE, with_next: bool = False,
 ) -> DataFrame:
     """Sessions by idle gap or a starting type; flow order restarts in each session.
 
-    One pass: rows are ordered inside (device, time slice), each slice is summed up in one row, the
+    ``with_next`` adds ``next_url``, the URL of the session's next page. One pass: rows are ordered inside (device, time slice), each slice is summed up in one row, the
     slices of a device settle whether their first row opens a session, and the result is joined back.
     """
     part = ["device_id", "_slice"]
@@ -126,7 +126,11 @@ def sessionize(
         .withColumn("_opened", F.last(F.when(settled, F.struct(F.col(ts).alias("ts"), F.col("_n").alias("n"))), ignorenulls=True).over(upto))
     )
     key = F.struct(*order)
+    head_row = F.struct(F.col(ts).alias("ts"), F.col("req_url").alias("url"), starter.alias("starts"))
+    if with_next:
+        local = local.withColumn("_next", F.lead(head_row).over(inside))
     slices = local.groupBy(*part).agg(
+        *([F.min_by(head_row, key).alias("_head_row")] if with_next else []),
         F.max_by(last_row, key).alias("_last"), F.min(ts).alias("_first_ts"),
         F.bool_or((F.col("_n") == 1) & starter).alias("_starts"), count_rows("_cnt"), F.max("_opened").alias("_last_open"),
     )
@@ -144,18 +148,26 @@ def sessionize(
             ),
         )
         .withColumn("_open", F.coalesce("_head", F.last("_tail", ignorenulls=True).over(before)))
-        .select(*part, "_carry", "_prior", "_open")
     )
+    if with_next:
+        settled_slices = settled_slices.withColumn("_carry_next", F.lead("_head_row").over(earlier))
+    settled_slices = settled_slices.select(*part, "_carry", "_prior", "_open", *(["_carry_next"] if with_next else []))
     joined = local.join(settled_slices, part)
     previous = F.coalesce("_prev", "_carry")
     opened_at = F.coalesce(F.col("_opened")["ts"], F.col("_open")["ts"])
     base = F.coalesce(F.col("_prior") + F.col("_opened")["n"], F.col("_open")["n"])
+    nexts = []
+    if with_next:
+        following = F.coalesce("_next", "_carry_next")
+        same = ~following["starts"] & (following["ts"] - F.col(ts) <= gap_ms)
+        nexts = [F.when(same, following["url"]).alias("next_url")]
     return joined.select(
         *pages.columns,
         opened_at.alias("parent_log_date"),
         (F.col("_prior") + F.col("_n") - base + 1).alias("flow_order"),
         F.coalesce(previous["url"], F.lit("")).alias("pre_url"),
         F.coalesce(previous["end"], F.lit(0).cast("long")).alias("pre_url_time"),
+        *nexts,
     )
 
 
@@ -426,11 +438,14 @@ def reach_bounce_rows(
 def flow_summary(pages: DataFrame, width: int = SLICE, order: Sequence[str] = ("page_start_tm", "page_id"), url: str = "page_name") -> DataFrame:
     """By step, page and next page of the session: requests, trouble, stay, averages and figures of end nodes.
 
-    The stored query of this report is not known; the columns follow what its reader expects.
+    The stored query of this report is not known; the columns follow what its reader expects. Pages that
+    already carry ``next_url`` are not ordered again.
     """
-    nexts = (
-        SegmentedScan(pages, ["device_id", "parent_log_date"], order, time_slice("page_start_tm", width)).lead("next_page", url).done()
-    )
+    if "next_url" in pages.columns:
+        nexts = pages.withColumn("next_page", F.substring_index("next_url", "?", 1))
+    else:
+        session = ["device_id", "parent_log_date"]
+        nexts = SegmentedScan(pages, session, order, time_slice("page_start_tm", width)).lead("next_page", url).done()
     end = F.col("next_page").isNull()
     stay = F.col("intervaltime")
 

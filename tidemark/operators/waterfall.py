@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.functions.segmented import SegmentedScan
+from tidemark.session import cut_lineage
 
 # Names of the short keys of timing entries (fixed values).
 PERF_KEYS = {
@@ -129,7 +130,12 @@ def mark_lcp(entries: DataFrame) -> DataFrame:
 
 
 def waterfall_rows(entries: DataFrame) -> DataFrame:
-    """Rows of the waterfall: navigation phases first, then the other entries by start."""
+    """Rows of the waterfall: navigation phases first, then the other entries by start.
+
+    Parsing is the costly part and the entries are read several times, so they are written to the
+    checkpoint folder once.
+    """
+    entries = cut_lineage(entries)
     columns = [*VIEW, "seq", "name", "entry_type", "initiator_type", "start_time", "duration", "transfer_size", "status"]
     phases = nav_phases(entries).select(
         *VIEW, F.col("phase_no").alias("seq"), "name", F.lit("reformNavigation").alias("entry_type"),

@@ -317,7 +317,12 @@ def _(t: Tables):
     ctes=FLOW_CTES,
 )
 def _(t: Tables):
-    return session.flow_summary(flow(t))
+    return session.flow_summary(session.sessionize(t.pages, GAP, with_next=True))
+
+
+@query("next_page", "SELECT page_id, lead(req_url) OVER (PARTITION BY device_id, parent_log_date ORDER BY page_start_tm, page_id) AS next_url FROM flow", ctes=FLOW_CTES)
+def _(t: Tables):
+    return session.sessionize(t.pages, GAP, with_next=True).select("page_id", "next_url")
 
 
 def session_log(t: Tables):

@@ -8,8 +8,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "date": T.DateType(),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Fields from ``name type`` pairs; needs no session, so schemas can be module constants."""
+    pairs = [pair.split() for pair in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 EVENT_LOG = _struct(
@@ -57,6 +64,8 @@ MKT_EVENT = _struct(
     """
 )
 
+PACKET = _struct("key string, value string, timestamp timestamp")
+
 WEBPERF_LOG = _struct(
     """
     reg_dt timestamp, log_tm bigint, device_id string, log_type bigint, page_id bigint, os_type string,

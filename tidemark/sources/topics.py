@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+
+from tidemark.schemas import PACKET
 
 
 def topic_options(
@@ -40,9 +41,6 @@ def read_topic(
     return spark.readStream.format("kafka").options(**options).load().select("key", "value", "timestamp")
 
 
-PACKET = T.StructType.fromDDL("key string, value string, timestamp timestamp")
-
-
 def read_packet_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same stream from JSON files of packets, for replays and tests."""
     reader = spark.readStream.schema(PACKET)
