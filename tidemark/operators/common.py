@@ -50,12 +50,12 @@ def sums(*cols: str, prefix: str = "") -> list[Column]:
     return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(prefix + c) for c in cols]
 
 
-def mean(col: str, name: str, digits: int = 4) -> Column:
+def mean(col: str, name: str, digits: int = 6) -> Column:
     """Average of the non-NULL values, rounded; NULL when there are none."""
     return F.round(F.avg(col), digits).alias(name)
 
 
-def mean_positive(col: str, name: str, digits: int = 4) -> Column:
+def mean_positive(col: str, name: str, digits: int = 6) -> Column:
     return F.round(F.avg(F.when(F.col(col) > 0, F.col(col))), digits).alias(name)
 
 

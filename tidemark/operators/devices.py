@@ -64,7 +64,7 @@ def access_counts(visits: DataFrame, start: dt.date, end: dt.date, by: Sequence[
     return visits.filter(tg.in_days("log_date", start, end)).groupBy(*by).agg(
         F.count_distinct("device_id").alias("connects"),
         F.count_if(F.col("login_yn") == "Y").alias("logins"), F.count_if(F.col("login_yn") != "Y").alias("not_logins"),
-        F.round(F.avg("using_time"), 4).alias("avg_using_time"),
+        F.round(F.avg("using_time"), 6).alias("avg_using_time"),
     )
 
 
@@ -75,7 +75,7 @@ def use_time_distribution(visits: DataFrame, step_ms: int, by: Sequence[str] = (
 
 def daily_use_time(visits: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Mean use time of each day, every day present."""
-    daily = visits.filter(tg.in_days("log_date", start, end)).groupBy("log_date").agg(F.round(F.avg("using_time"), 4).alias("avg_using_time"))
+    daily = visits.filter(tg.in_days("log_date", start, end)).groupBy("log_date").agg(F.round(F.avg("using_time"), 6).alias("avg_using_time"))
     return tg.zero_fill(daily, "log_date", tg.day_steps(start, end), {"avg_using_time": 0.0})
 
 
@@ -105,7 +105,7 @@ def status_series(visits: DataFrame, devices: DataFrame, pages: DataFrame, troub
         visits.filter(inside).groupBy("log_date").agg(
             F.count_distinct("device_id").alias("connect"), F.count_if(F.col("install_yn") == "Y").alias("install"),
             F.count_if(F.col("login_yn") == "Y").alias("login"), F.count_if(F.col("retention_day") >= 2).alias("reconnect"),
-            F.round(F.avg("using_time"), 4).alias("avg_use_time"),
+            F.round(F.avg("using_time"), 6).alias("avg_use_time"),
         ),
         devices.filter(F.col("device_st") == "S").withColumn("log_date", F.col("sleep_date")).filter(inside).groupBy("log_date").agg(count_rows("sleep")),
         pages.filter(inside).groupBy("log_date").agg(count_rows("use")),
@@ -126,7 +126,7 @@ def period_bi(visits: DataFrame, devices: DataFrame, pages: DataFrame, trouble:
         visits.filter(inside).groupBy(*by).agg(
             F.count_if(F.col("install_yn") == "Y").alias("installs"), F.count_if(F.col("login_yn") == "Y").alias("logins"),
             F.count_distinct("device_id").alias("users"), F.min(used).alias("min_use_time"),
-            F.round(F.avg(used), 4).alias("avg_use_time"), F.max(used).alias("max_use_time"),
+            F.round(F.avg(used), 6).alias("avg_use_time"), F.max(used).alias("max_use_time"),
         ),
         devices.groupBy(*by).agg(
             F.count_if(tg.in_days("deleted_date", start, end)).alias("deletes"),

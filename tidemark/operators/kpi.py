@@ -337,7 +337,7 @@ def avg_daily_count(df: DataFrame, by: Sequence[str] = (), distinct: str | None
     """Mean over days of the daily row or distinct count."""
     each = count_rows("n") if distinct is None else F.count_distinct(distinct).alias("n")
     daily = df.groupBy("log_date", *by).agg(each)
-    return daily.groupBy(*by).agg(F.round(F.avg("n"), 4).alias("avg_count"), count_rows("days"))
+    return daily.groupBy(*by).agg(F.round(F.avg("n"), 6).alias("avg_count"), count_rows("days"))
 
 
 def count_pack(events: DataFrame, start: dt.date, end: dt.date) -> DataFrame:

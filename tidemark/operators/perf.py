@@ -38,7 +38,7 @@ def minute_trend(pages: DataFrame, kind: str, start_ms: int, end_ms: int, interv
 
 def minute_stats(df: DataFrame, metric: str, ts: str, start_ms: int, end_ms: int, total: bool = False) -> DataFrame:
     """Smallest, mean (or summed) and largest positive value per minute, with the count."""
-    middle = F.sum(metric).alias("sum_value") if total else F.round(F.avg(metric), 4).alias("avg_value")
+    middle = F.sum(metric).alias("sum_value") if total else F.round(F.avg(metric), 6).alias("avg_value")
     aggs = [F.min(metric).alias("min_value"), middle, F.max(metric).alias("max_value"), count_rows()]
     return _series(df.filter(F.col(metric) > 0), ts, tg.MINUTE, aggs, start_ms, end_ms, None)
 
@@ -154,7 +154,7 @@ def percentiles_rank(network: DataFrame, now_ms: int, hours: int, value: int, ur
     if url is not None:
         rows = rows.filter(F.col("url") == url)
     bounds = percentiles(rows, ["url"], "intervaltime", {"top": 0.05, "bottom": 0.95})
-    rank = rows.groupBy("url").agg(F.round(F.avg(F.when(F.col("intervaltime") <= value, 100.0).otherwise(0.0)), 4).alias("rank"))
+    rank = rows.groupBy("url").agg(F.round(F.avg(F.when(F.col("intervaltime") <= value, 100.0).otherwise(0.0)), 6).alias("rank"))
     return bounds.join(rank, "url").withColumnRenamed("n", "cnt")
 
 
@@ -190,7 +190,7 @@ def usage_by_model(df: DataFrame, metric: str, n: int = 7) -> DataFrame:
         df.filter(F.col(metric).isNotNull()).groupBy("device_model").agg(F.round(F.avg(metric), 6).alias("usage"), F.max("os_type").alias("os_type"))
         .orderBy(F.col("usage").desc(), "device_model").limit(n)
     )
-    for name, agg in (("max_usage", F.max("usage")), ("min_usage", F.min("usage")), ("avg_usage", F.round(F.avg("usage"), 4))):
+    for name, agg in (("max_usage", F.max("usage")), ("min_usage", F.min("usage")), ("avg_usage", F.round(F.avg("usage"), 6))):
         top = top.withColumn(name, top.agg(agg).scalar())
     return top
 
@@ -200,7 +200,7 @@ def metric_stats(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ())
     aggs = []
     for metric in metrics:
         value = F.nullif(F.col(metric), F.lit(0))
-        aggs += [F.min(value).alias(f"min_{metric}"), F.max(value).alias(f"max_{metric}"), F.round(F.avg(value), 4).alias(f"avg_{metric}")]
+        aggs += [F.min(value).alias(f"min_{metric}"), F.max(value).alias(f"max_{metric}"), F.round(F.avg(value), 6).alias(f"avg_{metric}")]
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -247,7 +247,7 @@ def vital_trend(vitals: DataFrame, start_ms: int, end_ms: int, name: str | None
 def vital_means(vitals: DataFrame, names: Sequence[str] = ("lcp", "inp", "cls", "fcp")) -> DataFrame:
     """Mean of each vital in one row, 0 when there is none."""
     return vitals.agg(
-        *[F.coalesce(F.round(F.avg(F.when(F.col("name") == n, F.col("value"))), 4), F.lit(0.0)).alias(n) for n in names]
+        *[F.coalesce(F.round(F.avg(F.when(F.col("name") == n, F.col("value"))), 6), F.lit(0.0)).alias(n) for n in names]
     )
 
 
@@ -255,7 +255,7 @@ def vitals_by_page(pages: DataFrame) -> DataFrame:
     """Mean vitals and loading of web pages; NULL stands for a blank."""
     return pages.filter(F.col("log_type") == lt.WEB_START).groupBy("page_name").agg(
         *[mean(c, c, 6) for c in ("lcp", "inp", "cls", "fcp")],
-        F.coalesce(F.round(F.avg("loading_time"), 4), F.lit(0.0)).alias("loading_avg"), count_rows(),
+        F.coalesce(F.round(F.avg("loading_time"), 6), F.lit(0.0)).alias("loading_avg"), count_rows(),
     )
 
 
@@ -339,13 +339,13 @@ def ten_min_series(df: DataFrame, ts: str, metric: str, start_ms: int, end_ms: i
     """Mean per 10 minutes, with the mean and count of all rows on each."""
     rows = between_ms(df, ts, start_ms, end_ms)
     series = _series(rows, ts, 10 * tg.MINUTE, [mean(metric, "avg_value"), count_rows()], start_ms, end_ms, {"avg_value": 0.0, "cnt": 0})
-    return series.withColumn("total_avg", rows.agg(F.round(F.avg(metric), 4)).scalar()).withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
+    return series.withColumn("total_avg", rows.agg(F.round(F.avg(metric), 6)).scalar()).withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
 
 
 def list_with_mean(df: DataFrame, ts: str, metric: str, cond: Column | None = None, size: int = 1000) -> DataFrame:
     """Newest rows, with the mean over every matching row."""
     rows = df if cond is None else df.filter(cond)
-    return rows.orderBy(F.col(ts).desc(), "device_id").limit(size).withColumn("mean_value", rows.agg(F.round(F.avg(metric), 4)).scalar())
+    return rows.orderBy(F.col(ts).desc(), "device_id").limit(size).withColumn("mean_value", rows.agg(F.round(F.avg(metric), 6)).scalar())
 
 
 def speed_classes(rows: DataFrame, standards: DataFrame, time: str, key: str = "page_name") -> DataFrame:

@@ -376,7 +376,7 @@ def reach_bounce(
         F.count_if(F.col(url) != target).alias("bounce"),
     ]
     if grain == "day":
-        aggs.append(F.round(F.avg(lead_time()), 4).alias("lead"))
+        aggs.append(F.round(F.avg(lead_time()), 6).alias("lead"))
     return rows.groupBy(bucket.alias("bucket"), "package_nm", "server_type").agg(*aggs)
 
 
@@ -426,7 +426,7 @@ def reach_bounce_rows(
     rows = pages.filter(F.col(pre_col).isin(*pre)).filter(hit if outcome == "reach" else ~hit)
     rows = rows.withColumn("_lead", lead_time())
     total = rows.agg(F.count(F.lit(1))).scalar()
-    average = rows.agg(F.round(F.avg("_lead"), 4)).scalar()
+    average = rows.agg(F.round(F.avg("_lead"), 6)).scalar()
     shown = keyset_page(rows, [("page_start_tm", True), ("device_id", True)], size, after)
     known = F.coalesce(F.col("pre_url_time"), F.lit(0)) != 0
     return (

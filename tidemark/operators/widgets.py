@@ -230,7 +230,7 @@ def resource_models(rollup: DataFrame, devices: DataFrame, day: dt.date, limit:
 def resource_join(pages: DataFrame, access: DataFrame) -> DataFrame:
     """Mean CPU and memory of each model beside its users; models need both."""
     usage = pages.groupBy("device_model").agg(
-        F.round(F.avg("sum_cpu_usage"), 4).alias("cpu_usage"), F.round(F.avg("sum_mem_usage"), 4).alias("mem_usage"), count_rows("usage_count")
+        F.round(F.avg("sum_cpu_usage"), 6).alias("cpu_usage"), F.round(F.avg("sum_mem_usage"), 6).alias("mem_usage"), count_rows("usage_count")
     )
     users = access.groupBy("device_model").agg(F.count_distinct("device_id").alias("users"))
     return usage.join(users, "device_model")
@@ -241,7 +241,7 @@ def pv_list(rollup: DataFrame, devices: DataFrame, start: dt.date, end: dt.date,
     inside = tg.in_days("log_date", start, end) & (F.col("page_name") != "")
     views = rollup.filter(inside).groupBy("page_name").agg(*sums("log_count", "sum_intervaltime", "n_intervaltime"))
     seen = devices.filter(inside).groupBy("page_name").agg(F.count_distinct("device_id").alias("device_count"))
-    stay = F.round(F.col("sum_intervaltime") / F.nullif(F.col("n_intervaltime"), F.lit(0)), 4)
+    stay = F.round(F.col("sum_intervaltime") / F.nullif(F.col("n_intervaltime"), F.lit(0)), 6)
     rows = views.join(seen, "page_name").select("page_name", F.col("log_count").alias("view_count"), "device_count", stay.alias("intervaltime"))
     return page(rows, [F.col("view_count").desc(), "page_name"], limit, offset, probe=False)
 
@@ -259,7 +259,7 @@ def pv_chart(pages: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Hourly mean stay and loading of each page."""
     rows = between_ms(pages, "page_start_tm", start_ms, end_ms)
     return rows.groupBy("page_name", tg.bucket_ms("page_start_tm", tg.HOUR).alias("hour_ms")).agg(
-        F.round(F.avg("intervaltime"), 4).alias("stay_time"), F.round(F.avg("loading_time"), 4).alias("loading_time")
+        F.round(F.avg("intervaltime"), 6).alias("stay_time"), F.round(F.avg("loading_time"), 6).alias("loading_time")
     )
 
 

@@ -29,8 +29,8 @@ day_visits AS (
 day_pages AS (
   SELECT log_date AS stat_date, package_nm, server_type, os_type, CAST(sum(crash_count) AS BIGINT) AS crash_count,
          CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(js_error_count) AS BIGINT) AS js_error_count,
-         CAST(sum(log_count) AS BIGINT) AS log_count, round(avg(intervaltime), 4) AS intervaltime_avg, round(avg(lcp), 4) AS lcp_avg,
-         round(avg(ttfb), 4) AS ttfb_avg, round(avg(fcp), 4) AS fcp_avg, round(avg(inp), 4) AS inp_avg, count(*) AS pv
+         CAST(sum(log_count) AS BIGINT) AS log_count, round(avg(intervaltime), 6) AS intervaltime_avg, round(avg(lcp), 6) AS lcp_avg,
+         round(avg(ttfb), 6) AS ttfb_avg, round(avg(fcp), 6) AS fcp_avg, round(avg(inp), 6) AS inp_avg, count(*) AS pv
   FROM page_flow GROUP BY ALL),
 device_statistic AS (
   SELECT stat_date, package_nm, server_type, os_type, coalesce(visit, 0) AS visit, coalesce(install, 0) AS install,
@@ -236,8 +236,8 @@ def _(t: Tables):
     SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS log_date, coalesce(pv, 0) AS count_pv, coalesce(dau, 0) AS count_dau, avg_use_time, avg_lcp, avg_inp,
            avg_cls, avg_fcp, avg_ttfb, coalesce(err, 0) AS count_error, coalesce(new, 0) AS count_new
     FROM generate_series(TIMESTAMP '2024-01-20', TIMESTAMP '2024-02-02', INTERVAL 1 DAY) g(d)
-    LEFT JOIN (SELECT log_date, count(*) AS pv, count(DISTINCT device_id) AS dau, round(avg(intervaltime), 4) AS avg_use_time, round(avg(lcp), 4) AS avg_lcp,
-        round(avg(inp), 4) AS avg_inp, round(avg(cls), 4) AS avg_cls, round(avg(fcp), 4) AS avg_fcp, round(avg(ttfb), 4) AS avg_ttfb
+    LEFT JOIN (SELECT log_date, count(*) AS pv, count(DISTINCT device_id) AS dau, round(avg(intervaltime), 6) AS avg_use_time, round(avg(lcp), 6) AS avg_lcp,
+        round(avg(inp), 6) AS avg_inp, round(avg(cls), 6) AS avg_cls, round(avg(fcp), 6) AS avg_fcp, round(avg(ttfb), 6) AS avg_ttfb
         FROM page_flow GROUP BY 1) p ON p.log_date = CAST(d AS DATE)
     LEFT JOIN (SELECT log_date, count(*) AS err FROM trouble_log GROUP BY 1) e ON e.log_date = CAST(d AS DATE)
     LEFT JOIN (SELECT log_date, CAST(sum(install_cnt) AS BIGINT) AS new FROM access_history GROUP BY 1) a ON a.log_date = CAST(d AS DATE)
@@ -286,7 +286,7 @@ def _(t: Tables):
 
 @query(
     "avg_daily_count",
-    "SELECT package_nm, round(avg(n), 4) AS avg_count, count(*) AS days FROM (SELECT log_date, package_nm, count(*) AS n FROM event_log GROUP BY ALL) GROUP BY 1",
+    "SELECT package_nm, round(avg(n), 6) AS avg_count, count(*) AS days FROM (SELECT log_date, package_nm, count(*) AS n FROM event_log GROUP BY ALL) GROUP BY 1",
 )
 def _(t: Tables):
     return kpi.avg_daily_count(t.events, ["package_nm"])
@@ -294,7 +294,7 @@ def _(t: Tables):
 
 @query(
     "avg_daily_devices_by_model",
-    "SELECT device_model, round(avg(n), 4) AS avg_count, count(*) AS days FROM (SELECT log_date, device_model, count(DISTINCT device_id) AS n FROM event_log GROUP BY ALL) GROUP BY 1",
+    "SELECT device_model, round(avg(n), 6) AS avg_count, count(*) AS days FROM (SELECT log_date, device_model, count(DISTINCT device_id) AS n FROM event_log GROUP BY ALL) GROUP BY 1",
 )
 def _(t: Tables):
     return kpi.avg_daily_count(t.events, ["device_model"], distinct="device_id")

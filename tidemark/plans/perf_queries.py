@@ -50,7 +50,7 @@ def _(t: Tables):
 @query(
     "minute_stats",
     f"""
-    SELECT page_start_tm // 60000 * 60000 AS bucket_ms, min(loading_time) AS min_value, round(avg(loading_time), 4) AS avg_value, max(loading_time) AS max_value,
+    SELECT page_start_tm // 60000 * 60000 AS bucket_ms, min(loading_time) AS min_value, round(avg(loading_time), 6) AS avg_value, max(loading_time) AS max_value,
            count(*) AS cnt FROM page_flow WHERE loading_time > 0 AND page_start_tm >= {START} AND page_start_tm < {END} GROUP BY 1
     """,
 )
@@ -72,7 +72,7 @@ def _(t: Tables):
 @query(
     "url_model_stats",
     """
-    SELECT page_name, device_model, count(*) AS cnt, min(loading_time) AS min_value, round(avg(loading_time), 4) AS avg_value, max(loading_time) AS max_value,
+    SELECT page_name, device_model, count(*) AS cnt, min(loading_time) AS min_value, round(avg(loading_time), 6) AS avg_value, max(loading_time) AS max_value,
            quantile_cont(loading_time, 0.5) AS med_value
     FROM page_flow WHERE loading_time > 0 AND (page_name > 'https://app/p2' OR (page_name = 'https://app/p2' AND device_model > 'M15')) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 40
     """,
@@ -83,7 +83,7 @@ def _(t: Tables):
 
 @query(
     "slowest_models",
-    "SELECT device_model, round(avg(intervaltime), 4) AS avg_value, count(*) AS cnt FROM network_log WHERE intervaltime > 0 AND os_type = 'Android' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "SELECT device_model, round(avg(intervaltime), 6) AS avg_value, count(*) AS cnt FROM network_log WHERE intervaltime > 0 AND os_type = 'Android' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
 )
 def _(t: Tables):
     return perf.slowest_models(t.network, "intervaltime", 10, "Android")
@@ -151,7 +151,7 @@ def _(t: Tables):
 @query(
     "heatmap_urls",
     f"""
-    SELECT page_name, round(avg(loading_time), 4) AS avg_value, count(*) AS cnt, CAST(sum(error_count) AS BIGINT) AS error_count
+    SELECT page_name, round(avg(loading_time), 6) AS avg_value, count(*) AS cnt, CAST(sum(error_count) AS BIGINT) AS error_count
     FROM page_flow WHERE page_start_tm BETWEEN {START} AND {END} AND loading_time BETWEEN 500 AND 1500 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1000
     """,
 )
@@ -180,7 +180,7 @@ def _(t: Tables):
     "percentiles_rank",
     f"""
     SELECT req_url AS url, count(*) AS cnt, round(quantile_cont(intervaltime, 0.05), 6) AS top, round(quantile_cont(intervaltime, 0.95), 6) AS bottom,
-           round(avg(CASE WHEN intervaltime <= 1200 THEN 100.0 ELSE 0.0 END), 4) AS rank
+           round(avg(CASE WHEN intervaltime <= 1200 THEN 100.0 ELSE 0.0 END), 6) AS rank
     FROM network_log WHERE log_tm BETWEEN {END - 240 * tg.HOUR} AND {END} GROUP BY 1
     """,
 )
@@ -221,7 +221,7 @@ def _(t: Tables):
     """
     SELECT os_type, device_model, med_loading, avg_response, calls
     FROM (SELECT os_type, device_model, quantile_cont(loading_time, 0.5) AS med_loading FROM page_flow GROUP BY 1, 2)
-    FULL JOIN (SELECT os_type, device_model, round(avg(intervaltime), 4) AS avg_response, count(*) AS calls FROM network_log GROUP BY 1, 2) USING (os_type, device_model)
+    FULL JOIN (SELECT os_type, device_model, round(avg(intervaltime), 6) AS avg_response, count(*) AS calls FROM network_log GROUP BY 1, 2) USING (os_type, device_model)
     """,
 )
 def _(t: Tables):
@@ -231,7 +231,7 @@ def _(t: Tables):
 @query(
     "usage_by_model",
     """
-    SELECT *, max(usage) OVER () AS max_usage, min(usage) OVER () AS min_usage, round(avg(usage) OVER (), 4) AS avg_usage FROM (
+    SELECT *, max(usage) OVER () AS max_usage, min(usage) OVER () AS min_usage, round(avg(usage) OVER (), 6) AS avg_usage FROM (
       SELECT device_model, round(avg(sum_cpu_usage), 6) AS usage, max(os_type) AS os_type FROM page_flow GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7)
     """,
 )
@@ -243,8 +243,8 @@ def _(t: Tables):
     "metric_stats",
     """
     SELECT package_nm, CAST(min(nullif(sum_cpu_usage, 0)) AS BIGINT) AS min_sum_cpu_usage, CAST(max(nullif(sum_cpu_usage, 0)) AS BIGINT) AS max_sum_cpu_usage,
-           round(avg(nullif(sum_cpu_usage, 0)), 4) AS avg_sum_cpu_usage, min(nullif(loading_time, 0)) AS min_loading_time,
-           max(nullif(loading_time, 0)) AS max_loading_time, round(avg(nullif(loading_time, 0)), 4) AS avg_loading_time FROM page_flow GROUP BY 1
+           round(avg(nullif(sum_cpu_usage, 0)), 6) AS avg_sum_cpu_usage, min(nullif(loading_time, 0)) AS min_loading_time,
+           max(nullif(loading_time, 0)) AS max_loading_time, round(avg(nullif(loading_time, 0)), 6) AS avg_loading_time FROM page_flow GROUP BY 1
     """,
 )
 def _(t: Tables):
@@ -255,7 +255,7 @@ def _(t: Tables):
     "daily_percentile",
     """
     SELECT CAST(day AS VARCHAR) AS day, os_type, max(med) AS med_value, max(p) AS p_value, max(loading_time) AS max_value, min(loading_time) AS min_value,
-           count(*) FILTER (loading_time >= p) AS tail_count, round(avg(loading_time) FILTER (loading_time >= p), 4) AS tail_avg
+           count(*) FILTER (loading_time >= p) AS tail_count, round(avg(loading_time) FILTER (loading_time >= p), 6) AS tail_avg
     FROM rows JOIN (SELECT day, os_type, round(quantile_cont(loading_time, 0.5), 6) AS med, round(quantile_cont(loading_time, 0.9), 6) AS p FROM rows GROUP BY 1, 2) USING (day, os_type)
     GROUP BY 1, 2
     """,
@@ -296,7 +296,7 @@ def _(t: Tables):
 
 @query(
     "vital_means",
-    "SELECT round(avg(value) FILTER (name = 'lcp'), 4) AS lcp, round(avg(value) FILTER (name = 'inp'), 4) AS inp, round(avg(value) FILTER (name = 'cls'), 4) AS cls, round(avg(value) FILTER (name = 'fcp'), 4) AS fcp FROM vital_log",
+    "SELECT round(avg(value) FILTER (name = 'lcp'), 6) AS lcp, round(avg(value) FILTER (name = 'inp'), 6) AS inp, round(avg(value) FILTER (name = 'cls'), 6) AS cls, round(avg(value) FILTER (name = 'fcp'), 6) AS fcp FROM vital_log",
 )
 def _(t: Tables):
     return perf.vital_means(t.vitals)
@@ -306,7 +306,7 @@ def _(t: Tables):
     "vitals_by_page",
     """
     SELECT page_name, round(avg(lcp), 6) AS lcp, round(avg(inp), 6) AS inp, round(avg(cls), 6) AS cls, round(avg(fcp), 6) AS fcp,
-           coalesce(round(avg(loading_time), 4), 0) AS loading_avg, count(*) AS cnt FROM page_flow WHERE log_type = 131073 GROUP BY 1
+           coalesce(round(avg(loading_time), 6), 0) AS loading_avg, count(*) AS cnt FROM page_flow WHERE log_type = 131073 GROUP BY 1
     """,
 )
 def _(t: Tables):
@@ -350,7 +350,7 @@ def _(t: Tables):
     "page_aggregate",
     """
     SELECT page_name, round(avg(lcp) FILTER (lcp > 0), 6) AS lcp_avg, round(avg(inp) FILTER (inp > 0), 6) AS inp_avg, round(avg(cls) FILTER (cls > 0), 6) AS cls_avg,
-           round(avg(loading_time), 4) AS loading_time, count(DISTINCT device_id) AS users
+           round(avg(loading_time), 6) AS loading_time, count(DISTINCT device_id) AS users
     FROM page_flow WHERE log_type IN (131073, 1048592) AND page_name LIKE '%/p%' AND page_name > 'https://app/p1' GROUP BY 1 ORDER BY 1 LIMIT 8
     """,
 )
@@ -361,7 +361,7 @@ def _(t: Tables):
 @query(
     "network_aggregate",
     """
-    SELECT req_url, round(avg(intervaltime), 4) AS response_time, count(*) FILTER (status_group = '2xx') AS s2xx, count(*) FILTER (status_group = '4xx') AS s4xx,
+    SELECT req_url, round(avg(intervaltime), 6) AS response_time, count(*) FILTER (status_group = '2xx') AS s2xx, count(*) FILTER (status_group = '4xx') AS s4xx,
            count(*) FILTER (status_group = '5xx') AS s5xx, count(DISTINCT device_id) AS users FROM network_log GROUP BY 1
     """,
 )
@@ -398,8 +398,8 @@ def _(t: Tables):
 @query(
     "ten_min_series",
     _filled(
-        "page_flow", "page_start_tm", 10 * tg.MINUTE, DAY, DAY + tg.DAY, "round(avg(loading_time), 4) AS v, count(*) AS n",
-        f"""coalesce(v, 0) AS avg_value, coalesce(n, 0) AS cnt, (SELECT round(avg(loading_time), 4) FROM page_flow WHERE log_date = DATE '{_D}') AS total_avg,
+        "page_flow", "page_start_tm", 10 * tg.MINUTE, DAY, DAY + tg.DAY, "round(avg(loading_time), 6) AS v, count(*) AS n",
+        f"""coalesce(v, 0) AS avg_value, coalesce(n, 0) AS cnt, (SELECT round(avg(loading_time), 6) FROM page_flow WHERE log_date = DATE '{_D}') AS total_avg,
         (SELECT count(*) FROM page_flow WHERE log_date = DATE '{_D}') AS total""",
     ),
 )
@@ -410,7 +410,7 @@ def _(t: Tables):
 @query(
     "list_with_mean",
     """
-    SELECT page_id, page_start_tm, loading_time, (SELECT round(avg(loading_time), 4) FROM page_flow WHERE loading_time BETWEEN 200 AND 900 AND os_type = 'Web') AS mean_value
+    SELECT page_id, page_start_tm, loading_time, (SELECT round(avg(loading_time), 6) FROM page_flow WHERE loading_time BETWEEN 200 AND 900 AND os_type = 'Web') AS mean_value
     FROM page_flow WHERE loading_time BETWEEN 200 AND 900 AND os_type = 'Web' ORDER BY page_start_tm DESC, device_id LIMIT 1000
     """,
 )

@@ -102,8 +102,8 @@ visits AS (
 page AS (
   SELECT package_nm, server_type, os_type, CAST(sum(crash_count) AS BIGINT) AS crash_count, CAST(sum(error_count) AS BIGINT) AS error_count,
          CAST(sum(js_error_count) AS BIGINT) AS js_error_count, CAST(sum(log_count) AS BIGINT) AS log_count,
-         round(avg(intervaltime), 4) AS intervaltime_avg, round(avg(lcp), 4) AS lcp_avg, round(avg(ttfb), 4) AS ttfb_avg,
-         round(avg(fcp), 4) AS fcp_avg, round(avg(inp), 4) AS inp_avg, count(*) AS pv
+         round(avg(intervaltime), 6) AS intervaltime_avg, round(avg(lcp), 6) AS lcp_avg, round(avg(ttfb), 6) AS ttfb_avg,
+         round(avg(fcp), 6) AS fcp_avg, round(avg(inp), 6) AS inp_avg, count(*) AS pv
   FROM page_flow WHERE log_date = DATE '{dtb.AS_OF}' GROUP BY ALL)
 """
 

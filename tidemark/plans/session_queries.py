@@ -257,7 +257,7 @@ def _(t: Tables):
     f"""
     SELECT *, floor(reach / (reach + bounce) * 1000 + 0.5) / 10 AS reach_rate, floor(bounce / (reach + bounce) * 1000 + 0.5) / 10 AS bounce_rate FROM (
       SELECT CAST(CAST(page_start_tm_dt + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS bucket, package_nm, server_type, count(DISTINCT device_id) AS users,
-             count(*) FILTER (page_name = 'https://app/p5') AS reach, count(*) FILTER (page_name <> 'https://app/p5') AS bounce, round(avg(lead_ms), 4) AS lead
+             count(*) FILTER (page_name = 'https://app/p5') AS reach, count(*) FILTER (page_name <> 'https://app/p5') AS bounce, round(avg(lead_ms), 6) AS lead
       FROM hits WHERE page_start_tm BETWEEN {START} AND {END} GROUP BY ALL)
     """,
     ctes=FLOW_CTES + "," + _HITS,
@@ -289,7 +289,7 @@ def _(t: Tables):
     "reach_bounce_rows",
     """
     SELECT page_start_tm, device_id, pre_page, page_name, CASE WHEN pre_url_time <> 0 THEN CAST(lead_ms AS VARCHAR) ELSE '-' END AS lead,
-           (SELECT count(*) FROM hits WHERE page_name <> 'https://app/p5') AS total, (SELECT round(avg(lead_ms), 4) FROM hits WHERE page_name <> 'https://app/p5') AS lead_avg
+           (SELECT count(*) FROM hits WHERE page_name <> 'https://app/p5') AS total, (SELECT round(avg(lead_ms), 6) FROM hits WHERE page_name <> 'https://app/p5') AS lead_avg
     FROM hits WHERE page_name <> 'https://app/p5' AND (page_start_tm < 1706000000000) ORDER BY page_start_tm DESC, device_id DESC LIMIT 50
     """,
     ctes=FLOW_CTES + "," + _HITS,
@@ -309,8 +309,8 @@ def _(t: Tables):
            CAST(coalesce(sum(error_count) FILTER (next_page IS NULL), 0) AS BIGINT) AS node_end_error_count,
            CAST(sum(intervaltime) FILTER (next_page IS NULL) AS BIGINT) AS node_end_sum_intervaltime,
            min(intervaltime) FILTER (next_page IS NULL) AS node_end_min_intervaltime, max(intervaltime) FILTER (next_page IS NULL) AS node_end_max_intervaltime,
-           round(avg(response_time), 4) AS avg_response_time, round(avg(loading_time), 4) AS avg_loading_time,
-           round(avg(sum_cpu_usage), 4) AS avg_cpu_usage, round(avg(sum_mem_usage), 4) AS avg_mem_usage
+           round(avg(response_time), 6) AS avg_response_time, round(avg(loading_time), 6) AS avg_loading_time,
+           round(avg(sum_cpu_usage), 6) AS avg_cpu_usage, round(avg(sum_mem_usage), 6) AS avg_mem_usage
     FROM (SELECT *, lead(page_name) OVER (PARTITION BY device_id, parent_log_date ORDER BY page_start_tm, page_id) AS next_page FROM flow)
     GROUP BY 1, 2, 3, 4
     """,

@@ -24,7 +24,7 @@ _PAIRS = [("Android", "1.0"), ("iOS", "1.3"), ("Web", "9.9")]
            coalesce(c, 0) AS crash_count, coalesce(l, 0) AS loading_time, coalesce(r, 0) AS response_time, coalesce(u, 0) AS users
     FROM (VALUES ('Android', '1.0'), ('iOS', '1.3'), ('Web', '9.9')) a(os_type, app_ver)
     LEFT JOIN (SELECT os_type, app_ver, CAST(sum(sum_cpu_usage) AS BIGINT) AS cpu, CAST(sum(sum_mem_usage) AS BIGINT) AS mem, CAST(sum(log_count) AS BIGINT) AS n,
-        CAST(sum(error_count) AS BIGINT) AS e, CAST(sum(crash_count) AS BIGINT) AS c, round(avg(loading_time), 4) AS l, round(avg(response_time), 4) AS r,
+        CAST(sum(error_count) AS BIGINT) AS e, CAST(sum(crash_count) AS BIGINT) AS c, round(avg(loading_time), 6) AS l, round(avg(response_time), 6) AS r,
         count(DISTINCT device_id) AS u FROM page_flow GROUP BY 1, 2) USING (os_type, app_ver)
     """,
 )
@@ -39,7 +39,7 @@ def _(t: Tables):
     FROM (SELECT os_type, app_ver, count(*) AS users, count(*) FILTER (install_yn = 'Y') AS installs FROM daily_access GROUP BY 1, 2)
     LEFT JOIN (SELECT os_type, app_ver, quantile_cont(loading_time, 0.5) AS loading_time, CAST(sum(error_count) AS BIGINT) AS error_count,
                CAST(sum(crash_count) AS BIGINT) AS crash_count FROM page_flow GROUP BY 1, 2) USING (os_type, app_ver)
-    LEFT JOIN (SELECT os_type, app_ver, round(avg(intervaltime), 4) AS response_time FROM network_log GROUP BY 1, 2) USING (os_type, app_ver)
+    LEFT JOIN (SELECT os_type, app_ver, round(avg(intervaltime), 6) AS response_time FROM network_log GROUP BY 1, 2) USING (os_type, app_ver)
     """,
 )
 def _(t: Tables):
@@ -53,7 +53,7 @@ def _(t: Tables):
     FROM (SELECT os_type, app_ver, CAST(make_timestamp(app_start_tm * 1000) AS DATE) AS bucket, count(DISTINCT device_id) AS u FROM daily_access GROUP BY 1, 2, 3)
     FULL JOIN (SELECT os_type, app_ver, log_date AS bucket, count(DISTINCT device_id) AS tr FROM trouble_log GROUP BY 1, 2, 3) USING (os_type, app_ver, bucket)
     FULL JOIN (SELECT os_type, app_ver, log_date AS bucket, quantile_cont(loading_time, 0.5) AS l FROM page_flow WHERE loading_time IS NOT NULL GROUP BY 1, 2, 3) USING (os_type, app_ver, bucket)
-    FULL JOIN (SELECT os_type, app_ver, log_date AS bucket, round(avg(intervaltime), 4) AS r FROM network_log GROUP BY 1, 2, 3) USING (os_type, app_ver, bucket)
+    FULL JOIN (SELECT os_type, app_ver, log_date AS bucket, round(avg(intervaltime), 6) AS r FROM network_log GROUP BY 1, 2, 3) USING (os_type, app_ver, bucket)
     """,
 )
 def _(t: Tables):
@@ -102,8 +102,8 @@ def _(t: Tables):
 
 
 _REPORT = """
-count(*) AS pv, count(DISTINCT device_id) AS users, round(avg(response_time), 4) AS response_time, round(avg(loading_time), 4) AS loading_time,
-round(avg(sum_cpu_usage), 4) AS cpu_usage, round(avg(sum_mem_usage), 4) AS mem_usage, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(crash_count) AS BIGINT) AS crash_count
+count(*) AS pv, count(DISTINCT device_id) AS users, round(avg(response_time), 6) AS response_time, round(avg(loading_time), 6) AS loading_time,
+round(avg(sum_cpu_usage), 6) AS cpu_usage, round(avg(sum_mem_usage), 6) AS mem_usage, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(crash_count) AS BIGINT) AS crash_count
 """
 
 
@@ -161,7 +161,7 @@ def _(t: Tables):
 @query(
     "page_report",
     """
-    SELECT page_name, count(*) AS views, count(DISTINCT device_id) AS viewers, round(avg(intervaltime), 4) AS stay, round(avg(loading_time), 4) AS loading_time,
+    SELECT page_name, count(*) AS views, count(DISTINCT device_id) AS viewers, round(avg(intervaltime), 6) AS stay, round(avg(loading_time), 6) AS loading_time,
            CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(crash_count) AS BIGINT) AS crash_count FROM page_flow GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
     """,
 )
@@ -238,7 +238,7 @@ def _(t: Tables):
     "access_counts",
     f"""
     SELECT package_nm, server_type, count(DISTINCT device_id) AS connects, count(*) FILTER (login_yn = 'Y') AS logins, count(*) FILTER (login_yn <> 'Y') AS not_logins,
-           round(avg(using_time), 4) AS avg_using_time FROM daily_access WHERE log_date {_RANGE} GROUP BY 1, 2
+           round(avg(using_time), 6) AS avg_using_time FROM daily_access WHERE log_date {_RANGE} GROUP BY 1, 2
     """,
 )
 def _(t: Tables):
@@ -254,7 +254,7 @@ def _(t: Tables):
     "daily_use_time",
     f"""
     SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS log_date, coalesce(a, 0) AS avg_using_time FROM generate_series(TIMESTAMP '{_FROM}', TIMESTAMP '2024-02-04', INTERVAL 1 DAY) g(d)
-    LEFT JOIN (SELECT log_date, round(avg(using_time), 4) AS a FROM daily_access GROUP BY 1) ON log_date = CAST(d AS DATE)
+    LEFT JOIN (SELECT log_date, round(avg(using_time), 6) AS a FROM daily_access GROUP BY 1) ON log_date = CAST(d AS DATE)
     """,
 )
 def _(t: Tables):
@@ -284,7 +284,7 @@ def _(t: Tables):
            coalesce(avg_use_time, 0) AS avg_use_time, coalesce(sleep, 0) AS sleep, coalesce(use_cnt, 0) AS use, coalesce(error, 0) AS error, coalesce(crash, 0) AS crash
     FROM generate_series(TIMESTAMP '2024-01-20', TIMESTAMP '2024-02-02', INTERVAL 1 DAY) g(d)
     LEFT JOIN (SELECT log_date, count(DISTINCT device_id) AS connect, count(*) FILTER (install_yn = 'Y') AS install, count(*) FILTER (login_yn = 'Y') AS login,
-        count(*) FILTER (retention_day >= 2) AS reconnect, round(avg(using_time), 4) AS avg_use_time FROM daily_access GROUP BY 1) a ON a.log_date = CAST(d AS DATE)
+        count(*) FILTER (retention_day >= 2) AS reconnect, round(avg(using_time), 6) AS avg_use_time FROM daily_access GROUP BY 1) a ON a.log_date = CAST(d AS DATE)
     LEFT JOIN (SELECT sleep_date, count(*) AS sleep FROM device_info WHERE device_st = 'S' GROUP BY 1) s ON s.sleep_date = CAST(d AS DATE)
     LEFT JOIN (SELECT log_date, count(*) AS use_cnt FROM page_flow GROUP BY 1) p ON p.log_date = CAST(d AS DATE)
     LEFT JOIN (SELECT log_date, count(*) FILTER (log_type <> 2097152) AS error, count(*) FILTER (log_type = 2097152) AS crash FROM trouble_log GROUP BY 1) t ON t.log_date = CAST(d AS DATE)
@@ -299,7 +299,7 @@ def _(t: Tables):
     f"""
     SELECT package_nm, server_type, installs, logins, users, min_use_time, avg_use_time, max_use_time, deletes, sleeps, uses, errors, crashes
     FROM (SELECT package_nm, server_type, count(*) FILTER (install_yn = 'Y') AS installs, count(*) FILTER (login_yn = 'Y') AS logins, count(DISTINCT device_id) AS users,
-        min(nullif(using_time, 0)) AS min_use_time, round(avg(nullif(using_time, 0)), 4) AS avg_use_time, max(nullif(using_time, 0)) AS max_use_time
+        min(nullif(using_time, 0)) AS min_use_time, round(avg(nullif(using_time, 0)), 6) AS avg_use_time, max(nullif(using_time, 0)) AS max_use_time
         FROM daily_access WHERE log_date BETWEEN DATE '{_FROM}' AND DATE '{_D}' GROUP BY 1, 2)
     JOIN (SELECT package_nm, server_type, count(*) FILTER (deleted_date BETWEEN DATE '{_FROM}' AND DATE '{_D}') AS deletes,
         count(*) FILTER (device_st = 'S' AND sleep_date BETWEEN DATE '{_FROM}' AND DATE '{_D}') AS sleeps FROM device_info GROUP BY 1, 2) USING (package_nm, server_type)

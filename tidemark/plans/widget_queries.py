@@ -278,7 +278,7 @@ def _(t: Tables):
 @query(
     "resource_join",
     """
-    SELECT device_model, round(avg(sum_cpu_usage), 4) AS cpu_usage, round(avg(sum_mem_usage), 4) AS mem_usage, count(*) AS usage_count, max(users) AS users
+    SELECT device_model, round(avg(sum_cpu_usage), 6) AS cpu_usage, round(avg(sum_mem_usage), 6) AS mem_usage, count(*) AS usage_count, max(users) AS users
     FROM page_flow JOIN (SELECT device_model, count(DISTINCT device_id) AS users FROM event_log WHERE log_type IN (1048597, 131073) GROUP BY 1) USING (device_model)
     GROUP BY 1
     """,
@@ -290,7 +290,7 @@ def _(t: Tables):
 @query(
     "pv_list",
     """
-    SELECT page_name, count(*) AS view_count, count(DISTINCT device_id) AS device_count, round(avg(intervaltime), 4) AS intervaltime
+    SELECT page_name, count(*) AS view_count, count(DISTINCT device_id) AS device_count, round(avg(intervaltime), 6) AS intervaltime
     FROM page_flow WHERE log_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5 OFFSET 3
     """,
 )
@@ -313,7 +313,7 @@ def _(t: Tables):
 @query(
     "pv_chart",
     f"""
-    SELECT page_name, page_start_tm // 3600000 * 3600000 AS hour_ms, round(avg(intervaltime), 4) AS stay_time, round(avg(loading_time), 4) AS loading_time
+    SELECT page_name, page_start_tm // 3600000 * 3600000 AS hour_ms, round(avg(intervaltime), 6) AS stay_time, round(avg(loading_time), 6) AS loading_time
     FROM page_flow WHERE page_start_tm >= {START} AND page_start_tm < {END} GROUP BY 1, 2
     """,
 )
