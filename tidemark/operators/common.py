@@ -50,9 +50,10 @@ def sums(*cols: str, prefix: str = "") -> list[Column]:
     return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(prefix + c) for c in cols]
 
 
-def mean(col: str, name: str, digits: int = 6) -> Column:
-    """Average of the non-NULL values, rounded; NULL when there are none."""
-    return F.round(F.avg(col), digits).alias(name)
+def mean(col: str, name: str, digits: int | None = 6) -> Column:
+    """Average of the non-NULL values, rounded unless ``digits`` is None; NULL when there are none."""
+    value = F.avg(col)
+    return (value if digits is None else F.round(value, digits)).alias(name)
 
 
 def mean_positive(col: str, name: str, digits: int = 6) -> Column:

@@ -125,7 +125,7 @@ def metric_series(stat: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Daily sums (mean stay for ``intervaltime_avg``) by day and OS."""
     return stat.filter(tg.in_days("stat_date", start, end)).groupBy("stat_date", "os_type").agg(
         *sums("install", "login", "dau", "revisit_7d", "mau", "pv"),
-        mean("intervaltime_avg", "intervaltime_avg", 6),
+        mean("intervaltime_avg", "intervaltime_avg", 8),
         *sums("log_count", "error_count", "js_error_count", "crash_count"),
     )
 

@@ -208,12 +208,15 @@ def daily_percentile(df: DataFrame, metric: str, p: float, tz: str = "UTC", ts:
     """Per day and OS: largest, median, smallest value and a percentile, then count and mean of the rows from it up."""
     by = ["day", "os_type"]
     rows = df.filter(F.col(metric).isNotNull()).withColumn("day", tg.day_of(ts, tz))
-    points = percentiles(rows, by, metric, {"med_value": 0.5, "p_value": p})
-    ends = rows.groupBy(*by).agg(F.max(metric).alias("max_value"), F.min(metric).alias("min_value"))
-    # One row per day and OS: small beside the rows, so the join back moves only those.
-    tail = rows.join(points.select(*by, "p_value"), by).filter(F.col(metric) >= F.col("p_value"))
-    tail = tail.groupBy(*by).agg(count_rows("tail_count"), mean(metric, "tail_avg"))
-    return points.drop("n").join(ends, by).join(tail, by)
+    points = percentiles(rows, by, metric, {"med_value": 0.5, "p_value": p}).drop("n")
+    # The tail is summed over counts of equal values, so the rows themselves are never joined.
+    value = F.col(metric)
+    counts = rows.groupBy(*by, metric).agg(count_rows("_n"))
+    above = F.when(value >= F.col("p_value"), F.col("_n"))
+    return counts.join(points, by).groupBy(*by, "med_value", "p_value").agg(
+        F.max(value).alias("max_value"), F.min(value).alias("min_value"), F.sum(above).alias("tail_count"),
+        F.round(F.sum(above * value) / F.sum(above), 6).alias("tail_avg"),
+    )
 
 
 def top20_models(df: DataFrame, metric: str, n: int = 20) -> DataFrame:
@@ -241,7 +244,7 @@ def vital_rating(vitals: DataFrame, name: str | None = None) -> DataFrame:
 def vital_trend(vitals: DataFrame, start_ms: int, end_ms: int, name: str | None = None) -> DataFrame:
     """Mean value per 5 minutes of each vital, 0 where empty."""
     rows = vitals if name is None else vitals.filter(F.col("name") == name)
-    return _series(rows, "log_tm", 5 * tg.MINUTE, [mean("value", "avg_value", 8)], start_ms, end_ms, {"avg_value": 0.0}, ["name"])
+    return _series(rows, "log_tm", 5 * tg.MINUTE, [mean("value", "avg_value", None)], start_ms, end_ms, {"avg_value": 0.0}, ["name"])
 
 
 def vital_means(vitals: DataFrame, names: Sequence[str] = ("lcp", "inp", "cls", "fcp")) -> DataFrame:

@@ -136,9 +136,10 @@ def _(t: Tables):
 def _(t: Tables):
     lines = t.events.select(
         F.concat_ws("^", F.lit("a"), F.lit("b"), F.col("server_type").cast("string"), F.upper("package_nm")).alias("key"),
-        F.concat_ws(",", "device_id", F.col("log_tm").cast("string")).alias("line"), "log_date", (F.col("log_tm") % 997).alias("part"),
+        F.concat_ws(",", "device_id", F.col("log_tm").cast("string")).alias("line"), F.floor(F.col("event_id") / 10).alias("part"),
     )
-    packets = lines.groupBy("key", "log_date", "part").agg(F.concat_ws("\n", F.collect_list("line")).alias("value"))
+    # At most ten lines to a packet.
+    packets = lines.groupBy("key", "part").agg(F.concat_ws("\n", F.collect_list("line")).alias("value"))
     rows = decode.explode_packets(packets.select("key", "value"))
     parts = F.split("value", ",")
     return rows.select(

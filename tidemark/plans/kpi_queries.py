@@ -51,7 +51,7 @@ def _(t: Tables):
 _SERIES = f"""
 SELECT CAST(stat_date AS VARCHAR) AS stat_date, os_type, CAST(sum(install) AS BIGINT) AS install, CAST(sum(login) AS BIGINT) AS login,
        CAST(sum(dau) AS BIGINT) AS dau, CAST(sum(revisit_7d) AS BIGINT) AS revisit_7d, CAST(sum(mau) AS BIGINT) AS mau,
-       CAST(sum(pv) AS BIGINT) AS pv, round(avg(intervaltime_avg), 6) AS intervaltime_avg, CAST(sum(log_count) AS BIGINT) AS log_count,
+       CAST(sum(pv) AS BIGINT) AS pv, round(avg(intervaltime_avg), 8) AS intervaltime_avg, CAST(sum(log_count) AS BIGINT) AS log_count,
        CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(js_error_count) AS BIGINT) AS js_error_count,
        CAST(sum(crash_count) AS BIGINT) AS crash_count
 FROM device_statistic WHERE stat_date BETWEEN DATE '2024-01-05' AND DATE '{_D}' GROUP BY ALL

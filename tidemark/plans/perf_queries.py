@@ -289,7 +289,7 @@ def _(t: Tables):
     return perf.vital_rating(t.vitals)
 
 
-@query("vital_trend", _filled("vital_log", "log_tm", 5 * tg.MINUTE, DAY, DAY + tg.DAY, "round(avg(value), 8) AS v", "coalesce(v, 0) AS avg_value", "name"))
+@query("vital_trend", _filled("vital_log", "log_tm", 5 * tg.MINUTE, DAY, DAY + tg.DAY, "avg(value) AS v", "coalesce(v, 0) AS avg_value", "name"))
 def _(t: Tables):
     return perf.vital_trend(t.vitals, DAY, DAY + tg.DAY)
 

@@ -75,7 +75,13 @@ def query(name: str, check: str | None = None, ctes: str = ""):
     def add(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: portable(build(Tables(spark, sf_dir)))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The check SQL reads times as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return portable(build(Tables(spark, sf_dir)))
+
+        QUERIES[name] = run
         if check is not None:
             more = f",\n{ctes.strip()}" if ctes else ""
             CHECKS[name] = f"WITH {dtb.CHECK_CTES.strip()}{more}\n{check.strip()}"

@@ -75,11 +75,12 @@ def page_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
         "1L AS log_count",
         "CAST(k AS BIGINT) AS sum_cpu_usage",
         "CAST(k * 10 AS BIGINT) AS sum_mem_usage",
-        "CASE WHEN k % 5 = 0 THEN NULL ELSE value * 10 END AS lcp",
-        "CASE WHEN k % 6 = 0 THEN NULL ELSE value END AS inp",
-        "CASE WHEN k % 3 = 0 THEN NULL ELSE value / 1000 END AS cls",
-        "value * 5 AS fcp",
-        "value * 2 AS ttfb",
+        # Multiples of a power of two, so sums are exact in any order.
+        "CASE WHEN k % 5 = 0 THEN NULL ELSE CAST(floor(value * 10) AS DOUBLE) END AS lcp",
+        "CASE WHEN k % 6 = 0 THEN NULL ELSE CAST(floor(value * 4) AS DOUBLE) / 4 END AS inp",
+        "CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(floor(value) AS DOUBLE) / 1024 END AS cls",
+        "CAST(floor(value * 5) AS DOUBLE) AS fcp",
+        "CAST(floor(value * 2) AS DOUBLE) AS ttfb",
     )
 
 
@@ -228,10 +229,10 @@ page_flow AS (
          CASE WHEN log_type = 131077 AND k % 2 = 0 THEN 1 ELSE 0 END AS js_error_count,
          CASE WHEN log_type = 2097152 THEN 1 ELSE 0 END AS crash_count,
          1 AS event_count, 1 AS log_count, k AS sum_cpu_usage, k * 10 AS sum_mem_usage,
-         CASE WHEN k % 5 = 0 THEN NULL ELSE value * 10 END AS lcp,
-         CASE WHEN k % 6 = 0 THEN NULL ELSE value END AS inp,
-         CASE WHEN k % 3 = 0 THEN NULL ELSE value / 1000 END AS cls,
-         value * 5 AS fcp, value * 2 AS ttfb
+         CASE WHEN k % 5 = 0 THEN NULL ELSE CAST(floor(value * 10) AS DOUBLE) END AS lcp,
+         CASE WHEN k % 6 = 0 THEN NULL ELSE CAST(floor(value * 4) AS DOUBLE) / 4 END AS inp,
+         CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(floor(value) AS DOUBLE) / 1024 END AS cls,
+         CAST(floor(value * 5) AS DOUBLE) AS fcp, CAST(floor(value * 2) AS DOUBLE) AS ttfb
   FROM event_log),
 trouble_log AS (
   SELECT *, CASE WHEN log_type = 2097152 THEN 'C' ELSE 'E' END || (k % 10) AS log_name
