@@ -77,3 +77,30 @@ def test_sessions_equal_a_plain_loop(spark):
         assert (r.parent_log_date, r.flow_order) == (head, order)
         assert (r.pre_url, r.pre_url_time) == (("", 0) if prev is None else (prev[1], prev[2]))
         last[device] = (start, url, end, head, order)
+
+
+def test_statistic_history_over_long_gaps(spark):
+    import datetime as dt
+
+    from tidemark.operators import kpi
+
+    rnd = random.Random(5)
+    first = dt.date(2024, 1, 1)
+    rows = [(first + dt.timedelta(days=rnd.choice([d, d, 200])), "p", 0, "Web", f"d{rnd.randrange(8)}", 1, 0, 0) for d in rnd.choices(range(140), k=90)]
+    schema = "log_date date, package_nm string, server_type long, os_type string, device_id string, visit_cnt long, install_cnt long, login_cnt long"
+    access = spark.createDataFrame(rows, schema)
+    page_schema = (
+        "log_date date, package_nm string, server_type long, os_type string, crash_count long, error_count long, js_error_count long, "
+        "log_count long, intervaltime long, lcp double, ttfb double, fcp double, inp double"
+    )
+    pages = spark.createDataFrame([], page_schema)
+    start, end = first + dt.timedelta(days=20), first + dt.timedelta(days=201)
+    got = {r.stat_date: (r.dau, r.revisit_7d, r.mau) for r in kpi.statistic_history(access, pages, start, end).collect()}
+    dates = {}
+    for r in rows:
+        dates.setdefault(r[4], set()).add(r[0])
+    for day in {r[0] for r in rows if start <= r[0] <= end}:
+        now = [d for d in dates.values() if day in d]
+        back = [d for d in now if any(dt.timedelta(0) < day - x <= dt.timedelta(7) for x in d)]
+        month = [d for d in dates.values() if any(dt.timedelta(0) <= day - x <= dt.timedelta(30) for x in d)]
+        assert got[day] == (len(now), len(back), len(month))

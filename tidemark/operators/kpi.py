@@ -90,22 +90,34 @@ def merge_kpis(visits: DataFrame, users: DataFrame, *more: DataFrame, stamp: boo
 def statistic_history(access: DataFrame, pages: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """device_statistic for every day of a range in one job.
 
-    A device seen on day x counts toward the week and month windows of the days after it. Its dates are
-    first made distinct, then each date is copied to the days it counts for, at most 31.
+    A device's dates are made distinct and looked at in order, at most one row per day. A date revisits
+    when the one before is at most 7 days back. It keeps the device in the MAU for 31 days: a device
+    enters when its last such stretch is over, leaves when no date follows in time, and the MAU is the
+    running total of both. No date is copied to the days it counts for.
     """
-    days = access.filter(
-        F.col("log_date").between(F.lit(start - dt.timedelta(days=30)), F.lit(end))
-    ).select(*DIMS, "device_id", "log_date").distinct()
-    first = F.greatest(F.col("log_date"), F.lit(start))
-    last = F.least(F.date_add("log_date", 30), F.lit(end))
-    reach = days.select(*DIMS, "device_id", "log_date", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).alias("stat_date"))
-    age = F.date_diff("stat_date", "log_date")
-    flags = reach.groupBy("stat_date", *DIMS, "device_id").agg(
-        F.bool_or(age == 0).alias("d"), F.bool_or(age.between(1, 7)).alias("w")
+    seen = access.filter(F.col("log_date").between(F.lit(start - dt.timedelta(days=30)), F.lit(end)))
+    per_device = Window.partitionBy(*DIMS, "device_id").orderBy("log_date")
+    days = (
+        seen.select(*DIMS, "device_id", "log_date").distinct()
+        .withColumn("_back", F.date_diff("log_date", F.lag("log_date").over(per_device)))
+        .withColumn("_ahead", F.date_diff(F.lead("log_date").over(per_device), "log_date"))
+    )
+    enters = F.coalesce(F.col("_back") > 30, F.lit(True))
+    leaves = F.coalesce(F.col("_ahead") > 30, F.lit(True))
+    zero = F.lit(0).cast("long")
+    came = days.groupBy(*DIMS, F.col("log_date").alias("stat_date")).agg(
+        count_rows("dau"), F.count_if(F.col("_back") <= 7).alias("revisit_7d"), F.count_if(enters).alias("_in"),
+        F.count_if(leaves).alias("_out"),
+    )
+    gone = came.select(*DIMS, F.date_add("stat_date", 31).alias("stat_date"), zero.alias("dau"), zero.alias("revisit_7d"), (-F.col("_out")).alias("_move"))
+    moves = came.withColumn("_move", F.col("_in")).drop("_in", "_out").unionByName(gone)
+    daily = moves.groupBy(*DIMS, "stat_date").agg(*[F.sum(c).alias(c) for c in ("dau", "revisit_7d", "_move")])
+    # One row per app and day from here on.
+    upto = Window.partitionBy(*DIMS).orderBy("stat_date").rowsBetween(Window.unboundedPreceding, 0)
+    users = (
+        daily.withColumn("mau", F.sum("_move").over(upto)).drop("_move")
+        .filter((F.col("dau") > 0) & tg.in_days("stat_date", start, end))
     )
-    users = flags.groupBy("stat_date", *DIMS).agg(
-        F.count_if("d").alias("dau"), F.count_if(F.col("d") & F.col("w")).alias("revisit_7d"), count_rows("mau")
-    ).filter("dau > 0")
     visits = access.filter(tg.in_days("log_date", start, end)).groupBy(F.col("log_date").alias("stat_date"), *DIMS).agg(
         F.sum("visit_cnt").alias("visit"), F.sum("install_cnt").alias("install"), F.sum("login_cnt").alias("login")
     )

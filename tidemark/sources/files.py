@@ -40,6 +40,11 @@ def one_per_doc(df: DataFrame, keys: Sequence[str], version: str | None = None)
     return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def _balanced(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Gather the rows of a partition folder into few files, but split a folder with very many rows."""
+    return df.hint("rebalance", *partitions) if partitions else df
+
+
 def write_batch(
     df: DataFrame, path: str, batch_id: int, partitions: Sequence[str] = PARTITIONS, doc_id: Sequence[str] | None = None,
     version: str | None = None,
@@ -51,7 +56,7 @@ def write_batch(
     """
     rows = df if doc_id is None else one_per_doc(with_doc_id(df, doc_id), ["doc_id"], version)
     (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        _balanced(rows, partitions).withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id", *partitions)
@@ -74,13 +79,13 @@ def compact(
     """Settle one closed day of a batch-written table into a table without batch folders."""
     day_rows = read_latest(spark, path, schema, keys, version).filter(F.col("log_date") == F.lit(day))
     (
-        day_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(target)
+        _balanced(day_rows, PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(target)
     )
 
 
 def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS, mode: str = "append") -> None:
     """Append by day, package and server, or replace only the partitions the rows touch."""
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    _balanced(df, partitions).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def write_with_dead_letter(
