@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,34 +65,31 @@ def keyset_page(
     return df.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order]).limit(size)
 
 
-def with_total(df: DataFrame, col: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add the total of ``col`` (per ``by``) to an aggregated frame.
+def with_totals(df: DataFrame, names: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Add totals of columns (``{column: name}``), per ``by`` or over all rows, to an aggregated frame.
 
-    The total is a second small aggregate joined back, not a window: a window would pull all rows of a
-    key, or the whole frame, into one task.
+    The totals are one small aggregate, joined back or read by a scalar subquery. A window would pull all
+    rows of a key, or the whole frame, into one task.
     """
-    if by:
-        totals = df.groupBy(*by).agg(F.sum(col).alias(name))
-        return df.join(totals, list(by))
-    return df.withColumn(name, df.agg(F.sum(col)).scalar())
+    sums = {name: F.sum(col) for col, name in names.items()}
+    if not by:
+        return with_overall(df, df, sums)
+    return df.join(df.groupBy(*by).agg(*[col.alias(name) for name, col in sums.items()]), list(by))
 
 
-def share(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
-    """Percentage of a whole, 0 when the whole is empty."""
-    part, whole = _named([part, whole])
-    return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, digits)).otherwise(F.lit(0.0))
+def with_total(df: DataFrame, col: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add the total of one column."""
+    return with_totals(df, {col: name}, by)
 
 
-def ratio(num: Column | str, den: Column | str) -> Column:
-    """Quotient as double, NULL when the divisor is 0 or NULL."""
-    num, den = _named([num, den])
-    return num.cast("double") / F.when(den != 0, den)
+def with_overall(df: DataFrame, rows: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:
+    """Add aggregates over ``rows`` to every row of ``df``, by one scalar subquery."""
+    packed = rows.agg(F.struct(*[col.alias(name) for name, col in aggs.items()]).alias("_overall")).scalar()
+    wide = df.withColumn("_overall", packed)
+    return wide.select(*df.columns, *[F.col("_overall")[name].alias(name) for name in aggs])
 
 
-def null_safe_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join that also matches NULL keys, keeping the left key columns."""
-    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & left[c].eqNullSafe(renamed[f"_r_{c}"])
-    return left.join(renamed, cond, "left").drop(*[f"_r_{c}" for c in on])
+def share(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
+    """Percentage of a whole, 0 when the whole is empty."""
+    part, whole = _named([part, whole])
+    return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, digits)).otherwise(F.lit(0.0))

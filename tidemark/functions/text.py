@@ -119,8 +119,3 @@ def speed_class(time: Column | str, standard: Column | str) -> Column:
         .when(time <= standard * 1.2, 3)
         .otherwise(4)
     )
-
-
-def mean_or_zero(col: Column | str, digits: int = 0) -> Column:
-    """Rounded mean for charts: 0 where there is nothing."""
-    return F.coalesce(F.round(F.avg(_col(col)), digits), F.lit(0.0))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import text
-from tidemark.functions.ranking import top_n
 
 
 def tag_clock_skew(df: DataFrame, arrival: str = "timestamp", ts_ms: str = "log_tm", tol_s: int = 180) -> DataFrame:
@@ -102,12 +101,6 @@ def _kept_params(params: Column, names: Sequence[str]) -> Column:
     return F.transform(wanted, lambda p: F.concat(part(p, 1), F.lit("="), part(p, 2)))
 
 
-def check_rules(rewrites: Sequence[tuple[str, str]]) -> None:
-    """Fail early on a pattern that does not compile."""
-    for pattern, _ in rewrites:
-        re.compile(pattern)
-
-
 def dedup_latest(df: DataFrame, keys: Sequence[str], version: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """One row per replacing key, the newest version wins.
 
@@ -170,7 +163,3 @@ def attribute_traffic(events: DataFrame, engines: DataFrame) -> DataFrame:
     by_referrer = F.when(F.col("_engine").isNotNull(), "organic").when(referrer.isNotNull(), "referral").otherwise("none")
     medium = F.when(web, F.coalesce(given("explicit_medium"), by_referrer)).otherwise(given("explicit_medium"))
     return joined.withColumn("traffic_source", source).withColumn("medium", medium).drop("_engine")
-
-
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return top_n(df, keys, order, 1)

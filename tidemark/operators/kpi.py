@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
-from tidemark.functions.ranking import with_total
+from tidemark.functions.ranking import with_overall
 from tidemark.operators.common import DIMS, count_rows, mean, on_day, sums
 from tidemark.operators.rollup import merge_on_dims
 
@@ -290,17 +290,13 @@ def incremental_counts(
 def top_n_other(df: DataFrame, key: str, count: str, n: int = 10, other: str = "Other") -> DataFrame:
     """The n largest keys with their share of the total; what remains comes last as one row."""
     totals = df.groupBy(key).agg(F.sum(count).alias("cnt"))
-    top = totals.orderBy(F.col("cnt").desc(), F.col(key)).limit(n)
-    rest = (
-        totals.join(top.select(key), key, "left_anti")
-        .agg(F.sum("cnt").alias("cnt"))
-        .filter("cnt > 0")
-        .select(F.lit(other).alias(key), "cnt", F.lit(1).alias("is_other"))
+    top = with_overall(totals.orderBy(F.col("cnt").desc(), F.col(key)).limit(n), totals, {"_all": F.sum("cnt")})
+    rest = top.agg((F.max("_all") - F.sum("cnt")).alias("cnt"), F.max("_all").alias("_all")).filter("cnt > 0")
+    both = top.withColumn("is_other", F.lit(0)).unionByName(
+        rest.select(F.lit(other).alias(key), "cnt", "_all", F.lit(1).alias("is_other"))
     )
-    both = top.withColumn("is_other", F.lit(0)).unionByName(rest)
-    whole = with_total(both, "cnt", "_all")
     rate = F.round(F.col("cnt") * 100.0 / F.col("_all"), 4).alias("rate")
-    return whole.select(key, "cnt", rate, "is_other").orderBy("is_other", F.col("cnt").desc(), key)
+    return both.select(key, "cnt", rate, "is_other").orderBy("is_other", F.col("cnt").desc(), key)
 
 
 def web_bi(pages: DataFrame, trouble: DataFrame, access: DataFrame, start: dt.date, end: dt.date) -> DataFrame:

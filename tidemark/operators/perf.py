@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import logtypes as lt
 from tidemark.functions import text
 from tidemark.functions import timegrid as tg
-from tidemark.functions.ranking import after_key, keyset_page, with_total
+from tidemark.functions.ranking import after_key, keyset_page, with_overall, with_total
 from tidemark.functions.segmented import medians, percentiles
 from tidemark.operators.common import between_ms, count_rows, mean, mean_positive, on_day, sums
 
@@ -118,8 +118,8 @@ def heatmap(df: DataFrame, metric: str, ts: str, start_ms: int, end_ms: int, min
     cells = rows.groupBy(
         tg.bucket_ms(ts, minutes * tg.MINUTE).alias("bucket_ms"), (F.floor(F.col(metric) / step) * step).cast("long").alias("duration")
     ).agg(count_rows())
-    highest = cells.agg(F.greatest(F.coalesce(F.max("duration"), F.lit(0)), F.lit(2000)).cast("long")).scalar()
-    return cells.withColumn("max_duration", highest)
+    highest = F.greatest(F.coalesce(F.max("duration"), F.lit(0)), F.lit(2000)).cast("long")
+    return with_overall(cells, cells, {"max_duration": highest})
 
 
 def in_cell(df: DataFrame, metric: str, ts: str, start_ms: int, end_ms: int, low: int, high: int) -> DataFrame:
@@ -190,9 +190,8 @@ def usage_by_model(df: DataFrame, metric: str, n: int = 7) -> DataFrame:
         df.filter(F.col(metric).isNotNull()).groupBy("device_model").agg(F.round(F.avg(metric), 6).alias("usage"), F.max("os_type").alias("os_type"))
         .orderBy(F.col("usage").desc(), "device_model").limit(n)
     )
-    for name, agg in (("max_usage", F.max("usage")), ("min_usage", F.min("usage")), ("avg_usage", F.round(F.avg("usage"), 6))):
-        top = top.withColumn(name, top.agg(agg).scalar())
-    return top
+    means = {"max_usage": F.max("usage"), "min_usage": F.min("usage"), "avg_usage": F.round(F.avg("usage"), 6)}
+    return with_overall(top, top, means)
 
 
 def metric_stats(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -342,13 +341,14 @@ def ten_min_series(df: DataFrame, ts: str, metric: str, start_ms: int, end_ms: i
     """Mean per 10 minutes, with the mean and count of all rows on each."""
     rows = between_ms(df, ts, start_ms, end_ms)
     series = _series(rows, ts, 10 * tg.MINUTE, [mean(metric, "avg_value"), count_rows()], start_ms, end_ms, {"avg_value": 0.0, "cnt": 0})
-    return series.withColumn("total_avg", rows.agg(F.round(F.avg(metric), 6)).scalar()).withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
+    return with_overall(series, rows, {"total_avg": F.round(F.avg(metric), 6), "total": F.count(F.lit(1))})
 
 
 def list_with_mean(df: DataFrame, ts: str, metric: str, cond: Column | None = None, size: int = 1000) -> DataFrame:
     """Newest rows, with the mean over every matching row."""
     rows = df if cond is None else df.filter(cond)
-    return rows.orderBy(F.col(ts).desc(), "device_id").limit(size).withColumn("mean_value", rows.agg(F.round(F.avg(metric), 6)).scalar())
+    newest = rows.orderBy(F.col(ts).desc(), "device_id").limit(size)
+    return with_overall(newest, rows, {"mean_value": F.round(F.avg(metric), 6)})
 
 
 def speed_classes(rows: DataFrame, standards: DataFrame, time: str, key: str = "page_name") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
-from tidemark.functions.ranking import keyset_page, top_n
+from tidemark.functions.ranking import keyset_page, top_n, with_overall
 from tidemark.functions.segmented import SegmentedScan
 from tidemark.operators.common import between_ms, count_rows, mean, sums
 
@@ -335,26 +335,31 @@ def page_relations(
     Without ``page`` the relations of every page are given.
     """
     moves = pages.filter(F.col(url) != F.col(pre))
-    into = moves.select(F.col(url).alias("page"), F.lit("IN").alias("direction"), F.col(pre).alias("other"))
-    out = moves.select(F.col(pre).alias("page"), F.lit("OUT").alias("direction"), F.col(url).alias("other"))
-    both = into.unionByName(out).filter("page != ''")
+    sides = F.array(
+        F.struct(F.col(url).alias("page"), F.lit("IN").alias("direction"), F.col(pre).alias("other")),
+        F.struct(F.col(pre).alias("page"), F.lit("OUT").alias("direction"), F.col(url).alias("other")),
+    )
+    both = moves.select(F.inline(sides)).filter("page != ''")
     if page is not None:
         both = both.filter(F.col("page") == page)
     counts = both.groupBy("page", "direction", "other").agg(count_rows())
-    totals = counts.groupBy("page", "direction").agg(F.sum("cnt").alias("total"))
-    top = top_n(counts, ["page", "direction"], [F.col("cnt").desc(), "other"], n)
-    listed = top.select("page", "direction", "other", "cnt", F.lit(0).alias("is_other"))
-    rest = (
-        top.groupBy("page", "direction").agg(F.sum("cnt").alias("_top"))
-        .join(totals, ["page", "direction"]).filter("total > _top")
-        .select("page", "direction", F.lit("Others").alias("other"), (F.col("total") - F.col("_top")).alias("cnt"), F.lit(1).alias("is_other"))
+    group = ["page", "direction"]
+    # One row per neighbour of a page, not per visit.
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("cnt").desc(), "other"))
+    # A target below the top is shown by itself and stays part of Others.
+    extra = F.lit(False) if target is None else (F.col("direction") == "OUT") & (F.col("other") == target)
+    shown = F.struct("other", F.lit(0).alias("is_other"), (F.col("_rank") > n).alias("_twice"))
+    rest = F.struct(F.lit("Others").alias("other"), F.lit(1).alias("is_other"), F.lit(False).alias("_twice"))
+    rows = counts.withColumn("_rank", rank).select(
+        *group, "cnt",
+        F.inline(F.when(F.col("_rank") <= n, F.array(shown)).when(extra, F.array(shown, rest)).otherwise(F.array(rest))),
+    )
+    listed = rows.groupBy(*group, "other", "is_other", "_twice").agg(F.sum("cnt").alias("cnt"))
+    # At most n + 2 rows per page and direction from here on.
+    total = F.sum(F.when(~F.col("_twice"), F.col("cnt"))).over(Window.partitionBy(*group))
+    return listed.select(
+        *group, F.when(F.col("other") == "", "-").otherwise(F.col("other")).alias("other"), "cnt", "is_other", total.alias("total")
     )
-    if target is not None:
-        wanted = counts.filter((F.col("direction") == "OUT") & (F.col("other") == target))
-        missing = wanted.join(top, ["page", "direction", "other"], "left_anti")
-        listed = listed.unionByName(missing.select(*listed.columns[:4], F.lit(0).alias("is_other")))
-    shown = listed.unionByName(rest).withColumn("other", F.when(F.col("other") == "", "-").otherwise(F.col("other")))
-    return shown.join(totals, ["page", "direction"])
 
 
 def lead_time() -> Column:
@@ -425,14 +430,10 @@ def reach_bounce_rows(
     hit = F.col(url) == target
     rows = pages.filter(F.col(pre_col).isin(*pre)).filter(hit if outcome == "reach" else ~hit)
     rows = rows.withColumn("_lead", lead_time())
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    average = rows.agg(F.round(F.avg("_lead"), 6)).scalar()
     shown = keyset_page(rows, [("page_start_tm", True), ("device_id", True)], size, after)
     known = F.coalesce(F.col("pre_url_time"), F.lit(0)) != 0
-    return (
-        shown.withColumn("lead", F.when(known, F.col("_lead").cast("string")).otherwise("-"))
-        .drop("_lead").withColumn("total", total).withColumn("lead_avg", average)
-    )
+    shown = shown.withColumn("lead", F.when(known, F.col("_lead").cast("string")).otherwise("-")).drop("_lead")
+    return with_overall(shown, rows, {"total": F.count(F.lit(1)), "lead_avg": F.round(F.avg("_lead"), 6)})
 
 
 def flow_summary(pages: DataFrame, width: int = SLICE, order: Sequence[str] = ("page_start_tm", "page_id"), url: str = "page_name") -> DataFrame:

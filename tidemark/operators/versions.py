@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
-from tidemark.functions.ranking import share, top_n, with_total
+from tidemark.functions.ranking import share, top_n, with_total, with_totals
 from tidemark.functions.segmented import medians, percentiles
 from tidemark.operators.common import count_rows, mean, sums
 
@@ -72,8 +72,7 @@ def version_conversion(access: DataFrame, trouble: DataFrame, top: int = 5) -> D
     tagged = rows.join(best.select(*OS_VER, "_top"), OS_VER, "left")
     shown = F.when(F.col("_top"), F.col("app_ver")).otherwise(F.lit("Others"))
     merged = tagged.groupBy("os_type", shown.alias("app_ver")).agg(*[F.sum(c).alias(c) for c in ("user", "error", "crash")])
-    for c in ("user", "error", "crash"):
-        merged = with_total(merged, c, f"_{c}", ["os_type"])
+    merged = with_totals(merged, {c: f"_{c}" for c in ("user", "error", "crash")}, ["os_type"])
     return merged.select(
         "os_type", "app_ver", "user", _whole_percent("user", "_user").alias("user_rate"), "error",
         _whole_percent("error", "_error").alias("error_rate"), "crash", _whole_percent("crash", "_crash").alias("crash_rate"),

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
-from tidemark.functions.ranking import keyset_page, page, share, top_n, with_total
+from tidemark.functions.ranking import keyset_page, page, share, top_n, with_overall, with_totals
 from tidemark.functions.segmented import medians
 from tidemark.operators.common import DIMS, between_ms, count_rows, exact_div, on_day, sums
+from tidemark.operators.ingest import dedup_latest
 
 
 def _half_even(num: Column, den: Column) -> Column:
@@ -222,9 +223,7 @@ def resource_models(rollup: DataFrame, devices: DataFrame, day: dt.date, limit:
         rows.select(*DIMS, "device_model", "device_count", "log_count", "sum_cpu_usage", "sum_mem_usage"),
         [F.col("device_count").desc(), "device_model", *DIMS], limit, offset,
     )
-    for name, agg in totals.items():
-        shown = shown.withColumn(name, rows.agg(agg).scalar())
-    return shown
+    return with_overall(shown, rows, totals)
 
 
 def resource_join(pages: DataFrame, access: DataFrame) -> DataFrame:
@@ -277,8 +276,6 @@ def trouble_list(
 
 def row_detail(df: DataFrame, keys: Sequence[str], version: str, wanted: DataFrame | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Rows by natural key, the latest version of each; all keys, or those of a key frame."""
-    from tidemark.operators.ingest import dedup_latest
-
     if wanted is not None:
         df = df.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
     return dedup_latest(df, keys, version, tiebreak)
@@ -327,9 +324,7 @@ def device_analysis(access: DataFrame, pages: DataFrame) -> DataFrame:
     users = access.groupBy("device_model").agg(F.count_distinct("device_id").alias("users"), F.min("os_type").alias("os_type"))
     trouble = pages.groupBy("device_model").agg(*sums("error_count", "crash_count"))
     rows = users.join(trouble, "device_model", "left").fillna(0, ["error_count", "crash_count"])
-    for col in ("users", "error_count", "crash_count"):
-        rows = with_total(rows, col, f"total_{col}")
-    return rows
+    return with_totals(rows, {c: f"total_{c}" for c in ("users", "error_count", "crash_count")})
 
 
 def trouble_by_location(
