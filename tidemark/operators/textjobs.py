@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.segmented import SegmentedScan
@@ -11,16 +11,47 @@ from tidemark.functions.segmented import SegmentedScan
 FRAME = r"(?:\(|\bat\s+)((?:https?://)?[^\s()<>]+?):(\d+)(?::(\d+))?\)?\s*$"
 
 
-def location_name(df: DataFrame, names: DataFrame, code: str = "location_code", lang: str = "ko", out: str = "location_name") -> DataFrame:
-    """Province code to its name in a language; ``names`` has code, ko, en."""
-    unique = names.groupBy(F.col("code").alias("_code")).agg(F.max(lang).alias(out))
-    return df.join(unique, df[code] == unique["_code"], "left").drop("_code")
-
-
-def location_code(df: DataFrame, names: DataFrame, name: str = "location_name", lang: str = "ko", out: str = "location_code") -> DataFrame:
-    """A province name back to its code."""
-    unique = names.groupBy(F.col(lang).alias("_name")).agg(F.min("code").alias(out))
-    return df.join(unique, df[name] == unique["_name"], "left").drop("_name")
+# Province codes with their Korean, English and Japanese names (fixed values).
+LOCATIONS = {
+    "kr-4194": ("-", "-", "-"),
+    "kr-kg": ("경기도", "Gyeonggi-do", "キョンギド"),
+    "kr-cb": ("전라북도", "North Jeolla", "チョルラブクド"),
+    "kr-kn": ("경상남도", "South Gyeongsang", "キョンサンナムド"),
+    "kr-2685": ("전라남도", "South Jeolla", "チョルラナムド"),
+    "kr-pu": ("부산광역시", "Busan Metropolitan City", "プサン広域市"),
+    "kr-2688": ("경상북도", "North Gyeongsang", "キョンサンプクト"),
+    "kr-sj": ("세종특별자치시", "Sejong Special Self-Governing City", "セジョン特別自治市"),
+    "kr-tj": ("대전광역시", "Daejeon Metropolitan City", "テジョン広域市"),
+    "kr-ul": ("울산광역시", "Ulsan Metropolitan City", "ウルサン広域市"),
+    "kr-in": ("인천광역시", "Incheon Metropolitan City", "インチョン広域市"),
+    "kr-kw": ("강원특별자치도", "Gangwon Special Self-Governing Province", "カンウォン特別自治道"),
+    "kr-gn": ("충청남도", "South Chungcheong", "チュンチョンナムド"),
+    "kr-cj": ("제주특별자치도", "Jeju Special Self-Governing Province", "チェジュ特別自治道"),
+    "kr-gb": ("충청북도", "North Chungcheong", "チュンチョンプクト"),
+    "kr-so": ("서울특별시", "Seoul Special City", "ソウル特別市"),
+    "kr-tg": ("대구광역시", "Daegu Metropolitan City", "テグ広域市"),
+    "kr-kj": ("광주광역시", "Gwangju Metropolitan City", "クァンジュ広域市"),
+}
+LANGUAGES = ("ko", "en", "ja")
+
+
+def _lookup(value: Column | str, pairs: list[tuple[str, str]]) -> Column:
+    """Value of a small fixed table, the text itself where it is not listed."""
+    col = F.col(value) if isinstance(value, str) else value
+    table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return F.coalesce(F.try_element_at(table, F.trim(col)), col)
+
+
+def location_name(code: Column | str, lang: str = "ko") -> Column:
+    """Province code to its name; other codes stay as they are."""
+    i = LANGUAGES.index(lang)
+    return _lookup(code, [(c, names[i]) for c, names in LOCATIONS.items()])
+
+
+def location_code(name: Column | str, lang: str = "ko") -> Column:
+    """Province name back to its code; other names stay as they are."""
+    i = LANGUAGES.index(lang)
+    return _lookup(name, [(names[i], c) for c, names in LOCATIONS.items()])
 
 
 def stack_frames(trouble: DataFrame, col: str = "res_msg") -> DataFrame:

@@ -156,21 +156,19 @@ def _(t: Tables):
     return textjobs.map_frames(textjobs.stack_frames(traces(t)), mapping).drop("device_id", "line_no")
 
 
-_PLACES = [("KR-11", "서울", "Seoul"), ("KR-26", "부산", "Busan"), ("KR-49", "제주", "Jeju")]
-
-
 @query(
     "location_name",
     """
-    SELECT location_code, location_name, count(*) AS cnt FROM (SELECT CASE k % 4 WHEN 0 THEN 'KR-11' WHEN 1 THEN 'KR-26' WHEN 2 THEN 'KR-49' ELSE 'XX' END AS location_code,
-      CASE k % 4 WHEN 0 THEN 'Seoul' WHEN 1 THEN 'Busan' WHEN 2 THEN 'Jeju' END AS location_name FROM event_log) GROUP BY 1, 2
+    SELECT location_code, CASE location_code WHEN 'kr-so' THEN 'Seoul Special City' WHEN 'kr-pu' THEN 'Busan Metropolitan City' WHEN 'kr-cj' THEN 'Jeju Special Self-Governing Province' ELSE location_code END AS location_name,
+           location_code AS again, count(*) AS cnt
+    FROM (SELECT CASE k % 4 WHEN 0 THEN 'kr-so' WHEN 1 THEN 'kr-pu' WHEN 2 THEN 'kr-cj' ELSE 'XX' END AS location_code FROM event_log) GROUP BY 1, 2, 3
     """,
 )
 def _(t: Tables):
-    names = t.spark.createDataFrame(_PLACES, "code string, ko string, en string")
-    code = F.expr("CASE k % 4 WHEN 0 THEN 'KR-11' WHEN 1 THEN 'KR-26' WHEN 2 THEN 'KR-49' ELSE 'XX' END")
-    named = textjobs.location_name(t.events.withColumn("location_code", code), names, lang="en")
-    return named.groupBy("location_code", "location_name").agg(F.count(F.lit(1)).alias("cnt"))
+    code = F.expr("CASE k % 4 WHEN 0 THEN 'kr-so' WHEN 1 THEN 'kr-pu' WHEN 2 THEN 'kr-cj' ELSE 'XX' END")
+    named = t.events.withColumn("location_code", code).withColumn("location_name", textjobs.location_name("location_code", "en"))
+    again = textjobs.location_code("location_name", "en").alias("again")
+    return named.groupBy("location_code", "location_name", again).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query(
