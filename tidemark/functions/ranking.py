@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Spark cuts each task's rows to the first n before the shuffle only up to this n.
@@ -93,3 +93,9 @@ def share(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
     """Percentage of a whole, 0 when the whole is empty."""
     part, whole = _named([part, whole])
     return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, digits)).otherwise(F.lit(0.0))
+
+
+def literal_frame(spark: SparkSession, rows: Sequence[Sequence[object]], names: Sequence[str]) -> DataFrame:
+    """A small frame of given values whose size Spark knows, so that it may choose to broadcast it."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

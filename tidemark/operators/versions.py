@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
-from tidemark.functions.ranking import share, top_n, with_total, with_totals
+from tidemark.functions.ranking import literal_frame, share, top_n, with_total, with_totals
 from tidemark.functions.segmented import medians, percentiles
 from tidemark.operators.common import count_rows, mean, sums
 
@@ -25,7 +25,7 @@ def _whole_percent(part: str, whole: str) -> Column:
 
 def version_compare(pages: DataFrame, access: DataFrame, versions: Sequence[tuple[str, str]]) -> DataFrame:
     """Usage, trouble, mean times and users of given (OS, version) pairs; zeros for a pair never seen."""
-    asked = pages.sparkSession.createDataFrame(list(dict.fromkeys(versions)), "os_type string, app_ver string")
+    asked = literal_frame(pages.sparkSession, list(dict.fromkeys(versions)), OS_VER)
     info = pages.filter(F.col("log_type") != lt.APP_START).groupBy(*OS_VER).agg(
         *sums("sum_cpu_usage", "sum_mem_usage", "log_count", "error_count", "crash_count"),
         mean("loading_time", "loading_time"), mean("response_time", "response_time"),

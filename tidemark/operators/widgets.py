@@ -25,11 +25,15 @@ def _hour_of_day(hour: str, day: dt.date) -> Column:
     return F.to_date(hour) == F.lit(day)
 
 
-def model_totals(rollup: DataFrame, devices: DataFrame, day: dt.date) -> DataFrame:
-    """The day's sums and distinct devices by app and model, from the hourly rollup and its device table."""
+def model_totals(rollup: DataFrame, devices: DataFrame, day: dt.date, end: dt.date | None = None) -> DataFrame:
+    """Sums and distinct devices of a day, or of days up to ``end``, by app and model.
+
+    They come from the hourly rollup and its device table.
+    """
     by = [*DIMS, "device_model"]
-    counted = devices.filter(_hour_of_day("hour_bucket", day)).groupBy(*by).agg(F.count_distinct("device_id").alias("device_count"))
-    merged = rollup.filter(_hour_of_day("hour_bucket", day)).groupBy(*by).agg(
+    inside = tg.in_days(F.to_date("hour_bucket"), day, end or day)
+    counted = devices.filter(inside).groupBy(*by).agg(F.count_distinct("device_id").alias("device_count"))
+    merged = rollup.filter(inside).groupBy(*by).agg(
         *sums("log_count", "error_count", "crash_count", "sum_cpu_usage", "sum_mem_usage")
     )
     return merged.join(counted, by, "left")
@@ -50,14 +54,16 @@ def device_distribution(rollup: DataFrame, devices: DataFrame, day: dt.date, n:
     )
 
 
-def device_list(rollup: DataFrame, devices: DataFrame, day: dt.date, limit: int, offset: int = 0) -> DataFrame:
+def device_list(
+    rollup: DataFrame, devices: DataFrame, day: dt.date, limit: int, offset: int = 0, end: dt.date | None = None
+) -> DataFrame:
     """One page of models by devices, one row more than asked when there is a next page."""
-    rows = model_totals(rollup, devices, day).select(*DIMS, "device_model", "device_count", "log_count", "error_count", "crash_count")
+    rows = model_totals(rollup, devices, day, end).filter("device_model != ''").select(*DIMS, "device_model", "device_count", "log_count", "error_count", "crash_count")
     return page(rows, [F.col("device_count").desc(), "device_model", *DIMS], limit, offset)
 
 
-def device_totals(rollup: DataFrame, devices: DataFrame, day: dt.date) -> DataFrame:
-    return model_totals(rollup, devices, day).groupBy(*DIMS).agg(
+def device_totals(rollup: DataFrame, devices: DataFrame, day: dt.date, end: dt.date | None = None) -> DataFrame:
+    return model_totals(rollup, devices, day, end).groupBy(*DIMS).agg(
         count_rows("models"), *[F.sum(c).alias(c) for c in ("device_count", "log_count", "error_count", "crash_count")]
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
+from tidemark.functions.ranking import literal_frame
 from tidemark.operators import perf
 from tidemark.plans.registry import Tables, query
 from tidemark.sources import driver_tables as dtb
@@ -429,7 +430,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    standards = t.spark.createDataFrame([("https://app/p1", 1000), ("https://app/p2", 700)], "url string, standard_ms long")
+    standards = literal_frame(t.spark, [("https://app/p1", 1000), ("https://app/p2", 700)], ["url", "standard_ms"])
     classed = perf.speed_classes(t.pages, standards, "loading_time")
     return classed.groupBy("page_name", "speed_class").agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import logtypes as lt
+from tidemark.functions.ranking import literal_frame
 from tidemark.operators import ingest, kpi, rollup
 from tidemark.sources import driver_tables as dtb
 
@@ -47,8 +48,7 @@ class Tables:
         if name == "statistic":
             return kpi.statistic_history(self.access, self.pages, dtb.FIRST_DAY, dtb.AS_OF)
         if name == "engines":
-            rows = [(d, e) for d, e in ingest.SEARCH_ENGINES.items()]
-            return self.spark.createDataFrame(rows, "domain string, engine_name string")
+            return literal_frame(self.spark, list(ingest.SEARCH_ENGINES.items()), ["domain", "engine_name"])
         raise AttributeError(name)
 
 

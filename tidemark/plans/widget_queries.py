@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
+from tidemark.functions.ranking import literal_frame
 from tidemark.operators import rollup, widgets
 from tidemark.plans.registry import VISITS, Tables, query
 from tidemark.sources import driver_tables as dtb
@@ -446,7 +447,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    alias = t.spark.createDataFrame([("https://app/p1", "one"), ("https://app/p2", "two")], "page_name string, alias string")
+    alias = literal_frame(t.spark, [("https://app/p1", "one"), ("https://app/p2", "two")], ["page_name", "alias"])
     return widgets.urls_without_alias(t.pages, alias, _D)
 
 
@@ -457,7 +458,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    names = t.spark.createDataFrame([("M1", "Model one"), ("M2", "Model two"), ("M3", "")], "model string, name string")
+    names = literal_frame(t.spark, [("M1", "Model one"), ("M2", "Model two"), ("M3", "")], ["model", "name"])
     named = widgets.with_display_names(t.events, "device_model", names, "model", "name", "model_name")
     return named.groupBy("model_name").agg(F.count(F.lit(1)).alias("cnt"))
 
