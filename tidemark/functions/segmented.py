@@ -104,11 +104,11 @@ class SegmentedScan:
 
 
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], width: float = 100.0
+    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], width: float = 100.0, weight: str | None = None
 ) -> DataFrame:
     """Exact interpolated percentiles of ``value`` per group, plus the row count ``n``.
 
-    Equal values are counted first, so what is ordered is one row per distinct value, cut into value
+    ``weight`` names a count column when rows already stand for several equal values. Equal values are counted first, so what is ordered is one row per distinct value, cut into value
     slices of ``width``. No group is held in one task.
     """
     by = list(by)
@@ -117,7 +117,7 @@ def percentiles(
     counts = (
         source.filter(F.col(value).isNotNull())
         .groupBy(*keyed, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_cnt"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_cnt"))
     )
     # Group columns may be NULL; join on a text key that is not.
     nullable = {k: F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keyed}

@@ -207,10 +207,10 @@ def daily_percentile(df: DataFrame, metric: str, p: float, tz: str = "UTC", ts:
     """Per day and OS: largest, median, smallest value and a percentile, then count and mean of the rows from it up."""
     by = ["day", "os_type"]
     rows = df.filter(F.col(metric).isNotNull()).withColumn("day", tg.day_of(ts, tz))
-    points = percentiles(rows, by, metric, {"med_value": 0.5, "p_value": p}).drop("n")
-    # The tail is summed over counts of equal values, so the rows themselves are never joined.
+    # Everything is read from counts of equal values, so the rows themselves are never joined.
     value = F.col(metric)
     counts = rows.groupBy(*by, metric).agg(count_rows("_n"))
+    points = percentiles(counts, by, metric, {"med_value": 0.5, "p_value": p}, weight="_n").drop("n")
     above = F.when(value >= F.col("p_value"), F.col("_n"))
     return counts.join(points, by).groupBy(*by, "med_value", "p_value").agg(
         F.max(value).alias("max_value"), F.min(value).alias("min_value"), F.sum(above).alias("tail_count"),
