@@ -200,6 +200,14 @@ RESULT = T.StructType([
 _WORKER: dict[int, LanguageModel] = {}
 
 
+def _model(key: int, sent) -> LanguageModel:
+    """The model of this worker, built once and kept from task to task."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = sent.value
+    return _WORKER[key]
+
+
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
     """Add a struct column (lang_pred, score, bits_per_char) to every row; whole texts are parsed.
 
@@ -207,15 +215,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     results. A column named as ``out`` is replaced, others stay. The model's sample (64 KB a language at most) travels
     with the task; there is no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = model.key
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), model.key
 
     @F.pandas_udf(RESULT)
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = sent.value
+        model = _model(key, sent)
         for texts in batches:
-            yield pd.DataFrame(dict(zip(RESULT.names, _WORKER[key].predict(texts.tolist()), strict=True)), columns=RESULT.names)
+            yield pd.DataFrame(dict(zip(RESULT.names, model.predict(texts.tolist()), strict=True)), columns=RESULT.names)
 
     return docs.withColumn(out, language(F.col(text_col)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, sharding
+from tidemark.llm import langid, licenses, pieces, sharding, simhash, unitdedup
 from tidemark.llm.common import held_out, table
 
 SHARDS = 24
@@ -24,6 +24,31 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    left = unitdedup.remove_repeated_units(docs)
+    return left.select(
+        "doc_id", "n_chars", (F.col("n_chars") - F.coalesce(F.length("text"), F.lit(0))).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), unitdedup.spans_text(F.col("removed")).alias("spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op5_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.read_pieces(pieces.MODEL_PATH)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = pieces.with_text(pieces.with_pieces(docs, vocabulary), vocabulary)
+    return decoded.select(
+        "doc_id", pieces.n_pieces(F.col("ids")).alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = [1.0] * SHARDS
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -38,6 +63,9 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op4_unit_dedup": op4_unit_dedup,
+    "op5_piece_coding": op5_piece_coding,
+    "op6_simhash": op6_simhash,
     "op7_rendezvous_shards": op7_rendezvous_shards,
 }
 CHECKS: dict[str, str] = {}
