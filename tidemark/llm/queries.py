@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, pieces, sharding, simhash, unitdedup
+from tidemark.llm import decontam, langid, licenses, pieces, sharding, simhash, substrings, unitdedup
 from tidemark.llm.common import held_out, table
 
 SHARDS = 24
@@ -60,6 +60,15 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(rows, "shard", ["doc_id"])
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_substring_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeated_strings(table(spark, sf_dir, "documents"), hash_only=True)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", substrings.kept_hash(F.col("kept")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -67,5 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_piece_coding": op5_piece_coding,
     "op6_simhash": op6_simhash,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_substring_bwt": op10_substring_bwt,
 }
 CHECKS: dict[str, str] = {}
