@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, licenses, pieces, sharding, simhash, substrings, unitdedup
+from tidemark.llm import decontam, forest, langid, licenses, pieces, sharding, simhash, substrings, unitdedup
 from tidemark.llm.common import held_out, table
 
 SHARDS = 24
@@ -64,6 +64,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeated_strings(table(spark, sf_dir, "documents"), hash_only=True)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", substrings.kept_hash(F.col("kept")).alias("kept_sha256"))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_decontaminate": op8_decontaminate,
+    "op9_embedding_forest": op9_embedding_forest,
     "op10_substring_bwt": op10_substring_bwt,
 }
 CHECKS: dict[str, str] = {}
