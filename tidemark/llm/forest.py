@@ -16,7 +16,8 @@ from tidemark.llm.components import components
 
 TREES = 12
 LEAF = 256  # distinct vectors a leaf is meant to hold
-SPILL = 0.05  # share of a node's vectors on either side of the split that go both ways
+SPILL = 0.05  # share of a node's vectors on either side of the split that go both ways at least
+REACH = 0.35  # and all that lie nearer to the split than this part of how far linked vectors differ along a random direction
 SAMPLE = 1 << 14  # vectors that set the split points
 FEW = 16  # sampled vectors a node needs to be split by its own
 BLOCK = 1024  # vectors on either side of a comparison
@@ -51,12 +52,13 @@ class Tree:
         return rows, node
 
 
-def grow(sample: np.ndarray, total: int, number: int, leaf: int = LEAF, spill: float = SPILL) -> Tree:
+def grow(sample: np.ndarray, total: int, number: int, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE) -> Tree:
     """Tree ``number`` for ``total`` vectors, split at the medians of a sample of unit vectors."""
     depth = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
     own = min(depth, max(0, int(np.floor(np.log2(max(1, len(sample) / FEW))))))
     directions = np.random.default_rng([SEED, number]).normal(size=(depth, sample.shape[1]))
     along = sample @ directions.T
+    reach = REACH * np.sqrt(max(0.0, 2 - 2 * cosine) / max(1, sample.shape[1])) * np.linalg.norm(directions, axis=1)
     node = np.zeros(len(sample), np.int64)
     low, high = [], []
     for level in range(depth):
@@ -70,10 +72,11 @@ def grow(sample: np.ndarray, total: int, number: int, leaf: int = LEAF, spill: f
             place = begin + np.minimum((size * share).astype(np.int64), np.maximum(size - 1, 0))
             return np.where(size > 0, values[np.minimum(place, len(values) - 1)], 0.0)
 
-        low.append(at(0.5 - spill))
-        high.append(at(0.5 + spill))
+        middle = at(0.5)
+        low.append(np.minimum(at(0.5 - spill), middle - reach[level]))
+        high.append(np.maximum(at(0.5 + spill), middle + reach[level]))
         if level < own:
-            node = 2 * node + (along[:, level] >= at(0.5)[node])
+            node = 2 * node + (along[:, level] >= middle[node])
     return Tree(directions, low, high, own)
 
 
@@ -157,7 +160,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     for r in classes.groupBy(F.size("vec").alias("length")).agg(F.count(F.lit(1)).alias("total")).collect():
         own = classes.where(F.size("vec") == r.length).orderBy(F.xxhash64("vec")).limit(SAMPLE)
         sample = _unit([x.vec for x in own.select("vec").collect()])
-        forests[r.length] = [grow(sample, r.total, t) for t in range(trees)]
+        forests[r.length] = [grow(sample, r.total, t, cosine=cosine) for t in range(trees)]
     sent = spark.sparkContext.broadcast(forests)
     kind = vectors.schema[vec_col].dataType
 
