@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,17 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so that lost executors do not redo what led to it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: what the cluster names in ``spark.checkpoint.dir``, or one in the warehouse where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder beside the shared warehouse is used
-    only where no name is set.
-    """
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run, below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared folder, so that lost executors do not redo what led to it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        folder = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import held_out
+
 # Bounds of what is learned: passages a language, characters a passage, distinct characters.
 PASSAGES = 64
 PASSAGE_CHARS = 512
@@ -173,6 +175,11 @@ class LanguageModel:
         )
 
 
+def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows that a model may learn from: all but those held out."""
+    return docs.where(~held_out(F.col(id_col)))
+
+
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> LanguageModel:
     """Sample text of each language from labelled rows with text and language.
 

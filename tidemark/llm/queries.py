@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, forest, langid, licenses, pieces, sharding, simhash, substrings, unitdedup
+from tidemark.llm import decontam, forest, langid, licenses, pieces, quality, sharding, simhash, substrings, unitdedup
 from tidemark.llm.common import held_out, table
 
 SHARDS = 24
@@ -15,7 +15,7 @@ SHARDS = 24
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.learn(docs.where(~held_out(F.col("doc_id"))))
+    model = langid.learn(langid.training_rows(docs))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.*")
 
@@ -24,6 +24,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(F.col("doc_id")))
+    scored = quality.score(docs, quality.learn(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     left = unitdedup.remove_repeated_units(docs)
@@ -76,6 +83,7 @@ def op10_substring_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_quality_crf": op3_quality_crf,
     "op4_unit_dedup": op4_unit_dedup,
     "op5_piece_coding": op5_piece_coding,
     "op6_simhash": op6_simhash,

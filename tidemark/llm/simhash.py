@@ -235,3 +235,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = placed.join(named, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each group: of the rows under the group's least id the least by its columns. All columns stay.
+
+    Rows that share an id share a group here: their fingerprints' groups count as one if either's least id is theirs. Rows with a NULL
+    id are kept only where their group has no other id, one row a fingerprint's group.
+    """
+    named = groups.groupBy(F.col(id_col).alias("__id")).agg(
+        F.min("component_id").alias("__group"), F.count(F.lit(1)).alias("__rows"),
+    ).where("__id <=> __group").drop("__group")
+    single = named.where("__rows = 1")
+    kept = docs.join(single, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    shared = docs.join(named.where("__rows > 1"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    columns = docs.columns
+    first = shared.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__row"))
+    return kept.unionByName(first.select(*[F.col(f"__row.`{c}`") for c in columns]))
