@@ -90,8 +90,8 @@ class LanguageModel:
         """Character classes, letters, and one parsing table for all languages.
 
         A table cell holds 2 * next state + 1 if the character starts a new phrase: the longest match ends before
-        it, and matching goes on from the start of the language's automaton. Class 0 is every rare character; it ends a
-        phrase in every language alike.
+        it, and matching goes on from the start of the language's automaton. Class 0 is every rare character; it is a
+        phrase of its own in every language alike, as is any character a sample does not have.
         """
         if self._built is not None:
             return self._built
@@ -113,10 +113,11 @@ class LanguageModel:
         for lang in sorted(plain):
             codes = to_class[plain[lang]]
             table = suffix_automaton(codes[codes > 0].tolist(), self.classes)
-            known = table >= 0
-            at_start = np.where(known[0], table[0], 0)
-            tables.append(np.where(known, 2 * (table + base), 2 * (at_start[None, :] + base) + 1).astype(np.int32))
-            starts.append(base)
+            # The last row is where a text starts, and where it is after a character the sample does not have.
+            table = np.vstack([table, np.full((1, self.classes), -1, np.int32)])
+            anew = np.where(table[0] >= 0, table[0], len(table) - 1)
+            tables.append(np.where(table >= 0, 2 * (table + base), 2 * (anew[None, :] + base) + 1).astype(np.int32))
+            starts.append(base + len(table) - 1)
             sizes.append(max(2, len(codes)))
             base += len(table)
         self._built = (to_class, letters, np.concatenate(tables).ravel(), np.array(starts, np.int32), sorted(plain), np.array(sizes, float))
@@ -142,7 +143,7 @@ class LanguageModel:
         sorted_lengths = lengths[order]
         offsets = np.concatenate([[0], np.cumsum(sorted_lengths)[:-1]])
         states = np.repeat(starts[:, None], n, axis=1).astype(np.int32)
-        found = np.ones((len(langs), n), dtype=np.int64)  # the first phrase starts with the text
+        found = np.zeros((len(langs), n), dtype=np.int64)
         active = n
         for t in range(int(sorted_lengths[0])):
             while sorted_lengths[active - 1] <= t:
@@ -150,7 +151,7 @@ class LanguageModel:
             cells = table[states[:, :active] * self.classes + flat[offsets[:active] + t]]
             found[:, :active] += cells & 1
             states[:, :active] = cells >> 1
-        counts[:, order] = np.where(sorted_lengths > 0, found, 0)
+        counts[:, order] = found
         return counts, lengths, lettered
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LINE_WORDS = 5
-SENTENCE_WORDS = 8
+SENTENCE_WORDS = 6
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 _PLAIN = bytes(c if chr(c).isascii() and chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
 
