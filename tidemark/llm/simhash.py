@@ -183,15 +183,14 @@ def link(fingerprints: DataFrame, fp: str = "fp", distance: int = DISTANCE) -> D
     sample = [r.fp for r in nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
     parts = plan_parts(sample, total, distance)
     plan = F.array(*[
-        F.struct(F.lit(i).alias("part"), F.lit(_signed(p.mask)).alias("mask"), F.array(*[F.lit(_signed(x)) for x in p.probes()]).alias("flips"))
+        F.struct(F.lit(i).alias("part"), F.lit(_signed(p.mask)).alias("mask"), F.array(*[F.struct(F.lit(_signed(x)).alias("flip"), F.lit(_signed(x & -x)).alias("lowest")) for x in p.probes()]).alias("flips"))
         for i, p in enumerate(parts)
     ])
     spread = nodes.select("fp", F.inline(plan))
     index = spread.select("part", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    flipped = spread.select("part", "mask", "fp", F.explode("flips").alias("flip"))
-    lowest = F.col("flip").bitwiseAND(-F.col("flip"))
+    flipped = spread.select("part", "mask", "fp", F.inline("flips"))
     # Of two fingerprints that differ by a flip, the one with a 0 at its lowest bit sends the probe.
-    probe = flipped.where((F.col("flip") == 0) | (F.col("fp").bitwiseAND(lowest) == 0)).select(
+    probe = flipped.where((F.col("flip") == 0) | (F.col("fp").bitwiseAND(F.col("lowest")) == 0)).select(
         "part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"), "fp", (F.col("flip") == 0).alias("same"),
     )
     sizes = index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("size"))
@@ -222,33 +221,36 @@ def link(fingerprints: DataFrame, fp: str = "fp", distance: int = DISTANCE) -> D
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row (id, fp, component_id) per row of ``docs``.
+    """One row (id, mark, fp, group, component_id) per row of ``docs``.
 
-    Fingerprints within ``distance`` bits link; component_id is the least id reachable by links, the row's own included.
-    Equal fingerprints are one node however many rows share them. A NULL or wordless text has fingerprint 0 and links like any
-    other; a NULL id never is the least id unless it is alone. An empty frame gives an empty frame. Other columns are left out.
+    Fingerprints within ``distance`` bits link; component_id is the least id reachable by links, the row's own included, and ``group`` the
+    least fingerprint. ``mark`` is a hash of id and text. Equal fingerprints are one node however many rows share them. A NULL or
+    wordless text has fingerprint 0 and links like any other; a NULL id is the least only of a group without another. An empty frame
+    gives an empty frame. Other columns are left out.
     """
-    rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle).select("id", "fp"))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("mark"))
+    rows = cut(with_fingerprint(given, "text", shingle).select("id", "mark", "fp"))
     classes = rows.groupBy("fp").agg(F.min("id").alias("least_id"))
     labels = components(link(rows, "fp", distance), "a", "b")
-    placed = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    named = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_fp = placed.join(named, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    placed = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("group"))
+    named = placed.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    by_fp = placed.join(named, "group").select("fp", "group", "component_id")
+    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "mark", "fp", "group", "component_id")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of each group: of the rows under the group's least id the least by its columns. All columns stay.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group: among rows under the group's least id one text, by its mark, and of equal ones the least by its columns.
 
-    Rows that share an id share a group here: their fingerprints' groups count as one if either's least id is theirs. Rows with a NULL
-    id are kept only where their group has no other id, one row a fingerprint's group.
+    All columns stay. Only rows that stand more than once are gathered to choose among them; a group of them is one minimum.
     """
-    named = groups.groupBy(F.col(id_col).alias("__id")).agg(
-        F.min("component_id").alias("__group"), F.count(F.lit(1)).alias("__rows"),
-    ).where("__id <=> __group").drop("__group")
-    single = named.where("__rows = 1")
-    kept = docs.join(single, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    shared = docs.join(named.where("__rows > 1"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    first = (
+        groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("group", F.col(id_col).alias("id"), "mark").agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("group").agg(F.min(F.struct("id", "mark", "rows")).alias("first"))
+        .select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark"), F.col("first.rows").alias("__rows"))
+    )
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__mark"))
+    single = docs.join(first.where("__rows = 1"), same, "left_semi")
+    several = docs.join(first.where("__rows > 1"), same)
     columns = docs.columns
-    first = shared.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__row"))
-    return kept.unionByName(first.select(*[F.col(f"__row.`{c}`") for c in columns]))
+    one = several.groupBy("__id", "__mark").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__row"))
+    return single.unionByName(one.select(*[F.col(f"__row.`{c}`") for c in columns]))
