@@ -32,11 +32,12 @@ def _one_decimal(value: Column) -> Column:
 
 
 def fmt_mem(value: Column | str, unit: str) -> Column:
-    """KB as MB, MB as GB, one decimal; an unknown unit gives ``0GB``, no value ``0MB``."""
-    value = F.try_to_number(_col(value).cast("string"), F.lit("9999999999999999")).cast("double")
+    """KB as MB, MB as GB, one decimal; an unknown unit or text that is no number gives ``0GB``, no value or 0 ``0MB``."""
+    given = F.nullif(F.trim(_col(value).cast("string")), F.lit(""))
+    value = given.try_cast("double")
     label = {"kb": "MB", "mb": "GB"}.get(unit.lower())
     shown = F.lit("0GB") if label is None else F.concat(_one_decimal(value / 1024), F.lit(label))
-    return F.when(value.isNull() | (value == 0), F.lit("0MB")).otherwise(shown)
+    return F.when(given.isNull() | (value == 0), F.lit("0MB")).when(value.isNull(), F.lit("0GB")).otherwise(shown)
 
 
 def fmt_bytes(size: Column | str) -> Column:

@@ -3,6 +3,9 @@
 A tree is a list of groups, ``{"conditions": [row, ...]}``. Rows are joined by OR inside a group, groups
 by AND. A row names a field, an operator, a value and a type; ``count`` rows compare how often something
 happened and apply to a user's rows together, all others apply to single rows.
+
+Each row is first read into a ``Term``, which holds only checked values. A table of readers by field id then gives
+the column a term looks at, and the term's test is put on it.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -30,6 +33,7 @@ OPERATORS: dict[int, Callable[[Column, Any], Column]] = {
 }
 EQUALS = 5
 EVENT_CATEGORY = 9
+FIRST_EVENT_FIELD = 91
 
 # Fields by id that are plain columns (fixed values).
 COLUMNS = {
@@ -38,7 +42,75 @@ COLUMNS = {
 }
 # Page-view fields: the JSON keys whose texts are put together (fixed values).
 PAGE_VIEW = {31: ("page_name",), 32: ("path", "query"), 33: ("host",)}
-NEW_WORDS, RETURNING_WORDS, TRUE_WORDS = ("rew", "new", "입"), ("returning",), ("true", "1", "t", "y", "yes")
+# Words of flag fields: those for 1 and those for 0; without the latter every other word is 0 (fixed values).
+YES = ("true", "1", "t", "y", "yes")
+FLAGS: dict[int, tuple[tuple[str, ...], tuple[str, ...] | None]] = {
+    11: (("rew", "new", "입"), ("returning",)), 12: (YES, None), 62: (YES, None),
+}
+
+
+def user_status(ts: Column, as_of: dt.datetime) -> Column:
+    """active up to 30 days before ``as_of``, sleep up to 60, else dropoff."""
+    return (
+        F.when(ts >= F.lit(as_of - dt.timedelta(days=30)), "active")
+        .when(ts >= F.lit(as_of - dt.timedelta(days=60)), "sleep")
+        .otherwise("dropoff")
+    )
+
+
+def _number(value: Any, read: type = float) -> Any:
+    try:
+        return read(value)
+    except (TypeError, ValueError):
+        return None
+
+
+def _word(value: Any) -> str | None:
+    return None if value is None else str(value).strip() or None
+
+
+def _flag(field_id: int | None, word: str) -> Any:
+    yes, no = FLAGS.get(field_id, ((), ()))
+    if word.lower() in yes:
+        return 1
+    return 0 if no is None or word.lower() in no else word
+
+
+@dataclass(frozen=True)
+class Term:
+    """One checked condition row. ``options`` holds several values when any of them may match."""
+
+    field_id: int | None
+    name: str
+    operator: int
+    counted: bool
+    event: bool
+    blank: bool
+    options: tuple
+    several: bool
+
+    @classmethod
+    def read(cls, row: Mapping[str, Any]) -> Term | None:
+        """The term of a row, None when it lacks a usable operator or value."""
+        field_id = _number(row.get("fieldId") or row.get("id"), int)
+        event = _number(row.get("categoryId"), int) == EVENT_CATEGORY
+        operator = row.get("operator", EQUALS if event else None)
+        operator = EQUALS if operator is None and event else operator
+        name, given = _word(row.get("field")) or "", row.get("value")
+        counted = row.get("type") == "count"
+        several = isinstance(given, (list, tuple))
+        read = _number if counted else _word
+        options = tuple(v for v in map(read, given if several else (given,)) if v is not None)
+        if not options and event and name and not counted:
+            options, several = (name,), False
+        if operator not in OPERATORS or not options:
+            return None
+        if not counted:
+            options = tuple(_flag(field_id, v) for v in options)
+        return cls(field_id, name, operator, counted, event, given in (None, ""), options, several)
+
+    def test(self, value: Column) -> Column:
+        return value.isin(*self.options) if self.several else OPERATORS[self.operator](value, self.options[0])
 
 
 @dataclass(frozen=True)
@@ -49,19 +121,67 @@ class Field:
     guard: Column | None = None
 
 
+def _json(col: str, key: str) -> Column:
+    return F.get_json_object(F.col(col), f"$['{key}']")
+
+
+def _or_empty(*texts: Column) -> Column:
+    return F.coalesce(*texts, F.lit(""))
+
+
+def _plain(name: str, term: Term, as_of: dt.datetime) -> Field:
+    return Field(F.col(name))
+
+
+def _page_view(keys: tuple[str, ...], term: Term, as_of: dt.datetime) -> Field:
+    return Field(F.concat(*[_or_empty(_json("event_params", key)) for key in keys]), F.col("event_name") == "page_view")
+
+
+def _event(term: Term, as_of: dt.datetime) -> Field:
+    return Field(F.col("event_name") if term.blank else _or_empty(_json("event_params", "value")))
+
+
+def _free_key(term: Term, as_of: dt.datetime) -> Field | None:
+    if not term.name:
+        return None
+    key = "".join(ch if ch.isalnum() or ch in "_-" else "_" for ch in term.name)
+    return Field(_or_empty(_json("event_params", key), _json("user_properties", key)))
+
+
+Reader = Callable[[Term, dt.datetime], Field | None]
+READERS: dict[int, Reader] = {
+    **{number: partial(_plain, name) for number, name in COLUMNS.items()},
+    **{number: partial(_page_view, keys) for number, keys in PAGE_VIEW.items()},
+    12: lambda term, as_of: Field((F.length(_or_empty(F.col("user_id"))) > 0).cast("long")),
+    13: lambda term, as_of: Field(_or_empty(_json("user_properties", "grade"))),
+    14: lambda term, as_of: Field(user_status(F.col("event_time"), as_of)),
+}
+
+
+def resolve_field(term: Term, as_of: dt.datetime) -> Field | None:
+    """Column of a term: by its field id, else by its name in the two JSON columns."""
+    beyond = _event if (term.field_id or 0) >= FIRST_EVENT_FIELD else _free_key
+    return READERS.get(term.field_id, beyond)(term, as_of)
+
+
 @dataclass(frozen=True)
 class CountTerm:
-    """How many of a user's rows meet ``cond``, compared with ``value``."""
+    """How many of a user's rows meet ``cond``, against the term's value."""
 
     cond: Column
-    operator: int
-    value: Any
+    term: Term
 
     def column(self, rows: Column | None) -> Column:
         counted = F.count_if(self.cond if rows is None else self.cond & rows)
-        if isinstance(self.value, list):
-            return counted.isin(*self.value)
-        return OPERATORS[self.operator](counted.cast("double"), self.value)
+        return self.term.test(counted.cast("double"))
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(Column.__or__, tests)
+
+
+def _all(tests: Sequence[Column]) -> Column:
+    return reduce(Column.__and__, tests)
 
 
 @dataclass
@@ -73,119 +193,32 @@ class Predicate:
 
     def having_column(self, rows: Column | None = None) -> Column | None:
         """Aggregate condition; ``rows`` limits which rows are counted."""
-        if not self.having:
-            return None
-        return reduce(Column.__and__, [reduce(Column.__or__, [t.column(rows) for t in g]) for g in self.having])
-
-
-def _whole(value: Any) -> int | None:
-    try:
-        return int(value)
-    except (TypeError, ValueError):
-        return None
-
-
-def user_status(ts: Column, as_of: dt.datetime) -> Column:
-    """active up to 30 days before ``as_of``, sleep up to 60, else dropoff."""
-    return (
-        F.when(ts >= F.lit(as_of - dt.timedelta(days=30)), "active")
-        .when(ts >= F.lit(as_of - dt.timedelta(days=60)), "sleep")
-        .otherwise("dropoff")
-    )
-
-
-def _json(col: str, key: str) -> Column:
-    return F.get_json_object(F.col(col), f"$['{key}']")
-
-
-def resolve_field(row: Mapping[str, Any], as_of: dt.datetime) -> Field | None:
-    """Column of a condition row. Unknown ids are looked up by name in the two JSON columns."""
-    number = _whole(row.get("fieldId") or row.get("id"))
-    if number in COLUMNS:
-        return Field(F.col(COLUMNS[number]))
-    if number == 12:
-        return Field((F.length(F.coalesce("user_id", F.lit(""))) > 0).cast("long"))
-    if number == 13:
-        return Field(F.coalesce(_json("user_properties", "grade"), F.lit("")))
-    if number == 14:
-        return Field(user_status(F.col("event_time"), as_of))
-    if number in PAGE_VIEW:
-        texts = [F.coalesce(_json("event_params", key), F.lit("")) for key in PAGE_VIEW[number]]
-        return Field(F.concat(*texts), F.col("event_name") == "page_view")
-    if number is not None and number >= 91:
-        if row.get("value") in (None, ""):
-            return Field(F.col("event_name"))
-        return Field(F.coalesce(_json("event_params", "value"), F.lit("")))
-    name = (row.get("field") or "").strip()
-    if not name:
-        return None
-    key = "".join(ch if ch.isalnum() or ch in "_-" else "_" for ch in name)
-    return Field(F.coalesce(_json("event_params", key), _json("user_properties", key), F.lit("")))
-
-
-def _clean(value: Any, kind: str) -> Any:
-    """Value without blanks, None when nothing is left; counts become numbers."""
-    if isinstance(value, (list, tuple)):
-        kept = [c for c in (_clean(v, kind) for v in value) if c is not None]
-        return kept or None
-    if value is None:
-        return None
-    if kind == "count":
-        try:
-            return float(value)
-        except (TypeError, ValueError):
-            return None
-    return str(value).strip() or None
+        return _all([_any([t.column(rows) for t in group]) for group in self.having]) if self.having else None
 
 
-def _coded(row: Mapping[str, Any], value: Any) -> Any:
-    """Words for flags become 1 and 0."""
-    number = _whole(row.get("fieldId") or row.get("id") or 0)
-    word = str(value).strip().lower()
-    if number == 11:
-        return 1 if word in NEW_WORDS else 0 if word in RETURNING_WORDS else value
-    if number in (12, 62):
-        return 1 if word in TRUE_WORDS else 0
-    return value
+def _row_test(term: Term, found: Field) -> Column:
+    """True or false for a row: the value's test, the field's guard, and the name of the event it is asked of."""
+    parts = [term.test(found.value)]
+    if found.guard is not None:
+        parts.append(found.guard)
+    if term.event and term.name:
+        parts.append(F.col("event_name") == term.name)
+    return F.coalesce(_all(parts), F.lit(False))
 
 
 def build_predicate(groups: Sequence[Mapping[str, Any]] | None, as_of: dt.datetime) -> Predicate:
-    """Condition tree to row and count conditions. Rows that cannot be read are skipped."""
-    wheres: list[Column] = []
-    having: list[list[CountTerm]] = []
+    """Condition tree to row and count conditions. Rows that cannot be read are skipped, and groups left empty by that."""
+    out, wheres = Predicate(), []
     for group in groups or ():
-        ors: list[Column] = []
-        counts: list[CountTerm] = []
-        for row in group.get("conditions") or ():
-            found = resolve_field(row, as_of)
-            is_event = _whole(row.get("categoryId")) == EVENT_CATEGORY
-            operator = row.get("operator")
-            if operator is None and is_event:
-                operator = EQUALS
-            if found is None or operator not in OPERATORS:
-                continue
-            kind = row.get("type") or "value"
-            name = (row.get("field") or "").strip()
-            value = _clean(row.get("value"), "count" if kind == "count" else "value")
-            if value is None and is_event and kind != "count":
-                value = name or None
-            if value is None:
-                continue
-            if kind == "count":
-                cond = F.col("event_name") == name if name else found.value.isNotNull()
-                counts.append(CountTerm(cond, operator, value))
-                continue
-            if isinstance(value, list):
-                test = found.value.isin(*[_coded(row, v) for v in value])
-            else:
-                test = OPERATORS[operator](found.value, _coded(row, value))
-            if found.guard is not None:
-                test = found.guard & test
-            if is_event and name:
-                test = (F.col("event_name") == name) & test
-            ors.append(F.coalesce(test, F.lit(False)))
-        if ors:
-            wheres.append(reduce(Column.__or__, ors))
+        terms = [term for row in group.get("conditions") or () if (term := Term.read(row))]
+        found = [(term, place) for term in terms if (place := resolve_field(term, as_of))]
+        tests = [_row_test(term, place) for term, place in found if not term.counted]
+        counts = [
+            CountTerm(F.col("event_name") == term.name if term.name else place.value.isNotNull(), term) for term, place in found if term.counted
+        ]
+        if tests:
+            wheres.append(_any(tests))
         if counts:
-            having.append(counts)
-    return Predicate(reduce(Column.__and__, wheres) if wheres else None, having)
+            out.having.append(counts)
+    out.where = _all(wheres) if wheres else None
+    return out

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text
-from tidemark.functions.segmented import SegmentedScan
-from tidemark.session import cut_lineage
 
 # Names of the short keys of timing entries (fixed values).
 PERF_KEYS = {
@@ -61,14 +58,19 @@ _USED = (
     "responseStart", "responseEnd", "transferSize", "responseStatus", "domInteractive", "domContentLoadedEventEnd",
     "domComplete", "loadEventEnd",
 )
+_BROKEN = "_broken"
 
 
 def read_entries(df: DataFrame, col: str = "entry") -> DataFrame:
-    """Parse timing entries against a declared schema, so only the fields a step reads are extracted."""
+    """Parse timing entries against a declared schema, so only the fields a step reads are extracted.
+
+    Text that does not parse is no entry and is dropped, as in ``expand_perf_keys``.
+    """
     short = {name: key for key, name in PERF_KEYS.items()}
     fields = {**{short[name]: name for name in _USED}, "url": "url", "size": "size"}
-    schema = T.StructType([T.StructField(key, T.StringType()) for key in fields])
-    parsed = _with_body(df, col).withColumn("_e", F.from_json(col, schema))
+    schema = T.StructType([T.StructField(key, T.StringType()) for key in (*fields, _BROKEN)])
+    read = F.from_json(col, schema, {"columnNameOfCorruptRecord": _BROKEN})
+    parsed = _with_body(df, col).withColumn("_e", read).filter(F.col("_e").isNotNull() & F.col("_e")[_BROKEN].isNull())
     entry = F.struct(*[F.col("_e")[key].alias(name) for key, name in fields.items()])
     rows = parsed.select(*[c for c in df.columns if c != col], entry.alias("entry"))
     return rows.withColumns(
@@ -85,6 +87,7 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col("entry")[name], F.lit(""))
 
 
+# Phases of a navigation: label, start field, end field (fixed values).
 PHASES = (
     ("Waiting", "startTime", "requestStart"),
     ("DNS Lookup", "domainLookupStart", "domainLookupEnd"),
@@ -96,6 +99,15 @@ PHASES = (
 )
 
 
+def _phases() -> Column:
+    """The navigation's phases, in order, that have a start above 0 and an end not before it."""
+    steps = F.array(*[
+        F.struct(F.lit(i).alias("phase_no"), F.lit(n).alias("name"), _number(a).alias("start_time"), _number(b).alias("response_end"))
+        for i, (n, a, b) in enumerate(PHASES)
+    ])
+    return F.filter(steps, lambda p: (p["response_end"] >= p["start_time"]) & (p["start_time"] > 0))
+
+
 def first_navigation(entries: DataFrame) -> DataFrame:
     """The first navigation entry of each page view."""
     navs = entries.filter(F.col("entry_type") == "navigation")
@@ -104,16 +116,11 @@ def first_navigation(entries: DataFrame) -> DataFrame:
 
 def nav_phases(entries: DataFrame) -> DataFrame:
     """Seven phases of each navigation; a phase needs a start above 0 and an end not before it."""
-    steps = F.array(
-        *[F.struct(F.lit(i).alias("phase_no"), F.lit(n).alias("name"), _number(a).alias("start_time"), _number(b).alias("response_end"))
-          for i, (n, a, b) in enumerate(PHASES)]
-    )
-    base = first_navigation(entries).select(
+    phases = first_navigation(entries).select(
         *VIEW, _text("name").alias("url"), _number("transferSize").cast("long").alias("transfer_size"),
-        _number("responseStatus").cast("long").alias("status"), F.inline(steps),
+        _number("responseStatus").cast("long").alias("status"), F.inline(_phases()),
     )
-    kept = base.filter("response_end >= start_time AND start_time > 0")
-    return kept.withColumn("duration", F.col("response_end") - F.col("start_time"))
+    return phases.withColumn("duration", F.col("response_end") - F.col("start_time"))
 
 
 def mark_lcp(entries: DataFrame) -> DataFrame:
@@ -132,39 +139,46 @@ def mark_lcp(entries: DataFrame) -> DataFrame:
 def waterfall_rows(entries: DataFrame) -> DataFrame:
     """Rows of the waterfall: navigation phases first, then the other entries by start.
 
-    Parsing is the costly part and the entries are read several times, so they are written to the
-    checkpoint folder once.
+    A page view has few entries, so all that is asked of a view (its first navigation, its largest paint, the first entry
+    of that name, the position) is a window over one shuffle by view. Only the columns shown are moved.
     """
-    entries = cut_lineage(entries)
-    columns = [*VIEW, "seq", "name", "entry_type", "initiator_type", "start_time", "duration", "transfer_size", "status"]
-    phases = nav_phases(entries).select(
-        *VIEW, F.col("phase_no").alias("seq"), "name", F.lit("reformNavigation").alias("entry_type"),
-        F.lit("reformNavigation").alias("initiator_type"), "start_time", "duration", "transfer_size", "status",
-    )
-    shown = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(_text("url"), F.lit("")), F.col("entry_type"))
-    others = entries.filter(F.col("entry_type") != "navigation").select(
-        *VIEW, "seq", shown.alias("name"), "entry_type", F.coalesce(F.nullif(_text("initiatorType"), F.lit("")), F.lit("other")).alias("initiator_type"),
+    kind, shown = F.col("entry_type"), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(_text("url"), F.lit("")), F.col("entry_type"))
+    initiator = F.lower(_text("initiatorType"))
+    is_nav = kind == "navigation"
+    size = _number("size").cast("long")
+    paint = F.when((kind == "largest-contentful-paint") & (_text("url") != "") & (size > 0), F.struct(size, -F.col("seq"), _text("url").alias("url")))
+    moved = entries.select(
+        *VIEW, "seq", is_nav.alias("_nav"), F.col("name").alias("_name"), paint.alias("_paint"), F.when(is_nav, _phases()).alias("_phases"),
+        shown.alias("name"), "entry_type",
+        F.when((kind == "resource") & (initiator != ""), initiator).otherwise(F.coalesce(F.nullif(F.lower("entry_type"), F.lit("")), F.lit("other"))).alias("kind"),
         "start_time", "duration", _number("transferSize").cast("long").alias("transfer_size"), _number("responseStatus").cast("long").alias("status"),
     )
-    is_nav = F.col("entry_type") == "reformNavigation"
-    rows = phases.select(*columns).unionByName(others.select(*columns)).withColumn("_other", F.when(is_nav, 0).otherwise(1))
-    slices = F.when(is_nav, F.lit(-1)).otherwise(F.floor(F.col("start_time") / 1000))
-    placed = SegmentedScan(rows, VIEW, ["_other", "start_time", "seq"], slices).running_sum("position", F.lit(1)).done()
-    marks = mark_lcp(entries).select(*VIEW, "seq", F.lit(1).alias("_other"), F.lit("lcp").alias("mark"))
-    kind = F.when((F.col("entry_type") == "resource") & (F.col("initiator_type") != "other"), F.lower("initiator_type")).otherwise(
-        F.coalesce(F.nullif(F.lower("entry_type"), F.lit("")), F.lit("other"))
-    )
+    view = Window.partitionBy(*VIEW)
+    known = moved.withColumn("_first", F.min(F.when(F.col("_nav"), F.col("seq"))).over(view)).withColumn("_largest", F.max("_paint").over(view)["url"])
+    named = ~F.col("_nav") & (F.col("_name") == F.col("_largest"))
+    marked = known.withColumn("_marked", F.min(F.when(named, F.col("seq"))).over(view))
+    phases = F.transform("_phases", lambda p: F.struct(
+        F.lit(0).alias("_other"), p["phase_no"].alias("seq"), p["name"].alias("name"), F.lit("reformNavigation").alias("entry_type"),
+        F.lit("reformnavigation").alias("kind"), p["start_time"].alias("start_time"), (p["response_end"] - p["start_time"]).alias("duration"),
+        F.lit(None).cast("string").alias("mark"),
+    ))
+    single = F.array(F.struct(
+        F.lit(1).alias("_other"), F.col("seq"), F.col("name"), F.col("entry_type"), F.col("kind"), F.col("start_time"), F.col("duration"),
+        F.when(F.col("seq") == F.col("_marked"), "lcp").alias("mark"),
+    ))
+    rows = F.when(~F.col("_nav"), single).when(F.col("seq") == F.col("_first"), phases)
+    placed = marked.select(*VIEW, "transfer_size", "status", F.inline(rows)).withColumn("position", F.row_number().over(view.orderBy("_other", "start_time", "seq")))
     end = F.col("start_time") + F.greatest(F.col("duration"), F.lit(0.0))
-    return placed.join(marks, [*VIEW, "seq", "_other"], "left").select(
-        *VIEW, "position", "name", "entry_type", kind.alias("kind"),
-        F.coalesce(F.regexp_extract("name", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")).alias("domain"),
+    return placed.select(
+        *VIEW, F.col("position").cast("long").alias("position"), "name", "entry_type", "kind",
+        F.coalesce(F.regexp_extract("name", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1), F.lit("")).alias("domain"),
         "start_time", "duration", "status", text.fmt_bytes("transfer_size").alias("size_label"),
         F.format_string("%.1fms ~ %.1fms", F.bround("start_time", 1), F.bround(end, 1)).alias("time_label"), "mark",
     )
 
 
 def timing_summary(entries: DataFrame, vitals: DataFrame | None = None) -> DataFrame:
-    """Timings of each page view; a time of 0 means it is not known."""
+    """Timings of each page view; a time or vital of 0 means it is not known."""
     kind = F.col("entry_type")
 
     def nav(expr: Column) -> Column:
@@ -193,7 +207,7 @@ def timing_summary(entries: DataFrame, vitals: DataFrame | None = None) -> DataF
     if vitals is None:
         return rows
     latest = vitals.groupBy(*VIEW).agg(
-        *[F.max_by("value", F.when(F.lower("name") == n, F.col("log_tm"))).alias(n) for n in ("fcp", "lcp", "inp", "cls", "ttfb")]
+        *[F.max_by("value", F.when((F.lower(F.trim("name")) == n) & (F.col("value") != 0) & ~F.isnan("value"), F.col("log_tm"))).alias(n) for n in ("fcp", "lcp", "inp", "cls", "ttfb")]
     )
     return rows.join(latest, VIEW, "left")
 

@@ -16,16 +16,25 @@ def entries(t: Tables):
     return waterfall.read_entries(t.perf)
 
 
+_RESOURCE = "'duration|entryType|initiatorType|name|responseStatus|startTime|transferSize'"
+
+
 @query(
     "expand_perf_keys",
-    """
+    f"""
     SELECT event_id AS page_id, 1 AS seq, 'connectEnd|connectStart|domComplete|domContentLoadedEventEnd|domInteractive|domainLookupEnd|domainLookupStart|duration|entryType|fetchStart|loadEventEnd|name|redirectEnd|redirectStart|requestStart|responseEnd|responseStart|responseStatus|secureConnectionStart|startTime|transferSize' AS names,
            req_url AS name, NULL AS sources FROM event_log
-    UNION ALL SELECT event_id, 4, 'entryType|size|sources|startTime|url', '', '[{"startTime":1}]' FROM event_log
+    UNION ALL SELECT event_id, 2, {_RESOURCE}, 'https://cdn.app/img' || (k % 7) || '.png', NULL FROM event_log
+    UNION ALL SELECT event_id, 3, {_RESOURCE}, 'https://js.app/s.js', NULL FROM event_log
+    UNION ALL SELECT event_id, 4, 'entryType|size|sources|startTime|url', '', '[{{"startTime":1}}]' FROM event_log
+    UNION ALL SELECT event_id, 5, 'duration|entryType|name|startTime', 'self', NULL FROM event_log
+    UNION ALL SELECT event_id, 6, 'duration|entryType|name|startTime', 'click', NULL FROM event_log
+    UNION ALL SELECT event_id, 7, 'duration|entryType|name|startTime', 'click', NULL FROM event_log
+    UNION ALL SELECT event_id, 8, {_RESOURCE}, '//cdn.b/y.js', NULL FROM event_log
     """,
 )
 def _(t: Tables):
-    rows = waterfall.expand_perf_keys(t.perf).filter("seq IN (1, 4)")
+    rows = waterfall.expand_perf_keys(t.perf)
     names = F.array_join(F.array_sort(F.map_keys("entry")), "|")
     return rows.select(
         "page_id", F.col("seq").cast("long").alias("seq"), names.alias("names"),
@@ -55,7 +64,8 @@ others AS (
   UNION ALL SELECT event_id, 4, 'https://cdn.app/img' || (k % 7) || '.png', 'largest-contentful-paint', 'largest-contentful-paint', 'cdn.app', 45, 0, 0, 0, NULL FROM event_log
   UNION ALL SELECT event_id, 5, 'self', 'longtask', 'longtask', '', 60, 50 + k % 40, 0, 0, NULL FROM event_log
   UNION ALL SELECT event_id, 6, 'click', 'first-input', 'first-input', '', k % 4, 8, 0, 0, NULL FROM event_log
-  UNION ALL SELECT event_id, 7, 'click', 'event', 'event', '', 90, 16, 0, 0, NULL FROM event_log),
+  UNION ALL SELECT event_id, 7, 'click', 'event', 'event', '', 90, 16, 0, 0, NULL FROM event_log
+  UNION ALL SELECT event_id, 8, '//cdn.b/y.js', 'resource', 'other', 'cdn.b', 70, 5, 200, 100, NULL FROM event_log),
 all_rows AS (
   SELECT page_id, 0 AS o, phase_no AS seq, name, 'reformNavigation' AS entry_type, 'reformnavigation' AS kind, '' AS domain, start_time, response_end - start_time AS duration, status, transfer_size AS size, NULL AS mark FROM phases
   UNION ALL SELECT page_id, 1, seq, name, entry_type, kind, domain, start_time, duration, status, size, mark FROM others)
@@ -89,12 +99,14 @@ def _(t: Tables):
     SELECT event_id AS page_id, CAST(nullif(k % 4, 0) AS DOUBLE) AS fid, CAST(nullif(k % 40, 0) AS DOUBLE) AS tbt, CAST(49 + k AS DOUBLE) AS dcl_time, CAST(79 + k AS DOUBLE) AS load_time,
            30.0::DOUBLE AS dom_processing_time, CAST(5 + k % 4 + CASE WHEN k % 2 = 0 THEN 3 + k % 4 ELSE 0 END AS DOUBLE) AS connection_time, 2.0::DOUBLE AS dns_lookup_time,
            CAST(nullif(k % 6, 0) AS DOUBLE) AS redirect_time, CAST(28 + k AS DOUBLE) AS fetch_time, CAST(45 + k AS DOUBLE) AS dom_interactive,
-           p.fcp, p.lcp, p.inp, p.cls, p.ttfb
+           nullif(p.fcp, 0) AS fcp, nullif(p.lcp, 0) AS lcp, nullif(p.inp, 0) AS inp, nullif(p.cls, 0) AS cls, nullif(p.ttfb, 0) AS ttfb
     FROM event_log JOIN page_flow p ON p.page_id = event_id
     """,
 )
 def _(t: Tables):
-    return waterfall.timing_summary(entries(t), t.vitals).drop("device_id")
+    # Each vital is sent again a moment later with 0, which tells nothing.
+    again = t.vitals.withColumns({"log_tm": F.col("log_tm") + 1, "value": F.lit(0.0)})
+    return waterfall.timing_summary(entries(t), t.vitals.unionByName(again)).drop("device_id")
 
 
 @query(
@@ -186,6 +198,7 @@ def _(t: Tables):
     "format_units",
     """
     SELECT event_id, CASE WHEN k = 0 THEN '0MB' ELSE format('{:.1f}MB', round(k * 1000 / 1024, 1)) END AS mem_kb, CASE WHEN k = 0 THEN '0MB' ELSE format('{:.1f}GB', round(k / 1024, 1)) END AS mem_mb,
+           format('{:.1f}MB', (k * 1000 + 0.5) / 1024) AS mem_decimal, CASE WHEN k % 2 = 0 THEN '0GB' ELSE '0MB' END AS mem_odd,
            CASE WHEN intervaltime < 1000 THEN intervaltime || 'ms' WHEN intervaltime < 60000 THEN (intervaltime // 1000) || 's' ELSE (intervaltime // 60000) || 'm ' || (intervaltime % 60000 // 1000) || 's' END AS stay
     FROM event_log
     """,
@@ -193,6 +206,7 @@ def _(t: Tables):
 def _(t: Tables):
     return t.events.select(
         "event_id", text.fmt_mem(F.col("k") * 1000, "kb").alias("mem_kb"), text.fmt_mem("k", "mb").alias("mem_mb"),
+        text.fmt_mem(F.concat(F.col("k") * 1000, F.lit(".5")), "kb").alias("mem_decimal"), text.fmt_mem(F.when(F.col("k") % 2 == 0, "many"), "kb").alias("mem_odd"),
         text.fmt_ms("intervaltime").alias("stay"),
     )
 

@@ -18,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a frame read by fewer tasks than there are cores, as a driver table of one file is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
     raw = table(spark, sf_dir, "events").selectExpr("*", "CAST(ts AS TIMESTAMP) AS log_tm_dt", f"{k} AS k")
@@ -190,8 +184,13 @@ def perf_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry(_1="'\"self\"'", _2="'\"longtask\"'", _3="'60'", _4="50 + k % 40"),
         entry(_1="'\"click\"'", _2="'\"first-input\"'", _3="k % 4", _4="'8'"),
         entry(_1="'\"click\"'", _2="'\"event\"'", _3="'90'", _4="'16'"),
+        entry(_1="'\"//cdn.b/y.js\"'", _2="'\"resource\"'", _3="'70'", _4="'5'", _5="'\"other\"'", _23="'100'", _26="'200'"),
+        # Text that breaks off.
+        "concat('{\"1\":\"cut', k)",
     ]
-    views = spread(event_log(spark, sf_dir).selectExpr("device_id", "event_id AS page_id", "log_tm", "req_url", "k", "status_code"))
+    views = event_log(spark, sf_dir).selectExpr("device_id", "event_id AS page_id", "log_tm", "req_url", "k", "status_code")
+    # The entries are made here, next to their page view, where later steps need them.
+    views = views.repartition("device_id", "page_id")
     base = views.selectExpr("device_id", "page_id", "log_tm", f"posexplode(array({', '.join(entries)})) AS (seq, entry)")
     return base.withColumn("seq", F.col("seq") + 1)
 
