@@ -36,8 +36,9 @@ def test_units(spark):
     r = one(
         spark, a=text.fmt_mem(lit(None), "kb"), b=text.fmt_mem(lit("1024"), "kb"), c=text.fmt_mem(lit(2048, "int"), "mb"),
         d=text.fmt_mem(lit(10, "int"), "unknown"), e=text.fmt_mem(lit("NaN"), "kb"),
+        f=text.fmt_mem(lit("1024.5"), "kb"), g=text.fmt_mem(lit("many"), "kb"), h=text.fmt_mem(lit(" "), "kb"),
     )
-    assert list(r) == ["0MB", "1.0MB", "2.0GB", "0GB", "0MB"]
+    assert list(r) == ["0MB", "1.0MB", "2.0GB", "0GB", "0MB", "1.0MB", "0GB", "0MB"]
 
 
 def test_bytes_and_times(spark):

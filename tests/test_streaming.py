@@ -29,7 +29,7 @@ def packet_file(folder, name, lines):
 
 
 def run(df, fn, name, tmp_path):
-    query = streams.run_stream(df, fn, name, checkpoint=str(tmp_path / f"cp-{name}"), available_now=True)
+    query = streams.run_stream(df, fn, name, str(tmp_path / f"cp-{name}"), available_now=True)
     query.awaitTermination(120)
     assert query.exception() is None
 
@@ -63,20 +63,40 @@ def test_later_batch_wins_and_compaction(spark, tmp_path):
         df = spark.createDataFrame([(day, "p", 0, "Web", "d", visits, 0, 0)], schema)
         files.write_batch(df, str(tmp_path / "t"), batch)
     keys = ["log_date", *DIMS, "device_id"]
+    rows = files._batches(spark, str(tmp_path / "t"), schema, [day])
+    assert "PartitionFilters: [log_date" in rows._jdf.queryExecution().executedPlan().toString().replace("isnotnull(log_date#", "log_date")
+    other = spark.createDataFrame([(dt.date(2024, 1, 3), "p", 0, "Web", "d", 9, 0, 0)], schema)
+    files.write_batch(other, str(tmp_path / "t"), 2)
+    for _ in range(2):
+        files.compact(spark, str(tmp_path / "t"), str(tmp_path / "done"), schema, keys, day)
+        assert [r.visit_cnt for r in spark.read.parquet(str(tmp_path / "done")).collect()] == [5]
+    # The settled day's batch folders are gone, the other day's are not; a late row joins what was settled.
+    assert [f.day for f in files._day_folders(spark, str(tmp_path / "t"))] == ["2024-01-03"]
+    late = spark.createDataFrame([(day, "p", 0, "Web", "late", 1, 0, 0)], schema)
+    files.write_batch(late, str(tmp_path / "t"), 3)
     files.compact(spark, str(tmp_path / "t"), str(tmp_path / "done"), schema, keys, day)
-    files.compact(spark, str(tmp_path / "t"), str(tmp_path / "done"), schema, keys, day)
-    assert [r.visit_cnt for r in spark.read.parquet(str(tmp_path / "done")).collect()] == [5]
+    assert sorted(r.visit_cnt for r in spark.read.parquet(str(tmp_path / "done")).collect()) == [1, 5]
+
+
+def test_expired_days_of_batches_go(spark, tmp_path):
+    schema = schemas.ACCESS_HISTORY
+    for batch, year in ((1, 2020), (2, 2024)):
+        df = spark.createDataFrame([(dt.date(year, 1, 2), "p", 0, "Web", "d", 1, 0, 0)], schema)
+        files.write_batch(df, str(tmp_path / "t"), batch)
+    assert files.drop_expired_partitions(spark, str(tmp_path / "t"), 4, dt.date(2024, 1, 5)) == ["log_date=2020-01-02"]
+    assert [r.batch_id for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [2]
+    assert not (tmp_path / "t" / "batch_id=1").exists()
 
 
 def test_dead_letters(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
 
     def broken(_):
-        raise RuntimeError("disk on fire")
+        raise RuntimeError("disk on fire " * 1000)
 
     assert not files.write_with_dead_letter(df, broken, str(tmp_path / "dead"), 3)
     row = spark.read.parquet(str(tmp_path / "dead")).first()
-    assert json.loads(row.row) == {"n": 1, "s": "a"} and row.error == "disk on fire" and row.batch_id == 3
+    assert json.loads(row.row) == {"n": 1, "s": "a"} and row.error == "disk on fire " * 1000 and row.batch_id == 3
     assert files.write_with_dead_letter(df, lambda d: d.count(), str(tmp_path / "dead"))
 
 
@@ -110,7 +130,9 @@ def spark_stream(df, folder):
 
 def test_rollup_parts_merge_to_the_batch_rollup(spark, tmp_path):
     page_rows = dtb.page_flow(spark, SF_DIR)
-    stream = split_files(page_rows, tmp_path / "pages", "page_start_tm", 3)
+    # A tenth of the rows comes twice, again in the last batches, and an old version of some before the right one.
+    twice = page_rows.withColumn("_at", F.col("page_start_tm")).unionByName(page_rows.filter("page_id % 10 = 0").withColumn("_at", F.lit(2 * BASE)))
+    stream = split_files(twice, tmp_path / "pages", "_at", 3).drop("_at")
     run(stream, streams.rollup_sink(str(tmp_path / "roll")), "rollup", tmp_path)
     by = ["log_date", "page_name"]
     got = streams.read_rollup(spark, str(tmp_path / "roll"), by)
@@ -152,29 +174,51 @@ def test_idle_pages_close_by_timeout(spark, tmp_path):
     assert got[("a", BASE)].loading_time == 1000 and got[("a", BASE)].log_count == 2
 
 
-def test_dedup_and_counts(spark, tmp_path):
-    rows = [(i % 20, BASE + i) for i in range(60)]
-    df = spark.createDataFrame(rows, "event_id long, log_tm long").withColumns(
+def test_increment_keeps_the_newest_row(spark, tmp_path):
+    # Rows of a key come in any order over the batches; the first batch of key 3 holds its newest row.
+    rows = [(i % 20, BASE + i, i) for i in range(60)] + [(3, BASE + 500, 999), (3, BASE + 1, 1000)]
+    df = spark.createDataFrame(rows, "event_id long, log_tm long, n long")
+    stream = split_files(df, tmp_path / "dups", "n", 3)
+    run(stream, streams.increment_sink(str(tmp_path / "inc"), ["event_id"], "log_tm"), "increment", tmp_path)
+    got = streams.read_increment(spark, str(tmp_path / "inc"), df.schema, ["event_id"], "log_tm").collect()
+    newest = {}
+    for key, ms, n in rows:
+        newest[key] = max(newest.get(key, (0, 0)), (ms, n))
+    assert {r.event_id: (r.log_tm, r.n) for r in got} == newest
+
+
+def test_counts_of_batches(spark, tmp_path):
+    df = spark.createDataFrame([(i, BASE + i) for i in range(60)], "event_id long, log_tm long").withColumns(
         {"reg_dt": F.timestamp_millis("log_tm"), "package_nm": F.lit("p"), "server_type": F.lit(0)}
     )
-    stream = streams.dedup_stream(split_files(df, tmp_path / "dups", "log_tm", 3), ["event_id"], "reg_dt")
-    run(stream, streams.counts_sink(str(tmp_path / "counts")), "counts", tmp_path)
-    assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("log_count")).first()[0] == 20
+    run(split_files(df, tmp_path / "rows", "log_tm", 3), streams.counts_sink(str(tmp_path / "counts")), "counts", tmp_path)
+    assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("log_count")).first()[0] == 60
+
+
+def test_stream_needs_a_checkpoint(spark, tmp_path):
+    stream = split_files(spark.range(3).withColumnRenamed("id", "n"), tmp_path / "x", "n", 2)
+    try:
+        streams.run_stream(stream, lambda b, i: None, "none", "")
+    except ValueError:
+        return
+    raise AssertionError("a stream without a checkpoint was started")
 
 
 def test_snapshot_is_replaced(spark, tmp_path):
     df = spark.createDataFrame([(i, BASE + i) for i in range(9)], "n long, log_tm long")
     stream = split_files(df, tmp_path / "snap", "log_tm", 3)
-    sink = streams.snapshot_sink(str(tmp_path / "now"), [], lambda b: b.agg(F.max("n").alias("top")))
+    sink = streams.snapshot_sink(str(tmp_path / "now"), lambda b: b.agg(F.max("n").alias("top")))
     run(stream, sink, "snapshot", tmp_path)
-    row = spark.read.parquet(str(tmp_path / "now")).collect()
+    row = streams.read_snapshot(spark, str(tmp_path / "now")).collect()
     assert len(row) == 1 and row[0].top == 8
 
 
 def test_topic_options():
-    options = topics.topic_options("b:9092", "total-logs", "earliest", 500, [0, 2])
+    options = topics.topic_options("b:9092", "total-logs", 500, "earliest", [0, 2])
     assert options["assign"] == '{"total-logs":[0,2]}' and options["maxOffsetsPerTrigger"] == "500"
-    assert topics.topic_options("b:9092", "t")["subscribe"] == "t"
+    assert options["failOnDataLoss"] == "true"
+    assert topics.topic_options("b:9092", "t", 9)["subscribe"] == "t"
+    assert topics.topic_options("b:9092", "t", 9, fail_on_data_loss=False)["failOnDataLoss"] == "false"
 
 
 def test_sample_does_not_depend_on_partitions(spark):

@@ -7,9 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Spark cuts each task's rows to the first n before the shuffle only up to this n.
-_GROUP_LIMIT = 1000
-
 
 def _named(cols: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -20,18 +17,17 @@ def top_n(
 ) -> DataFrame:
     """First ``n`` rows of every group in a total order.
 
-    Up to 1,000 rows Spark limits each task before the shuffle. Beyond that the group is first cut to
-    ``n`` per salt, so a hot group is never sorted whole in one task. The result does not depend on salts.
+    A group is first cut to ``n`` rows per salt, then ranked, so a hot group is never sorted whole in one task,
+    whatever ``n``. The result does not depend on salts.
     """
     keys, order = list(keys), _named(order)
-    if n > _GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
-            .filter(F.col("_rn") <= n)
-            .drop("_salt", "_rn")
-        )
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+    df = (
+        df.withColumn("_salt", salt)
+        .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
+        .filter(F.col("_rn") <= n)
+        .drop("_salt", "_rn")
+    )
     name = rank or "_rn"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     ranked = ranked.filter(F.col(name) <= n)

@@ -37,7 +37,7 @@ def fmt_mem(value: Column | str, unit: str) -> Column:
     value = given.try_cast("double")
     label = {"kb": "MB", "mb": "GB"}.get(unit.lower())
     shown = F.lit("0GB") if label is None else F.concat(_one_decimal(value / 1024), F.lit(label))
-    return F.when(given.isNull() | (value == 0), F.lit("0MB")).when(value.isNull(), F.lit("0GB")).otherwise(shown)
+    return F.when(given.isNull() | (value == 0) | F.isnan(value), F.lit("0MB")).when(value.isNull(), F.lit("0GB")).otherwise(shown)
 
 
 def fmt_bytes(size: Column | str) -> Column:

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import literal_frame
 from tidemark.operators.conditions import Predicate, build_predicate
 
 USER = "user_key"
@@ -126,29 +127,41 @@ def discover_step(
     return counts.withColumn("rate", _rate("find_count", "total_count"))
 
 
+ALL = "ALL"
+
+
+def asked_segments(groups: Sequence[Mapping[str, Any]]) -> list[tuple[int, str, Mapping[str, Any] | None]]:
+    """Number, name and definition of each segment: 0 for everyone, then the groups by position. Names may repeat, numbers do not."""
+    named = [(i, (group.get("name") or f"Group {i}").strip(), group) for i, group in enumerate(groups, 1)]
+    return [(0, ALL, None), *[x for x in named if x[1].upper() != ALL]]
+
+
+def _member(group: Mapping[str, Any] | None, as_of: dt.datetime) -> Column:
+    """Aggregate condition of a user's rows: some row meets the row conditions, all rows together the counts."""
+    pred = Predicate() if group is None else build_predicate(group.get("condition") or (), as_of)
+    parts = [pred.having_column(), None if pred.where is None else F.bool_or(pred.where)]
+    flag = F.lit(True)
+    for part in parts:
+        flag = flag if part is None else flag & part
+    return flag
+
+
 def assign_segments(events: DataFrame, groups: Sequence[Mapping[str, Any]], as_of: dt.datetime) -> DataFrame:
-    """(user, segment) rows: ALL, and each named group whose row and count conditions the user meets."""
-    tests: dict[str, Predicate] = {}
-    for i, group in enumerate(groups, 1):
-        name = (group.get("name") or f"Group {i}").strip()
-        if name.upper() != "ALL":
-            tests[name] = build_predicate(group.get("condition") or (), as_of)
-    flags = []
-    for pred in tests.values():
-        parts = [F.bool_or(pred.where)] if pred.where is not None else []
-        having = pred.having_column()
-        parts += [having] if having is not None else []
-        flag = F.lit(True)
-        for part in parts:
-            flag = flag & part
-        flags.append(flag)
-    users = events.groupBy(USER).agg(F.lit(True).alias("_all"), *[f.alias(f"_g{i}") for i, f in enumerate(flags)])
-    names = F.array(F.lit("ALL"), *[F.when(F.col(f"_g{i}"), F.lit(name)) for i, name in enumerate(tests)])
-    return users.select(USER, F.explode(F.filter(names, lambda x: x.isNotNull())).alias("segment_key"))
-
-
-def _by_segment(per_user: DataFrame, segments: DataFrame, aggs: Sequence[Column]) -> DataFrame:
-    return per_user.join(segments, USER).groupBy("segment_key").agg(*aggs)
+    """(user, segment) rows: ALL, and each group whose row and count conditions the user meets."""
+    asked = asked_segments(groups)
+    users = events.groupBy(USER).agg(*[_member(group, as_of).alias(f"_g{i}") for i, _, group in asked])
+    members = F.array(*[F.when(F.col(f"_g{i}"), F.struct(F.lit(i).alias("segment_no"), F.lit(name).alias("segment_key"))) for i, name, _ in asked])
+    return users.select(USER, F.inline(F.filter(members, lambda x: x.isNotNull())))
+
+
+SEGMENT = ["segment_no", "segment_key"]
+
+
+def _by_segment(per_user: DataFrame, events: DataFrame, groups: Sequence[Mapping[str, Any]], as_of: dt.datetime, aggs: Mapping[str, Column]) -> DataFrame:
+    """Counts of each asked segment, 0 for one without users."""
+    found = per_user.join(assign_segments(events, groups, as_of), USER).groupBy("segment_no").agg(*[c.alias(n) for n, c in aggs.items()])
+    asked = literal_frame(events.sparkSession, [(i, name) for i, name, _ in asked_segments(groups)], SEGMENT)
+    return asked.join(found, "segment_no", "left").fillna(0, list(aggs))
 
 
 def _unpivot_steps(wide: DataFrame, n: int, names: Sequence[str]) -> DataFrame:
@@ -158,7 +171,7 @@ def _unpivot_steps(wide: DataFrame, n: int, names: Sequence[str]) -> DataFrame:
         ])
         for k in range(1, n + 1)
     ]
-    return wide.select("segment_key", F.inline(F.array(*steps)))
+    return wide.select(*SEGMENT, F.inline(F.array(*steps)))
 
 
 def funnel_closed(
@@ -171,10 +184,10 @@ def funnel_closed(
     """
     n = len(steps)
     levels = funnel_level(events, step_predicates(steps, as_of), window_s, strict)
-    aggs = [F.count_if(F.col("level") >= k).alias(f"active_{k}") for k in range(1, n + 1)]
-    aggs += [F.count_if(F.col("level") == k).alias(f"dropped_{k}") for k in range(1, n)]
-    aggs += [F.count_if(F.col("level") >= k).alias(f"entrance_{k}") for k in range(2, n + 1)]
-    wide = _by_segment(levels, assign_segments(events, groups, as_of), aggs)
+    aggs = {f"active_{k}": F.count_if(F.col("level") >= k) for k in range(1, n + 1)}
+    aggs |= {f"dropped_{k}": F.count_if(F.col("level") == k) for k in range(1, n)}
+    aggs |= {f"entrance_{k}": F.count_if(F.col("level") >= k) for k in range(2, n + 1)}
+    wide = _by_segment(levels, events, groups, as_of, aggs)
     return _unpivot_steps(wide, n, ["active", "dropped", "entrance", "skipped"])
 
 
@@ -200,20 +213,20 @@ def funnel_open(
     def follows(later: int, earlier: int) -> Column:
         return F.coalesce(F.col(f"z{later}") >= F.col(f"a{earlier}"), F.lit(False))
 
-    aggs = []
+    aggs = {}
     for k in range(1, n + 1):
-        aggs.append(F.count_if(did(k)).alias(f"active_{k}"))
+        aggs[f"active_{k}"] = F.count_if(did(k))
         if k < n:
-            aggs.append(F.count_if(did(k) & ~follows(k + 1, k)).alias(f"dropped_{k}"))
+            aggs[f"dropped_{k}"] = F.count_if(did(k) & ~follows(k + 1, k))
         if k > 1:
             enters = did(k) & ~follows(k, k - 1)
-            aggs.append(F.count_if(enters).alias(f"entrance_{k}"))
+            aggs[f"entrance_{k}"] = F.count_if(enters)
             if k > 2:
                 back = F.lit(False)
                 for j in range(1, k - 1):
                     back = back | follows(k, j)
-                aggs.append(F.count_if(enters & back).alias(f"skipped_{k}"))
-    wide = _by_segment(per_user, assign_segments(events, groups, as_of), aggs)
+                aggs[f"skipped_{k}"] = F.count_if(enters & back)
+    wide = _by_segment(per_user, events, groups, as_of, aggs)
     return _unpivot_steps(wide, n, ["active", "dropped", "entrance", "skipped"])
 
 
@@ -222,13 +235,13 @@ def funnel_table(levels: DataFrame) -> DataFrame:
 
     A segment has one row per step, which bounds the window.
     """
-    order = Window.partitionBy("segment_key").orderBy("step")
+    order = Window.partitionBy(*SEGMENT).orderBy("step")
     following = F.lead("active").over(order)
     last = following.isNull()
     conversion = F.when(F.col("active") > 0, F.round(following / F.when(F.col("active") > 0, F.col("active")) * 100, 2)).otherwise(0.0)
     rest = F.when(F.col("active") > 0, F.round(100 - conversion, 2)).otherwise(0.0)
     return levels.select(
-        "segment_key", F.col("step").cast("long").alias("step"), F.col("active").alias("active_count"),
+        *SEGMENT, F.col("step").cast("long").alias("step"), F.col("active").alias("active_count"),
         F.when(last, F.lit(None)).otherwise(F.coalesce("dropped", F.greatest(F.col("active") - following, F.lit(0)))).cast("long").alias("dropoff_count"),
         F.when(~last, conversion).alias("conversion_rate"), F.when(~last, rest).alias("dropoff_rate"),
         F.when(F.col("step") > 1, F.coalesce("entrance", F.lit(0))).alias("entrance_count"),

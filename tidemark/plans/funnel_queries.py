@@ -34,6 +34,9 @@ GROUPS = [
     {"name": "ALL"},
     {"name": "Android", "condition": [{"conditions": [{"fieldId": 21, "operator": 5, "value": "Android"}]}]},
     {"name": "Buyers", "condition": [{"conditions": [event("purchase", type="count", operator=6, value=14)]}]},
+    {"name": "Nobody", "condition": [{"conditions": [{"fieldId": 21, "operator": 5, "value": "None such"}]}]},
+    # A second group of one name.
+    {"name": "Android", "condition": [{"conditions": [{"fieldId": 21, "operator": 5, "value": ["iOS", "Web"]}]}]},
 ]
 
 
@@ -48,31 +51,60 @@ def _(t: Tables):
     return t.marketing.filter(pred.where).groupBy("platform", "event_name").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+_PAGE = "event_name = 'view' AND"
+
+
 @query(
     "condition_operators",
-    """
-    SELECT regexp_matches(device_model, 'M1[0-5]') AS by_regex, ends_with(device_id, '7') AS by_end, contains(lower(platform), 'roi') AS by_part, app_version >= '1.2' AS by_order,
-           is_first_open = 1 AS by_flag, user_id <> '' AS by_login, k = 5 AS by_key, count(*) AS cnt FROM mkt_event GROUP BY ALL
+    f"""
+    SELECT regexp_matches(device_model, 'M1[0-5]') AS by_regex, starts_with(device_model, 'M1') AS by_start, ends_with(device_id, '7') AS by_end, contains(lower(platform), 'roi') AS by_part,
+           app_version > '1.2' AS by_more, app_version < '1.2' AS by_less, app_version >= '1.2' AS by_order, app_version <= '1.2' AS by_most, is_first_open = 1 AS by_flag, user_id <> '' AS by_login,
+           k = 5 AS by_key, k IN (5, 7, 50) AS by_list, {_PAGE} 'p' || (k % 12) IN ('p3', 'p4') AS by_page, {_PAGE} '/p' || (k % 12) || '?k=' || k = '/p3?k=3' AS by_path,
+           {_PAGE} k >= 0 AS by_host, count(*) AS cnt FROM mkt_event GROUP BY ALL
     """,
 )
 def _(t: Tables):
     rows = {
-        "by_regex": {"field": "x", "operator": 1, "value": "M1[0-5]"},
-        "by_end": {"field": "x", "operator": 3, "value": "7"},
+        "by_regex": {"field": "model", "operator": 1, "value": "M1[0-5]"},
+        "by_start": {"field": "model", "operator": 2, "value": " M1 "},
+        "by_end": {"field": "device", "operator": 3, "value": "7"},
         "by_part": {"fieldId": 21, "operator": 4, "value": "ROI"},
+        "by_more": {"fieldId": 24, "operator": 6, "value": "1.2"},
+        "by_less": {"fieldId": 24, "operator": 7, "value": "1.2"},
         "by_order": {"fieldId": 24, "operator": 8, "value": "1.2"},
+        "by_most": {"fieldId": 24, "operator": 9, "value": "1.2"},
         "by_flag": {"fieldId": 11, "operator": 5, "value": "new"},
         "by_login": {"fieldId": 12, "operator": 5, "value": "yes"},
         "by_key": {"field": "k", "operator": 5, "value": "5"},
+        "by_list": {"field": "k", "operator": 5, "value": ["5", 7, None, "", "50"]},
+        "by_page": {"fieldId": 31, "operator": 5, "value": ["p3", "p4"]},
+        "by_path": {"fieldId": "32", "operator": 5, "value": "/p3?k=3"},
+        "by_host": {"id": 33, "operator": 5, "value": "app"},
     }
-    # The first two read free keys, from JSON that holds a plain column.
-    source = {"by_regex": "device_model", "by_end": "device_id"}
-    frame = t.marketing.withColumn("_params", F.col("event_params"))
-    for name, row in rows.items():
-        json = F.to_json(F.struct(F.col(source[name]).alias("x"))) if name in source else F.col("_params")
-        test = conditions.build_predicate([{"conditions": [row]}], AS_OF).where
-        frame = frame.withColumn("event_params", json).withColumn(name, test)
-    return frame.groupBy(*rows).agg(F.count(F.lit(1)).alias("cnt"))
+    # Free keys and page fields are read from JSON; page views stand for the driver's views.
+    params = F.to_json(F.struct(
+        F.get_json_object("event_params", "$.k").alias("k"), F.col("device_model").alias("model"), F.col("device_id").alias("device"), F.lit("app").alias("host"),
+        F.concat(F.lit("p"), F.get_json_object("event_params", "$.k").cast("int") % 12).alias("page_name"),
+        F.concat(F.lit("/p"), F.get_json_object("event_params", "$.k").cast("int") % 12).alias("path"),
+        F.concat(F.lit("?k="), F.get_json_object("event_params", "$.k")).alias("query"),
+    ))
+    frame = t.marketing.withColumns({"event_params": params, "event_name": F.when(F.col("event_name") == "view", "page_view").otherwise(F.col("event_name"))})
+    tests = {name: conditions.build_predicate([{"conditions": [row]}], AS_OF).where for name, row in rows.items()}
+    return frame.withColumns(tests).groupBy(*rows).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(
+    "condition_counts",
+    """
+    SELECT user_key, count(*) FILTER (k % 2 = 0) IN (1, 2, 3) OR count(*) FILTER (event_name = 'click') > 2 AS counted FROM mkt_event GROUP BY 1
+    """,
+)
+def _(t: Tables):
+    # The first row counts rows that have a value under a known field, the second an event by name.
+    rows = [{"fieldId": 53, "type": "count", "operator": 5, "value": ["1", 2, "3", "x"]}, event("click", type="count", operator=6, value="2")]
+    even = F.when(F.get_json_object("event_params", "$.k").cast("int") % 2 == 0, "even")
+    having = conditions.build_predicate([{"conditions": rows}], AS_OF).having_column()
+    return t.marketing.withColumn("campaign", even).groupBy("user_key").agg(having.alias("counted"))
 
 
 @query(
@@ -137,27 +169,29 @@ def _(t: Tables):
 
 
 _SEGMENTS = """
+asked AS (SELECT * FROM (VALUES (0, 'ALL'), (2, 'Android'), (3, 'Buyers'), (4, 'Nobody'), (5, 'Android')) v(segment_no, segment_key)),
 segments AS (
-  SELECT DISTINCT user_key, 'ALL' AS segment_key FROM mkt_event
-  UNION ALL SELECT DISTINCT user_key, 'Android' FROM mkt_event WHERE platform = 'Android'
-  UNION ALL SELECT user_key, 'Buyers' FROM mkt_event GROUP BY 1 HAVING count(*) FILTER (event_name = 'purchase') > 14)
+  SELECT DISTINCT user_key, 0 AS segment_no FROM mkt_event
+  UNION ALL SELECT DISTINCT user_key, 2 FROM mkt_event WHERE platform = 'Android'
+  UNION ALL SELECT user_key, 3 FROM mkt_event GROUP BY 1 HAVING count(*) FILTER (event_name = 'purchase') > 14
+  UNION ALL SELECT DISTINCT user_key, 5 FROM mkt_event WHERE platform IN ('iOS', 'Web'))
 """
 
 
-@query("assign_segments", "SELECT user_key, segment_key FROM segments", ctes=_SEGMENTS)
+@query("assign_segments", "SELECT user_key, segment_no, segment_key FROM segments JOIN asked USING (segment_no)", ctes=_SEGMENTS)
 def _(t: Tables):
     return funnel.assign_segments(t.marketing, GROUPS, AS_OF)
 
 
 _CLOSED = _CHAINS + "," + _SEGMENTS + """,
 closed AS (
-  SELECT segment_key, step, count(*) FILTER (level >= step) AS active, CASE WHEN step < 3 THEN count(*) FILTER (level = step) END AS dropped,
+  SELECT a.segment_no, a.segment_key, step, count(*) FILTER (level >= step) AS active, CASE WHEN step < 3 THEN count(*) FILTER (level = step) END AS dropped,
          CASE WHEN step > 1 THEN count(*) FILTER (level >= step) END AS entrance, CAST(NULL AS BIGINT) AS skipped
-  FROM strict JOIN segments USING (user_key), (VALUES (1), (2), (3)) v(step) GROUP BY 1, 2)
+  FROM asked a CROSS JOIN (VALUES (1), (2), (3)) v(step) LEFT JOIN (SELECT segment_no, level FROM strict JOIN segments USING (user_key)) s ON s.segment_no = a.segment_no GROUP BY 1, 2, 3)
 """
 
 
-@query("funnel_closed", "SELECT segment_key, step, active, dropped, entrance, skipped FROM closed", ctes=_CLOSED)
+@query("funnel_closed", "SELECT segment_no, segment_key, step, active, dropped, entrance, skipped FROM closed", ctes=_CLOSED)
 def _(t: Tables):
     return funnel.funnel_closed(t.marketing, STEPS, GROUPS, AS_OF, WINDOW_S)
 
@@ -165,18 +199,19 @@ def _(t: Tables):
 _OPEN = _SEGMENTS + """,
 times AS (SELECT user_key, min(log_tm) FILTER (event_name = 'view') AS a1, max(log_tm) FILTER (event_name = 'view') AS z1,
   min(log_tm) FILTER (event_name = 'click') AS a2, max(log_tm) FILTER (event_name = 'click') AS z2,
-  min(log_tm) FILTER (event_name = 'purchase') AS a3, max(log_tm) FILTER (event_name = 'purchase') AS z3 FROM mkt_event WHERE log_tm % 2 < 2 GROUP BY 1),
+  min(log_tm) FILTER (event_name = 'purchase') AS a3, max(log_tm) FILTER (event_name = 'purchase') AS z3 FROM mkt_event GROUP BY 1),
+placed AS (SELECT a.segment_no, a.segment_key, a1, z1, a2, z2, a3, z3 FROM asked a LEFT JOIN (SELECT * FROM times JOIN segments USING (user_key)) s ON s.segment_no = a.segment_no),
 open_funnel AS (
-  SELECT segment_key, 1 AS step, count(a1) AS active, count(*) FILTER (a1 IS NOT NULL AND NOT coalesce(z2 >= a1, false)) AS dropped, CAST(NULL AS BIGINT) AS entrance, CAST(NULL AS BIGINT) AS skipped
-  FROM times JOIN segments USING (user_key) GROUP BY 1
-  UNION ALL SELECT segment_key, 2, count(a2), count(*) FILTER (a2 IS NOT NULL AND NOT coalesce(z3 >= a2, false)), count(*) FILTER (a2 IS NOT NULL AND NOT coalesce(z2 >= a1, false)), NULL
-  FROM times JOIN segments USING (user_key) GROUP BY 1
-  UNION ALL SELECT segment_key, 3, count(a3), NULL, count(*) FILTER (a3 IS NOT NULL AND NOT coalesce(z3 >= a2, false)),
-    count(*) FILTER (a3 IS NOT NULL AND NOT coalesce(z3 >= a2, false) AND coalesce(z3 >= a1, false)) FROM times JOIN segments USING (user_key) GROUP BY 1)
-""".replace(" WHERE log_tm % 2 < 2", "")
+  SELECT segment_no, segment_key, 1 AS step, count(a1) AS active, count(*) FILTER (a1 IS NOT NULL AND NOT coalesce(z2 >= a1, false)) AS dropped, CAST(NULL AS BIGINT) AS entrance, CAST(NULL AS BIGINT) AS skipped
+  FROM placed GROUP BY 1, 2
+  UNION ALL SELECT segment_no, segment_key, 2, count(a2), count(*) FILTER (a2 IS NOT NULL AND NOT coalesce(z3 >= a2, false)), count(*) FILTER (a2 IS NOT NULL AND NOT coalesce(z2 >= a1, false)), NULL
+  FROM placed GROUP BY 1, 2
+  UNION ALL SELECT segment_no, segment_key, 3, count(a3), NULL, count(*) FILTER (a3 IS NOT NULL AND NOT coalesce(z3 >= a2, false)),
+    count(*) FILTER (a3 IS NOT NULL AND NOT coalesce(z3 >= a2, false) AND coalesce(z3 >= a1, false)) FROM placed GROUP BY 1, 2)
+"""
 
 
-@query("funnel_open", "SELECT segment_key, step, active, dropped, entrance, skipped FROM open_funnel", ctes=_OPEN)
+@query("funnel_open", "SELECT segment_no, segment_key, step, active, dropped, entrance, skipped FROM open_funnel", ctes=_OPEN)
 def _(t: Tables):
     return funnel.funnel_open(t.marketing, STEPS, GROUPS, AS_OF)
 
@@ -184,11 +219,11 @@ def _(t: Tables):
 @query(
     "funnel_table",
     """
-    SELECT segment_key, CAST(step AS BIGINT) AS step, active AS active_count, dropped AS dropoff_count,
+    SELECT segment_no, segment_key, CAST(step AS BIGINT) AS step, active AS active_count, dropped AS dropoff_count,
            CASE WHEN step < 3 THEN CASE WHEN active > 0 THEN round(nxt * 100.0 / active, 2) ELSE 0 END END AS conversion_rate,
            CASE WHEN step < 3 THEN CASE WHEN active > 0 THEN round(100 - round(nxt * 100.0 / active, 2), 2) ELSE 0 END END AS dropoff_rate,
            entrance AS entrance_count, skipped AS skipped_count
-    FROM (SELECT *, lead(active) OVER (PARTITION BY segment_key ORDER BY step) AS nxt FROM closed)
+    FROM (SELECT *, lead(active) OVER (PARTITION BY segment_no ORDER BY step) AS nxt FROM closed)
     """,
     ctes=_CLOSED,
 )

@@ -1,11 +1,10 @@
-"""Spark session defaults and the checkpoint folder."""
+"""Spark session defaults."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings the operators rely on. Shuffle width is left to adaptive execution on a cluster.
 SETTINGS = {
@@ -32,22 +31,3 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a scratch one only where none is set."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,20 @@ def write_batch(
     )
 
 
-def read_latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], version: str | None = None) -> DataFrame:
+def _batches(spark: SparkSession, path: str, schema: T.StructType, days: Sequence[dt.date] | None) -> DataFrame:
+    """Rows of a batch-written table with their batch; only the folders of ``days`` are read when given."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+    return rows if days is None else rows.filter(F.col("log_date").isin(*days))
+
+
+def read_latest(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], version: str | None = None, days: Sequence[dt.date] | None = None
+) -> DataFrame:
     """A batch-written table with one row per key; among equal versions the later batch wins."""
-    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(stored).parquet(path)
+    return _newest(_batches(spark, path, schema, days), schema, keys, version)
+
+
+def _newest(rows: DataFrame, schema: T.StructType, keys: Sequence[str], version: str | None) -> DataFrame:
     rank = F.struct(*([F.col(version)] if version else []), F.col("batch_id"))
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in schema.names if c not in keys]), rank).alias("_row"))
     return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in schema.names])
@@ -76,11 +87,23 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequ
 def compact(
     spark: SparkSession, path: str, target: str, schema: T.StructType, keys: Sequence[str], day: dt.date, version: str | None = None
 ) -> None:
-    """Settle one closed day of a batch-written table into a table without batch folders."""
-    day_rows = read_latest(spark, path, schema, keys, version).filter(F.col("log_date") == F.lit(day))
+    """Settle one day of a batch-written table into a table without batch folders, and then remove the day's batch folders.
+
+    Only the day's folders are read. Rows settled before take part, older than any batch, so rows that come late and a second
+    run are fine. The batch folders go only after the target is written; a run that fails before leaves both as they were.
+    """
+    settled = [f for f in _day_folders(spark, path) if f.day == day.isoformat()]
+    if not settled:
+        return
+    rows = _batches(spark, path, schema, [day])
+    if _exists(spark, target):
+        before = spark.read.schema(schema).parquet(target).filter(F.col("log_date") == F.lit(day))
+        rows = rows.unionByName(before.withColumn("batch_id", F.lit(-1).cast("long")))
+    day_rows = _newest(rows, schema, keys, version)
     (
         _balanced(day_rows, PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(target)
     )
+    _remove(spark, path, settled)
 
 
 def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS, mode: str = "append") -> None:
@@ -99,7 +122,7 @@ def write_with_dead_letter(
         kept = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("row"))
         target = dead_letter if batch_id is None else f"{dead_letter}/batch_id={batch_id}"
         (
-            kept.withColumn("error", F.lit(str(error)[:2000]))
+            kept.withColumn("error", F.lit(str(error)))
             .withColumn("failed_at", F.current_timestamp())
             .write.mode("append" if batch_id is None else "overwrite")
             .parquet(target)
@@ -112,15 +135,55 @@ def apply_retention(df: DataFrame, ts: str, days: int, as_of: dt.date) -> DataFr
     return df.filter(F.col(ts) >= F.lit(as_of - dt.timedelta(days=days)))
 
 
-def drop_expired_partitions(spark: SparkSession, path: str, days: int, as_of: dt.date) -> list[str]:
-    """Delete ``log_date=`` folders older than the retention, without reading them."""
+@dataclass(frozen=True)
+class DayFolder:
+    """A day's folder of a table, at its root or below a batch folder."""
+
+    path: str
+    day: str
+
+
+def _files(spark: SparkSession, path: str):
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    limit = (as_of - dt.timedelta(days=days)).isoformat()
-    gone = []
-    for status in system.listStatus(root):
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, root = _files(spark, path)
+    return system.exists(root)
+
+
+def _day_folders(spark: SparkSession, path: str) -> list[DayFolder]:
+    """Day folders of a table, whether written by day or by batch and day. Only names are listed."""
+    system, root = _files(spark, path)
+    found = []
+    for status in system.listStatus(root) if system.exists(root) else ():
         name = status.getPath().getName()
-        if status.isDirectory() and name.startswith("log_date=") and name.split("=", 1)[1] < limit:
-            system.delete(status.getPath(), True)
-            gone.append(name)
-    return sorted(gone)
+        inner = system.listStatus(status.getPath()) if name.startswith("batch_id=") else [status]
+        for folder in inner:
+            key, _, day = folder.getPath().getName().partition("=")
+            if folder.isDirectory() and key == "log_date":
+                found.append(DayFolder(folder.getPath().toString(), day))
+    return found
+
+
+def _remove(spark: SparkSession, path: str, folders: Sequence[DayFolder]) -> None:
+    """Delete day folders, and batch folders that hold no other."""
+    system, _ = _files(spark, path)
+    for folder in folders:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.path)
+        system.delete(at, True)
+        batch = at.getParent()
+        if batch.getName().startswith("batch_id=") and not any(x.isDirectory() for x in system.listStatus(batch)):
+            system.delete(batch, True)
+
+
+def drop_expired_partitions(spark: SparkSession, path: str, days: int, as_of: dt.date) -> list[str]:
+    """Delete ``log_date=`` folders older than the retention, without reading them; those below batch folders too.
+
+    Listing and deleting go through the cluster's file system, which Spark Connect sessions do not offer.
+    """
+    limit = (as_of - dt.timedelta(days=days)).isoformat()
+    gone = [f for f in _day_folders(spark, path) if f.day < limit]
+    _remove(spark, path, gone)
+    return sorted({f"log_date={f.day}" for f in gone})

@@ -12,19 +12,25 @@ from tidemark.schemas import PACKET
 def topic_options(
     servers: str,
     topic: str,
+    max_per_trigger: int,
     offset: str = "latest",
-    max_per_trigger: int | None = None,
     partitions: Sequence[int] | None = None,
+    fail_on_data_loss: bool = True,
 ) -> dict[str, str]:
-    """Options of a topic subscription, or of an assignment when partitions are given."""
-    options = {"kafka.bootstrap.servers": servers, "startingOffsets": offset, "failOnDataLoss": "false"}
+    """Options of a topic subscription, or of an assignment when partitions are given.
+
+    ``max_per_trigger`` bounds a micro-batch, and with it what one worker holds of a device. Offsets that are gone stop
+    the stream unless the caller says that loss is fine.
+    """
+    options = {
+        "kafka.bootstrap.servers": servers, "startingOffsets": offset, "failOnDataLoss": str(fail_on_data_loss).lower(),
+        "maxOffsetsPerTrigger": str(max_per_trigger),
+    }
     if partitions:
         numbers = ",".join(str(p) for p in partitions)
         options["assign"] = f'{{"{topic}":[{numbers}]}}'
     else:
         options["subscribe"] = topic
-    if max_per_trigger is not None:
-        options["maxOffsetsPerTrigger"] = str(max_per_trigger)
     return options
 
 
@@ -32,18 +38,16 @@ def read_topic(
     spark: SparkSession,
     servers: str,
     topic: str,
+    max_per_trigger: int,
     offset: str = "latest",
-    max_per_trigger: int | None = None,
     partitions: Sequence[int] | None = None,
+    fail_on_data_loss: bool = True,
 ) -> DataFrame:
     """Stream of (key, value, timestamp). Needs the Kafka connector on the class path."""
-    options = topic_options(servers, topic, offset, max_per_trigger, partitions)
+    options = topic_options(servers, topic, max_per_trigger, offset, partitions, fail_on_data_loss)
     return spark.readStream.format("kafka").options(**options).load().select("key", "value", "timestamp")
 
 
-def read_packet_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def read_packet_files(spark: SparkSession, path: str, max_files: int) -> DataFrame:
     """The same stream from JSON files of packets, for replays and tests."""
-    reader = spark.readStream.schema(PACKET)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return spark.readStream.schema(PACKET).option("maxFilesPerTrigger", max_files).json(path)

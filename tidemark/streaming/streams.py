@@ -4,27 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import ingest, rollup
 from tidemark.operators.common import DIMS, count_rows
-from tidemark.session import checkpoint_dir
 from tidemark.sources import decode, files
 
 BatchFn = Callable[[DataFrame, int], None]
 
 
 def run_stream(
-    df: DataFrame, fn: BatchFn, name: str, trigger_s: int | None = None, checkpoint: str | None = None, available_now: bool = False
+    df: DataFrame, fn: BatchFn, name: str, checkpoint: str, trigger_s: int | None = None, available_now: bool = False
 ) -> StreamingQuery:
     """Run ``fn`` on every micro-batch, on a fixed trigger when given.
 
-    Progress is kept under the shared checkpoint folder of the session unless another is named.
+    Offsets and state are kept in ``checkpoint``, a folder that outlives the session and that every machine reaches.
     """
-    folder = checkpoint or f"{checkpoint_dir(df.sparkSession)}/{name}"
-    writer = df.writeStream.queryName(name).foreachBatch(fn).option("checkpointLocation", folder)
+    if not checkpoint:
+        raise ValueError("a stream needs a checkpoint folder of its own")
+    writer = df.writeStream.queryName(name).foreachBatch(fn).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif trigger_s is not None:
@@ -41,11 +42,6 @@ def decode_packets(packets: DataFrame, key: str | None = None) -> DataFrame:
     return ingest.tag_clock_skew(events, "reg_dt")
 
 
-def dedup_stream(df: DataFrame, keys: Sequence[str], ts: str, delay: str = "5 minutes") -> DataFrame:
-    """First row of each key within the delay; state older than that is dropped."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
-
-
 def table_sink(
     path: str, partitions: Sequence[str] = files.PARTITIONS, doc_id: Sequence[str] | None = None, version: str | None = None,
     dead_letter: str | None = None,
@@ -80,21 +76,53 @@ def routed_sink(path: str, version: str | None = "reg_dt") -> BatchFn:
     return write
 
 
-def rollup_sink(path: str) -> BatchFn:
-    """Store each micro-batch's part of the daily page rollup and its devices; parts are merged on read."""
+def increment_sink(path: str, keys: Sequence[str], version: str) -> BatchFn:
+    """Keep the newest row of each key, however late it comes: the stream's form of ``widgets.merge_increment``.
+
+    Each micro-batch writes its newest row of a key under its own id; ``read_increment`` settles the batches.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        files.write_batch(files.one_per_doc(batch, list(keys), version), path, batch_id, [])
+
+    return write
+
+
+def read_increment(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], version: str) -> DataFrame:
+    return files.read_latest(spark, path, schema, keys, version)
+
+
+PAGE_KEYS = ("device_id", "page_id")
+
+
+def rollup_sink(path: str, keys: Sequence[str] = PAGE_KEYS, version: str | None = None) -> BatchFn:
+    """Keep the daily page rollup and its devices as of the rows so far.
+
+    A micro-batch's page rows are stored under its id, and each day it touches is built again from the day's settled rows. A row sent
+    twice counts once, a newer row replaces the older, and late rows go where they belong.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parts = rollup.page_daily(batch).drop("device_count")
-        files.write_batch(parts, f"{path}/parts", batch_id, ["log_date"])
-        devices = rollup.rollup_devices(batch, ["log_date", *DIMS, "page_name"])
-        files.write_batch(devices, f"{path}/devices", batch_id, ["log_date"])
+        batch.persist()
+        try:
+            spark, stored = batch.sparkSession, f"{path}/pages"
+            files.write_batch(files.one_per_doc(batch, list(keys), version), stored, batch_id, ["log_date"])
+            # A batch touches few days; their number does not grow with its rows.
+            days = [r.log_date for r in batch.select("log_date").distinct().collect()]
+            if not days:
+                return
+            settled = files.read_latest(spark, stored, batch.schema, keys, version, days)
+            files.write_partitioned(rollup.page_daily(settled).drop("device_count"), f"{path}/parts", ["log_date"], "overwrite")
+            files.write_partitioned(rollup.rollup_devices(settled, ["log_date", *DIMS, "page_name"]), f"{path}/devices", ["log_date"], "overwrite")
+        finally:
+            batch.unpersist()
 
     return write
 
 
-def read_rollup(spark, path: str, by: Sequence[str]) -> DataFrame:
-    """Merge the stored parts; distinct devices come from their own table."""
-    parts = spark.read.parquet(f"{path}/parts").drop("batch_id")
+def read_rollup(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """Merge the stored days; distinct devices come from their own table."""
+    parts = spark.read.parquet(f"{path}/parts")
     devices = spark.read.parquet(f"{path}/devices").select(*by, "device_id").distinct()
     return rollup.merge_rollup(parts, by, devices)
 
@@ -112,11 +140,16 @@ def counts_sink(path: str, keys: Sequence[str] = ("package_nm", "server_type"))
     return write
 
 
-def snapshot_sink(path: str, keys: Sequence[str], build: Callable[[DataFrame], DataFrame]) -> BatchFn:
-    """Replace a small result table with the newest micro-batch's result."""
+def snapshot_sink(path: str, build: Callable[[DataFrame], DataFrame]) -> BatchFn:
+    """Keep the newest micro-batch's result beside the ones before it; ``read_snapshot`` gives the newest whole one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        result = build(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        result.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(path)
+        files.write_batch(build(batch).withColumn("updated_at", F.current_timestamp()), path, batch_id, [])
 
     return write
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest snapshot. A reader never meets a half-written one: a batch folder appears when it is complete."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar())
