@@ -22,7 +22,8 @@ def millis(day: dt.date | dt.datetime) -> int:
 def _bound(value: dt.date | dt.datetime, grain: str) -> Column:
     if grain in ("day", "month"):
         return F.trunc(F.lit(value).cast("date"), "month") if grain == "month" else F.lit(value).cast("date")
-    return F.date_trunc(grain, F.timestamp_millis(F.lit(millis(value))))
+    width = HOUR if grain == "hour" else MINUTE
+    return F.timestamp_millis(F.lit(millis(value) // width * width))
 
 
 def calendar(spark: SparkSession, start, end, grain: str = "day", name: str = "bucket") -> DataFrame:
@@ -39,16 +40,25 @@ def bucket_ms(ts_ms: Column | str, width_ms: int) -> Column:
     return (col - F.pmod(col, F.lit(width_ms))).cast("long")
 
 
+def _wall_ms(ts_ms: Column | str, tz: str) -> Column:
+    """Milliseconds on the wall clock of a zone. Only the epoch number counts, never the session's zone."""
+    col = F.col(ts_ms) if isinstance(ts_ms, str) else ts_ms
+    return col if tz == "UTC" else F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(col), tz))
+
+
 def day_of(ts_ms: Column | str, tz: str = "UTC") -> Column:
-    """Calendar day of an epoch-ms column in a time zone."""
-    moment = F.timestamp_millis(ts_ms)
-    return F.to_date(moment if tz == "UTC" else F.from_utc_timestamp(moment, tz))
+    """Calendar day of an epoch-ms column in a time zone, the same in a session of any zone."""
+    return F.date_from_unix_date(F.floor(_wall_ms(ts_ms, tz) / DAY).cast("int"))
 
 
 def hour_of(ts_ms: Column | str, tz: str = "UTC") -> Column:
-    """Local hour start of an epoch-ms column, as a timestamp on the zone's wall clock."""
-    moment = F.timestamp_millis(ts_ms)
-    return F.date_trunc("hour", moment if tz == "UTC" else F.from_utc_timestamp(moment, tz))
+    """Local hour start of an epoch-ms column: the moment at which a UTC clock shows that hour."""
+    return F.timestamp_millis(bucket_ms(_wall_ms(ts_ms, tz), HOUR))
+
+
+def utc_day(moment: Column | str) -> Column:
+    """UTC day of a timestamp, the same in a session of any zone."""
+    return day_of(F.unix_millis(moment))
 
 
 def adaptive_width(start_ms: int, end_ms: int) -> int:

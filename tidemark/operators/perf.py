@@ -286,7 +286,7 @@ def api_error_chart(network: DataFrame, start_ms: int, end_ms: int) -> DataFrame
     return _series(failed, "log_tm", 5 * tg.MINUTE, [count_rows()], start_ms, end_ms, {"cnt": 0}, ["status_group"])
 
 
-def api_error_rows(network: DataFrame, url: str, status: int, limit: int = 1000) -> DataFrame:
+def api_error_rows(network: DataFrame, url: str, status: int, limit: int) -> DataFrame:
     """Newest failing calls of a URL and status."""
     rows = network.filter((F.col("req_url") == url) & (F.col("status_code") == status) & F.col("status_group").isin(*ERROR_GROUPS))
     return rows.orderBy(F.col("log_tm").desc(), "device_id").limit(limit)
@@ -344,7 +344,7 @@ def ten_min_series(df: DataFrame, ts: str, metric: str, start_ms: int, end_ms: i
     return with_overall(series, rows, {"total_avg": F.round(F.avg(metric), 6), "total": F.count(F.lit(1))})
 
 
-def list_with_mean(df: DataFrame, ts: str, metric: str, cond: Column | None = None, size: int = 1000) -> DataFrame:
+def list_with_mean(df: DataFrame, ts: str, metric: str, size: int, cond: Column | None = None) -> DataFrame:
     """Newest rows, with the mean over every matching row."""
     rows = df if cond is None else df.filter(cond)
     newest = rows.orderBy(F.col(ts).desc(), "device_id").limit(size)

@@ -218,17 +218,26 @@ def page_flow(pages: DataFrame, search: Mapping[str, str] | None = None) -> Data
     return rows.join(heads, ["device_id", "parent_log_date"])
 
 
-def session_at(pages: DataFrame, points: DataFrame, width: int = tg.HOUR) -> DataFrame:
+# Slice widths of ``session_at``: each 32 times the one before, from an hour; the widest holds any two epoch times.
+_WIDTHS = [tg.HOUR * 32**i for i in range(9)]
+
+
+def session_at(pages: DataFrame, points: DataFrame) -> DataFrame:
     """Pages of the device whose [start, end] holds a time.
 
-    A page is listed under every time slice it touches and joined on (device, slice), so the range test
-    runs inside an equi join.
+    A page is listed under the slices it touches of the least width that is not under its length, two at most however long it is, and
+    joined on (device, width, slice), so the range test runs inside an equi join. A time is looked up once a width.
     """
-    slices = F.sequence(F.floor(F.col("page_start_tm") / width), F.floor(F.col("page_end_tm") / width))
-    held = pages.filter("page_end_tm >= page_start_tm").withColumn("_slice", F.explode(slices))
-    asked = points.select("device_id", "at_ms").withColumn("_slice", F.floor(F.col("at_ms") / width))
-    inside = asked.join(held, ["device_id", "_slice"]).filter("page_start_tm <= at_ms AND page_end_tm >= at_ms")
-    return inside.drop("_slice")
+    span, lengths = F.col("page_end_tm") - F.col("page_start_tm"), F.lit(_WIDTHS[-1])
+    for width in reversed(_WIDTHS[:-1]):
+        lengths = F.when(span <= width, F.lit(width)).otherwise(lengths)
+    held = pages.filter("page_end_tm >= page_start_tm").withColumn("_width", lengths.cast("long"))
+    first, last = (F.expr(f"page_{end}_tm div _width") for end in ("start", "end"))
+    held = held.withColumn("_slice", F.explode(F.array_distinct(F.array(first, last))))
+    asked = points.select("device_id", "at_ms", F.explode(F.array(*[F.lit(w) for w in _WIDTHS])).alias("_width"))
+    asked = asked.withColumn("_slice", F.expr("at_ms div _width"))
+    inside = asked.join(held, ["device_id", "_width", "_slice"]).filter("page_start_tm <= at_ms AND page_end_tm >= at_ms")
+    return inside.drop("_width", "_slice")
 
 
 def _latest(col: str, order: Sequence[str], name: str | None = None) -> Column:
@@ -250,7 +259,7 @@ def active_user_list(
 
 
 def user_list(
-    pages: DataFrame, search: Mapping[str, str] | None = None, prefix: bool = False, limit: int = 100,
+    pages: DataFrame, limit: int, search: Mapping[str, str] | None = None, prefix: bool = False,
     order: Sequence[str] = ("page_start_tm", "page_id"),
 ) -> DataFrame:
     """Latest row of every device and user, the most recent first."""
@@ -262,7 +271,7 @@ def user_list(
     return latest.orderBy(F.col("last_time").desc(), "device_id", "user_id").limit(limit)
 
 
-def total_users(pages: DataFrame, devices: int = 100, users: int = 50) -> DataFrame:
+def total_users(pages: DataFrame, devices: int, users: int) -> DataFrame:
     """The most recent devices with latest session, total stay and their latest users.
 
     Devices are cut to the list first, and users to ``users`` per device, before any list is built.
@@ -485,7 +494,7 @@ def replay_actions(session_log: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("loading_time", F.when(is_page, F.col("_load"))).drop("_load")
 
 
-def session_detail(pages: DataFrame, vitals: DataFrame, events: DataFrame, n: int = 100) -> dict[str, DataFrame]:
+def session_detail(pages: DataFrame, vitals: DataFrame, events: DataFrame, n: int) -> dict[str, DataFrame]:
     """Profile, vitals, last pages and last replay events of each device since its latest session began."""
     order = ["page_start_tm", "page_id"]
     profile = pages.groupBy("device_id").agg(

@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark.functions import timegrid as tg
-from tidemark.functions.ranking import literal_frame, share, top_n, with_total, with_totals
+from tidemark.functions.ranking import literal_frame, share, with_total
 from tidemark.functions.segmented import medians, percentiles
 from tidemark.operators.common import count_rows, mean, sums
 
@@ -68,11 +68,12 @@ def version_conversion(access: DataFrame, trouble: DataFrame, top: int = 5) -> D
     users = access.groupBy(*OS_VER).agg(count_rows("user"))
     bad = trouble.groupBy(*OS_VER).agg(F.count_if(~crash).alias("error"), F.count_if(crash).alias("crash"))
     rows = users.join(bad, OS_VER, "left").fillna(0, ["error", "crash"])
-    best = top_n(rows, ["os_type"], [F.col("user").desc(), "app_ver"], top).withColumn("_top", F.lit(True))
-    tagged = rows.join(best.select(*OS_VER, "_top"), OS_VER, "left")
-    shown = F.when(F.col("_top"), F.col("app_ver")).otherwise(F.lit("Others"))
-    merged = tagged.groupBy("os_type", shown.alias("app_ver")).agg(*[F.sum(c).alias(c) for c in ("user", "error", "crash")])
-    merged = with_totals(merged, {c: f"_{c}" for c in ("user", "error", "crash")}, ["os_type"])
+    # One row a version: the rank, and the totals over what is left after merging, are windows over a small frame.
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("os_type").orderBy(F.col("user").desc(), "app_ver")))
+    shown = F.when(F.col("_rank") <= top, F.col("app_ver")).otherwise(F.lit("Others"))
+    counts = ("user", "error", "crash")
+    merged = ranked.groupBy("os_type", shown.alias("app_ver")).agg(*[F.sum(c).alias(c) for c in counts])
+    merged = merged.withColumns({f"_{c}": F.sum(c).over(Window.partitionBy("os_type")) for c in counts})
     return merged.select(
         "os_type", "app_ver", "user", _whole_percent("user", "_user").alias("user_rate"), "error",
         _whole_percent("error", "_error").alias("error_rate"), "crash", _whole_percent("crash", "_crash").alias("crash_rate"),
@@ -105,11 +106,27 @@ def version_report(pages: DataFrame, start: dt.date, end: dt.date, by_version: b
     )
 
 
+def _report(rows: DataFrame, content: Column, name: str) -> DataFrame:
+    """Rows of known users by content, OS, type, version, time and user."""
+    known = rows.filter(~F.coalesce(F.col("user_id"), F.lit("")).isin("", "-"))
+    return known.groupBy(content.alias(name), "os_type", "log_type", "app_ver", "log_tm", "user_id").agg(count_rows())
+
+
 def trouble_report(trouble: DataFrame, message: str = "log_name", types: Sequence[int] = lt.ERROR) -> DataFrame:
-    """By message, OS, type and version: rows, the latest time and its user; known users only."""
-    known = trouble.filter(F.col("log_type").isin(*types) & ~F.coalesce(F.col("user_id"), F.lit("")).isin("", "-"))
-    return known.groupBy(message, "os_type", "log_type", "app_ver").agg(
-        count_rows(), F.max("log_tm").alias("last_tm"), F.max_by("user_id", F.struct("log_tm", "user_id")).alias("last_user")
+    """Errors by message, OS, type, version, time and user; known users only."""
+    return _report(trouble.filter(F.col("log_type").isin(*types)), F.col(message), message)
+
+
+def crash_report(trouble: DataFrame, stack: str = "res_msg", types: Sequence[int] = (lt.CRASH,)) -> DataFrame:
+    """Crashes by the first line of their stack, OS, type, version, time and user; known users only."""
+    first = F.trim(F.split_part(F.col(stack), F.lit("\n"), F.lit(1)))
+    return _report(trouble.filter(F.col("log_type").isin(*types)), first, "occurrence")
+
+
+def latest_of_report(report: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A report without time and user: rows, the latest time and its user."""
+    return report.groupBy(*by).agg(
+        F.sum("cnt").alias("cnt"), F.max("log_tm").alias("last_tm"), F.max_by("user_id", F.struct("log_tm", "user_id")).alias("last_user")
     )
 
 

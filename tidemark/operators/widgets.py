@@ -22,7 +22,7 @@ def _half_even(num: Column, den: Column) -> Column:
 
 
 def _hour_of_day(hour: str, day: dt.date) -> Column:
-    return F.to_date(hour) == F.lit(day)
+    return tg.utc_day(hour) == F.lit(day)
 
 
 def model_totals(rollup: DataFrame, devices: DataFrame, day: dt.date, end: dt.date | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def model_totals(rollup: DataFrame, devices: DataFrame, day: dt.date, end: dt.da
     They come from the hourly rollup and its device table.
     """
     by = [*DIMS, "device_model"]
-    inside = tg.in_days(F.to_date("hour_bucket"), day, end or day)
+    inside = tg.in_days(tg.utc_day("hour_bucket"), day, end or day)
     counted = devices.filter(inside).groupBy(*by).agg(F.count_distinct("device_id").alias("device_count"))
     merged = rollup.filter(inside).groupBy(*by).agg(
         *sums("log_count", "error_count", "crash_count", "sum_cpu_usage", "sum_mem_usage")

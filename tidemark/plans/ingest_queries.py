@@ -10,7 +10,7 @@ from tidemark import logtypes as lt
 from tidemark.functions import text
 from tidemark.functions import timegrid as tg
 from tidemark.operators import ingest
-from tidemark.plans.registry import Tables, query
+from tidemark.plans.registry import Tables, query, scratch
 from tidemark.sources import decode, files
 from tidemark.sources import driver_tables as dtb
 
@@ -224,19 +224,37 @@ def _(t: Tables):
     return ingest.url_sub_key(t.raw("pages"), "url", rules, {"http-en": ["page"]}).select("page_id", "url_sub_key")
 
 
+# CRC-32 a byte at a time: eight shifts, with the reversed polynomial where the low bit is set.
+_CRC32 = """
+xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295)
+"""
+
+
 @query(
     "hash_key",
-    """
-    SELECT count(*) AS cnt, count(DISTINCT device_id) AS hashes32, count(DISTINCT device_id) AS hashes64 FROM event_log
+    f"""
+    SELECT device_id, format('{{:08x}}', {_CRC32.format("device_id")}) AS hash32, 16 AS width64, CAST(NULL AS VARCHAR) AS blank, cnt FROM (SELECT device_id, count(*) AS cnt FROM event_log GROUP BY 1)
     """,
 )
 def _(t: Tables):
-    return t.events.agg(
-        F.count(F.lit(1)).alias("cnt"), F.count_distinct(text.hash_key("device_id", "32")).alias("hashes32"),
-        F.count_distinct(text.hash_key("device_id")).alias("hashes64"),
+    counts = t.events.groupBy("device_id").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.select(
+        "device_id", text.hash_key("device_id", "32").alias("hash32"), F.length(text.hash_key("device_id")).alias("width64"), text.hash_key(F.lit("  ")).alias("blank"), "cnt",
     )
 
 
+@query("decrypt_lines", "SELECT event_id, event_id || ',' || device_id || ',' || log_tm AS line FROM event_log")
+def _(t: Tables):
+    """Every other line comes encrypted, with its own leading vector."""
+    key = "0123456789abcdef"
+    line = F.concat_ws(",", "event_id", "device_id", "log_tm")
+    vector = F.unhex(F.substring(F.md5(F.col("event_id").cast("string")), 1, 32))
+    secret = F.base64(F.aes_encrypt(line, F.lit(key.encode()), F.lit("CBC"), F.lit("PKCS"), vector))
+    sent = t.events.select("event_id", F.when(F.col("event_id") % 2 == 0, line).otherwise(secret).alias("line"))
+    return decode.decrypt_lines(sent, "line", key)
+
+
 @query(
     "normalise_network",
     """
@@ -303,13 +321,39 @@ def _(t: Tables):
     return ingest.backfill_identity(t.marketing, _identity(t)).select(F.col("event_id"), "user_key")
 
 
+STORED = ["event_id", "device_id", "log_tm", "intervaltime", "package_nm", "server_type", "log_date"]
+
+
 @query(
     "scan_range",
-    "SELECT CAST(log_date AS VARCHAR) AS log_date, count(*) AS cnt FROM event_log WHERE log_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-16' GROUP BY 1",
+    "SELECT CAST(log_date AS VARCHAR) AS log_date, count(*) AS cnt, CAST(sum(intervaltime) AS BIGINT) AS total FROM event_log WHERE log_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-16' GROUP BY 1",
+)
+def _(t: Tables):
+    """Events written by day and read back for a range of days."""
+    rows, place = t.events.select(*STORED), scratch(t.spark, "scan_range")
+    files.write_partitioned(rows, place)
+    found = files.scan_range(t.spark, place, rows.schema, dt.date(2024, 1, 10), dt.date(2024, 1, 16))
+    return found.groupBy("log_date").agg(F.count(F.lit(1)).alias("cnt"), F.sum("intervaltime").alias("total"))
+
+
+@query(
+    "settle_batches",
+    """
+    SELECT event_id, intervaltime + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS intervaltime, CAST(log_date AS VARCHAR) AS log_date,
+           CASE WHEN log_date = DATE '2024-01-10' THEN 'settled' ELSE 'batches' END AS place FROM event_log WHERE log_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'
+    """,
 )
 def _(t: Tables):
-    days = t.events.filter(tg.in_days("log_date", dt.date(2024, 1, 10), dt.date(2024, 1, 16)))
-    return days.groupBy("log_date").agg(F.count(F.lit(1)).alias("cnt"))
+    """Two micro-batches, the second with newer rows of half the keys and one of them written twice; a closed day is compacted."""
+    rows, place = t.events.select(*STORED).filter(tg.in_days("log_date", dt.date(2024, 1, 10), dt.date(2024, 1, 12))), scratch(t.spark, "settle")
+    newer = rows.filter("event_id % 2 = 0").withColumn("intervaltime", F.col("intervaltime") + 1)
+    for batch_id, batch in ((1, rows), (2, newer), (2, newer)):
+        files.write_batch(batch, f"{place}/batches", batch_id)
+    for _ in range(2):
+        files.compact(t.spark, f"{place}/batches", f"{place}/settled", rows.schema, ["event_id"], dt.date(2024, 1, 10))
+    settled = files.scan_range(t.spark, f"{place}/settled", rows.schema, dt.date(2024, 1, 1), dt.date(2024, 1, 31)).withColumn("place", F.lit("settled"))
+    left = files.read_latest(t.spark, f"{place}/batches", rows.schema, ["event_id"]).withColumn("place", F.lit("batches"))
+    return settled.unionByName(left).select("event_id", "intervaltime", "log_date", "place")
 
 
 @query("latest_trouble_types", "SELECT log_type, count(*) AS cnt FROM event_log WHERE log_type IN (2097152, 131077) GROUP BY 1")

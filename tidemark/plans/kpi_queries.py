@@ -330,11 +330,11 @@ def _(t: Tables):
     f"""
     SELECT user_no, package_nm, server_type, CAST(sum(dau) AS BIGINT) AS connect, CAST(sum(crash_count) AS BIGINT) AS crash,
            CAST(sum(error_count + js_error_count) AS BIGINT) AS error, CAST(sum(mau) AS BIGINT) AS mau
-    FROM device_statistic JOIN (SELECT DISTINCT k % 3 AS user_no, package_nm, server_type FROM event_log WHERE k % 3 < 2) USING (package_nm, server_type)
+    FROM device_statistic JOIN (SELECT DISTINCT k % 3 AS user_no, package_nm, server_type FROM event_log) USING (package_nm, server_type)
     WHERE stat_date = DATE '{_D}' GROUP BY 1, 2, 3
     """,
     ctes=STATISTIC_CTES,
 )
 def _(t: Tables):
-    apps = t.events.select((F.col("k") % 3).cast("long").alias("user_no"), "package_nm", "server_type").filter("user_no < 2")
+    apps = t.events.select((F.col("k") % 3).cast("long").alias("user_no"), "package_nm", "server_type")
     return kpi.multi_app_summary(t.statistic, apps, _D)

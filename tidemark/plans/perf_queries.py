@@ -344,7 +344,7 @@ def _(t: Tables):
     "SELECT event_id, log_tm, device_id FROM network_log WHERE req_url = 'https://app/p3?k=15' AND status_code = 500 ORDER BY log_tm DESC, device_id LIMIT 1000",
 )
 def _(t: Tables):
-    return perf.api_error_rows(t.network, "https://app/p3?k=15", 500).select("event_id", "log_tm", "device_id")
+    return perf.api_error_rows(t.network, "https://app/p3?k=15", 500, 1000).select("event_id", "log_tm", "device_id")
 
 
 @query(
@@ -417,7 +417,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     cond = F.col("loading_time").between(200, 900) & (F.col("os_type") == "Web")
-    return perf.list_with_mean(t.pages, "page_start_tm", "loading_time", cond).select("page_id", "page_start_tm", "loading_time", "mean_value")
+    return perf.list_with_mean(t.pages, "page_start_tm", "loading_time", 1000, cond).select("page_id", "page_start_tm", "loading_time", "mean_value")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -52,6 +53,12 @@ class Tables:
         raise AttributeError(name)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes, in the shared folder the cluster names, else in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def portable(df: DataFrame) -> DataFrame:
     """Plain column types, so that results compare across engines: whole numbers long, times as text."""
     out = []

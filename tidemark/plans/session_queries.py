@@ -153,7 +153,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    return session.user_list(t.pages, {"device_id": "d1", "user_id": "u3"}, prefix=True)
+    return session.user_list(t.pages, 100, {"device_id": "d1", "user_id": "u3"}, prefix=True)
 
 
 @query(
@@ -169,7 +169,7 @@ def _(t: Tables):
     ctes=FLOW_CTES,
 )
 def _(t: Tables):
-    return session.total_users(flow(t))
+    return session.total_users(flow(t), 100, 50)
 
 
 @query(
@@ -368,7 +368,7 @@ last_session AS (SELECT device_id, max(parent_log_date) AS session_start FROM fl
     ctes=FLOW_CTES,
 )
 def _(t: Tables):
-    return session.session_detail(flow(t), t.vitals, t.events)["profile"]
+    return session.session_detail(flow(t), t.vitals, t.events, 100)["profile"]
 
 
 @query(
@@ -380,7 +380,7 @@ def _(t: Tables):
     ctes=FLOW_CTES + "," + _LAST,
 )
 def _(t: Tables):
-    return session.session_detail(flow(t), t.vitals, t.events)["vitals"]
+    return session.session_detail(flow(t), t.vitals, t.events, 100)["vitals"]
 
 
 @query(
@@ -392,7 +392,7 @@ def _(t: Tables):
     ctes=FLOW_CTES + "," + _LAST,
 )
 def _(t: Tables):
-    return session.session_detail(flow(t), t.vitals, t.events)["pages"].select("device_id", "page_id", "page_start_tm")
+    return session.session_detail(flow(t), t.vitals, t.events, 100)["pages"].select("device_id", "page_id", "page_start_tm")
 
 
 @query(
@@ -404,7 +404,7 @@ def _(t: Tables):
     ctes=FLOW_CTES + "," + _LAST,
 )
 def _(t: Tables):
-    return session.session_detail(flow(t), t.vitals, t.events)["events"].select("device_id", "event_id", "log_tm")
+    return session.session_detail(flow(t), t.vitals, t.events, 100)["events"].select("device_id", "event_id", "log_tm")
 
 
 @query("page_events", "SELECT event_id, event_id AS page_id, log_type FROM event_log WHERE event_id IN (SELECT page_id FROM page_flow WHERE crash_count > 0)")

@@ -123,14 +123,35 @@ def _(t: Tables):
 @query(
     "trouble_report",
     """
-    SELECT log_name, os_type, log_type, app_ver, count(*) AS cnt, max(log_tm) AS last_tm, arg_max(user_id, log_tm) AS last_user
-    FROM trouble_log WHERE log_type = 131077 AND user_id IS NOT NULL GROUP BY 1, 2, 3, 4
+    SELECT log_name, os_type, log_type, app_ver, log_tm, user_id, count(*) AS cnt FROM trouble_log WHERE log_type = 131077 AND user_id IS NOT NULL GROUP BY ALL
     """,
 )
 def _(t: Tables):
     return versions.trouble_report(t.trouble)
 
 
+@query(
+    "crash_report",
+    """
+    SELECT 'Fatal: e' || (k % 10) AS occurrence, os_type, log_type, app_ver, log_tm, user_id, count(*) AS cnt FROM trouble_log WHERE log_type = 2097152 AND user_id IS NOT NULL GROUP BY ALL
+    """,
+)
+def _(t: Tables):
+    stack = F.expr(r"concat(' Fatal: e', k % 10, ' \n  at a.b(c.java:', k, ')\n  at d.e(f.java:1)')")
+    return versions.crash_report(t.trouble.withColumn("res_msg", stack))
+
+
+@query(
+    "trouble_report_latest",
+    """
+    SELECT log_name, os_type, app_ver, count(*) AS cnt, max(log_tm) AS last_tm, arg_max(user_id, (log_tm, user_id)) AS last_user
+    FROM trouble_log WHERE log_type = 131077 AND user_id IS NOT NULL GROUP BY 1, 2, 3
+    """,
+)
+def _(t: Tables):
+    return versions.latest_of_report(versions.trouble_report(t.trouble), ["log_name", "os_type", "app_ver"])
+
+
 @query(
     "response_summary",
     """
@@ -317,7 +338,18 @@ def _(t: Tables):
     return devices.models_by_os(t.events, "iOS")
 
 
-@query("version_users_hourly", "SELECT os_type, app_ver, CAST(date_trunc('hour', make_timestamp(app_start_tm * 1000)) AS VARCHAR) AS bucket, count(DISTINCT device_id) AS users FROM daily_access GROUP BY 1, 2, 3")
+_HOUR = "CAST(date_trunc('hour', make_timestamp({} * 1000)) AS VARCHAR)"
+
+
+@query(
+    "version_users_hourly",
+    f"""
+    SELECT os_type, app_ver, bucket, coalesce(u, 0) AS users, coalesce(tr, 0) AS troubled, coalesce(l, 0) AS loading_time, coalesce(r, 0) AS response_time
+    FROM (SELECT os_type, app_ver, {_HOUR.format("app_start_tm")} AS bucket, count(DISTINCT device_id) AS u FROM daily_access GROUP BY 1, 2, 3)
+    FULL JOIN (SELECT os_type, app_ver, {_HOUR.format("log_tm")} AS bucket, count(DISTINCT device_id) AS tr FROM trouble_log GROUP BY 1, 2, 3) USING (os_type, app_ver, bucket)
+    FULL JOIN (SELECT os_type, app_ver, {_HOUR.format("page_start_tm")} AS bucket, quantile_cont(loading_time, 0.5) AS l FROM page_flow WHERE loading_time IS NOT NULL GROUP BY 1, 2, 3) USING (os_type, app_ver, bucket)
+    FULL JOIN (SELECT os_type, app_ver, {_HOUR.format("log_tm")} AS bucket, round(avg(intervaltime), 6) AS r FROM network_log GROUP BY 1, 2, 3) USING (os_type, app_ver, bucket)
+    """,
+)
 def _(t: Tables):
-    series = versions.version_series(t.visits, t.trouble, t.pages, t.network, "hour")
-    return series.filter("users > 0").select("os_type", "app_ver", F.col("bucket"), "users")
+    return versions.version_series(t.visits, t.trouble, t.pages, t.network, "hour")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import timegrid as tg
 from tidemark.functions import text
 
 # Position (from 1), column, kind. Kinds: text, esc (escaped text), zero (bad number -> 0), null (bad number -> NULL).
@@ -55,7 +56,6 @@ MARKETING_FIELDS = (
 # Stands for a comma inside the JSON fields of a marketing line (fixed value).
 JSON_COMMA = "clickhousecomma"
 
-_LONGEST = 20  # digits of an unsigned 64-bit number
 
 
 def _item(arr: Column, position: int) -> Column:
@@ -103,7 +103,7 @@ def decode_events(df: DataFrame, col: str = "value") -> DataFrame:
     parsed = _split(df, col).select(*_kept(df, col), *_columns(EVENT_FIELDS))
     moment = F.timestamp_millis(F.col("log_tm"))
     return with_url_parts(
-        parsed.withColumn("log_tm_dt", moment).withColumn("log_date", F.to_date("log_tm_dt")), "req_url"
+        parsed.withColumn("log_tm_dt", moment).withColumn("log_date", tg.utc_day("log_tm_dt")), "req_url"
     )
 
 
@@ -120,7 +120,7 @@ def decode_pages(df: DataFrame, col: str = "value") -> DataFrame:
         .withColumn("sum_mem_usage", F.coalesce("sum_mem_usage", F.lit(0).cast("bigint")))
         .withColumn("page_start_tm_dt", F.timestamp_millis(F.col("page_start_tm")))
         .withColumn("page_name", text.url_path("req_url"))
-        .withColumn("log_date", F.to_date("page_start_tm_dt"))
+        .withColumn("log_date", tg.utc_day("page_start_tm_dt"))
     )
 
 
