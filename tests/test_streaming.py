@@ -141,37 +141,66 @@ def test_rollup_parts_merge_to_the_batch_rollup(spark, tmp_path):
     assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
 
 
-def test_stream_pages_equal_batch_pages(spark, tmp_path):
-    events = dtb.event_log(spark, SF_DIR).withColumn("cpu_usage", F.col("k").cast("long")).withColumn("mem_usage", (F.col("k") * 10).cast("long"))
-    events = events.select(
-        "event_id", "log_tm", "log_tm_dt", "log_type", "device_id", "package_nm", "server_type", "os_type", "app_ver", "device_model",
-        "user_id", "req_url", "cpu_usage", "mem_usage",
+def page_events(spark, rows):
+    """Events (id, ms, device, type) with the columns of the page builder."""
+    df = spark.createDataFrame(rows, "event_id long, log_tm long, device_id string, log_type long")
+    return df.withColumns(
+        {
+            "log_tm_dt": F.timestamp_millis("log_tm"), "package_nm": F.lit("p"), "server_type": F.lit(0).cast("long"), "os_type": F.lit("Web"), "app_ver": F.lit("1"),
+            "device_model": F.lit("m"), "user_id": F.concat(F.lit("u"), "event_id"), "req_url": F.concat(F.lit("/"), "event_id"), "cpu_usage": F.lit(1).cast("long"),
+            "mem_usage": F.lit(1).cast("long"),
+        }
     )
-    stream = split_files(events, tmp_path / "events", "log_tm", 4).withWatermark("log_tm_dt", "10 minutes")
-    built = pages.build_pages_stream(stream, idle_ms=10**11)
-    run(built, streams.table_sink(str(tmp_path / "built"), ["package_nm"]), "pages", tmp_path)
-    got = spark.read.parquet(str(tmp_path / "built")).drop("batch_id")
-    batch = session.build_pages(events)
+
+
+# A row of another device far ahead lets the watermark pass all rows before it.
+FLUSH = (10**6, 2 * BASE, "flush", lt.WEB_START)
+
+
+def stream_pages(df, folder, parts, by, tmp_path, idle_ms=10**13):
+    stream = split_files(df, folder, by, parts).drop("_at").withWatermark("log_tm_dt", "10 minutes")
+    run(pages.build_pages_stream(stream, idle_ms=idle_ms), streams.table_sink(str(tmp_path / "built"), ["log_date"]), "pages", tmp_path)
+    return df.sparkSession.read.parquet(str(tmp_path / "built")).drop("batch_id")
+
+
+def same_rows(got, want):
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = sorted(want.columns)
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+
+
+def all_but_last(batch):
     last = batch.groupBy("device_id").agg(F.max("page_no").alias("_last"))
-    closed = batch.join(last, "device_id").filter("page_no < _last")
-    cols = sorted(set(got.columns) & set(batch.columns))
-    assert len(cols) >= 18
-    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, closed.select(*cols).collect()))
+    return batch.join(last, "device_id").filter("page_no < _last").drop("_last")
+
+
+def test_stream_pages_equal_batch_pages(spark, tmp_path):
+    events = dtb.event_log(spark, SF_DIR).withColumn("cpu_usage", F.col("k").cast("long")).withColumn("mem_usage", (F.col("k") * 10).cast("long"))
+    shape = page_events(spark, [FLUSH])
+    events = events.select(*shape.columns)
+    got = stream_pages(events.unionByName(shape), tmp_path / "events", 4, "log_tm", tmp_path)
+    same_rows(got, all_but_last(session.build_pages(events)))
+
+
+def test_late_openers_and_repeated_rows(spark, tmp_path):
+    kinds = [lt.WEB_START, lt.WEB_CLICK, lt.SCRIPT_ERROR, lt.WEB_END]
+    rows = [(i, BASE + i * 20_000, f"d{i % 3}", kinds[i * 7 % 4]) for i in range(90)]
+    events = page_events(spark, [*rows, FLUSH])
+    # Arrival: out of order by up to eight minutes, and every fifth row once more a little later.
+    jitter = F.col("log_tm") + F.col("event_id") * 7919 % 480_000
+    arriving = events.withColumn("_at", F.when(F.col("event_id") == FLUSH[0], F.lit(3 * BASE)).otherwise(jitter))
+    arriving = arriving.unionByName(arriving.filter("event_id % 5 = 0 AND event_id < 1000").withColumn("_at", F.col("_at") + 30_000))
+    got = stream_pages(arriving, tmp_path / "late", 6, "_at", tmp_path)
+    same_rows(got, all_but_last(session.build_pages(page_events(spark, rows))))
 
 
 def test_idle_pages_close_by_timeout(spark, tmp_path):
-    rows = [(1, BASE, "a"), (2, BASE + 1000, "a"), (3, BASE + 7_200_000, "b"), (4, BASE + 14_400_000, "b"), (5, BASE + 21_600_000, "b")]
-    df = spark.createDataFrame(rows, "event_id long, log_tm long, device_id string").withColumns(
-        {
-            "log_tm_dt": F.timestamp_millis("log_tm"), "log_type": F.when(F.col("event_id") == 2, lt.WEB_END).otherwise(lt.WEB_START).cast("long"),
-            "package_nm": F.lit("p"), "server_type": F.lit(0).cast("long"), "os_type": F.lit("Web"), "app_ver": F.lit("1"), "device_model": F.lit("m"),
-            "req_url": F.lit("u"), "cpu_usage": F.lit(1).cast("long"), "mem_usage": F.lit(1).cast("long"),
-        }
-    )
-    stream = split_files(df, tmp_path / "idle", "log_tm", 4).withWatermark("log_tm_dt", "1 minute")
-    run(pages.build_pages_stream(stream), streams.table_sink(str(tmp_path / "out"), []), "idle", tmp_path)
-    got = {(r.device_id, r.page_start_tm): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got[("a", BASE)].loading_time == 1000 and got[("a", BASE)].log_count == 2
+    hour = 3_600_000
+    rows = [(1, BASE, "a", lt.WEB_START), (2, BASE + 1000, "a", lt.WEB_END), (3, BASE + 2 * hour, "b", lt.WEB_START), (4, BASE + 4 * hour, "b", lt.WEB_START), (5, BASE + 6 * hour, "a", lt.WEB_START), FLUSH]
+    got = {(r.device_id, r.page_start_tm): r for r in stream_pages(page_events(spark, rows), tmp_path / "idle", 4, "log_tm", tmp_path, 30 * 60_000).collect()}
+    first = got["a", BASE]
+    assert (first.loading_time, first.log_count, first.page_no, first.user_id) == (1000, 2, 1, "u1")
+    assert {k: r.page_no for k, r in got.items()} == {("a", BASE): 1, ("a", BASE + 6 * hour): 2, ("b", BASE + 2 * hour): 1, ("b", BASE + 4 * hour): 2}
 
 
 def test_increment_keeps_the_newest_row(spark, tmp_path):

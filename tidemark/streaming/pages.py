@@ -1,7 +1,8 @@
-"""Streaming form of the page-visit builder: one open page per device is kept as state."""
+"""Streaming form of the page-visit builder: a device's open page and its rows ahead of the watermark are kept as state."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,18 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import logtypes as lt
+from tidemark.functions import timegrid as tg
 from tidemark.operators.session import PAGE_OPENERS, REQUESTS
 
-_TEXTS = ["package_nm", "os_type", "app_ver", "device_model", "req_url"]
+_TEXTS = ["package_nm", "os_type", "app_ver", "device_model", "user_id", "req_url"]
 _OPENING = ["server_type", "log_type"]
 _SUMS = ["log_count", "error_count", "js_error_count", "crash_count", "request_count", "sum_cpu_usage", "sum_mem_usage"]
 _MAXES = ["page_end_tm", "finish_tm", "waterfall"]
-_STATE = [*_TEXTS, *_OPENING, "page_start_tm", *_SUMS, *_MAXES]
-STATE_SCHEMA = ", ".join(f"{c} {'string' if c in _TEXTS else 'bigint'}" for c in _STATE)
+_PAGE = [*_TEXTS, *_OPENING, "page_start_tm", "page_no", *_SUMS, *_MAXES]
+_ROW = ["event_id", "log_tm", *_TEXTS, *_OPENING, "cpu_usage", "mem_usage"]
+STATE_SCHEMA = ", ".join(f"{c} {'string' if c in _TEXTS else 'bigint'}" for c in _PAGE) + ", waiting string"
 OUTPUT_SCHEMA = (
     "device_id string, " + ", ".join(f"{c} string" for c in _TEXTS) + ", server_type bigint, log_type bigint, "
-    "page_start_tm bigint, page_end_tm bigint, intervaltime bigint, loading_time bigint, "
-    + ", ".join(f"{c} bigint" for c in _SUMS) + ", wtf_flag string"
+    "page_no bigint, page_start_tm bigint, page_end_tm bigint, intervaltime bigint, loading_time bigint, "
+    + ", ".join(f"{c} bigint" for c in _SUMS) + ", event_count bigint, wtf_flag string"
 )
 
 
@@ -53,44 +56,78 @@ def _parts(rows: pd.DataFrame, openers: tuple[int, ...]) -> pd.DataFrame:
 def _closed(device: str, pages: pd.DataFrame) -> pd.DataFrame:
     out = pages.copy()
     out["device_id"] = device
+    out["event_count"] = out["log_count"]
     out["intervaltime"] = out["page_end_tm"] - out["page_start_tm"]
     out["loading_time"] = (out["finish_tm"] - out["page_start_tm"]).clip(lower=0)
     out["wtf_flag"] = out["waterfall"].map(lambda w: "Y" if w else "N")
     return out[[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]]
 
 
+def _pack(rows: pd.DataFrame) -> str:
+    return rows.to_json(orient="split", index=False) if len(rows) else ""
+
+
+def _unpack(text: str | None) -> pd.DataFrame:
+    return pd.read_json(io.StringIO(text), orient="split", dtype=False, convert_dates=False) if text else pd.DataFrame(columns=_ROW)
+
+
+def _extended(open_page: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    """The open page with the rows that continue it."""
+    out = open_page.copy()
+    out[_SUMS] = out[_SUMS] + more[_SUMS].to_numpy()
+    out[_MAXES] = pd.concat([out[_MAXES], more[_MAXES]]).max().to_numpy().reshape(1, -1)
+    return out
+
+
 def build_pages_stream(events: DataFrame, idle_ms: int = 30 * 60_000, openers: tuple[int, ...] = PAGE_OPENERS) -> DataFrame:
-    """Closed pages of an event stream with a watermark on ``log_tm_dt``.
+    """Closed pages of an event stream with a watermark on ``log_tm_dt``, in the columns of ``session.build_pages``.
 
-    A page closes when the device opens the next one, or after ``idle_ms`` without rows. Rows of a device
-    are ordered within each micro-batch; the size of a batch is bounded by the source's cap per trigger.
+    Rows wait until the watermark has passed them, so they are folded in order of time whatever batch brings them, and a row that
+    comes twice meanwhile counts once. A page closes when the device opens the next one, or after ``idle_ms`` without rows.
+    A worker holds one device's rows of a micro-batch, which the source's cap bounds, and of one watermark delay.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_page = pd.DataFrame([state.get], columns=_STATE) if state.exists else None
-        if state.hasTimedOut:
+        *kept, waiting = state.get if state.exists else (*[None] * len(_PAGE), "")
+        open_page = pd.DataFrame([kept], columns=_PAGE) if kept[_PAGE.index("page_start_tm")] is not None else None
+        passed = state.getCurrentWatermarkMs()
+        arrived = [] if state.hasTimedOut else [b[_ROW] for b in batches]
+        rows = pd.concat([x for x in (_unpack(waiting), *arrived) if len(x)]) if waiting or arrived else pd.DataFrame(columns=_ROW)
+        rows = rows.drop_duplicates("event_id").sort_values(["log_tm", "event_id"], kind="stable").reset_index(drop=True)
+        ready = rows[rows["log_tm"] <= passed].reset_index(drop=True)
+        ahead = rows[rows["log_tm"] > passed]
+        every = open_page
+        if len(ready):
+            pages = _parts(ready, openers)
+            if 0 in pages.index:
+                more, pages = pages.loc[[0]], pages.drop(index=0)
+                open_page = open_page if open_page is None else _extended(open_page, more)
+            number = int(kept[_PAGE.index("page_no")] or 0)
+            pages["page_no"] = pages.index + number
+            every = pages[_PAGE] if open_page is None else pd.concat([open_page, pages[_PAGE]])
+        if every is not None and every.empty:
+            every = None
+        last = None if every is None else every.iloc[-1]
+        idle = last is not None and not len(ahead) and int(last["page_end_tm"]) + idle_ms <= passed
+        done = None if every is None else every if idle else every.iloc[:-1]
+        if done is not None and len(done):
+            yield _closed(key[0], done.astype({c: "int64" for c in _PAGE if c not in _TEXTS}))
+        if idle:
+            # Only the number of the device's last page outlives it.
+            last = last.copy()
+            last["page_start_tm"] = None
+        if last is None and not len(ahead):
             state.remove()
-            yield _closed(key[0], open_page)
             return
-        rows = pd.concat(list(batches)).sort_values(["log_tm", "event_id"], kind="stable").reset_index(drop=True)
-        pages = _parts(rows, openers)
-        if 0 in pages.index:
-            more = pages.loc[[0]]
-            pages = pages.drop(index=0)
-            if open_page is not None:
-                open_page[_SUMS] = open_page[_SUMS] + more[_SUMS].to_numpy()
-                both = pd.concat([open_page[_MAXES], more[_MAXES]])
-                open_page[_MAXES] = both.max().to_numpy().reshape(1, -1)
-        every = pages[_STATE] if open_page is None else pd.concat([open_page, pages[_STATE]])
-        if every.empty:
-            return
-        last = every.iloc[-1]
-        state.update(tuple(None if pd.isna(last[c]) else (last[c] if c in _TEXTS else int(last[c])) for c in _STATE))
-        state.setTimeoutTimestamp(max(int(last["page_end_tm"]), state.getCurrentWatermarkMs()) + idle_ms)
-        done = every.iloc[:-1].astype({c: "int64" for c in _STATE if c not in _TEXTS})
-        if not done.empty:
-            yield _closed(key[0], done)
-
-    return events.groupBy("device_id").applyInPandasWithState(
+        empty = [None] * len(_PAGE)
+        values = empty if last is None else [None if pd.isna(last[c]) else last[c] if c in _TEXTS else int(last[c]) for c in _PAGE]
+        state.update((*values, _pack(ahead)))
+        if len(ahead):
+            state.setTimeoutTimestamp(max(int(ahead["log_tm"].min()), passed + 1))
+        elif last is not None and not idle:
+            state.setTimeoutTimestamp(max(int(last["page_end_tm"]) + idle_ms, passed + 1))
+
+    pages = events.groupBy("device_id").applyInPandasWithState(
         fold, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return pages.withColumn("log_date", tg.day_of("page_start_tm"))
