@@ -36,11 +36,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, their number, and whether they decode to the text."""
     vocabulary = pieces.read_pieces(pieces.MODEL_PATH)
-    coded = pieces.with_text(pieces.with_pieces(docs, vocabulary), vocabulary)
-    return coded.select(
-        "doc_id", "lang", "source", "n_chars", "ids", pieces.n_pieces(F.col("ids")).alias("n_pieces"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
-    )
+    coded = pieces.with_checked_pieces(docs, vocabulary).select("doc_id", "lang", "source", "n_chars", "coded.*")
+    return coded.withColumn("n_pieces", pieces.n_pieces(F.col("ids"))).withColumnRenamed("same", "round_trip")
 
 
 STAGES = [

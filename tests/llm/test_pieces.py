@@ -79,7 +79,7 @@ def test_memo_is_bounded(vocabulary, monkeypatch):
     coder = pieces.Coder(vocabulary)
     text = " ".join(str(i) for i in range(200))
     assert coder.decode(coder.encode(text)) == text
-    assert len(coder.memo) <= 8
+    assert max(len(g) for m in (coder.words, coder.parts) for g in (m.young, m.old)) <= 8
 
 
 def test_pieces_are_those_of_the_file(vocabulary):
@@ -96,6 +96,8 @@ def test_frames(spark, vocabulary):
     coded = pieces.with_text(pieces.with_pieces(table, vocabulary), vocabulary)
     for r in coded.collect():
         assert r.decoded == r.text and (r.ids is None) == (r.text is None)
+    for r in pieces.with_checked_pieces(table, vocabulary).collect():
+        assert r.coded.same and (r.coded.ids is None) == (r.text is None)
     assert pieces.with_pieces(table.where("false"), vocabulary).count() == 0
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 1 << 18  # words a worker remembers
-MEMO_CHARS = 48  # longest word it remembers
+MEMO = 1 << 17  # words, and parts of words, of either generation that a worker remembers
+MEMO_CHARS = 48  # the longest of them
+CHUNK = 500  # texts whose ids a worker holds at a time
 UNKNOWN_COST = 10.0  # below the worst piece, as the format has it
 
 
@@ -49,6 +49,27 @@ def read_pieces(path: str = MODEL_PATH) -> Pieces:
     return Pieces(tuple(texts), tuple(scores), byte_ids, model.unk_id())
 
 
+class Memo:
+    """Ids by text, in two generations: when the young one is full it becomes the old one, and what is still asked for moves on."""
+
+    def __init__(self):
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def recall(self, text: str) -> tuple[int, ...] | None:
+        """From the old generation; the caller has looked in the young one."""
+        ids = self.old.get(text)
+        return ids if ids is None else self.keep(text, ids)
+
+    def keep(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(text) <= MEMO_CHARS:
+            if len(self.young) >= MEMO:
+                self.old = self.young.copy()
+                self.young.clear()
+            self.young[text] = ids
+        return ids
+
+
 class Coder:
     """Automaton and memo of one worker."""
 
@@ -61,9 +82,10 @@ class Coder:
                 self.automaton.add_word(text, (len(text), i, score))
         if len(self.automaton):
             self.automaton.make_automaton()
-        # Where no piece holds a space behind another character, best paths of words side by side make the best path of a text.
-        self.parts = re.compile(r" *[^ ]+| +" if not any(re.search("[^ ] ", t) for t in pieces.texts) else r"(?s).+")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        # No piece lies over a pair of characters that no piece holds, so best paths of the parts on either side make the best path.
+        self.pairs = {t[i: i + 2] for t in pieces.texts for i in range(len(t) - 1)}
+        self.by_space = not any(pair[1] == " " != pair[0] for pair in self.pairs)
+        self.words, self.parts = Memo(), Memo()
         as_bytes = [t.encode() for t in pieces.texts]
         for value, i in enumerate(pieces.byte_ids):
             as_bytes[i] = bytes([value])
@@ -101,26 +123,33 @@ class Coder:
             end -= width[end]
         return tuple(reversed(out))
 
+    def _path(self, text: str) -> list[int]:
+        """Best path of a text, part by part."""
+        out: list[int] = []
+        begin, pairs, parts = 0, self.pairs, self.parts
+        cuts = [i for i in range(1, len(text)) if text[i - 1: i + 1] not in pairs]
+        for end in (*cuts, len(text)):
+            part = text[begin:end]
+            out += parts.young.get(part) or parts.recall(part) or parts.keep(part, self.best_path(part))
+            begin = end
+        return out
+
     def encode(self, text: str | None) -> np.ndarray | None:
+        """Ids of a text; words between single spaces are looked up whole."""
         if text is None:
             return None
-        memo, out = self.memo, []
-        for part in self.parts.findall(" " + text) if text else ():
-            ids = memo.get(part)
-            if ids is None:
-                ids = self.best_path(part)
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = ids
-            out += ids
+        out: list[int] = []
+        if not text or not self.by_space or "  " in text or text[0] == " " or text[-1] == " ":
+            return np.array(self._path(" " + text) if text else out, dtype=np.int32)
+        words, known = self.words, self.words.young.get
+        for word in text.split(" "):
+            out += known(word) or words.recall(word) or words.keep(word, tuple(self._path(" " + word)))
         return np.array(out, dtype=np.int32)
 
     def decode(self, ids) -> str | None:
         if ids is None:
             return None
-        as_bytes = self.as_bytes
-        return b"".join([as_bytes[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 _WORKER: dict[int, Coder] = {}
@@ -133,41 +162,60 @@ def _coder(key: int, sent) -> Coder:
     return _WORKER[key]
 
 
-def encoder(spark: SparkSession, pieces: Pieces):
-    """Column function: text to ids. NULL gives NULL, an empty text no ids; texts are whole, and every text can be decoded exactly."""
-    sent, key = spark.sparkContext.broadcast(pieces), pieces.key
+def _chunks(batches: Iterator[pd.Series]) -> Iterator[list]:
+    for batch in batches:
+        for k in range(0, len(batch), CHUNK):
+            yield batch.iloc[k: k + CHUNK].tolist()
+
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+IDS = T.ArrayType(T.IntegerType())
+CODED = T.StructType([T.StructField("ids", IDS), T.StructField("same", T.BooleanType())])
+
+
+def with_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """Add the ids of each whole text; a column of that name is replaced.
+
+    NULL gives NULL, an empty text no ids. Every text decodes to itself: characters without a piece go as their bytes, and text is not
+    normalised. No shuffle; the vocabulary is broadcast.
+    """
+    sent, key = docs.sparkSession.sparkContext.broadcast(pieces), pieces.key
+
+    @F.pandas_udf(IDS)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(key, sent)
-        for texts in batches:
+        for texts in _chunks(batches):
             yield pd.Series([coder.encode(t) for t in texts], dtype=object)
 
-    return encode
+    return docs.withColumn(out, encode(F.col(text_col)))
 
 
-def decoder(spark: SparkSession, pieces: Pieces):
-    """Column function: ids to text. NULL gives NULL. The space that encoding put in front goes."""
-    sent, key = spark.sparkContext.broadcast(pieces), pieces.key
+def with_text(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add the text of each list of ids, NULL for NULL; a column of that name is replaced. The space that encoding put in front goes."""
+    sent, key = coded.sparkSession.sparkContext.broadcast(pieces), pieces.key
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(key, sent)
-        for ids in batches:
-            yield pd.Series([coder.decode(x) for x in ids], dtype=object)
+        for lists in _chunks(batches):
+            yield pd.Series([coder.decode(ids) for ids in lists], dtype=object)
 
-    return decode
+    return coded.withColumn(out, decode(F.col(ids_col)))
 
 
-def with_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each whole text; a column of that name is replaced. No shuffle; the vocabulary is broadcast."""
-    return docs.withColumn(out, encoder(docs.sparkSession, pieces)(F.col(text_col)))
+def with_checked_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "coded") -> DataFrame:
+    """Add a struct of the ids of each whole text and whether they decode to it, worked out side by side; NULL ids decode to NULL."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(pieces), pieces.key
 
+    @F.pandas_udf(CODED)
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder = _coder(key, sent)
+        for texts in _chunks(batches):
+            ids = [coder.encode(t) for t in texts]
+            same = [coder.decode(None if i is None else i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": same})
 
-def with_text(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the text of each list of ids; a column of that name is replaced."""
-    return coded.withColumn(out, decoder(coded.sparkSession, pieces)(F.col(ids_col)))
+    return docs.withColumn(out, code(F.col(text_col)))
 
 
 def n_pieces(ids: Column) -> Column:
-    return F.coalesce(F.size(ids), F.lit(0)).cast("long")
+    return F.greatest(F.coalesce(F.size(ids), F.lit(0)), F.lit(0)).cast("long")

@@ -44,11 +44,8 @@ def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.read_pieces(pieces.MODEL_PATH)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = pieces.with_text(pieces.with_pieces(docs, vocabulary), vocabulary)
-    return decoded.select(
-        "doc_id", pieces.n_pieces(F.col("ids")).alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
-    )
+    coded = pieces.with_checked_pieces(docs, vocabulary).select("doc_id", "coded.*")
+    return coded.select("doc_id", pieces.n_pieces(F.col("ids")).alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("same").alias("round_trip"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
