@@ -79,7 +79,7 @@ def test_memo_is_bounded(vocabulary, monkeypatch):
     coder = pieces.Coder(vocabulary)
     text = " ".join(str(i) for i in range(200))
     assert coder.decode(coder.encode(text)) == text
-    assert max(len(g) for m in (coder.words, coder.parts) for g in (m.young, m.old)) <= 8
+    assert max(len(g) for m in (coder.words, coder.parts) for g in (m.young, m.old)) <= 16
 
 
 def test_pieces_are_those_of_the_file(vocabulary):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that stages do not pile up their models in it."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text has remainder 2 by 4. A NULL id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

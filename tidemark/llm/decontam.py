@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_state
+
 WINDOW = 8  # template words a window
 LEAST_WORDS = 4  # plain words a window needs; fewer cannot tell a passage from ordinary text
 COVERAGE = 0.5  # share of an item's words in matched windows
 FILTER_BITS = 1 << 22
-MEMO = 1 << 18
+MEMO = 1 << 17
 
 # Measure words that count as units behind a number.
 UNITS = frozenset(
@@ -31,22 +33,20 @@ _NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([a-z]+)\Z")
 _EDGE = " \t.,;:!?\"'()[]{}<>«»“”‘’…*|_`"
 _HASH = {kind: xxhash.xxh3_64_intdigest(text) for kind, text in _MARK.items()}
 _ODD = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)]
-_WORDS: dict[str, tuple[str, int, int, bool, bool, bool]] = {}
+Word = tuple[str, int, int, bool, bool, bool]
 
 
-def _word(raw: str) -> tuple[str, int, int, bool, bool, bool]:
+def _word(raw: str, known: dict[str, Word]) -> Word:
     """Bare lower-case word, its hash, kind without context, whether it has a capital, ends a sentence, is a unit word."""
-    found = _WORDS.get(raw)
-    if found is None:
-        bare = raw.strip(_EDGE)
-        lower = bare.lower()
-        kind = NUMBER if _NUMBER.match(lower) or ((m := _NUMBER_UNIT.match(lower)) and m[2] in UNITS) else PLAIN
-        capital = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
-        found = (lower, xxhash.xxh3_64_intdigest(lower), kind, capital, raw[-1] in ".!?:", lower in UNITS)
-        if len(_WORDS) >= MEMO:
-            _WORDS.clear()
-        if len(raw) <= 48:
-            _WORDS[raw] = found
+    bare = raw.strip(_EDGE)
+    lower = bare.lower()
+    kind = NUMBER if _NUMBER.match(lower) or ((m := _NUMBER_UNIT.match(lower)) and m[2] in UNITS) else PLAIN
+    capital = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
+    found = (lower, xxhash.xxh3_64_intdigest(lower), kind, capital, raw[-1] in ".!?:", lower in UNITS)
+    if len(known) >= MEMO:
+        known.clear()
+    if len(raw) <= 48:
+        known[raw] = found
     return found
 
 
@@ -56,7 +56,8 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     A number (with sign, currency, per cent or a unit written to it) becomes a number placeholder, a unit word behind a
     number a unit placeholder, a capitalised word inside a sentence a name placeholder. Words that are only punctuation go.
     """
-    words = [w for line in (text or "").split("\n") for raw in _line(line) if (w := _word(raw))[0] or w[4]]
+    known = worker_state("template words", dict)
+    words = [w for raw in (text or "").split() if (w := known.get(raw) or _word(raw, known))[0] or w[4]]
     bare = [w[0] for w in words]
     if not words:
         return [], np.empty(0, np.int8), np.empty(0, np.uint64)
@@ -73,10 +74,6 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [b for b in bare if b], kind[keep], hashes[keep]
 
 
-def _line(line: str) -> list[str]:
-    return line.split()
-
-
 def windows(kind: np.ndarray, hashes: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the template windows that hold enough plain words."""
     n = len(hashes) - width + 1

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import held_out, worker_state
 
 # Bounds of what is learned: passages a language, characters a passage, distinct characters.
 PASSAGES = 64
@@ -205,15 +205,11 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 RESULT = T.StructType([
     T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_char", T.DoubleType()),
 ])
-_WORKER: dict[int, LanguageModel] = {}
 
 
 def _model(key: int, sent) -> LanguageModel:
-    """The model of this worker, built once and kept from task to task."""
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = sent.value
-    return _WORKER[key]
+    """The model of this worker, a copy of its own, so that its tables go with it."""
+    return worker_state(("language model", key), lambda: LanguageModel(sent.value.texts, sent.value.classes))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import worker_state
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 1 << 17  # words, and parts of words, of either generation that a worker remembers
+MEMO = 1 << 16  # parts of words of either generation that a worker remembers, and twice as many words
 MEMO_CHARS = 48  # the longest of them
 CHUNK = 500  # texts whose ids a worker holds at a time
 UNKNOWN_COST = 10.0  # below the worst piece, as the format has it
@@ -52,7 +54,8 @@ def read_pieces(path: str = MODEL_PATH) -> Pieces:
 class Memo:
     """Ids by text, in two generations: when the young one is full it becomes the old one, and what is still asked for moves on."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -63,7 +66,7 @@ class Memo:
 
     def keep(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(text) <= MEMO_CHARS:
-            if len(self.young) >= MEMO:
+            if len(self.young) >= self.most:
                 self.old = self.young.copy()
                 self.young.clear()
             self.young[text] = ids
@@ -76,16 +79,22 @@ class Coder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.unknown = min((s for t, s in zip(pieces.texts, pieces.scores, strict=True) if t), default=0.0) - UNKNOWN_COST
+        # Pieces as (length, id, score). Those of one character need no automaton; a character that is none is ``alone``.
+        self.alone = (1, -1, self.unknown)
+        self.single: dict[str, tuple[int, int, float]] = {}
         self.automaton = ahocorasick.Automaton()
         for i, (text, score) in enumerate(zip(pieces.texts, pieces.scores, strict=True)):
-            if text and text not in self.automaton:
+            if len(text) == 1:
+                self.single.setdefault(text, (1, i, score))
+            elif text and text not in self.automaton:
                 self.automaton.add_word(text, (len(text), i, score))
-        if len(self.automaton):
+        self.longer = len(self.automaton) > 0
+        if self.longer:
             self.automaton.make_automaton()
         # No piece lies over a pair of characters that no piece holds, so best paths of the parts on either side make the best path.
         self.pairs = {t[i: i + 2] for t in pieces.texts for i in range(len(t) - 1)}
         self.by_space = not any(pair[1] == " " != pair[0] for pair in self.pairs)
-        self.words, self.parts = Memo(), Memo()
+        self.words, self.parts = Memo(2 * MEMO), Memo(MEMO)
         as_bytes = [t.encode() for t in pieces.texts]
         for value, i in enumerate(pieces.byte_ids):
             as_bytes[i] = bytes([value])
@@ -101,27 +110,35 @@ class Coder:
         piece and is what ends where nothing else does; it is written as its bytes.
         """
         n = len(part)
-        best, back, width = [0.0] * (n + 1), [-1] * (n + 1), [1] * (n + 1)
-        unknown, filled = self.unknown, 0
-        for last, (length, i, score) in (self.automaton.iter(part) if len(self.automaton) else ()):
-            end = last + 1
-            while filled < end:
-                best[filled + 1] = best[filled] + unknown
+        best = [0.0] * (n + 1)
+        back: list[tuple[int, int, float]] = [self.alone] * (n + 1)
+        single, alone, filled = self.single, self.alone, 0
+        for last, piece in self.automaton.iter(part) if self.longer else ():
+            # Up to here every end has its single character; longer pieces come in order of their ends.
+            while filled <= last:
+                back[filled + 1] = one = single.get(part[filled], alone)
+                best[filled + 1] = best[filled] + one[2]
                 filled += 1
-            total = best[end - length] + score
-            if total > best[end] or (total == best[end] and length > width[end]):
-                best[end], back[end], width[end] = total, i, length
+            total = best[filled - piece[0]] + piece[2]
+            if total > best[filled] or (total == best[filled] and piece[0] > back[filled][0]):
+                best[filled], back[filled] = total, piece
+        while filled < n:
+            back[filled + 1] = one = single.get(part[filled], alone)
+            best[filled + 1] = best[filled] + one[2]
+            filled += 1
         out: list[int] = []
         end = n
         while end:
-            if back[end] >= 0:
-                out.append(back[end])
+            length, i, _ = back[end]
+            if i >= 0:
+                out.append(i)
             elif self.pieces.byte_ids:
                 out += [self.pieces.byte_ids[b] for b in reversed(part[end - 1].encode())]
             else:
                 out.append(self.pieces.unknown_id)
-            end -= width[end]
-        return tuple(reversed(out))
+            end -= length
+        out.reverse()
+        return tuple(out)
 
     def _path(self, text: str) -> list[int]:
         """Best path of a text, part by part."""
@@ -152,14 +169,8 @@ class Coder:
         return b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-_WORKER: dict[int, Coder] = {}
-
-
 def _coder(key: int, sent) -> Coder:
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Coder(sent.value)
-    return _WORKER[key]
+    return worker_state(("pieces", key), lambda: Coder(sent.value))
 
 
 def _chunks(batches: Iterator[pd.Series]) -> Iterator[list]:
