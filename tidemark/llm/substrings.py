@@ -233,7 +233,6 @@ def _block_spans(rows: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Stretches (doc, mark, start, end) of (doc, mark, text) rows that are covered by strings of 400 bytes with another start anywhere."""
     doc = docs.schema["doc"].dataType
-    name = doc.simpleString()
 
     def summary(batch, data, which, start, at, windows, key, twice):
         d1, d2 = _digests(data, start, windows)
