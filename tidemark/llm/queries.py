@@ -89,4 +89,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_forest": op9_embedding_forest,
     "op10_substring_bwt": op10_substring_bwt,
 }
-CHECKS: dict[str, str] = {}
+# Units again from the rule: lines, sentences of lines with several, their words, the first occurrence of each form, merged spans.
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+_SPACE = "length(regexp_extract({0}, '^\\s*'))"
+_UNITS = f"""
+given AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM given),
+placed AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+  {_WORDS.format("line")} AS words, regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+') AS parts FROM split),
+long_lines AS (SELECT * FROM placed WHERE len(words) >= {unitdedup.LINE_WORDS}),
+sentences AS (SELECT doc_id, pos AS line_pos, len(words) AS line_words, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS part_no FROM long_lines WHERE len(parts) > 1),
+parted AS (SELECT doc_id, part, line_words, {_WORDS.format("part")} AS words,
+  line_pos + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, line_pos ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM sentences),
+both_kinds AS (
+  SELECT doc_id, line AS part, pos, words FROM long_lines
+  UNION ALL SELECT doc_id, part, pos, words FROM parted WHERE len(words) >= {unitdedup.SENTENCE_WORDS} AND len(words) < line_words),
+units AS (SELECT doc_id, CAST(pos + {_SPACE.format("part")} AS BIGINT) AS first_char, CAST(pos + length(regexp_replace(part, '\\s+$', '')) AS BIGINT) AS end_char, array_to_string(words, ' ') AS form FROM both_kinds),
+firsts AS (SELECT form, min(doc_id) AS first_doc FROM units GROUP BY 1),
+starts AS (SELECT u.form, first_doc, min(first_char) AS first_at FROM units u JOIN firsts f ON u.form = f.form AND u.doc_id = f.first_doc GROUP BY 1, 2),
+later AS (SELECT DISTINCT doc_id, first_char, end_char FROM units JOIN starts USING (form) WHERE doc_id <> first_doc OR first_char <> first_at),
+reached AS (SELECT *, max(end_char) OVER (PARTITION BY doc_id ORDER BY first_char, end_char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM later),
+numbered AS (SELECT *, sum(CASE WHEN reach IS NULL OR first_char > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY first_char, end_char ROWS UNBOUNDED PRECEDING) AS span_no FROM reached),
+spans AS (SELECT doc_id, span_no, min(first_char) AS s, max(end_char) AS e FROM numbered GROUP BY 1, 2),
+gaps AS (
+  SELECT doc_id, s AS ordinal, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM spans
+  UNION ALL SELECT doc_id, 9223372036854775807, coalesce(max(e), 0), 9223372036854775807 FROM (SELECT doc_id, NULL AS e FROM given UNION ALL SELECT doc_id, e FROM spans) GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substr(text, CAST(a AS BIGINT) + 1, CAST(least(b, length(text)) - a AS BIGINT)), '' ORDER BY ordinal) AS left_over FROM gaps JOIN given USING (doc_id) GROUP BY 1)
+"""
+
+# Templates again from the rule. The benchmark's items all have eight words or more, so windows of eight are all there are.
+_EDGE = "[ \\t.,;:!?\"''()\\[\\]{}<>«»“”‘’…*|_`]+"
+_UNIT_WORDS = ", ".join(f"'{u}'" for u in sorted(decontam.UNITS))
+
+
+def _templates(source: str, key: str, name: str) -> str:
+    """Words, kinds and windows of a table's texts, as table expressions that start with ``name``."""
+    return f"""
+{name}_raw AS (SELECT {key} AS owner, unnest(raws) AS raw, unnest(range(1, len(raws) + 1)) AS raw_no FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '\\S+') AS raws FROM {source})),
+{name}_bare AS (SELECT *, regexp_replace(regexp_replace(raw, '^{_EDGE}', ''), '{_EDGE}$', '') AS bare, regexp_matches(raw, '[.!?:]$') AS ends FROM {name}_raw),
+{name}_lower AS (SELECT *, lower(bare) AS word, coalesce(lag(ends) OVER (PARTITION BY owner ORDER BY raw_no), true) AS begins FROM {name}_bare WHERE bare <> '' OR ends),
+{name}_first AS (SELECT *, CASE
+    WHEN regexp_matches(word, '^[+-]?[$€£]?[0-9][0-9.,]*%?$') OR (regexp_matches(word, '^[+-]?[0-9][0-9.,]*[a-z]+$') AND regexp_extract(word, '[a-z]+$') IN ({_UNIT_WORDS})) THEN 1
+    WHEN NOT begins AND length(bare) > 1 AND regexp_matches(bare, '^\\p{{Lu}}[^\\p{{Lu}}]*$') AND regexp_matches(substr(bare, 2), '\\p{{Ll}}') THEN 2 ELSE 0 END AS kind0 FROM {name}_lower),
+{name}_kind AS (SELECT *, CASE WHEN kind0 = 0 AND word IN ({_UNIT_WORDS}) AND lag(kind0) OVER (PARTITION BY owner ORDER BY raw_no) = 1 THEN 3 ELSE kind0 END AS kind FROM {name}_first),
+{name}_lists AS (SELECT owner, list(word ORDER BY raw_no) AS words, list(kind ORDER BY raw_no) AS kinds,
+  list(CASE kind WHEN 0 THEN word ELSE '<' || kind || '>' END ORDER BY raw_no) AS marks FROM {name}_kind WHERE bare <> '' GROUP BY 1),
+{name}_spots AS (SELECT *, unnest(range(1, len(words) - {decontam.WINDOW - 2})) AS spot FROM {name}_lists WHERE len(words) >= {decontam.WINDOW}),
+{name}_windows AS (SELECT owner, len(words) AS n, spot, array_to_string(marks[spot:spot + {decontam.WINDOW - 1}], ' ') AS template,
+  words[spot:spot + {decontam.WINDOW - 1}] AS words, kinds[spot:spot + {decontam.WINDOW - 1}] AS kinds FROM {name}_spots
+  WHERE len(list_filter(kinds[spot:spot + {decontam.WINDOW - 1}], lambda k: k = 0)) >= {decontam.LEAST_WORDS})"""
+
+
+_LEAKS = f"""
+SELECT DISTINCT doc_id, item_id, coverage, first_word, kind FROM (
+  SELECT doc_id, item_id, count(DISTINCT place) * 1.0 / max(n) AS coverage, min(first_word) AS first_word, max(kind) AS kind FROM (
+    SELECT doc_id, item_id, n, unnest(places) AS place, first_word, kind FROM (
+      SELECT w.doc_id, w.item_id, w.shift, max(w.n) AS n, flatten(list(range(w.item_spot, w.item_spot + {decontam.WINDOW}))) AS places, min(w.doc_spot) - 1 AS first_word,
+             CASE WHEN coalesce(max(v.other), 0) = 0 THEN 'verbatim' WHEN max(v.pairs) = max(v.sources) THEN 'reworded' END AS kind
+      FROM met w LEFT JOIN values_of v ON v.doc_id = w.doc_id AND v.item_id = w.item_id AND v.shift = w.shift GROUP BY 1, 2, 3) WHERE kind IS NOT NULL) GROUP BY 1, 2)
+WHERE coverage >= {decontam.COVERAGE}
+"""
+
+CHECKS: dict[str, str] = {
+    "op8_decontaminate": f"""
+WITH {_templates("documents", "doc_id", "d").strip()},{_templates("benchmark", "item_id", "b")},
+met AS (SELECT DISTINCT d.owner AS doc_id, b.owner AS item_id, b.n, d.spot AS doc_spot, b.spot AS item_spot, d.spot - b.spot AS shift, d.words AS doc_words, b.words AS item_words, d.kinds AS kinds
+  FROM d_windows d JOIN b_windows b USING (template)),
+slots AS (SELECT doc_id, item_id, shift, unnest(kinds) AS kind, unnest(item_words) AS item_word, unnest(doc_words) AS doc_word FROM met),
+values_of AS (SELECT doc_id, item_id, shift, count(DISTINCT kind || ' ' || item_word || ' ' || doc_word) AS pairs, count(DISTINCT kind || ' ' || item_word) AS sources,
+  count(*) FILTER (item_word <> doc_word) AS other FROM slots WHERE kind > 0 GROUP BY 1, 2, 3)
+{_LEAKS.strip()}
+""",
+    "op4_unit_dedup": f"""
+WITH {_UNITS.strip()}
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, coalesce(listed, '') AS spans, sha256(left_over) AS kept_sha256
+FROM given JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(e - s) AS gone, count(*) AS n, string_agg(s || '-' || e, ';' ORDER BY s) AS listed FROM spans GROUP BY 1) USING (doc_id)
+""",
+}
