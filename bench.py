@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 
 from tidemark.plans import QUERIES
@@ -19,6 +20,12 @@ HEADLINE = (
 )
 
 
+def counts(frame) -> dict[str, int]:
+    """Table reads and shuffles of a query's plan before adaptive execution reuses any."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return {"scans": plan.count("FileScan"), "exchanges": len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|Single|REBALANCE|Round)", plan))}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -26,13 +33,16 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     QUERIES["top_pages"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start the session's code paths
     seconds: dict[str, float] = {}
+    plans: dict[str, dict[str, int]] = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        frame = QUERIES[name](spark, sf_dir)
+        frame.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        plans[name] = counts(frame)
     total = round(sum(seconds.values()), 3)
     scale = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "total_query_time", "value": total, "unit": "sec", "queries": seconds, "sf": scale}))
+    print(json.dumps({"metric": "total_query_time", "value": total, "unit": "sec", "queries": seconds, "sf": scale, "plans": plans}))
 
 
 if __name__ == "__main__":

@@ -70,9 +70,12 @@ def read_entries(df: DataFrame, col: str = "entry") -> DataFrame:
     fields = {**{short[name]: name for name in _USED}, "url": "url", "size": "size"}
     schema = T.StructType([T.StructField(key, T.StringType()) for key in (*fields, _BROKEN)])
     read = F.from_json(col, schema, {"columnNameOfCorruptRecord": _BROKEN})
-    parsed = _with_body(df, col).withColumn("_e", read).filter(F.col("_e").isNotNull() & F.col("_e")[_BROKEN].isNull())
+    # Exploding the one whole entry, or none, parses a text once; a filter on the parsed column would parse it again.
+    whole = F.explode_outer(F.filter(F.array(read), lambda e: e[_BROKEN].isNull()))
+    kept = [c for c in df.columns if c != col]
+    parsed = _with_body(df, col).select(*kept, whole.alias("_e")).filter(F.col("_e").isNotNull())
     entry = F.struct(*[F.col("_e")[key].alias(name) for key, name in fields.items()])
-    rows = parsed.select(*[c for c in df.columns if c != col], entry.alias("entry"))
+    rows = parsed.select(*kept, entry.alias("entry"))
     return rows.withColumns(
         {"entry_type": _text("entryType"), "name": _text("name"), "start_time": _number("startTime"), "duration": _number("duration")}
     )
