@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = 2500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """The frame, in a session that hands whole texts to Python 2,500 rows at a time, unless it names a bound of its own.
+
+    Spark's own bound of 10,000 rows counts rows of a few numbers; texts of a few KB fill tens of MB on either side with it.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
+
+
+def release() -> None:
+    """Give memory that a worker is done with back to the machine; called between batches."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _STATE: dict[object, object] = {}
 
 
@@ -39,6 +64,7 @@ def worker_state(key: object, build: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task: one thing at a time, so that stages do not pile up their models in it."""
     if key not in _STATE:
         _STATE.clear()
+        release()
         _STATE[key] = build()
     return _STATE[key]
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import worker_state
+from tidemark.llm.common import in_batches, release, worker_state
 
 WINDOW = 8  # template words a window
 LEAST_WORDS = 4  # plain words a window needs; fewer cannot tell a passage from ordinary text
@@ -136,8 +136,9 @@ def _windows_of(rows: DataFrame, keys: list[str], least: int, wanted=None) -> Da
                 columns.append(pa.array(out["words"], pa.int32()))
                 names.append("words")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            release()
 
-    return rows.select(*keys, "text").mapInArrow(make, f"{schema}, {WINDOWS}{extra}")
+    return in_batches(rows).select(*keys, "text").mapInArrow(make, f"{schema}, {WINDOWS}{extra}")
 
 
 def _filter_bits(items: DataFrame) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import held_out, worker_state
+from tidemark.llm.common import held_out, in_batches, release, worker_state
 
 # Bounds of what is learned: passages a language, characters a passage, distinct characters.
 PASSAGES = 64
@@ -226,5 +226,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
         model = _model(key, sent)
         for texts in batches:
             yield pd.DataFrame(dict(zip(RESULT.names, model.predict(texts.tolist()), strict=True)), columns=RESULT.names)
+            release()
 
-    return docs.withColumn(out, language(F.col(text_col)))
+    return in_batches(docs).withColumn(out, language(F.col(text_col)))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import in_batches, release
+
 
 @dataclass(frozen=True)
 class Notice:
@@ -236,5 +238,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for name in ("first_word", "last_word", "freedom"):
                 out[name] = out[name].astype("Int64")
             yield out
+            release()
 
-    return docs.select(F.col(id_col), found(F.col(text_col)).alias("__found")).select(id_col, "__found.*")
+    return in_batches(docs).select(F.col(id_col), found(F.col(text_col)).alias("__found")).select(id_col, "__found.*")

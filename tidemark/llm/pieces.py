@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import worker_state
+from tidemark.llm.common import in_batches, release, worker_state
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO = 1 << 16  # parts of words of either generation that a worker remembers, and twice as many words
@@ -177,6 +177,7 @@ def _chunks(batches: Iterator[pd.Series]) -> Iterator[list]:
     for batch in batches:
         for k in range(0, len(batch), CHUNK):
             yield batch.iloc[k: k + CHUNK].tolist()
+        release()
 
 
 IDS = T.ArrayType(T.IntegerType())
@@ -197,7 +198,7 @@ def with_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: st
         for texts in _chunks(batches):
             yield pd.Series([coder.encode(t) for t in texts], dtype=object)
 
-    return docs.withColumn(out, encode(F.col(text_col)))
+    return in_batches(docs).withColumn(out, encode(F.col(text_col)))
 
 
 def with_text(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -210,7 +211,7 @@ def with_text(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str =
         for lists in _chunks(batches):
             yield pd.Series([coder.decode(ids) for ids in lists], dtype=object)
 
-    return coded.withColumn(out, decode(F.col(ids_col)))
+    return in_batches(coded).withColumn(out, decode(F.col(ids_col)))
 
 
 def with_checked_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "coded") -> DataFrame:
@@ -225,7 +226,7 @@ def with_checked_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text",
             same = [coder.decode(None if i is None else i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": same})
 
-    return docs.withColumn(out, code(F.col(text_col)))
+    return in_batches(docs).withColumn(out, code(F.col(text_col)))
 
 
 def n_pieces(ids: Column) -> Column:

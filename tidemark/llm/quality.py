@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import in_batches, release
+
 SAMPLE = 6000  # labelled documents learned from
 SAMPLE_LINES = 200  # documents with more lines are not learned from
 BINS = 8
@@ -220,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"rows": [a.tobytes() for a, _ in found], "sizes": [b.tobytes() for _, b in found]})
 
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+        in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
         .join(chosen, "id").where(F.size(F.split("text", "\n")) <= SAMPLE_LINES)
         .select("id", "label", measures("text").alias("m")).orderBy("id", "label").limit(sample).collect()
     )
@@ -240,5 +242,6 @@ def score(docs: DataFrame, model: LineField, text_col: str = "text", out: str =
         for texts in batches:
             found = texts.tolist()
             yield pd.Series([s for k in range(0, len(found), 1000) for s in sent.value.scores(found[k: k + 1000])], dtype="float64")
+            release()
 
-    return docs.withColumn(out, quality(F.col(text_col)))
+    return in_batches(docs).withColumn(out, quality(F.col(text_col)))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, in_batches, release
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -55,8 +55,9 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHI
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+            release()
 
-    return docs.withColumn(out, fp(F.col(text_col)))
+    return in_batches(docs).withColumn(out, fp(F.col(text_col)))
 
 
 @dataclass(frozen=True)

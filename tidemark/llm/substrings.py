@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, in_batches, release
 
 LENGTH = 400
 PIECE = 128  # bytes of the pieces whose least hash is the key; a power of two from 8, below the length
@@ -184,8 +184,9 @@ def _rows(docs: DataFrame, fields: str, make: Callable) -> DataFrame:
             for start, windows, key, twice in segments(data, ends):
                 which = np.searchsorted(ends, start, side="right")
                 yield make(batch, data, which, start, start - begins[which], windows, key, twice)
+            release()
 
-    return docs.select("doc", "mark", "text").mapInArrow(run, f"doc {doc}, mark long, {fields}" if fields.startswith("start") else fields)
+    return in_batches(docs).select("doc", "mark", "text").mapInArrow(run, f"doc {doc}, mark long, {fields}" if fields.startswith("start") else fields)
 
 
 def _digests(data: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -348,6 +349,7 @@ def _digest_of(hash_only: bool):
                 kept = b"".join([*parts, raw[at:]])
                 out.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).digest() if hash_only else kept, merged))
             yield pd.DataFrame(out, columns=DIGEST.names)
+            release()
 
     return digest
 

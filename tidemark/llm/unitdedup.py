@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import in_batches, release
+
 LINE_WORDS = 5
 SENTENCE_WORDS = 6
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
@@ -76,8 +78,9 @@ def _unit_rows(docs: DataFrame, line_words: int, sentence_words: int) -> DataFra
                         names=[f.name for f in schema.fields],
                     )
                     of, start, end, digest = [], [], [], bytearray()
+            release()
 
-    return docs.select("doc", "mark", "text").mapInArrow(rows, schema)
+    return in_batches(docs).select("doc", "mark", "text").mapInArrow(rows, schema)
 
 
 def _merged(spans: list) -> list[tuple[int, int]]:
@@ -111,6 +114,7 @@ def cut_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Dat
             kept.append("".join([*parts, text[at:]]))
             removed.append([{"start": s, "end": e} for s, e in merged])
         yield pd.DataFrame({"text": kept, "spans": removed})
+        release()
 
 
 def remove_repeated_units(
