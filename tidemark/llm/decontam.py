@@ -17,7 +17,7 @@ WINDOW = 8  # template words a window
 LEAST_WORDS = 4  # plain words a window needs; fewer cannot tell a passage from ordinary text
 COVERAGE = 0.5  # share of an item's words in matched windows
 FILTER_BITS = 1 << 22
-MEMO = 1 << 17
+MEMO = 1 << 18
 
 # Measure words that count as units behind a number.
 UNITS = frozenset(
@@ -79,10 +79,10 @@ def windows(kind: np.ndarray, hashes: np.ndarray, width: int = WINDOW) -> tuple[
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     out = np.full(n, np.uint64(width * 0x9E3779B97F4A7C15 % (1 << 64)))
-    plain = np.zeros(n, np.int16)
     for k in range(width):
         out += hashes[k:k + n] * np.uint64(_ODD[k])
-        plain += kind[k:k + n] == PLAIN
+    upto = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+    plain = upto[width:] - upto[:-width]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
