@@ -46,6 +46,19 @@ def test_units_keep_offsets():
     assert list(unitdedup.units(None)) == list(unitdedup.units("")) == []
 
 
+def test_repeated_lines_and_sentences_without_spaces_go(spark):
+    line, first, second = "人工智能正在改变我们的日常生活和工作方式", "春天来了，花园里的花都开了。", "我们明天一起去北京看长城！"
+    thai, url = "ประเทศไทยมีอากาศร้อนตลอดทั้งปี", "https://" + "x" * 90
+    found = list(unitdedup.units(f"{first}{second}"))
+    assert [f"{first}{second}"[a:b] for a, b, _ in found] == [first + second, first, second]
+    # Full-width stops, commas and spaces do not part equal units.
+    assert next(unitdedup.units("春天来了\u3000花园里的花都开了"))[2] == next(unitdedup.units(first))[2]
+    rows = [(1, f"{line}\n{thai}\n{url}\n版权"), (2, f"{line}\n{thai}\n{url}\n版权"), (3, first + second), (4, "他说" + "今天是星期天的早上。" + second)]
+    check(spark, rows)
+    left = {x.doc_id: x.text for x in unitdedup.remove_repeated_units(docs(spark, rows)).collect()}
+    assert left == {1: rows[0][1], 2: "\n\n\n版权", 3: first + second, 4: "他说今天是星期天的早上。"}
+
+
 def check(spark, rows):
     table = docs(spark, rows)
     found = unitdedup.remove_repeated_units(table).collect()

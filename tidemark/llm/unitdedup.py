@@ -16,7 +16,18 @@ from tidemark.llm.common import in_batches, release
 
 LINE_WORDS = 5
 SENTENCE_WORDS = 6
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+UNSPACED_CHARS = 2  # characters that count as a word in scripts written without spaces
+LONG_CHARS = 12  # characters of a normalised form that count as a word in any script
+# Stops of other scripts end a sentence where no space follows them.
+_STOPS = ".!?\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u06d4\u061f\u1362\u1367\u104b\u17d4\u17d5"
+_SENTENCE = re.compile(f"[^{_STOPS}]*[{_STOPS}]+|[^{_STOPS}]+")
+# Punctuation and spaces of those scripts, full-width forms too.
+_GAPS = re.compile(
+    "[\u0964\u0965\u060c\u061b\u061f\u06d4\u0e2f\u0e5a\u0e5b\u104a\u104b\u1361-\u1368\u17d4-\u17da\u3000-\u3004\u3008-\u3020\u3030\u303d\u30a0\u30fb"
+    "\ufe10-\ufe1f\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]"
+)
+# Thai, Lao, Tibetan, Myanmar, Khmer, Tai and Javanese letters, kana and ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 _PLAIN = bytes(c if chr(c).isascii() and chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -24,20 +35,21 @@ def units(text: str | None, line_words: int = LINE_WORDS, sentence_words: int =
     """Start, end and normalised form of each unit of a text: lines, and the sentences of lines with more than one.
 
     A unit is normalised to lower case words of letters and digits with single spaces, so case, punctuation and
-    white space do not part equal units. Units of fewer words are left out: short ones repeat by chance. Offsets count
-    characters of the text; white space around a unit is outside it.
+    white space do not part equal units. Units of fewer words are left out: short ones repeat by chance. Two characters
+    of a script without spaces count as a word, and so do twelve of any form, so that long runs without gaps are units
+    too. Offsets count characters of the text; white space around a unit is outside it.
     """
     at = 0
     for line in (text or "").split("\n"):
         words = _words(line)
-        if len(words) >= line_words:
+        if _enough(words, line_words):
             parts = _SENTENCE.findall(line)
             spans = [(at, line, words)]
             if len(parts) > 1:
                 start = at
                 for part in parts:
                     of_part = _words(part)
-                    if sentence_words <= len(of_part) < len(words):
+                    if len(of_part) < len(words) and _enough(of_part, sentence_words):
                         spans.append((start, part, of_part))
                     start += len(part)
             for start, part, of_part in spans:
@@ -47,7 +59,22 @@ def units(text: str | None, line_words: int = LINE_WORDS, sentence_words: int =
 
 
 def _words(part: str) -> list[bytes]:
-    return part.lower().encode().translate(_PLAIN).split()
+    lower = part.lower()
+    if not lower.isascii():
+        lower = _GAPS.sub(" ", lower)
+    return lower.encode().translate(_PLAIN).split()
+
+
+def _enough(words: list[bytes], least: int) -> bool:
+    """Whether a unit of these words is long enough to be looked up."""
+    if len(words) >= least:
+        return True
+    form = b" ".join(words)
+    if len(form) < UNSPACED_CHARS * least:
+        return False
+    text = form.decode()
+    unspaced = 0 if text.isascii() else len(_UNSPACED.findall(text))
+    return len(text) >= LONG_CHARS * least or len(words) + unspaced // UNSPACED_CHARS >= least
 
 
 UNIT = T.StructType([
