@@ -44,6 +44,27 @@ def test_phrases_match_plain_search():
     assert lettered.tolist() == [True, True, True, False, True, False]
 
 
+def test_scripts_of_many_letters_are_told_apart():
+    alphabets = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "bg": "абвгдежзийклмнопрстуфхцчшщъюя", "fr": "abcdefghijklmnopqrstuvwxyzàâçéèêëîïôûùü"}
+    alphabets |= {"zh": "".join(map(chr, range(0x4E00, 0x4F90))), "ja": "".join(map(chr, [*range(0x4E00, 0x4F90), *range(0x3042, 0x3090)])), "ko": "".join(map(chr, range(0xAC00, 0xAD90)))}
+    words = {}
+    for lang, letters in alphabets.items():
+        r = random.Random(lang)
+        words[lang] = ["".join(r.choices(letters, k=r.randint(2, 5))) for _ in range(200)]
+
+    def text(lang, seed, n):
+        return " ".join(random.Random(f"{lang}{seed}").choices(words[lang], k=n))
+
+    model = langid.LanguageModel({lang: text(lang, 0, 1500) for lang in alphabets})
+    asked = [(lang, text(lang, seed, 30)) for lang in alphabets for seed in range(1, 6)]
+    found, scores, _ = model.predict([t for _, t in asked])
+    assert found == [lang for lang, _ in asked]
+    assert min(scores) > 0.2
+    counts, _, _ = model.phrases([t for _, t in asked])
+    for j, lang in enumerate(model.build()[4]):
+        assert counts[j].tolist() == [plain_phrases(t, model.texts[lang]) for _, t in asked]
+
+
 def test_automaton_holds_exactly_the_substrings():
     r = random.Random(5)
     codes = [r.randint(1, 3) for _ in range(60)]

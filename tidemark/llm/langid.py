@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import held_out, in_batches, release, worker_state
 
-# Bounds of what is learned: passages a language, characters a passage, distinct characters.
+# Bounds of what is learned: passages a language, characters a passage.
 PASSAGES = 64
 PASSAGE_CHARS = 512
-CLASSES = 64
+CLASSES = 64  # classes of a language in the dense table; all other characters of its sample have sorted transitions
 MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
@@ -36,8 +36,8 @@ def _letters() -> np.ndarray:
     return out
 
 
-def suffix_automaton(codes: list[int], classes: int) -> np.ndarray:
-    """Transitions of the smallest automaton of all substrings, -1 where there is none; state 0 is the start."""
+def _edges(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the smallest automaton of all substrings; state 0 is the start."""
     edges: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -64,6 +64,12 @@ def suffix_automaton(codes: list[int], classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return edges
+
+
+def suffix_automaton(codes: list[int], classes: int) -> np.ndarray:
+    """Transitions of the smallest automaton of all substrings as a table, -1 where there is none."""
+    edges = _edges(codes)
     table = np.full((len(edges), classes), -1, dtype=np.int32)
     for state, out in enumerate(edges):
         if out:
@@ -87,46 +93,56 @@ class LanguageModel:
         return zlib.crc32(repr((sorted(self.texts.items()), self.classes)).encode())
 
     def build(self) -> tuple:
-        """Character classes, letters, and one parsing table for all languages.
+        """Character numbers, letters, and one parser for all languages: starts, names and sample sizes beside it.
 
-        A table cell holds 2 * next state + 1 if the character starts a new phrase: the longest match ends before
-        it, and matching goes on from the start of the language's automaton. Class 0 is every rare character; it is a
-        phrase of its own in every language alike, as is any character a sample does not have.
+        A number stands for a character that some sample has, 0 for all others. Each language has classes of its own: 0 for
+        what its sample lacks, then its characters by falling frequency. A cell of the table holds 2 * next state + 1 if the
+        character starts a new phrase: the longest match ends before it, and matching goes on from the start of the
+        language's automaton. The table has the first ``classes`` classes of a language; transitions by its other characters
+        are sorted keys. A character a sample does not have is a phrase of its own.
         """
         if self._built is not None:
             return self._built
         letters = _letters()
-        counts: dict[int, int] = {}
-        plain = {}
-        for lang, text in sorted(self.texts.items()):
-            codes = folded(text)
-            plain[lang] = np.where(letters[codes], codes, 32)
-            for code, n in zip(*np.unique(plain[lang], return_counts=True), strict=True):
-                counts[int(code)] = counts.get(int(code), 0) + int(n)
-        common = sorted(counts, key=lambda c: (-counts[c], c))[: self.classes - 1]
-        to_class = np.zeros(0x110000, dtype=np.uint8)
-        for i, code in enumerate(common, 1):
-            to_class[code] = i
-        space = to_class[32]
-        to_class[~letters] = space
-        tables, starts, sizes, base = [], [], [], 0
-        for lang in sorted(plain):
-            codes = to_class[plain[lang]]
-            table = suffix_automaton(codes[codes > 0].tolist(), self.classes)
+        plain = {lang: np.where(letters[codes := folded(text)], codes, 32) for lang, text in sorted(self.texts.items())}
+        known = np.unique(np.concatenate([*plain.values(), [32]])).astype(np.int64)
+        to_class = np.zeros(0x110000, dtype=np.uint16 if len(known) < 1 << 16 else np.int32)
+        to_class[known] = np.arange(1, len(known) + 1)
+        to_class[~letters] = to_class[32]
+        classes_of = np.zeros((len(plain), len(known) + 1), dtype=np.int32)
+        tables, starts, sizes, base, width = [], [], [], 0, len(known) + 1
+        keys, values, anew_of = [], [], np.zeros((len(plain), width), dtype=np.int32)
+        for i, lang in enumerate(plain):
+            numbers = to_class[plain[lang]]
+            own, counts = np.unique(numbers, return_counts=True)
+            classes_of[i, own[np.lexsort((own, -counts))]] = np.arange(1, len(own) + 1)
+            edges = _edges(classes_of[i, numbers].tolist())
             # The last row is where a text starts, and where it is after a character the sample does not have.
-            table = np.vstack([table, np.full((1, self.classes), -1, np.int32)])
+            table = np.full((len(edges) + 1, self.classes), -1, dtype=np.int32)
+            for state, out in enumerate(edges):
+                for c, to in out.items():
+                    if c < self.classes:
+                        table[state, c] = to
+                    else:
+                        keys.append((state + base) * width + c)
+                        values.append(to + base)
             anew = np.where(table[0] >= 0, table[0], len(table) - 1)
             tables.append(np.where(table >= 0, 2 * (table + base), 2 * (anew[None, :] + base) + 1).astype(np.int32))
+            for c, to in edges[0].items():
+                anew_of[i, c] = to + base
             starts.append(base + len(table) - 1)
-            sizes.append(max(2, len(codes)))
+            sizes.append(max(2, len(numbers)))
             base += len(table)
-        self._built = (to_class, letters, np.concatenate(tables).ravel(), np.array(starts, np.int32), sorted(plain), np.array(sizes, float))
+        keys, values = np.array(keys, np.int64), np.array(values, np.int32)
+        order = np.argsort(keys)
+        parser = (np.concatenate(tables).ravel(), classes_of, np.append(keys[order], -1), np.append(values[order], 0), anew_of)
+        self._built = (to_class, letters, parser, np.array(starts, np.int32), list(plain), np.array(sizes, float))
         return self._built
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each text in each language, its length, and whether it has a letter; all texts step side by side."""
-        to_class, letters, table, starts, langs, _ = self.build()
-        n = len(texts)
+        to_class, letters, (table, classes_of, keys, values, anew_of), starts, langs, _ = self.build()
+        n, width, sparse = len(texts), classes_of.shape[1], len(keys) > 1
         counts = np.zeros((len(langs), n), dtype=np.int64)
         lengths = np.zeros(n, dtype=np.int64)
         lettered = np.zeros(n, dtype=bool)
@@ -148,7 +164,17 @@ class LanguageModel:
         for t in range(int(sorted_lengths[0])):
             while sorted_lengths[active - 1] <= t:
                 active -= 1
-            cells = table[states[:, :active] * self.classes + flat[offsets[:active] + t]]
+            own = classes_of[:, flat[offsets[:active] + t]]
+            if sparse and (rare := own >= self.classes).any():
+                lang, at = np.nonzero(rare)
+                c = own[lang, at]
+                own[lang, at] = 0
+                cells = table[states[:, :active] * self.classes + own]
+                wanted = states[lang, at] * np.int64(width) + c
+                place = np.searchsorted(keys[:-1], wanted)
+                cells[lang, at] = np.where(keys[place] == wanted, 2 * values[place], 2 * anew_of[lang, c] + 1)
+            else:
+                cells = table[states[:, :active] * self.classes + own]
             found[:, :active] += cells & 1
             states[:, :active] = cells >> 1
         counts[:, order] = found
