@@ -78,6 +78,15 @@ def test_matches_plain_windows_on_random_texts(spark):
     assert {k: x.coverage for k, x in found.items()} == want and want
 
 
+def test_long_runs_of_long_items_count(spark):
+    r = random.Random(4)
+    item = ["".join(r.choices("abcdefgh", k=6)) for _ in range(300)]
+    texts = [(1, " ".join(item[90:230])), (2, " ".join(item[40:60])), (3, " ".join(item[40:59])), (4, " ".join(item[0:12] + ["x"] + item[12:24] + ["x", "y"] + item[24:36]))]
+    found = leaks(spark, [(i, f"{prose(r, 20)} {t} {prose(r, 20)}") for i, t in texts], [(7, " ".join(item))])
+    assert set(found) == {(1, 7), (2, 7)}
+    assert round(found[1, 7].coverage * 300) == 140 and found[2, 7].kind == "verbatim"
+
+
 def test_short_items_nulls_ties_and_empty_tables(spark):
     items = [(1, "alpha stone river cloud green"), (2, "alpha beta"), (3, None), (4, ""), (5, "alpha stone river cloud green")]
     texts = [(1, "x alpha stone river cloud green y"), (1, "x alpha stone river cloud green y"), (2, None), (3, ""), (None, "alpha stone river cloud green"), (4, "alpha beta")]

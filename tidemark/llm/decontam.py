@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import in_batches, release, worker_state
@@ -16,6 +16,7 @@ from tidemark.llm.common import in_batches, release, worker_state
 WINDOW = 8  # template words a window
 LEAST_WORDS = 4  # plain words a window needs; fewer cannot tell a passage from ordinary text
 COVERAGE = 0.5  # share of an item's words in matched windows
+RUN_WORDS = 20  # words of an item in a row, in matched windows of one copy, that count whatever share of the item they are
 FILTER_BITS = 1 << 22
 MEMO = 1 << 18
 
@@ -152,15 +153,27 @@ def _filter_bits(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _longest_run(places: Column, width: Column) -> Column:
+    """Words of the longest stretch that windows at these places, in order, cover without a gap."""
+    none = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("best"))
+
+    def step(s: Column, p: Column) -> Column:
+        start, end = F.when(p <= s["end"], s["start"]).otherwise(p), p + width
+        return F.struct(start.alias("start"), end.alias("end"), F.greatest(s["best"], end - start).alias("best"))
+
+    return F.aggregate(places, none, step, lambda s: s["best"])
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    coverage: float = COVERAGE,
+    coverage: float = COVERAGE, run_words: int = RUN_WORDS,
 ) -> DataFrame:
     """Benchmark items that documents hold, verbatim or with other numbers, names and units.
 
     One row per (id, item) with the share of the item's words in matched windows, the first matched template word
     of the document, and ``kind``: ``verbatim`` if all slots of some copy are equal, ``reworded`` if slots differ but each value of the
-    item stands for one value throughout the copy. Copies whose slots contradict each other do not count. Items of fewer
+    item stands for one value throughout the copy. Copies whose slots contradict each other do not count. A
+    pair counts by half of the item's words, or by 20 of them in a row in one copy, however long the item is. Items of fewer
     than 8 words are looked up whole; those with fewer than 4 plain words, and NULL or empty texts on either side, match
     nothing. NULL ids are ids like any other; repeated rows give the same finding once. Other columns are left out.
 
@@ -190,16 +203,17 @@ def find_leaks(
     sources = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
     verbatim = F.forall("slots", lambda s: s["item"] == s["doc"])
     copies = copies.withColumn("kind", F.when(verbatim, "verbatim").when(sources == F.size("slots"), "reworded")).where("kind IS NOT NULL")
+    copies = copies.withColumn("run", _longest_run(F.sort_array("places"), F.col("width")))
     by_pair = copies.groupBy("doc", "item").agg(
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.min("first_word").alias("first_word"), F.max("words").alias("words"),
-        F.max("width").alias("width"), F.max("kind").alias("kind"),
+        F.max("width").alias("width"), F.max("kind").alias("kind"), F.max("run").alias("run"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1)))))
     result = by_pair.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), (covered / F.col("words")).alias("coverage"),
-        F.col("first_word").cast("long").alias("first_word"), "kind",
+        F.col("first_word").cast("long").alias("first_word"), "kind", "run",
     )
-    return result.where(F.col("coverage") >= coverage)
+    return result.where((F.col("coverage") >= coverage) | (F.col("run") >= run_words)).drop("run")
 
 
 def remove_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
