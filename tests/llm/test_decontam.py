@@ -87,6 +87,20 @@ def test_long_runs_of_long_items_count(spark):
     assert round(found[1, 7].coverage * 300) == 140 and found[2, 7].kind == "verbatim"
 
 
+def test_words_match_in_any_case_and_place(spark):
+    short, numbers = "What is the capital of France", "Add 3 7 12 19 28 and 41 then 60 85 and 90"
+    named = "Then Anna met Bert near Paris and Carl saw Dora in Rome while Emil and Fritz left London for Oslo with Gina"
+    items = [(1, short), (2, numbers), (3, named), (4, "Bread costs 3 dollars in the town here")]
+    texts = {
+        1: f"Question 3\n{short}?", 2: f"Question 3\n{numbers}.", 3: named.lower(), 4: named.upper(), 5: "so " + short.lower(),
+        6: "Question 4\nBread costs 8 dollars in the town here",
+    }
+    found = leaks(spark, texts.items(), items)
+    assert set(found) == {(1, 1), (5, 1), (2, 2), (3, 3), (4, 3), (6, 4)}
+    assert found[3, 3].kind == found[2, 2].kind == found[1, 1].kind == "verbatim" and found[6, 4].kind == "reworded"
+    assert found[6, 4].coverage == 1
+
+
 def test_short_items_nulls_ties_and_empty_tables(spark):
     items = [(1, "alpha stone river cloud green"), (2, "alpha beta"), (3, None), (4, ""), (5, "alpha stone river cloud green")]
     texts = [(1, "x alpha stone river cloud green y"), (1, "x alpha stone river cloud green y"), (2, None), (3, ""), (None, "alpha stone river cloud green"), (4, "alpha beta")]

@@ -27,6 +27,7 @@ UNITS = frozenset(
     " dollars euro euros cent cents degree degrees mph kmh hz khz mhz ghz w kw kwh v volt volts a amp amps j joule joules n".split()
 )
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
+WORDS, BOTH, TEMPLATE, MARKED = 0, 1, 2, 3  # forms of a window; MARKED is a template whose first word is taken as a name
 _MARK = {NUMBER: "\x01number", NAME: "\x01name", UNIT: "\x01unit"}
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,]*%?\Z")
 _NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([a-z]+)\Z")
@@ -56,39 +57,54 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     A number (with sign, currency, per cent or a unit written to it) becomes a number placeholder, a unit word behind a
     number a unit placeholder, a capitalised word inside a sentence a name placeholder. Words that are only punctuation go.
     """
+    words, kind, hashes, _ = _hashed(text)
+    return words, kind, hashes[1]
+
+
+def _hashed(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
+    """Bare words, kinds, hashes of the words as they are and of the template, and whether the first word would be a name inside a sentence."""
     known = worker_state("template words", dict)
     words = [w for raw in (text or "").split() if (w := known.get(raw) or _word(raw, known))[0] or w[4]]
     bare = [w[0] for w in words]
     if not words:
-        return [], np.empty(0, np.int8), np.empty(0, np.uint64)
+        return [], np.empty(0, np.int8), np.empty((2, 0), np.uint64), False
     _, hashes, kind, capital, ends, unit = zip(*words, strict=True)
     kind = np.array(kind, np.int8)
     begins = np.concatenate([[True], np.array(ends[:-1], bool)])
     kind[np.array(capital, bool) & ~begins & (kind == PLAIN)] = NAME
     behind = np.concatenate([[False], kind[:-1] == NUMBER])
     kind[np.array(unit, bool) & behind & (kind == PLAIN)] = UNIT
-    hashes = np.array(hashes, np.uint64)
+    hashes = np.array([hashes, hashes], np.uint64)
     for k, value in _HASH.items():
-        hashes[kind == k] = value
+        hashes[1, kind == k] = value
+    first = next((i for i, b in enumerate(bare) if b), 0)
+    name = capital[first] and kind[first] == PLAIN
+    if all(bare):
+        return bare, kind, hashes, name
     keep = np.array([bool(b) for b in bare])
-    return [b for b in bare if b], kind[keep], hashes[keep]
+    return [b for b in bare if b], kind[keep], hashes[:, keep], name
 
 
-def windows(kind: np.ndarray, hashes: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the template windows that hold enough plain words."""
-    n = len(hashes) - width + 1
+def windows(kind: np.ndarray, hashes: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and forms of the windows: each window's words as they are, and its template.
+
+    A template stands beside the words where it has a placeholder and enough plain words; without a placeholder it is the
+    same as the words, which are of form BOTH then.
+    """
+    n = hashes.shape[1] - width + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    out = np.full(n, np.uint64(width * 0x9E3779B97F4A7C15 % (1 << 64)))
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    out = np.full((2, n), np.uint64(width * 0x9E3779B97F4A7C15 % (1 << 64)))
     for k in range(width):
-        out += hashes[k:k + n] * np.uint64(_ODD[k])
+        out += hashes[:, k:k + n] * np.uint64(_ODD[k])
     upto = np.concatenate([[0], np.cumsum(kind == PLAIN)])
     plain = upto[width:] - upto[:-width]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    at = np.flatnonzero(plain >= min(LEAST_WORDS, width))
-    return at, out[at].view(np.int64)
+    row, at = np.nonzero(np.stack([np.ones(n, bool), (plain >= min(LEAST_WORDS, width)) & (plain < width)]))
+    form = np.where(row > 0, TEMPLATE, np.where(plain[at] == width, BOTH, WORDS))
+    return at, out[row, at].view(np.int64), form
 
 
 def _slots(words: list[str], kind: np.ndarray, at: int, width: int) -> list[str]:
@@ -96,43 +112,53 @@ def _slots(words: list[str], kind: np.ndarray, at: int, width: int) -> list[str]
     return [f"{k}\x1f{kind[at + k]}\x1f{words[at + k]}" for k in range(width) if kind[at + k] != PLAIN]
 
 
-WINDOWS = "width int, at int, hash long, slots array<string>"
+WINDOWS = "width int, at int, hash long, form int, slots array<string>"
 
 
 def _windows_of(rows: DataFrame, keys: list[str], least: int, wanted=None) -> DataFrame:
     """Windows of each row's whole text: of WINDOW words, or of all words where a row has fewer but at least ``least``.
 
     With ``wanted`` (a broadcast pair: filter bits and the widths to look for) windows of each width are made, and those whose
-    hash the filter rules out stay behind.
+    hash the filter rules out stay behind. Without, a first word that may be a name is taken as one too, since
+    the text before it in a document decides that there.
     """
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     extra = ", words int" if wanted is None else ""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"of": [], "width": [], "at": [], "hash": [], "slots": [], "words": []}
+            out: dict[str, list] = {"of": [], "width": [], "at": [], "hash": [], "form": [], "slots": [], "words": []}
             texts = batch["text"]
             for i in range(batch.num_rows):
-                words, kind, hashes = template(texts[i].as_py())
+                words, kind, hashes, name = _hashed(texts[i].as_py())
                 widths = wanted.value[1] if wanted else ([WINDOW] if len(words) >= WINDOW else [len(words)] if len(words) >= least else [])
                 for width in widths:
-                    at, found = windows(kind, hashes, width)
+                    at, found, form = windows(kind, hashes, width)
                     if wanted:
                         cell = found.view(np.uint64) & np.uint64(FILTER_BITS - 1)
                         hit = (wanted.value[0][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                        at, found = at[hit], found[hit]
-                    for a, h in zip(at.tolist(), found.tolist(), strict=True):
+                        at, found, form = at[hit], found[hit], form[hit]
+                    made = [(a, h, f, kind) for a, h, f in zip(at.tolist(), found.tolist(), form.tolist(), strict=True)]
+                    if wanted is None and name:
+                        inside = np.concatenate([[np.int8(NAME)], kind[1:width]])
+                        marked = np.concatenate([[np.uint64(_HASH[NAME])], hashes[1, 1:width]])
+                        _, also, forms = windows(inside, np.stack([hashes[0, :width], marked]), width)
+                        made += [(0, h, MARKED, inside) for h, f in zip(also.tolist(), forms.tolist(), strict=True) if f == TEMPLATE]
+                    for a, h, f, kinds in made:
                         out["of"].append(i)
                         out["width"].append(width)
                         out["at"].append(a)
                         out["hash"].append(h)
-                        out["slots"].append(_slots(words, kind, a, width))
+                        out["form"].append(f)
+                        # Words as they are: the item's side says where its slots are, whatever they look like in the document.
+                        out["slots"].append(_slots(words, kinds, a, width) if f >= TEMPLATE or wanted is None else [])
                         out["words"].append(len(words))
             pick = pa.array(out["of"], pa.int32())
             columns = [batch[k].take(pick) for k in keys] + [
-                pa.array(out["width"], pa.int32()), pa.array(out["at"], pa.int32()), pa.array(out["hash"], pa.int64()), pa.array(out["slots"], pa.list_(pa.string())),
+                pa.array(out["width"], pa.int32()), pa.array(out["at"], pa.int32()), pa.array(out["hash"], pa.int64()), pa.array(out["form"], pa.int32()),
+                pa.array(out["slots"], pa.list_(pa.string())),
             ]
-            names = [*keys, "width", "at", "hash", "slots"]
+            names = [*keys, "width", "at", "hash", "form", "slots"]
             if wanted is None:
                 columns.append(pa.array(out["words"], pa.int32()))
                 names.append("words")
@@ -170,12 +196,13 @@ def find_leaks(
 ) -> DataFrame:
     """Benchmark items that documents hold, verbatim or with other numbers, names and units.
 
-    One row per (id, item) with the share of the item's words in matched windows, the first matched template word
+    One row per (id, item) with the share of the item's words in matched windows, the first matched word
     of the document, and ``kind``: ``verbatim`` if all slots of some copy are equal, ``reworded`` if slots differ but each value of the
     item stands for one value throughout the copy. Copies whose slots contradict each other do not count. A
-    pair counts by half of the item's words, or by 20 of them in a row in one copy, however long the item is. Items of fewer
-    than 8 words are looked up whole; those with fewer than 4 plain words, and NULL or empty texts on either side, match
-    nothing. NULL ids are ids like any other; repeated rows give the same finding once. Other columns are left out.
+    pair counts by half of the item's words, or by 20 of them in a row in one copy, however long the item is. A window
+    matches by its words in any case, or by its template if that has 4 plain words. Where templates alone make a pair count, the
+    figures are theirs. Items of fewer than 8 words are
+    looked up whole; those of fewer than 4 words, and NULL or empty texts on either side, match nothing. NULL ids are ids like any other; repeated rows give the same finding once. Other columns are left out.
 
     Every window of every whole text is tested against a 512 KB filter of the benchmark's windows, of one size for any
     benchmark; only windows that pass it move, to an exact join by hash.
@@ -186,8 +213,15 @@ def find_leaks(
     widths = sorted(r.width for r in items.select("width").distinct().collect())
     wanted = spark.sparkContext.broadcast((_filter_bits(items), widths))
     found = _windows_of(rows, ["doc"], LEAST_WORDS, wanted)
-    of_item = items.select(F.col("item"), F.col("width").alias("w"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"), "words").distinct()
-    met = found.join(of_item, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("w")) & (F.size("slots") == F.size("item_slots")))
+    of_item = items.select(F.col("item"), F.col("width").alias("w"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"), "words").distinct()
+    typed = F.col("form") >= TEMPLATE
+    alike = (typed == (F.col("item_form") >= TEMPLATE)) & (~typed | (F.size("slots") == F.size("item_slots")))
+    met = found.join(of_item, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("w")) & alike)
+    # Where the words are equal, the document's slots are the item's.
+    met = met.withColumn("slots", F.when(typed, F.col("slots")).otherwise(F.col("item_slots")))
+    # Pairs are judged by their template windows alone (rule 0) and by all windows together (rule 1).
+    by_template = (F.col("form") == F.col("item_form")) & (F.col("form") != WORDS)
+    met = met.withColumn("rule", F.explode(F.when(by_template, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
     # Placeholders must stand at the same places and be of one kind; the hash says so, this makes sure.
     place = lambda s: F.substring_index(s, "\x1f", 2)
@@ -196,7 +230,7 @@ def find_leaks(
     met = met.withColumn("pairs", pairs).where(F.forall("pairs", lambda p: place(p["item"]) == place(p["doc"])))
     slots = F.transform("pairs", lambda p: F.struct(kind(p["item"]).alias("kind"), value(p["item"]).alias("item"), value(p["doc"]).alias("doc")))
     # Windows at one distance from the item's are one copy of it; its slots must agree with each other.
-    copies = met.groupBy("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    copies = met.groupBy("doc", "item", "rule", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("places"), F.min("at").alias("first_word"), F.max("words").alias("words"), F.max("width").alias("width"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
     )
@@ -204,16 +238,16 @@ def find_leaks(
     verbatim = F.forall("slots", lambda s: s["item"] == s["doc"])
     copies = copies.withColumn("kind", F.when(verbatim, "verbatim").when(sources == F.size("slots"), "reworded")).where("kind IS NOT NULL")
     copies = copies.withColumn("run", _longest_run(F.sort_array("places"), F.col("width")))
-    by_pair = copies.groupBy("doc", "item").agg(
+    by_pair = copies.groupBy("doc", "item", "rule").agg(
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.min("first_word").alias("first_word"), F.max("words").alias("words"),
         F.max("width").alias("width"), F.max("kind").alias("kind"), F.max("run").alias("run"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1)))))
-    result = by_pair.select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_col), (covered / F.col("words")).alias("coverage"),
-        F.col("first_word").cast("long").alias("first_word"), "kind", "run",
+    judged = by_pair.withColumn("coverage", covered / F.col("words")).where((F.col("coverage") >= coverage) | (F.col("run") >= run_words))
+    best = judged.groupBy("doc", "item").agg(F.min(F.struct("rule", "coverage", "first_word", "kind")).alias("best"))
+    return best.select(
+        F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.coverage", F.col("best.first_word").cast("long").alias("first_word"), "best.kind",
     )
-    return result.where((F.col("coverage") >= coverage) | (F.col("run") >= run_words)).drop("run")
 
 
 def remove_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
