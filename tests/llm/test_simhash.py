@@ -77,7 +77,20 @@ def test_thresholds_keep_the_pigeonhole_sum():
         assert len(bits) == len(set(bits))
         left_out = (64 - len(bits) + 63) // 64
         assert sum(p.threshold for p in parts) - left_out >= 3 - (len(parts) + left_out) + 1
-    assert simhash.plan_parts([], 0) and simhash.plan_parts([5], 1)
+
+
+@pytest.mark.parametrize("total", [0, 1, 2, 50, 10**6, 10**12])
+@pytest.mark.parametrize("sample", [[], [5], [5, -9], [7, 8, 8, 8]])
+def test_plans_stay_small(sample, total):
+    for distance in (0, 1, 3, 5):
+        parts = simhash.plan_parts(sample, total, distance)
+        assert parts and all(len(p.probes()) <= 2 * simhash.PROBES for p in parts)
+
+
+def test_no_and_one_fingerprint(spark):
+    frame = spark.createDataFrame([(5,), (5,), (None,)], "fp long")
+    assert simhash.link(frame).count() == 0
+    assert simhash.link(frame.where("false")).count() == 0
 
 
 def test_components_of_chains_stars_and_loops(spark):

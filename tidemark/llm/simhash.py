@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ SAMPLE = 2048  # distinct fingerprints that the driver sees to plan the probes
 JOINED = 128  # fingerprints of a bucket that a plain join may pair
 BLOCK = 512  # fingerprints on either side of a comparison in one block
 BITS = 64
+PROBES = 1024  # flips a part may probe for; they stand as literals in the plan
 _LOWER = bytes(c + 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 _CHUNK = 1 << 16
 
@@ -120,7 +122,9 @@ def plan_parts(sample: list[int], total: int, distance: int = DISTANCE) -> list[
     For m parts, thresholds that sum to distance - m + 1 find every pair: more differing bits in each part than its
     threshold would add up to more than the distance. Dynamic programming over the parts allots the thresholds; a part
     costs the rows it sends and the candidate pairs estimated from the sample. The plan changes cost only, never results.
+    A part that would need more than PROBES flips of one size is left out; distance + 1 parts of threshold 0 always remain.
     """
+    total = max(total, 1)
     if len(sample) < 2:
         sample = [*sample, 0, -1]
     unsigned = np.array(sample, np.int64).view(np.uint8).reshape(-1, 8)
@@ -137,6 +141,8 @@ def plan_parts(sample: list[int], total: int, distance: int = DISTANCE) -> list[
             sent = 0.0
             for t in range(most + 1):
                 sent += float(np.prod([(len(group) - i) / (i + 1) for i in range(t)])) * (0.5 if t else 1.0)
+                if math.comb(len(group), t) > PROBES:
+                    break
                 part[t] = total * (1.0 + sent) + 0.5 * total * total * chance[t]
             costs.append(part)
         reach: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -181,6 +187,8 @@ def link(fingerprints: DataFrame, fp: str = "fp", distance: int = DISTANCE) -> D
     """
     nodes = cut(fingerprints.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct())
     total = nodes.count()
+    if total < 2:
+        return nodes.where("false").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     sample = [r.fp for r in nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
     parts = plan_parts(sample, total, distance)
     plan = F.array(*[
