@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, forest, langid, licenses, pieces, quality, sharding, simhash, substrings, unitdedup
+from tidemark.llm import decontam, forest, langid, licenses, merkle, pieces, quality, sharding, simhash, substrings, unitdedup
 from tidemark.llm.common import held_out, table
 
 SHARDS = 24
@@ -77,6 +77,11 @@ def op10_substring_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", substrings.kept_hash(F.col("kept")).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    return merkle.check_documents(docs).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_embedding_forest": op9_embedding_forest,
     "op10_substring_bwt": op10_substring_bwt,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 # Units again from the rule: lines, sentences of lines with several, their words, the first occurrence of each form, merged spans.
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
@@ -150,7 +156,59 @@ SELECT DISTINCT doc_id, item_id, coverage, first_word, kind FROM (
 WHERE coverage >= {decontam.COVERAGE}
 """
 
+# The tree again level by level: enough levels for 8^6 leaves a language and 8^2 languages. DuckDB has no CRC-32, so it is worked out by its table.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+)
+_TREE = f"""
+crc_table AS (SELECT list(list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY n) AS crc_of FROM range(256) t(n)),
+changed AS (SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claimed_text FROM documents CROSS JOIN crc_table),
+leaves AS (SELECT doc_id, lang, {{leaf}} AS leaf, {{claimed}} AS f0 FROM changed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS number, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp FROM leaves),
+"""
+
+
+def _levels(name: str, first: str, depth: int) -> str:
+    """Nodes and runs of each level over ``first``, a query of (grp, number, h)."""
+    out = [f"{name}0 AS ({first})"]
+    for k in range(depth):
+        out.append(
+            f"{name}_runs{k} AS (SELECT grp, number // 8 AS parent, list(h ORDER BY number) AS run, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {name}{k}) GROUP BY ALL)"
+        )
+        out.append(f"{name}{k + 1} AS (SELECT grp, parent AS number, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {name}_runs{k})")
+    return ",\n".join(out)
+
+
+def _folded(name: str, source: str, depth: int, group: str, number: str) -> str:
+    """Each row of ``source`` with the siblings on its path through the levels of ``name`` and the digest they lead to."""
+    out, now = [], source
+    for k in range(depth):
+        place = f"({number} // {8**k}) % 8"
+        out.append(
+            f"{source}_{name}{k} AS (SELECT s.* EXCLUDE (n, l, r, proof, f0), CASE WHEN n = 1 THEN f0 ELSE sha256(l || f0 || r) END AS f0, proof || l || r AS proof FROM (SELECT s.*, {name}_runs{k}.n, "
+            f"array_to_string(run[1:{place}], '') AS l, array_to_string(run[{place} + 2:], '') AS r FROM {now} s JOIN {name}_runs{k} ON {group} = {name}_runs{k}.grp AND {number} // {8 ** (k + 1)} = parent) s)"
+        )
+        now = f"{source}_{name}{k}"
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 CHECKS: dict[str, str] = {
+    "op13_merkle_manifest": f"""
+WITH {_TREE.strip().format(leaf=_leaf_sql("text"), claimed=_leaf_sql("claimed_text"))}
+{_levels("node", "SELECT grp, number, leaf AS h FROM placed", 6)},
+{_levels("top", "SELECT 0 AS grp, grp AS number, h FROM node6", 2)},
+begun AS (SELECT *, '' AS proof FROM placed),
+{_folded("node", "begun", 6, "s.grp", "s.number")},
+inner_paths AS (SELECT * FROM begun_node5),
+{_folded("top", "inner_paths", 2, "0", "s.grp")}
+SELECT doc_id, leaf, node6.h AS subroot, top2.h AS root, sha256(proof) AS proof_sha256, f0 AS folded_root, f0 = top2.h AS verified
+FROM inner_paths_top1 p JOIN node6 ON node6.grp = p.grp CROSS JOIN top2
+""",
     "op8_decontaminate": f"""
 WITH {_templates("documents", "doc_id", "d").strip()},{_templates("benchmark", "item_id", "b")},
 met AS (SELECT DISTINCT d.owner AS doc_id, b.owner AS item_id, b.n, d.spot AS doc_spot, b.spot AS item_spot, d.spot - b.spot AS shift, d.words AS doc_words, b.words AS item_words, d.kinds AS kinds
