@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, forest, langid, licenses, merkle, pieces, quality, sharding, simhash, substrings, unitdedup
+from tidemark.llm import decontam, divergence, forest, langid, licenses, merkle, pieces, quality, sharding, simhash, substrings, tokencounts, unitdedup
 from tidemark.llm.common import held_out, table
 
 SHARDS = 24
@@ -77,6 +78,17 @@ def op10_substring_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", substrings.kept_hash(F.col("kept")).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokencounts.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencounts.with_token_counts(docs, vocabulary)
+    return counted.select("doc_id", tokencounts.n_bytes(F.col("text")).alias("n_bytes"), "n_tokens", (F.col("n_tokens") > tokencounts.LIMIT).alias("over_limit"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
     return merkle.check_documents(docs).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -93,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_embedding_forest": op9_embedding_forest,
     "op10_substring_bwt": op10_substring_bwt,
+    "op11_token_counts": op11_token_counts,
+    "op12_source_divergence": op12_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 # Units again from the rule: lines, sentences of lines with several, their words, the first occurrence of each form, merged spans.
@@ -197,7 +211,33 @@ def _leaf_sql(text: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 
 
+_SHARE = "1 + {unit}::HUGEINT * (n + 2) // (sum(n) OVER ({over}) + 2 * kept)"
+_DIVERGENCE = f"""
+docs AS (SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+said AS (SELECT row_no, lang, source, unnest(words) AS term FROM docs),
+kept_terms AS (SELECT lang, term, count(*) AS lang_n FROM said GROUP BY 1, 2 HAVING count(DISTINCT row_no) >= {divergence.LEAST_DOCS}),
+sized AS (SELECT *, count(*) OVER (PARTITION BY lang) AS kept FROM kept_terms),
+lang_shares AS (SELECT lang, term, {_SHARE.format(unit=divergence.UNIT, over="PARTITION BY lang")} AS q FROM (SELECT lang, term, kept, lang_n AS n FROM sized)),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+said_in AS (SELECT lang, source, term, count(*) AS n FROM said GROUP BY ALL),
+counts AS (SELECT g.lang, g.source, k.term, k.kept, coalesce(s.n, 0) AS n FROM groups g JOIN sized k USING (lang) LEFT JOIN said_in s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+shares AS (SELECT lang, source, term, n, {_SHARE.format(unit=divergence.UNIT, over="PARTITION BY lang, source")} AS p FROM counts),
+pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT), 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN shares a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN shares b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term GROUP BY ALL),
+telling AS (SELECT s.lang, s.source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM shares s JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM telling)
+"""
+
 CHECKS: dict[str, str] = {
+    "op12_source_divergence": f"""
+WITH {_DIVERGENCE.strip()}
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM ranked)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+""",
     "op13_merkle_manifest": f"""
 WITH {_TREE.strip().format(leaf=_leaf_sql("text"), claimed=_leaf_sql("claimed_text"))}
 {_levels("node", "SELECT grp, number, leaf AS h FROM placed", 6)},
