@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
 from tidemark import schemas
-from tidemark.operators import ingest, rollup, session, widgets
+from tidemark.operators import ingest, session, widgets
 from tidemark.operators.common import DIMS
 from tidemark.sources import files, topics
 from tidemark.sources import driver_tables as dtb
@@ -128,19 +128,6 @@ def spark_stream(df, folder):
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def test_rollup_parts_merge_to_the_batch_rollup(spark, tmp_path):
-    page_rows = dtb.page_flow(spark, SF_DIR)
-    # A tenth of the rows comes twice, again in the last batches, and an old version of some before the right one.
-    twice = page_rows.withColumn("_at", F.col("page_start_tm")).unionByName(page_rows.filter("page_id % 10 = 0").withColumn("_at", F.lit(2 * BASE)))
-    stream = split_files(twice, tmp_path / "pages", "_at", 3).drop("_at")
-    run(stream, streams.rollup_sink(str(tmp_path / "roll")), "rollup", tmp_path)
-    by = ["log_date", "page_name"]
-    got = streams.read_rollup(spark, str(tmp_path / "roll"), by)
-    want = rollup.merge_rollup(rollup.page_daily(page_rows), by, rollup.rollup_devices(page_rows, by))
-    cols = sorted(want.columns)
-    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
-
-
 def page_events(spark, rows):
     """Events (id, ms, device, type) with the columns of the page builder."""
     df = spark.createDataFrame(rows, "event_id long, log_tm long, device_id string, log_type long")
@@ -158,7 +145,9 @@ FLUSH = (10**6, 2 * BASE, "flush", lt.WEB_START)
 
 
 def stream_pages(df, folder, parts, by, tmp_path, idle_ms=10**13):
-    stream = split_files(df, folder, by, parts).drop("_at").withWatermark("log_tm_dt", "10 minutes")
+    split_files(df, folder, by, parts)
+    by_entry = streams.stateful_session(df.sparkSession).readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    stream = by_entry.drop("_at").withWatermark("log_tm_dt", "10 minutes")
     run(pages.build_pages_stream(stream, idle_ms=idle_ms), streams.table_sink(str(tmp_path / "built"), ["log_date"]), "pages", tmp_path)
     return df.sparkSession.read.parquet(str(tmp_path / "built")).drop("batch_id")
 
@@ -203,6 +192,64 @@ def test_idle_pages_close_by_timeout(spark, tmp_path):
     assert {k: r.page_no for k, r in got.items()} == {("a", BASE): 1, ("a", BASE + 6 * hour): 2, ("b", BASE + 2 * hour): 1, ("b", BASE + 4 * hour): 2}
 
 
+def test_a_batch_of_one_device_writes_its_own_rows_of_state(spark, tmp_path):
+    day = 86_400_000
+    rows = [(i, BASE + i * 1000, f"d{i % 20}", lt.WEB_START if i < 20 else lt.WEB_CLICK) for i in range(400)]
+    first, second = page_events(spark, rows), page_events(spark, [(1000 + i, BASE + 400_000 + i, "d3", lt.WEB_CLICK) for i in range(5)])
+    session = streams.stateful_session(spark)
+    updated = []
+    for frame in (first, second):
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = session.readStream.schema(frame.schema).parquet(str(tmp_path / "in")).withWatermark("log_tm_dt", "1 day")
+        query = streams.run_stream(pages.build_pages_stream(stream, idle_ms=day), streams.table_sink(str(tmp_path / "out"), ["log_date"]), "own", str(tmp_path / "cp"), available_now=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        with_rows = [p for p in query.recentProgress if p["numInputRows"]]
+        updated.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in with_rows))
+    # Each row is an entry; beside them a device has its page and its timer. The second run writes for one device only.
+    assert updated[0] >= 400 and updated[1] <= 5 + 4
+
+
+def arriving(spark, rows):
+    """Rows of (key, event minute, arrival minute)."""
+    df = spark.createDataFrame(rows, "event_id long, at long, came long")
+    return df.withColumns({"log_tm_dt": F.timestamp_millis(BASE + F.col("at") * 60_000), "reg_dt": F.timestamp_millis(BASE + F.col("came") * 60_000)})
+
+
+def test_dedup_before_the_sink(spark, tmp_path):
+    rows = [(i, i, i + i % 4) for i in range(60)]
+    copies = [(i, at, came + 3) for i, at, came in rows if i % 5 == 0] + [(i, at, came + 1) for i, at, came in rows if i % 7 == 0]
+    odd = [(100, 1, 30), (101, 50, 40), (102, 2, 59), (100, 1, 31)]  # late, ahead of its time, late, late again
+    df = arriving(spark, [*rows, *copies, *odd, (103, 900, 900)]).unionByName(arriving(spark, [(104, 5, 6)]).withColumn("log_tm_dt", F.lit(None).cast("timestamp")))
+    stream = split_files(df.withColumn("_came", F.col("came").cast("double")), tmp_path / "in", "_came", 5).drop("_came")
+    sinks = [streams.table_sink(str(tmp_path / name), []) for name in ("once", "late")]
+    for query in streams.run_deduplicated(stream, ["event_id"], "log_tm_dt", "reg_dt", "10 minutes", "5 minutes", *sinks, "dedup", str(tmp_path / "cp"), available_now=True):
+        query.awaitTermination(120)
+        assert query.exception() is None
+    once = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "once")).collect())
+    assert once == [*range(60), 103]
+    late = sorted((r.event_id, r.came) for r in spark.read.parquet(str(tmp_path / "late")).collect())
+    assert late == [(100, 30), (100, 31), (101, 40), (102, 59), (104, 6)]
+
+
+def test_session_windows_with_late_rows(spark, tmp_path):
+    gap = 30 * 60_000
+    minutes = {"a": [0, 10, 40, 71, 200, 230], "b": [0, 31, 62, 93], "c": [5, 5, 35, 65], "d": [1000]}
+    rows = [(d, BASE + m * 60_000, i) for d, ms in minutes.items() for i, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "device_id string, page_start_tm long, page_id long").withColumns({
+        "package_nm": F.lit("p"), "page_end_tm": F.col("page_start_tm") + 500, "log_type": F.lit(lt.WEB_START).cast("long"), "req_url": F.lit("/"),
+        # Pages come in three batches; some that join two sessions come last.
+        "_at": F.when(F.col("page_id") % 2 == 1, F.lit(2.0)).otherwise(F.lit(1.0)),
+    })
+    flush = df.limit(1).withColumns({"device_id": F.lit("flush"), "page_start_tm": F.lit(2 * BASE), "_at": F.lit(3.0)})
+    stream = split_files(df.unionByName(flush), tmp_path / "in", "_at", 3).drop("_at")
+    run(streams.session_stream(stream, gap, "5 hours"), streams.table_sink(str(tmp_path / "out"), []), "sessions", tmp_path)
+    got = {(r.device_id, r.parent_log_date): (r.page_count, r.last_page_tm) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = session.sessionize(df.drop("_at"), gap, starters=()).groupBy("device_id", "parent_log_date").agg(F.count(F.lit(1)).alias("n"), F.max("page_start_tm").alias("last"))
+    assert got == {(r.device_id, r.parent_log_date): (r.n, r.last) for r in batch.collect()}
+    assert {k[1] for k in got if k[0] == "b"} == {BASE + m * 60_000 for m in minutes["b"]}
+
+
 def test_increment_keeps_the_newest_row(spark, tmp_path):
     # Rows of a key come in any order over the batches; the first batch of key 3 holds its newest row.
     rows = [(i % 20, BASE + i, i) for i in range(60)] + [(3, BASE + 500, 999), (3, BASE + 1, 1000)]

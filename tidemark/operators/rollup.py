@@ -68,6 +68,26 @@ def rollup_devices(pages: DataFrame, by: Sequence[str]) -> DataFrame:
     return _clean(pages, extra).select(*by, "device_id").distinct()
 
 
+def signed_rollup(changes: DataFrame, by: Sequence[str], sign: str) -> DataFrame:
+    """Mergeable parts of signed rows, +1 for a row that came and -1 for one that went; groups left as they were give no row."""
+    rows = _clean(changes, [c for c in by if c in ("page_name", "device_model")])
+    signed = [F.coalesce(F.sum(F.col(c) * F.col(sign)), F.lit(0)).cast("long").alias(c) for c in SUMMED]
+    for name in AVERAGED:
+        signed += [
+            F.coalesce(F.sum(F.col(name) * F.col(sign)), F.lit(0)).cast("long").alias(f"sum_{name}"),
+            F.coalesce(F.sum(F.when(F.col(name).isNotNull(), F.col(sign))), F.lit(0)).cast("long").alias(f"n_{name}"),
+        ]
+    parts = rows.groupBy(*by).agg(*signed, F.sum(sign).cast("long").alias("cnt"))
+    measures = [c for c in parts.columns if c not in by]
+    return parts.filter(F.greatest(*[F.abs(c) for c in measures]) > 0)
+
+
+def signed_devices(changes: DataFrame, by: Sequence[str], sign: str) -> DataFrame:
+    """How many rows of each group and device came or went; a device is in a group while the sum over all changes is positive."""
+    rows = _clean(changes, [c for c in by if c in ("page_name", "device_model")])
+    return rows.groupBy(*by, "device_id").agg(F.sum(sign).cast("long").alias("n")).filter("n <> 0")
+
+
 def merge_rollup(rollup: DataFrame, by: Sequence[str], devices: DataFrame | None = None) -> DataFrame:
     """Merge stored rows: sums of sums, sum / count averages, devices counted from their own table.
 

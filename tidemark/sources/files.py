@@ -96,7 +96,7 @@ def compact(
     if not settled:
         return
     rows = _batches(spark, path, schema, [day])
-    if _exists(spark, target):
+    if exists(spark, target):
         before = spark.read.schema(schema).parquet(target).filter(F.col("log_date") == F.lit(day))
         rows = rows.unionByName(before.withColumn("batch_id", F.lit(-1).cast("long")))
     day_rows = _newest(rows, schema, keys, version)
@@ -148,7 +148,7 @@ def _files(spark: SparkSession, path: str):
     return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     system, root = _files(spark, path)
     return system.exists(root)
 
@@ -178,6 +178,20 @@ def _remove(spark: SparkSession, path: str, folders: Sequence[DayFolder]) -> Non
             system.delete(batch, True)
 
 
+def remove_below(spark: SparkSession, path: str, key: str, limit: int) -> None:
+    """Delete the ``key=number`` folders of a table whose number is less than ``limit``."""
+    system, root = _files(spark, path)
+    for status in system.listStatus(root) if system.exists(root) else ():
+        name, _, number = status.getPath().getName().partition("=")
+        if name == key and int(number) < limit:
+            system.delete(status.getPath(), True)
+
+
+def remove_batches(spark: SparkSession, path: str, upto: int) -> None:
+    """Delete the folders of batches up to ``upto``."""
+    remove_below(spark, path, "batch_id", upto + 1)
+
+
 def drop_expired_partitions(spark: SparkSession, path: str, days: int, as_of: dt.date) -> list[str]:
     """Delete ``log_date=`` folders older than the retention, without reading them; those below batch folders too.
 

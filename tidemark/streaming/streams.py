@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators import ingest, rollup
-from tidemark.operators.common import DIMS, count_rows
+from tidemark import logtypes as lt
+from tidemark.operators import ingest
+from tidemark.operators.common import count_rows
 from tidemark.sources import decode, files
 
 BatchFn = Callable[[DataFrame, int], None]
+BY_ENTRY = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state by entry; the caller's settings stay as they are."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", BY_ENTRY)
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        session.conf.set(name, spark.conf.get(name))
+    return session
 
 
 def run_stream(
@@ -92,39 +103,52 @@ def read_increment(spark: SparkSession, path: str, schema: T.StructType, keys: S
     return files.read_latest(spark, path, schema, keys, version)
 
 
-PAGE_KEYS = ("device_id", "page_id")
+def split_late(rows: DataFrame, event_time: str, arrival: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that came within ``delay`` of their own time, and the rest: those that came later, before their time, or without one.
+
+    A watermark drops late rows without a trace; told apart by their arrival, they can be kept.
+    """
+    own, came = F.col(event_time), F.col(arrival)
+    in_time = F.coalesce(own.between(came - F.expr(f"INTERVAL {delay}"), came), F.lit(False))
+    return rows.filter(in_time), rows.filter(~in_time)
 
 
-def rollup_sink(path: str, keys: Sequence[str] = PAGE_KEYS, version: str | None = None) -> BatchFn:
-    """Keep the daily page rollup and its devices as of the rows so far.
+def dedup_stream(rows: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
+    """The first arrival of each key, whatever batches bring the copies: the stream's form of ``ingest.dedup_latest`` for rows that do not change.
 
-    A micro-batch's page rows are stored under its id, and each day it touches is built again from the day's settled rows. A row sent
-    twice counts once, a newer row replaces the older, and late rows go where they belong.
+    A key is remembered until the watermark is ``delay`` past its row, so state is bounded by that much of the stream.
     """
+    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            spark, stored = batch.sparkSession, f"{path}/pages"
-            files.write_batch(files.one_per_doc(batch, list(keys), version), stored, batch_id, ["log_date"])
-            # A batch touches few days; their number does not grow with its rows.
-            days = [r.log_date for r in batch.select("log_date").distinct().collect()]
-            if not days:
-                return
-            settled = files.read_latest(spark, stored, batch.schema, keys, version, days)
-            files.write_partitioned(rollup.page_daily(settled).drop("device_count"), f"{path}/parts", ["log_date"], "overwrite")
-            files.write_partitioned(rollup.rollup_devices(settled, ["log_date", *DIMS, "page_name"]), f"{path}/devices", ["log_date"], "overwrite")
-        finally:
-            batch.unpersist()
 
-    return write
+def run_deduplicated(
+    rows: DataFrame, keys: Sequence[str], event_time: str, arrival: str, delay: str, slack: str, sink: BatchFn, late_sink: BatchFn, name: str,
+    checkpoint: str, trigger_s: int | None = None, available_now: bool = False,
+) -> list[StreamingQuery]:
+    """Two runs over one source: each key's row once to ``sink``, and late rows as they are to ``late_sink``.
 
+    ``slack`` is how far rows of the source may be out of order by arrival; the watermark waits that much longer, so no row that is in time is dropped.
+    """
+    in_time, late = split_late(rows, event_time, arrival, delay)
+    once = dedup_stream(in_time, keys, event_time, f"{delay} {slack}")
+    return [
+        run_stream(once, sink, name, f"{checkpoint}/rows", trigger_s, available_now),
+        run_stream(late, late_sink, f"{name}_late", f"{checkpoint}/late", trigger_s, available_now),
+    ]
 
-def read_rollup(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
-    """Merge the stored days; distinct devices come from their own table."""
-    parts = spark.read.parquet(f"{path}/parts")
-    devices = spark.read.parquet(f"{path}/devices").select(*by, "device_id").distinct()
-    return rollup.merge_rollup(parts, by, devices)
+
+def session_stream(pages: DataFrame, gap_ms: int, delay: str, ts: str = "page_start_tm", by: Sequence[str] = ("package_nm", "device_id")) -> DataFrame:
+    """Sessions by idle gap with their first and last moments and page counts; a late page extends a session, or joins two.
+
+    A session is given out once the watermark has passed its end by the gap. Pages whose distance is the gap itself are of one session, as in
+    ``session.sessionize``.
+    """
+    timed = pages.withColumn("_at", F.timestamp_millis(ts)).withWatermark("_at", delay)
+    sessions = timed.groupBy(*by, F.session_window("_at", f"{gap_ms + 1} milliseconds")).agg(
+        F.min(ts).alias("parent_log_date"), F.max(ts).alias("last_page_tm"), count_rows("page_count"), F.max("page_end_tm").alias("session_end_tm"),
+        F.count_if(F.col("log_type") == lt.CRASH).alias("crash_count"),
+    )
+    return sessions.drop("session_window")
 
 
 def counts_sink(path: str, keys: Sequence[str] = ("package_nm", "server_type")) -> BatchFn:
