@@ -11,6 +11,7 @@ the column a term looks at, and the term's test is put on it.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
@@ -121,47 +122,49 @@ class Field:
     guard: Column | None = None
 
 
-def _json(col: str, key: str) -> Column:
-    return F.get_json_object(F.col(col), f"$['{key}']")
+def _json(col: str, key: str, parsed: bool) -> Column:
+    """Text under a key of a JSON column, which is text itself or a variant parsed before."""
+    path = f"$['{key}']"
+    return F.try_variant_get(F.col(col), path, "string") if parsed else F.get_json_object(F.col(col), path)
 
 
 def _or_empty(*texts: Column) -> Column:
     return F.coalesce(*texts, F.lit(""))
 
 
-def _plain(name: str, term: Term, as_of: dt.datetime) -> Field:
+def _plain(name: str, term: Term, as_of: dt.datetime, parsed: bool) -> Field:
     return Field(F.col(name))
 
 
-def _page_view(keys: tuple[str, ...], term: Term, as_of: dt.datetime) -> Field:
-    return Field(F.concat(*[_or_empty(_json("event_params", key)) for key in keys]), F.col("event_name") == "page_view")
+def _page_view(keys: tuple[str, ...], term: Term, as_of: dt.datetime, parsed: bool) -> Field:
+    return Field(F.concat(*[_or_empty(_json("event_params", key, parsed)) for key in keys]), F.col("event_name") == "page_view")
 
 
-def _event(term: Term, as_of: dt.datetime) -> Field:
-    return Field(F.col("event_name") if term.blank else _or_empty(_json("event_params", "value")))
+def _event(term: Term, as_of: dt.datetime, parsed: bool) -> Field:
+    return Field(F.col("event_name") if term.blank else _or_empty(_json("event_params", "value", parsed)))
 
 
-def _free_key(term: Term, as_of: dt.datetime) -> Field | None:
+def _free_key(term: Term, as_of: dt.datetime, parsed: bool) -> Field | None:
     if not term.name:
         return None
-    key = "".join(ch if ch.isalnum() or ch in "_-" else "_" for ch in term.name)
-    return Field(_or_empty(_json("event_params", key), _json("user_properties", key)))
+    key = re.sub(r"[^\w-]", "_", term.name)
+    return Field(_or_empty(_json("event_params", key, parsed), _json("user_properties", key, parsed)))
 
 
-Reader = Callable[[Term, dt.datetime], Field | None]
+Reader = Callable[[Term, dt.datetime, bool], Field | None]
 READERS: dict[int, Reader] = {
     **{number: partial(_plain, name) for number, name in COLUMNS.items()},
     **{number: partial(_page_view, keys) for number, keys in PAGE_VIEW.items()},
-    12: lambda term, as_of: Field((F.length(_or_empty(F.col("user_id"))) > 0).cast("long")),
-    13: lambda term, as_of: Field(_or_empty(_json("user_properties", "grade"))),
-    14: lambda term, as_of: Field(user_status(F.col("event_time"), as_of)),
+    12: lambda term, as_of, parsed: Field((F.length(_or_empty(F.col("user_id"))) > 0).cast("long")),
+    13: lambda term, as_of, parsed: Field(_or_empty(_json("user_properties", "grade", parsed))),
+    14: lambda term, as_of, parsed: Field(user_status(F.col("event_time"), as_of)),
 }
 
 
-def resolve_field(term: Term, as_of: dt.datetime) -> Field | None:
-    """Column of a term: by its field id, else by its name in the two JSON columns."""
+def resolve_field(term: Term, as_of: dt.datetime, parsed: bool = False) -> Field | None:
+    """Column of a term: by its field id, else by its name in the two JSON columns, which are variants if ``parsed``."""
     beyond = _event if (term.field_id or 0) >= FIRST_EVENT_FIELD else _free_key
-    return READERS.get(term.field_id, beyond)(term, as_of)
+    return READERS.get(term.field_id, beyond)(term, as_of, parsed)
 
 
 @dataclass(frozen=True)
@@ -206,12 +209,15 @@ def _row_test(term: Term, found: Field) -> Column:
     return F.coalesce(_all(parts), F.lit(False))
 
 
-def build_predicate(groups: Sequence[Mapping[str, Any]] | None, as_of: dt.datetime) -> Predicate:
-    """Condition tree to row and count conditions. Rows that cannot be read are skipped, and groups left empty by that."""
+def build_predicate(groups: Sequence[Mapping[str, Any]] | None, as_of: dt.datetime, parsed: bool = False) -> Predicate:
+    """Condition tree to row and count conditions. Rows that cannot be read are skipped, and groups left empty by that.
+
+    ``parsed`` says that the JSON columns are variants, parsed once by ``decode.with_variants`` however many conditions look at them.
+    """
     out, wheres = Predicate(), []
     for group in groups or ():
         terms = [term for row in group.get("conditions") or () if (term := Term.read(row))]
-        found = [(term, place) for term in terms if (place := resolve_field(term, as_of))]
+        found = [(term, place) for term in terms if (place := resolve_field(term, as_of, parsed))]
         tests = [_row_test(term, place) for term, place in found if not term.counted]
         counts = [
             CountTerm(F.col("event_name") == term.name if term.name else place.value.isNotNull(), term) for term, place in found if term.counted

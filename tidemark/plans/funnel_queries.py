@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import conditions, funnel
 from tidemark.plans.registry import Tables, query
+from tidemark.sources import decode
 
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 START, END = dt.datetime(2024, 1, 8, tzinfo=dt.timezone.utc), dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
@@ -54,16 +55,21 @@ def _(t: Tables):
 _PAGE = "event_name = 'view' AND"
 
 
-@query(
-    "condition_operators",
-    f"""
+CONDITION_FLAGS = f"""
     SELECT regexp_matches(device_model, 'M1[0-5]') AS by_regex, starts_with(device_model, 'M1') AS by_start, ends_with(device_id, '7') AS by_end, contains(lower(platform), 'roi') AS by_part,
            app_version > '1.2' AS by_more, app_version < '1.2' AS by_less, app_version >= '1.2' AS by_order, app_version <= '1.2' AS by_most, is_first_open = 1 AS by_flag, user_id <> '' AS by_login,
            k = 5 AS by_key, k IN (5, 7, 50) AS by_list, {_PAGE} 'p' || (k % 12) IN ('p3', 'p4') AS by_page, {_PAGE} '/p' || (k % 12) || '?k=' || k = '/p3?k=3' AS by_path,
            {_PAGE} k >= 0 AS by_host, count(*) AS cnt FROM mkt_event GROUP BY ALL
-    """,
-)
+"""
+
+
+@query("condition_operators", CONDITION_FLAGS)
 def _(t: Tables):
+    return condition_flags(t, parsed=False)
+
+
+def condition_flags(t: Tables, parsed: bool):
+    """How rows meet each kind of condition, read from JSON text or from variants parsed before."""
     rows = {
         "by_regex": {"field": "model", "operator": 1, "value": "M1[0-5]"},
         "by_start": {"field": "model", "operator": 2, "value": " M1 "},
@@ -89,10 +95,16 @@ def _(t: Tables):
         F.concat(F.lit("?k="), F.get_json_object("event_params", "$.k")).alias("query"),
     ))
     frame = t.marketing.withColumns({"event_params": params, "event_name": F.when(F.col("event_name") == "view", "page_view").otherwise(F.col("event_name"))})
-    tests = {name: conditions.build_predicate([{"conditions": [row]}], AS_OF).where for name, row in rows.items()}
+    frame = decode.with_variants(frame) if parsed else frame
+    tests = {name: conditions.build_predicate([{"conditions": [row]}], AS_OF, parsed).where for name, row in rows.items()}
     return frame.withColumns(tests).groupBy(*rows).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+@query("condition_operators_variant", CONDITION_FLAGS)
+def _(t: Tables):
+    return condition_flags(t, parsed=True)
+
+
 @query(
     "condition_counts",
     """

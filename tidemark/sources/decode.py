@@ -5,6 +5,8 @@ A line is split once and read by position. The layouts are fixed values of the c
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +155,11 @@ def decode_marketing(df: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
+def with_variants(rows: DataFrame, cols: Sequence[str] = ("event_params", "user_properties")) -> DataFrame:
+    """JSON text columns as variants, parsed once a row; text that is no JSON becomes NULL. Written tables keep them as they are."""
+    return rows.withColumns({c: F.try_parse_json(c) for c in cols})
+
+
 def with_url_parts(df: DataFrame, col: str, path: str = "url_path", query: str = "url_query") -> DataFrame:
     """Add the path before ``?`` and the query after it."""
     return df.withColumn(path, text.url_path(col)).withColumn(query, text.url_query(col))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -90,19 +91,20 @@ def compact(
     """Settle one day of a batch-written table into a table without batch folders, and then remove the day's batch folders.
 
     Only the day's folders are read. Rows settled before take part, older than any batch, so rows that come late and a second
-    run are fine. The batch folders go only after the target is written; a run that fails before leaves both as they were.
+    run are fine. The new day folder is written aside and takes the old one's place by renaming; the old one and the batch folders go only after that.
+    A run that fails on the way leaves them, and the next one puts an old day folder back that has none in its place.
     """
+    _restore(spark, target, day)
     settled = [f for f in _day_folders(spark, path) if f.day == day.isoformat()]
     if not settled:
         return
     rows = _batches(spark, path, schema, [day])
-    if exists(spark, target):
+    if exists(spark, f"{target}/log_date={day}"):
         before = spark.read.schema(schema).parquet(target).filter(F.col("log_date") == F.lit(day))
         rows = rows.unionByName(before.withColumn("batch_id", F.lit(-1).cast("long")))
-    day_rows = _newest(rows, schema, keys, version)
-    (
-        _balanced(day_rows, PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(target)
-    )
+    staged = f"{target}/_staged/{uuid.uuid4().hex}"
+    write_partitioned(_newest(rows, schema, keys, version), staged)
+    _switch(spark, staged, target, day)
     _remove(spark, path, settled)
 
 
@@ -148,6 +150,33 @@ def _files(spark: SparkSession, path: str):
     return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
 
 
+def _switch(spark: SparkSession, staged: str, target: str, day: dt.date) -> None:
+    """Put a day folder in the place of the old one, which is kept aside until the new one is there."""
+    name, aside = f"log_date={day}", f"{target}/_replaced"
+    system, new = _files(spark, f"{staged}/{name}")
+    _, place = _files(spark, f"{target}/{name}")
+    _, old = _files(spark, f"{aside}/{name}")
+    if system.exists(place):
+        system.mkdirs(old.getParent())
+        if not system.rename(place, old):
+            raise OSError(f"{place} cannot be renamed")
+    if not system.rename(new, place):
+        raise OSError(f"{new} cannot be renamed")
+    for done in (old, new.getParent()):
+        system.delete(done, True)
+
+
+def _restore(spark: SparkSession, target: str, day: dt.date) -> None:
+    """Undo or end a switch that stopped half way."""
+    system, place = _files(spark, f"{target}/log_date={day}")
+    _, old = _files(spark, f"{target}/_replaced/log_date={day}")
+    if system.exists(old):
+        if system.exists(place):
+            system.delete(old, True)
+        elif not system.rename(old, place):
+            raise OSError(f"{old} cannot be renamed")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, root = _files(spark, path)
     return system.exists(root)

@@ -45,7 +45,7 @@ class _Images(StatefulProcessor):
         made = Row(SIGN, *self.columns)
         for at, row in newest.items():
             image = tuple(row[c] for c in self.columns)
-            old = self.images.getValue(at) if self.images.containsKey(at) else None
+            old = self.images.getValue(at)
             if old is not None:
                 if old[0] > row["_version"]:
                     continue

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import logtypes as lt
-from tidemark.operators import ingest
+from tidemark.operators import ingest, widgets
 from tidemark.operators.common import count_rows
 from tidemark.sources import decode, files
 
@@ -151,6 +152,65 @@ def session_stream(pages: DataFrame, gap_ms: int, delay: str, ts: str = "page_st
     return sessions.drop("session_window")
 
 
+def sample_sink(path: str, metric: str, ids: Sequence[str], slow_ms: int = 1500, cap: int = 2000, seed: int = 0, by: Sequence[str] = ("package_nm", "server_type")) -> BatchFn:
+    """Keep what a batch adds to ``widgets.scatter_sample`` of all rows: its slow rows, and its ``cap`` first others of each app by hash.
+
+    The first of all rows are among the first of their batches, so the samples of the batches merge to that of all rows, whatever the batches. A
+    batch writes ``cap`` others of an app at most.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = files.one_per_doc(batch, list(ids))
+        files.write_batch(widgets.scatter_sample(rows, metric, "", ids, "all", slow_ms, cap, seed=seed, by=by), path, batch_id, [])
+
+    return write
+
+
+def read_sample(
+    spark: SparkSession, path: str, schema: T.StructType, metric: str, ids: Sequence[str], slow_ms: int = 1500, cap: int = 2000, seed: int = 0,
+    by: Sequence[str] = ("package_nm", "server_type"),
+) -> DataFrame:
+    """The sample of all rows so far, from those of the batches; a row that several batches brought counts once."""
+    rows = files.read_latest(spark, path, schema, ids)
+    return widgets.scatter_sample(rows, metric, "", ids, "all", slow_ms, cap, seed=seed, by=by)
+
+
+def join_intervals(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, delay: str, before: str, after: str, keep_unmatched: bool = True,
+) -> DataFrame:
+    """Rows of two streams with equal keys, the right one from ``before`` the left row's time to ``after`` it, whichever comes first.
+
+    Both sides wait for their watermark and the range, so state is bounded on either side. A left row without a partner is given out, with NULLs, once none
+    can come any more. The right side's keys are left out; its other columns need names of their own.
+    """
+    one, two = left.withWatermark(left_time, delay), right.withWatermark(right_time, delay).withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k) == F.col(f"_r_{k}") for k in keys]
+    near = F.col(right_time).between(F.col(left_time) - F.expr(f"INTERVAL {before}"), F.col(left_time) + F.expr(f"INTERVAL {after}"))
+    met = one.join(two, reduce(Column.__and__, [*same, near]), "left" if keep_unmatched else "inner")
+    return met.drop(*[f"_r_{k}" for k in keys])
+
+
+def replay_loads(actions: DataFrame, pages: DataFrame, delay: str, wait: str) -> DataFrame:
+    """Replay actions with the loading time of the page that begins with them, the stream's form of ``session.replay_actions``.
+
+    The page row of (device, time) may come before or after the action; actions without one by ``wait`` keep NULL. Both frames have ``log_tm``-like moments in
+    epoch milliseconds, ``page_start_tm`` for pages.
+    """
+    shown = actions.filter(F.col("log_type").isin(*lt.REPLAY)).withColumn("_at", F.timestamp_millis("log_tm"))
+    loads = pages.select("device_id", F.col("page_start_tm").alias("log_tm"), F.col("loading_time").alias("_load"), F.timestamp_millis("page_start_tm").alias("_load_at"))
+    met = join_intervals(shown, loads, ["device_id", "log_tm"], "_at", "_load_at", delay, wait, wait)
+    return met.withColumn("loading_time", F.when(F.col("log_type").isin(*lt.WEB_PAGE), F.col("_load"))).drop("_load", "_at", "_load_at")
+
+
+def late_identities(events: DataFrame, identities: DataFrame, delay: str, wait: str) -> DataFrame:
+    """Events with ``mapped_user``, the user that an identity row names for the device up to ``wait`` before or after; NULL if none comes.
+
+    A device with several identity rows in that time gives a row for each, newest settled by ``ingest.dedup_latest`` downstream, by ``identity_at``.
+    """
+    named = identities.filter(F.trim("user_id") != "").select("device_id", F.col("user_id").alias("mapped_user"), F.col("updated_at").alias("identity_at"))
+    return join_intervals(events, named, ["device_id"], "event_time", "identity_at", delay, wait, wait)
+
+
 def counts_sink(path: str, keys: Sequence[str] = ("package_nm", "server_type")) -> BatchFn:
     """Rows of each micro-batch by key with the newest arrival, the running counters' increments.
 
