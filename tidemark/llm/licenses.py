@@ -62,6 +62,7 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _GAPS = bytes(c if chr(c).isascii() and chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
 _TO_WORDS = bytes(_GAPS[c] + 0x20 if 0x41 <= c <= 0x5A else _GAPS[c] for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_LEAD = re.compile(r"[ \t:]*")
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:\-]*)")
 
 
@@ -73,16 +74,19 @@ def freedom_of(label: str) -> int:
     return {"agpl": 2, "lgpl": 2, "gpl": 2, "cc-by-sa": 2}.get(family[1], 1) if family else 0
 
 
-def parse_expression(text: str) -> tuple[list[str], str, int] | None:
-    """Read a licence expression at the start of ``text`` with the shunting-yard algorithm.
+Token = tuple[str, bool]  # a licence name, or an operator
+
+
+def parse_expression(text: str, begin: int = 0) -> tuple[list[str], str, int] | None:
+    """Read a licence expression that begins at a place of ``text`` with the shunting-yard algorithm; it ends with its line at the latest.
 
     Returns the licence names in order, the expression in postfix form and its freedom: ``or`` takes the freest side, ``and``
     the least free, ``with`` keeps its licence, one class freer for a copyleft licence. Reading ends where no
     token fits; a dangling operator or open bracket is left out. None if no licence name is there.
     """
-    out: list[str] = []
+    out: list[Token] = []
     waiting: list[str] = []
-    operand_next, at = True, 0
+    operand_next, at = True, begin
     while match := _TOKEN.match(text, at):
         token = match[1]
         word = token.lower()
@@ -90,7 +94,7 @@ def parse_expression(text: str) -> tuple[list[str], str, int] | None:
             if operand_next:
                 break
             while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[word]:
-                out.append(waiting.pop())
+                out.append((waiting.pop(), True))
             waiting.append(word)
             operand_next = True
         elif token == "(":
@@ -101,12 +105,12 @@ def parse_expression(text: str) -> tuple[list[str], str, int] | None:
             if operand_next or "(" not in waiting:
                 break
             while waiting[-1] != "(":
-                out.append(waiting.pop())
+                out.append((waiting.pop(), True))
             waiting.pop()
         else:
             if not operand_next:
                 break
-            out.append(word.rstrip(".:"))
+            out.append((word.rstrip(".:"), False))
             operand_next = False
         at = match.end()
     if operand_next:  # what waits for an operand that never came
@@ -114,25 +118,37 @@ def parse_expression(text: str) -> tuple[list[str], str, int] | None:
             waiting.pop()
         if waiting:
             waiting.pop()
-    out += [op for op in reversed(waiting) if op != "("]
+    out += [(op, True) for op in reversed(waiting) if op != "("]
     return evaluate(out)
 
 
-def evaluate(postfix: list[str]) -> tuple[list[str], str, int] | None:
+def join_labels(labels: list[str], links: list[str]) -> list[Token]:
+    """Postfix form of labels, whatever their characters, with ``and`` or ``or`` between each and the next."""
+    out: list[Token] = [(labels[0], False)]
+    waiting: list[str] = []
+    for link, label in zip(links, labels[1:], strict=True):
+        while waiting and PRECEDENCE[waiting[-1]] >= PRECEDENCE[link]:
+            out.append((waiting.pop(), True))
+        waiting.append(link)
+        out.append((label, False))
+    return out + [(op, True) for op in reversed(waiting)]
+
+
+def evaluate(postfix: list[Token]) -> tuple[list[str], str, int] | None:
     """Names, postfix text and freedom of an expression in postfix form."""
     names: list[str] = []
     stack: list[int] = []
-    exceptions = {i - 1 for i, token in enumerate(postfix) if token == "with"}
-    for i, token in enumerate(postfix):
-        if token in PRECEDENCE and len(stack) >= 2:
+    exceptions = {i - 1 for i, token in enumerate(postfix) if token == ("with", True)}
+    for i, (token, operator) in enumerate(postfix):
+        if operator and len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
             free = {"or": max(left, right), "and": min(left, right), "with": 3 if left == 2 else left}
             stack.append(free[token])
-        elif token not in PRECEDENCE:
+        elif not operator:
             stack.append(freedom_of(token))
             if i not in exceptions:
                 names.append(token)
-    return (names, " ".join(postfix), stack[-1]) if names and len(stack) == 1 else None
+    return (names, " ".join(token for token, _ in postfix), stack[-1]) if names and len(stack) == 1 else None
 
 
 @lru_cache(maxsize=8)
@@ -160,8 +176,9 @@ def scan(text: str | None, notices: tuple[Notice, ...]) -> tuple:
     if not hits:
         return len(words), 0, None, None, "", "", 0.0, "", None
     base, base_labels, labels, found = [], set(), {}, []
-    for start, which in hits:
-        at = flat.count(b" ", 0, start)
+    at = passed = 0
+    for start, which in sorted(hits):
+        at, passed = at + flat.count(b" ", passed, start), start
         if which < 0:
             found.append((at, None))
             continue
@@ -176,8 +193,7 @@ def scan(text: str | None, notices: tuple[Notice, ...]) -> tuple:
         spots = list(_WORD.finditer(text))
         for at, notice in found:
             if notice is None:
-                line = text[spots[at + 2].end():].split("\n", 1)[0].lstrip(" \t:")
-                if read := parse_expression(line):
+                if read := parse_expression(text, _LEAD.match(text, spots[at + 2].end()).end()):
                     readings.append(read[1:])
                     for name in read[0]:
                         labels[name] = max(labels.get(name, 0.0), TAG_STRENGTH)
@@ -194,24 +210,30 @@ def scan(text: str | None, notices: tuple[Notice, ...]) -> tuple:
 
 def _join_notices(found: list[tuple[int, Notice]], words: list[bytes]) -> list[tuple[str, int]]:
     """Notices with only ``and`` or ``or`` (and articles) between them make one expression, read like a written one."""
-    readings, line = [], ""
+    readings: list[tuple[str, int]] = []
+    labels: list[str] = []
+    links: list[str] = []
     for i, (at, notice) in enumerate(found):
-        link = ""
+        link = b""
         if i:
             before, earlier = found[i - 1]
-            between = [w for w in words[before + len(earlier.phrase.split()):at] if w not in (b"the", b"a", b"0", b"under", b"license")]
-            link = between[0].decode("utf-8", "replace") if len(between) == 1 and between[0] in (b"and", b"or") else ""
+            begin = before + len(earlier.phrase.split())
+            between = [w for w in words[begin:at] if w not in _FILLERS]
+            link = between[0] if len(between) == 1 and between[0] in (b"and", b"or") else b""
         if link:
-            line += f" {link} {notice.label}"
-        else:
-            if line:
-                readings.append(parse_expression(line)[1:])
-            line = notice.label
-    if line:
-        readings.append(parse_expression(line)[1:])
+            links.append(link.decode())
+        elif labels:
+            readings.append(evaluate(join_labels(labels, links))[1:])
+            labels, links = [], []
+        labels.append(notice.label)
+    if labels:
+        readings.append(evaluate(join_labels(labels, links))[1:])
     return readings
 
 
+_FILLERS = (b"the", b"a", b"0", b"under", b"license")
+
+
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()),
     T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()),
