@@ -101,6 +101,85 @@ def test_words_match_in_any_case_and_place(spark):
     assert found[6, 4].coverage == 1
 
 
+def plain_windows(text, least=4, item=False):
+    """Windows by the rules, with words instead of hashes: (width, place, form, words or template, slots)."""
+    marks = {decontam.NUMBER: "<n>", decontam.NAME: "<N>", decontam.UNIT: "<u>"}
+    words, kind, _ = decontam.template(text)
+    widths = [min(8, len(words))] if item else range(least, 9)
+    out = []
+    for width in widths:
+        if width < least:
+            continue
+        for at in range(len(words) - width + 1):
+            own, kinds = words[at: at + width], kind[at: at + width].tolist()
+            versions = [kinds]
+            if item and at == 0 and kinds[0] == 0 and decontam._hashed(text)[3]:
+                versions.append([decontam.NAME, *kinds[1:]])
+            plain = kinds.count(0)
+            out.append((width, at, "words" if plain < width else "both", tuple(own), kinds))
+            for ks in versions:
+                if min(least, width) <= ks.count(0) < width:
+                    out.append((width, at, "template", tuple(marks.get(k, w) for w, k in zip(own, ks)), ks))
+    return words, out
+
+
+def plain_leaks(texts, items):
+    """Leaks by the rules: windows equal by words or by template, copies by their shift, consistent slots, half of the item or 20 words in a row."""
+    found = set()
+    for i, item in items:
+        item_words, of_item = plain_windows(item, item=True)
+        for d, text in texts:
+            words, of_doc = plain_windows(text)
+            copies = {}
+            for w, at, form, mark, _ in of_doc:
+                for v, place, other, theirs, kinds in of_item:
+                    typed = form == "template"
+                    if w != v or mark != theirs or typed != (other == "template"):
+                        continue
+                    slots = {(k, item_words[place + j], (words[at + j] if typed else item_words[place + j])) for j, k in enumerate(kinds) if k}
+                    for rule in (0, 1) if form == other and form != "words" else (1,):
+                        c = copies.setdefault((rule, at - place), (set(), set(), w))
+                        c[0].add(place)
+                        c[1].update(slots)
+            by_rule = {}
+            for (rule, _), (places, slots, w) in copies.items():
+                if all(a == b for _, a, b in slots) or len({(k, a) for k, a, _ in slots}) == len(slots):
+                    covered = {p + j for p in places for j in range(w)}
+                    run = best = 0
+                    for p in range(len(item_words)):
+                        run = run + 1 if p in covered else 0
+                        best = max(best, run)
+                    total, longest = by_rule.get(rule, (set(), 0))
+                    by_rule[rule] = (total | covered, max(longest, best))
+            if any(len(c) / len(item_words) >= 0.5 or run >= 20 for c, run in by_rule.values()):
+                found.add((d, i))
+    return found
+
+
+def test_all_rules_against_brute_force(spark):
+    """Literal windows, names, numbers and units, other case, short items, long runs, in random copies with changes."""
+    r = random.Random(11)
+    pool = WORDS + ["Anna", "Bert", "Paris", "3", "7", "12.5", "km", "kg", "$4", "10%", "4kg", "Then", "hours"]
+    items = [(i, " ".join(r.choices(pool, k=r.choice([2, 4, 5, 7, 8, 9, 14, 60])))) for i in range(25)]
+    texts = []
+    for d in range(150):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            words = r.choice(items)[1].split()
+            a = r.randint(0, max(len(words) - 4, 0)) if r.random() < 0.5 else 0
+            words = words[a: a + r.randint(3, 40)]
+            for k, w in enumerate(words):
+                if r.random() < 0.15:
+                    words[k] = r.choice(pool)
+                elif r.random() < 0.1:
+                    words[k] = w + r.choice([".", ",", "?", " ."])
+            part = " ".join(words)
+            parts.append(r.choice([part, part, part.lower(), part.upper()]))
+        texts.append((d, r.choice([" ", ". ", "\n", " x "]).join(parts)))
+    want = plain_leaks(texts, items)
+    assert set(leaks(spark, texts, items)) == want and len(want) > 40
+
+
 def test_short_items_nulls_ties_and_empty_tables(spark):
     items = [(1, "alpha stone river cloud green"), (2, "alpha beta"), (3, None), (4, ""), (5, "alpha stone river cloud green")]
     texts = [(1, "x alpha stone river cloud green y"), (1, "x alpha stone river cloud green y"), (2, None), (3, ""), (None, "alpha stone river cloud green"), (4, "alpha beta")]

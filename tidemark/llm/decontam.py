@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +13,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_batches, release, worker_state
+from tidemark.llm.common import cut, in_batches, release, worker_state
 
 WINDOW = 8  # template words a window
 LEAST_WORDS = 4  # plain words a window needs; fewer cannot tell a passage from ordinary text
 COVERAGE = 0.5  # share of an item's words in matched windows
 RUN_WORDS = 20  # words of an item in a row, in matched windows of one copy, that count whatever share of the item they are
-FILTER_BITS = 1 << 22
-MEMO = 1 << 18
+FILTER_BITS = (20, 28)  # least and most bits of the filter, as powers of two
+BITS_EACH = 32  # bits of the filter for each window of the benchmark
+CHUNK = 1 << 20  # characters of texts that are worked on side by side
 
 # Measure words that count as units behind a number.
 UNITS = frozenset(
@@ -34,21 +37,133 @@ _NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([a-z]+)\Z")
 _EDGE = " \t.,;:!?\"'()[]{}<>«»“”‘’…*|_`"
 _HASH = {kind: xxhash.xxh3_64_intdigest(text) for kind, text in _MARK.items()}
 _ODD = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)]
-Word = tuple[str, int, int, bool, bool, bool]
-
-
-def _word(raw: str, known: dict[str, Word]) -> Word:
-    """Bare lower-case word, its hash, kind without context, whether it has a capital, ends a sentence, is a unit word."""
-    bare = raw.strip(_EDGE)
-    lower = bare.lower()
-    kind = NUMBER if _NUMBER.match(lower) or ((m := _NUMBER_UNIT.match(lower)) and m[2] in UNITS) else PLAIN
-    capital = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
-    found = (lower, xxhash.xxh3_64_intdigest(lower), kind, capital, raw[-1] in ".!?:", lower in UNITS)
-    if len(known) >= MEMO:
-        known.clear()
-    if len(raw) <= 48:
-        known[raw] = found
-    return found
+_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse among 64-bit numbers
+_INVERSE = pow(_BASE, -1, 1 << 64)
+SPACE, EDGE, DIGIT, UPPER, LOWER, TITLE, STOP = (1 << k for k in range(7))
+
+
+def _mixed(sums: np.ndarray) -> np.ndarray:
+    sums ^= sums >> np.uint64(29)
+    sums *= np.uint64(0xBF58476D1CE4E5B9)
+    sums ^= sums >> np.uint64(32)
+    return sums
+
+
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """What each code point is, and its lower-case form."""
+    flags, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for code in range(0x110000):
+        c = chr(code)
+        small = c.lower()
+        if len(small) == 1:
+            lower[code] = ord(small)
+        flags[code] = SPACE * c.isspace() | DIGIT * c.isdecimal() | UPPER * c.isupper() | LOWER * c.islower() | TITLE * (c.istitle() and not c.isupper())
+    for marked, flag in ((_EDGE, EDGE), (".!?:", STOP)):
+        flags[[ord(c) for c in marked]] |= flag
+    return flags, lower
+
+
+def _unit_hashes(parser: Parser) -> np.ndarray:
+    return np.sort(parser.words([" ".join(sorted(UNITS))]).hash)
+
+
+@dataclass
+class Parsed:
+    """Words of texts laid end to end: where each stands, the text it is of, its kind, its hash, and whether it would be a name inside a sentence."""
+
+    joined: str
+    first: np.ndarray
+    stop: np.ndarray
+    owner: np.ndarray
+    kind: np.ndarray
+    hash: np.ndarray
+    capital: np.ndarray
+
+    def lower(self, i: int) -> str:
+        return self.joined[self.first[i]: self.stop[i]].lower()
+
+
+class Parser:
+    """Reads words of many texts side by side. A word's hash is that of its lower-case characters, from sums over all characters up to its ends."""
+
+    def __init__(self):
+        self.flags, self.small = _characters()
+        self.power = self.back = np.ones(1, np.uint64)
+        self.units = None
+        self.units = _unit_hashes(self)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            for name, base in (("power", _BASE), ("back", _INVERSE)):
+                steps = np.full(n, np.uint64(base))
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def words(self, texts: list[str]) -> Parsed:
+        """Bare words; those of punctuation alone are left out, after what they say of the word behind them.
+
+        A number (with sign, currency, per cent or a unit written to it) is of kind NUMBER, a unit word behind a number UNIT, a
+        capitalised word inside a sentence NAME.
+        """
+        joined = "\n".join(texts) + "\n"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        flags = self.flags[codes]
+        gap = (flags & SPACE) > 0
+        turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        bounds = turn if gap[0] else np.concatenate([[0], turn])
+        raw_first, raw_stop = bounds[0::2], bounds[1::2]  # the last character is a gap
+        # Bare ends by the places that are no edge; prefix counts tell how many lie before.
+        inner = np.flatnonzero((flags & (EDGE | SPACE)) == 0)
+        before = np.searchsorted(inner, raw_first)
+        upto = np.searchsorted(inner, raw_stop)
+        empty = before == upto
+        stops = (flags[raw_stop - 1] & STOP) > 0
+        keep = ~empty | stops
+        raw_first, before, upto, empty, stops = raw_first[keep], before[keep], upto[keep], empty[keep], stops[keep]
+        places = np.append(inner, 0)
+        first = np.where(empty, raw_first, places[before])
+        stop = np.where(empty, raw_first, places[upto - 1] + 1)
+        sizes = np.cumsum([len(t) + 1 for t in texts])
+        owner = np.searchsorted(sizes, first, side="right")
+        self._powers(len(codes))
+        values = _mixed((self.small[codes].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.power[: len(codes)])])
+        hashes = _mixed((sums[stop] - sums[first]) * self.back[first] + (stop - first).astype(np.uint64))
+
+        def some(flag: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """How many characters between a and b have the flag."""
+            of = np.flatnonzero((flags & flag) > 0)
+            return np.searchsorted(of, b) - np.searchsorted(of, a)
+
+        rest = np.minimum(first + 1, stop)
+        capital = ~empty & ((flags[np.minimum(first, len(flags) - 1)] & UPPER) > 0) & (some(LOWER, rest, stop) > 0) & (some(UPPER | TITLE, rest, stop) == 0)
+        kind = np.zeros(len(first), np.int8)
+        for i in np.flatnonzero(some(DIGIT, first, stop) > 0).tolist():
+            word = joined[first[i]: stop[i]].lower()
+            if _NUMBER.match(word) or ((m := _NUMBER_UNIT.match(word)) and m[2] in UNITS):
+                kind[i] = NUMBER
+        begins = np.ones(len(first), bool)
+        begins[1:] = (owner[1:] != owner[:-1]) | stops[:-1]
+        kind[capital & ~begins & (kind == PLAIN)] = NAME
+        if self.units is not None:
+            behind = np.zeros(len(first), bool)
+            behind[1:] = (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])
+            behind = np.flatnonzero(behind & (kind == PLAIN))
+            near = np.minimum(np.searchsorted(self.units, hashes[behind]), len(self.units) - 1)
+            kind[behind[self.units[near] == hashes[behind]]] = UNIT
+        keep = ~empty
+        return Parsed(joined, first[keep], stop[keep], owner[keep], kind[keep], hashes[keep], capital[keep])
+
+
+def parser() -> Parser:
+    """The worker's parser; its tables of characters are the same for every use."""
+    global _PARSER
+    if _PARSER is None:
+        _PARSER = Parser()
+    return _PARSER
+
+
+_PARSER: Parser | None = None
 
 
 def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -63,26 +178,12 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def _hashed(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
     """Bare words, kinds, hashes of the words as they are and of the template, and whether the first word would be a name inside a sentence."""
-    known = worker_state("template words", dict)
-    words = [w for raw in (text or "").split() if (w := known.get(raw) or _word(raw, known))[0] or w[4]]
-    bare = [w[0] for w in words]
-    if not words:
-        return [], np.empty(0, np.int8), np.empty((2, 0), np.uint64), False
-    _, hashes, kind, capital, ends, unit = zip(*words, strict=True)
-    kind = np.array(kind, np.int8)
-    begins = np.concatenate([[True], np.array(ends[:-1], bool)])
-    kind[np.array(capital, bool) & ~begins & (kind == PLAIN)] = NAME
-    behind = np.concatenate([[False], kind[:-1] == NUMBER])
-    kind[np.array(unit, bool) & behind & (kind == PLAIN)] = UNIT
-    hashes = np.array([hashes, hashes], np.uint64)
+    parsed = parser().words([text or ""])
+    hashes = np.stack([parsed.hash, parsed.hash])
     for k, value in _HASH.items():
-        hashes[1, kind == k] = value
-    first = next((i for i, b in enumerate(bare) if b), 0)
-    name = capital[first] and kind[first] == PLAIN
-    if all(bare):
-        return bare, kind, hashes, name
-    keep = np.array([bool(b) for b in bare])
-    return [b for b in bare if b], kind[keep], hashes[:, keep], name
+        hashes[1, parsed.kind == k] = value
+    name = bool(len(parsed.kind)) and bool(parsed.capital[0]) and parsed.kind[0] == PLAIN
+    return [parsed.lower(i) for i in range(len(parsed.kind))], parsed.kind, hashes, name
 
 
 def windows(kind: np.ndarray, hashes: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +200,7 @@ def windows(kind: np.ndarray, hashes: np.ndarray, width: int = WINDOW) -> tuple[
         out += hashes[:, k:k + n] * np.uint64(_ODD[k])
     upto = np.concatenate([[0], np.cumsum(kind == PLAIN)])
     plain = upto[width:] - upto[:-width]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
+    out = _mixed(out)
     row, at = np.nonzero(np.stack([np.ones(n, bool), (plain >= min(LEAST_WORDS, width)) & (plain < width)]))
     form = np.where(row > 0, TEMPLATE, np.where(plain[at] == width, BOTH, WORDS))
     return at, out[row, at].view(np.int64), form
@@ -115,68 +214,127 @@ def _slots(words: list[str], kind: np.ndarray, at: int, width: int) -> list[str]
 WINDOWS = "width int, at int, hash long, form int, slots array<string>"
 
 
-def _windows_of(rows: DataFrame, keys: list[str], least: int, wanted=None) -> DataFrame:
-    """Windows of each row's whole text: of WINDOW words, or of all words where a row has fewer but at least ``least``.
+def _keyed(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _item_windows(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Windows of each item's whole text: of WINDOW words, or of all words where an item has fewer but at least ``least``.
 
-    With ``wanted`` (a broadcast pair: filter bits and the widths to look for) windows of each width are made, and those whose
-    hash the filter rules out stay behind. Without, a first word that may be a name is taken as one too, since
-    the text before it in a document decides that there.
+    A first word that may be a name is taken as one too, since the text before it in a document decides that there.
     """
-    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    extra = ", words int" if wanted is None else ""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"of": [], "width": [], "at": [], "hash": [], "form": [], "slots": [], "words": []}
-            texts = batch["text"]
-            for i in range(batch.num_rows):
-                words, kind, hashes, name = _hashed(texts[i].as_py())
-                widths = wanted.value[1] if wanted else ([WINDOW] if len(words) >= WINDOW else [len(words)] if len(words) >= least else [])
-                for width in widths:
-                    at, found, form = windows(kind, hashes, width)
-                    if wanted:
-                        cell = found.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-                        hit = (wanted.value[0][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                        at, found, form = at[hit], found[hit], form[hit]
-                    made = [(a, h, f, kind) for a, h, f in zip(at.tolist(), found.tolist(), form.tolist(), strict=True)]
-                    if wanted is None and name:
-                        inside = np.concatenate([[np.int8(NAME)], kind[1:width]])
-                        marked = np.concatenate([[np.uint64(_HASH[NAME])], hashes[1, 1:width]])
-                        _, also, forms = windows(inside, np.stack([hashes[0, :width], marked]), width)
-                        made += [(0, h, MARKED, inside) for h, f in zip(also.tolist(), forms.tolist(), strict=True) if f == TEMPLATE]
-                    for a, h, f, kinds in made:
-                        out["of"].append(i)
-                        out["width"].append(width)
-                        out["at"].append(a)
-                        out["hash"].append(h)
-                        out["form"].append(f)
-                        # Words as they are: the item's side says where its slots are, whatever they look like in the document.
-                        out["slots"].append(_slots(words, kinds, a, width) if f >= TEMPLATE or wanted is None else [])
-                        out["words"].append(len(words))
-            pick = pa.array(out["of"], pa.int32())
-            columns = [batch[k].take(pick) for k in keys] + [
-                pa.array(out["width"], pa.int32()), pa.array(out["at"], pa.int32()), pa.array(out["hash"], pa.int64()), pa.array(out["form"], pa.int32()),
-                pa.array(out["slots"], pa.list_(pa.string())),
-            ]
-            names = [*keys, "width", "at", "hash", "form", "slots"]
-            if wanted is None:
-                columns.append(pa.array(out["words"], pa.int32()))
-                names.append("words")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            out: dict[str, list] = {name: [] for name in ("of", "width", "at", "hash", "form", "slots", "words")}
+            for i, text in enumerate(batch["text"].to_pylist()):
+                words, kind, hashes, name = _hashed(text)
+                width = min(WINDOW, len(words))
+                if width < min(least, WINDOW):
+                    continue
+                at, found, form = windows(kind, hashes, width)
+                made = [(a, h, f, kind) for a, h, f in zip(at.tolist(), found.tolist(), form.tolist(), strict=True)]
+                if name:
+                    inside = np.concatenate([[np.int8(NAME)], kind[1:width]])
+                    marked = np.concatenate([[np.uint64(_HASH[NAME])], hashes[1, 1:width]])
+                    _, also, forms = windows(inside, np.stack([hashes[0, :width], marked]), width)
+                    made += [(0, h, MARKED, inside) for h, f in zip(also.tolist(), forms.tolist(), strict=True) if f == TEMPLATE]
+                for a, h, f, kinds in made:
+                    # Words as they are: the item's side says where its slots are, whatever they look like in the document.
+                    for key, value in zip(out, (i, width, a, h, f, _slots(words, kinds, a, width), len(words)), strict=True):
+                        out[key].append(value)
+            yield _batch_of(batch, keys, out)
+
+    return rows.select(*keys, "text").mapInArrow(make, f"{_keyed(rows, keys)}, {WINDOWS}, words int")
+
+
+def _batch_of(batch: pa.RecordBatch, keys: list[str], out: dict[str, list]) -> pa.RecordBatch:
+    pick = pa.array(out.pop("of"), pa.int32())
+    kinds = {"hash": pa.int64(), "slots": pa.list_(pa.string())}
+    columns = {k: batch[k].take(pick) for k in keys} | {name: pa.array(values, kinds.get(name, pa.int32())) for name, values in out.items()}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+class Finder:
+    """Windows of documents that a filter of the benchmark's windows lets pass."""
+
+    def __init__(self, bits: np.ndarray, widths: list[int]):
+        self.bits, self.widths = bits, widths
+        self.cells = np.uint64(len(bits) * 8 - 1)
+        self.of_mark = np.array([0, *[_HASH[k] for k in (NUMBER, NAME, UNIT)]], np.uint64)
+
+    def _passed(self, sums: np.ndarray) -> np.ndarray:
+        cell = sums & self.cells
+        return (self.bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, list[str]]]:
+        """Text, width, place, hash, form and slots of each window that passes. All texts are worked on side by side."""
+        parsed = parser().words(texts)
+        kind, owner, literal = parsed.kind, parsed.owner, parsed.hash
+        typed = np.where(kind == PLAIN, literal, self.of_mark[kind])
+        upto = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+        first = np.searchsorted(owner, np.arange(len(texts)))
+        for width in self.widths:
+            n = len(kind) - width + 1
+            if n <= 0:
+                continue
+            whole = owner[width - 1:] == owner[:n]
+            plain = upto[width:] - upto[:-width]
+            sums = np.full(n, np.uint64(width * 0x9E3779B97F4A7C15 % (1 << 64)))
+            for k in range(width):
+                sums += literal[k:k + n] * np.uint64(_ODD[k])
+            sums = _mixed(sums)
+            at = np.flatnonzero(self._passed(sums) & whole)
+            for i, h, p in zip(at.tolist(), sums[at].view(np.int64).tolist(), plain[at].tolist(), strict=True):
+                yield int(owner[i]), width, i - int(first[owner[i]]), h, BOTH if p == width else WORDS, []
+            # A template differs from the words only where a placeholder stands.
+            at = np.flatnonzero(whole & (plain >= min(LEAST_WORDS, width)) & (plain < width))
+            sums = np.full(len(at), np.uint64(width * 0x9E3779B97F4A7C15 % (1 << 64)))
+            for k in range(width):
+                sums += typed[at + k] * np.uint64(_ODD[k])
+            sums = _mixed(sums)
+            hit = self._passed(sums)
+            for i, h in zip(at[hit].tolist(), sums[hit].view(np.int64).tolist(), strict=True):
+                words = [parsed.lower(j) for j in range(i, i + width)]
+                yield int(owner[i]), width, i - int(first[owner[i]]), h, TEMPLATE, _slots(words, kind[i:i + width], 0, width)
+
+
+def _document_windows(rows: DataFrame, keys: list[str], wanted) -> DataFrame:
+    """Windows of each row's whole text that pass the filter; ``wanted`` is a broadcast pair of its bits and the widths to look for."""
+    state = ("windows", uuid.uuid4().hex)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = worker_state(state, lambda: Finder(*wanted.value))
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in ("of", "width", "at", "hash", "form", "slots")}
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            begin = 0
+            while begin < len(texts):
+                end, size = begin, 0
+                while end < len(texts) and (end == begin or size + len(texts[end]) <= CHUNK):
+                    size += len(texts[end])
+                    end += 1
+                for i, *found in finder.find(texts[begin:end]):
+                    for key, value in zip(out, (begin + i, *found), strict=True):
+                        out[key].append(value)
+                begin = end
+            yield _batch_of(batch, keys, out)
             release()
 
-    return in_batches(rows).select(*keys, "text").mapInArrow(make, f"{schema}, {WINDOWS}{extra}")
+    return in_batches(rows).select(*keys, "text").mapInArrow(make, f"{_keyed(rows, keys)}, {WINDOWS}")
 
 
 def _filter_bits(items: DataFrame) -> np.ndarray:
-    """A bit for each window hash of the benchmark, in a table of fixed size whatever the benchmark's."""
-    cells = items.select(F.col("hash").bitwiseAND(FILTER_BITS - 1).alias("cell"))
-    words = cells.selectExpr("shiftright(cell, 6) AS word", "shiftleft(1L, cast(cell & 63 AS int)) AS bit")
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    """A bit for each window hash of the benchmark, in a table that fits their number."""
+    total = max(items.count(), 1)
+    power = min(max((total * BITS_EACH - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    cell = F.col("hash").bitwiseAND((1 << power) - 1) + 1
+    rows = items.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
+    out = np.zeros((1 << power) // 8, np.uint8)
     for r in rows:
-        out[r.word] = r.bits
-    return out.view(np.uint8)
+        begin = (r.bucket - 1) * 4096
+        out[begin: begin + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
 
 def _longest_run(places: Column, width: Column) -> Column:
@@ -204,15 +362,15 @@ def find_leaks(
     figures are theirs. Items of fewer than 8 words are
     looked up whole; those of fewer than 4 words, and NULL or empty texts on either side, match nothing. NULL ids are ids like any other; repeated rows give the same finding once. Other columns are left out.
 
-    Every window of every whole text is tested against a 512 KB filter of the benchmark's windows, of one size for any
-    benchmark; only windows that pass it move, to an exact join by hash.
+    Every window of every whole text is tested against a filter of the benchmark's windows, 32 bits for each and 32 MB at most;
+    only windows that pass it move, to an exact join by hash.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    items = _windows_of(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")), ["item"], LEAST_WORDS)
+    items = cut(_item_windows(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")), ["item"], LEAST_WORDS))
     widths = sorted(r.width for r in items.select("width").distinct().collect())
     wanted = spark.sparkContext.broadcast((_filter_bits(items), widths))
-    found = _windows_of(rows, ["doc"], LEAST_WORDS, wanted)
+    found = _document_windows(rows, ["doc"], wanted)
     of_item = items.select(F.col("item"), F.col("width").alias("w"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"), "words").distinct()
     typed = F.col("form") >= TEMPLATE
     alike = (typed == (F.col("item_form") >= TEMPLATE)) & (~typed | (F.size("slots") == F.size("item_slots")))
