@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.segmented import SegmentedScan, percentiles
+from tidemark.functions.segmented import SegmentedScan, percentiles, value_slices
 from tidemark.operators import session
 
 
@@ -40,7 +40,7 @@ def test_scan_equals_windows(spark):
 
 def test_percentiles_equal_numpy(spark):
     df = skewed(spark, seed=2).withColumn("g", F.when(F.col("k") == "k1", F.lit(None)).otherwise(F.col("k")))
-    got = {r.g: r for r in percentiles(df, ["g"], "ts", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, width=300).collect()}
+    got = {r.g: r for r in percentiles(df, ["g"], "ts", {"p5": 0.05, "p50": 0.5, "p95": 0.95}).collect()}
     rows = df.toPandas()
     rows["g"] = rows["g"].where(rows["g"].notna(), None)
     for g, part in rows.groupby("g", dropna=False):
@@ -50,6 +50,27 @@ def test_percentiles_equal_numpy(spark):
             assert r[name] == pytest.approx(np.percentile(part["ts"], p))
 
 
+@pytest.mark.parametrize("value", ["rand(1)", "1000 + rand(1) / 1000", "exp(20 * rand(1))", "pow(rand(1), 40)", "cast(rand(1) * 3e6 AS bigint)"])
+def test_value_slices_hold_few_values_each(spark, value):
+    """A million values of one group, whatever their scale and distribution, and a small group beside it."""
+    df = spark.range(1_000_000).selectExpr("'hot' AS g", f"{value} AS v").unionByName(spark.range(100).selectExpr("'cold' AS g", "cast(id AS double) AS v"))
+    counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    slices = value_slices(counts, ["g"], "v").groupBy("g", "_segment").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    hot = sorted((s for s in slices if s.g == "hot"), key=lambda s: s._segment)
+    total = sum(s.n for s in hot)
+    assert total == counts.filter("g = 'hot'").count() and max(s.n for s in hot) < 0.04 * total
+    assert all(a.high < b.low for a, b in zip(hot, hot[1:]))
+    assert [(s._segment, s.n) for s in slices if s.g == "cold"] == [(0, 100)]
+
+
+def test_percentiles_of_many_values(spark):
+    df = spark.range(60_000).selectExpr("id % 2 AS g", "if(id % 2 = 0, pow(rand(3), 9), rand(4) * 5) AS v")
+    got = {r.g: r for r in percentiles(df, ["g"], "v", {"p1": 0.01, "p50": 0.5, "p99": 0.99}).collect()}
+    for g, rows in df.toPandas().groupby("g"):
+        want = np.quantile(rows.v, [0.01, 0.5, 0.99])
+        assert got[g].n == len(rows) and np.allclose([got[g].p1, got[g].p50, got[g].p99], want, rtol=1e-12)
+
+
 def test_percentiles_of_everything_and_of_nothing(spark):
     df = spark.createDataFrame([(1,), (2,), (4,)], "x long")
     assert percentiles(df, [], "x", {"m": 0.5}).first().m == 2.0

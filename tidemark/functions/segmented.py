@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "_segment"
+SLICES = 64  # value slices of a group with very many distinct values
+SLICED = 4096  # distinct values that need no slices
+SALTS = 16
 
 
 class SegmentedScan:
@@ -103,13 +106,28 @@ class SegmentedScan:
         return local.join(carry, part).select(*plain, *[col.alias(name) for name, col in self._final.items()])
 
 
+def value_slices(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add ``_segment``: the slice of a value among those of its group, in order, with about equally many distinct values each.
+
+    Bounds come from a mergeable summary of each group's own values, so they fit any scale and any distribution. They meet the rows by (group,
+    salt), so no task holds a group.
+    """
+    keys = list(keys)
+    points = [i / SLICES for i in range(1, SLICES)]
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, points, 10 * SLICES).alias("_bounds"), F.count(F.lit(1)).alias("_values"))
+    bounds = bounds.filter(F.col("_values") > SLICED).select(*keys, F.array_distinct("_bounds").alias("_bounds"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    at = F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col(value)))
+    return salted.join(bounds, [*keys, "_salt"], "left").withColumn(SEGMENT, F.coalesce(F.when(F.col("_bounds").isNotNull(), at), F.lit(0)).cast("long")).drop("_salt", "_bounds")
+
+
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], width: float = 100.0, weight: str | None = None
+    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact interpolated percentiles of ``value`` per group, plus the row count ``n``.
 
     ``weight`` names a count column when rows already stand for several equal values. Equal values are counted first, so what is ordered is one row per distinct value, cut into value
-    slices of ``width``. No group is held in one task.
+    slices by the group's own values. A task holds one slice of a group.
     """
     by = list(by)
     keyed = by or ["_all"]
@@ -126,7 +144,7 @@ def percentiles(
     )
     hashed = [f"_k{i}" for i in range(len(keyed))]
     ranked = (
-        SegmentedScan(counts, hashed, ["_value"], F.floor(F.col("_value") / F.lit(width)))
+        SegmentedScan(value_slices(counts, hashed, "_value"), hashed, ["_value"])
         .running_sum("_upto", F.col("_cnt"))
         .total("_n", F.col("_cnt"))
         .done()
@@ -152,6 +170,6 @@ def percentiles(
     )
 
 
-def medians(df: DataFrame, by: Sequence[str], value: str, name: str, width: float = 100.0) -> DataFrame:
+def medians(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Exact median per group; same as ``median`` but without one task per group."""
-    return percentiles(df, by, value, {name: 0.5}, width).drop("n")
+    return percentiles(df, by, value, {name: 0.5}).drop("n")

@@ -215,5 +215,5 @@ def response_histogram(
         rows = rows.filter(F.col("url_path") == url)
     by = ["package_nm", "server_type", "url_path", *([slice_by] if slice_by else []), "bucket"]
     bucketed = rows.withColumn("bucket", (F.floor(F.col("intervaltime") / step) * step).cast("long"))
-    found = percentiles(bucketed, by, "intervaltime", {"q1": 0.25, "median": 0.5, "q3": 0.75}, width=10.0)
+    found = percentiles(bucketed, by, "intervaltime", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return found.withColumnRenamed("n", "cnt")
