@@ -128,7 +128,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     # Terms and groups lie in blocks by hash, so that no task numbers those of a whole language.
     in_block = Window.partitionBy("lang", "term_block")
     placed = (
-        kept.join(langs, "lang").withColumn("term_block", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / TERMS)))
+        kept.join(langs, "lang").withColumn("term_block", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / TERMS))).repartition("lang", "term_block")
         .withColumn("place", F.row_number().over(in_block.orderBy("term")) - 1)
     )
     widths = placed.groupBy("lang", "term_block").agg(F.count(F.lit(1)).cast("int").alias("width"))
