@@ -75,3 +75,54 @@ def test_query_on_given_table(spark):
     found = {r.vec_id: r for r in QUERIES["op9_embedding_forest"](spark, path).collect()}
     links, _ = brute(table.vec_id.to_numpy(), np.stack(table.embedding).astype(float))
     assert {i: r.n_links for i, r in found.items()} == links
+
+
+def dense_third(r, n, dim=64):
+    """Vectors of which a third lies in one group at about 0.92 to each other, a sixth in groups of 50, and the rest alone or in pairs."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    about = lambda centre, cosine: unit(np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * unit(r.normal(size=centre.shape)))
+    group = about(np.repeat(unit(r.normal(size=(1, dim))), n // 3, axis=0), 0.92)
+    small = about(np.repeat(unit(r.normal(size=(n // 300, dim))), 50, axis=0), 0.95)
+    alone = unit(r.normal(size=(n // 4, dim)))
+    return group, small, alone, about(alone, 0.93)
+
+
+@pytest.mark.parametrize("depth", [6, 12, 14])
+def test_recall_stays_with_depth_and_copies_stay_bounded(depth):
+    r = np.random.default_rng(depth)
+    sample = np.concatenate(dense_third(r, forest.SAMPLE))
+    trees = [forest.grow(sample, forest.LEAF << depth, t) for t in range(forest.TREES)]
+    assert len(trees[0].directions) == depth
+    r = np.random.default_rng([depth, 1])
+    group = sample[r.permutation(forest.SAMPLE // 3)[:150]]
+    alone = r.normal(size=(150, 64))
+    alone /= np.linalg.norm(alone, axis=1, keepdims=True)
+    other = np.sqrt(0.92) * alone + np.sqrt(0.08) * r.normal(size=alone.shape) / 8
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    every = np.concatenate([group, alone, other])
+    met, copies = np.zeros((len(every),) * 2, bool), np.zeros(len(every))
+    for tree in trees:
+        rows, leaves = tree.route(every)
+        copies += np.bincount(rows, minlength=len(every))
+        held = leaves[:, None] == np.unique(leaves)
+        holds = np.zeros((len(every), held.shape[1]), bool)
+        np.logical_or.at(holds, rows, held)
+        met |= (holds.astype(np.float32) @ holds.T.astype(np.float32)) > 0
+    links = every @ every.T >= 0.9
+    np.fill_diagonal(links, False)
+    assert met[:150, :150][links[:150, :150]].mean() >= 0.98
+    assert met[150:, 150:][links[150:, 150:]].mean() >= 0.98
+    assert copies.mean() <= 60
+
+
+def test_table_with_a_dense_group(spark):
+    """Links of ids divisible by 100, and all components, against all pairs."""
+    vectors = np.concatenate(dense_third(np.random.default_rng(8), 6000)).astype(np.float32)
+    ids = np.random.default_rng(9).permutation(len(vectors))
+    table = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, vectors)], SCHEMA)
+    found = {r.vec_id: r for r in forest.near_vectors(table).collect()}
+    links, component = brute(ids, vectors.astype(float))
+    asked = [i for i in links if i % 100 == 0]
+    assert sum(found[i].n_links for i in asked) >= 0.98 * sum(links[i] for i in asked) > 10_000
+    assert all(r.n_links <= links[i] for i, r in found.items())
+    assert sum(found[i].component_id == c for i, c in component.items()) >= 0.99 * len(component)

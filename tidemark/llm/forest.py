@@ -20,6 +20,8 @@ SPILL = 0.05  # share of a node's vectors on either side of the split that go bo
 REACH = 0.35  # and all that lie nearer to the split than this part of how far linked vectors differ along a random direction
 SAMPLE = 1 << 14  # vectors that set the split points
 FEW = 16  # sampled vectors a node needs to be split by its own
+DENSE = 0.25  # share of a node's pairs that link from which the node is left whole: its comparisons are four times its links at most
+LOOKED_AT = 64  # sampled vectors of a node that tell
 BLOCK = 1024  # vectors on either side of a comparison
 COSINE = 0.9
 SEED = 20_240_611
@@ -29,6 +31,7 @@ SEED = 20_240_611
 class Tree:
     """A direction a level, and for each node of a level where the lower side begins to spill, and where the upper ends to.
 
+    A node whose vectors mostly link with each other is not split: both bounds are infinite, and all its vectors go down together.
     From level ``own`` on nodes are too small in the sample; their splits come from the ancestor at that level, along the
     new level's direction, so a tree can be deeper than its sample and stays as small.
     """
@@ -52,6 +55,17 @@ class Tree:
         return rows, node
 
 
+def _dense(sample: np.ndarray, order: np.ndarray, bounds: np.ndarray, cosine: float) -> np.ndarray:
+    """Which nodes have so many links among their sampled vectors that they stay whole."""
+    out = np.zeros(len(bounds) - 1, bool)
+    for node in np.flatnonzero(np.diff(bounds) >= FEW // 2):
+        begin, end = bounds[node], bounds[node + 1]
+        some = sample[order[begin: end: max(1, (end - begin) // LOOKED_AT)]]
+        near = (some @ some.T >= cosine)[np.triu_indices(len(some), 1)]
+        out[node] = near.mean() >= DENSE
+    return out
+
+
 def grow(sample: np.ndarray, total: int, number: int, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE) -> Tree:
     """Tree ``number`` for ``total`` vectors, split at the medians of a sample of unit vectors."""
     depth = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
@@ -72,9 +86,10 @@ def grow(sample: np.ndarray, total: int, number: int, leaf: int = LEAF, spill: f
             place = begin + np.minimum((size * share).astype(np.int64), np.maximum(size - 1, 0))
             return np.where(size > 0, values[np.minimum(place, len(values) - 1)], 0.0)
 
-        middle = at(0.5)
-        low.append(np.minimum(at(0.5 - spill), middle - reach[level]))
-        high.append(np.maximum(at(0.5 + spill), middle + reach[level]))
+        whole = _dense(sample, order, bounds, cosine)
+        middle = np.where(whole, np.inf, at(0.5))
+        low.append(np.where(whole, np.inf, np.minimum(at(0.5 - spill), middle - reach[level])))
+        high.append(np.where(whole, np.inf, np.maximum(at(0.5 + spill), middle + reach[level])))
         if level < own:
             node = 2 * node + (along[:, level] >= middle[node])
     return Tree(directions, low, high, own)
@@ -96,35 +111,65 @@ def _table(rows: np.ndarray, leaves: np.ndarray, n: int, fill: int) -> np.ndarra
     return out
 
 
+def _leaf_lists(tree: Tree, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different lists of leaves among the vectors, and which of them each vector has."""
+    rows, leaves = tree.route(unit)
+    lists, which = np.unique(_table(rows, leaves, len(unit), -1), axis=0, return_inverse=True)
+    return lists, which.reshape(-1)
+
+
 def _first_meeting(trees: list[Tree], tree: int, leaf: int, unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether a pair's first common leaf, by tree and then by leaf, is this one."""
+    """Whether a pair's first common leaf, by tree and then by leaf, is this one. Pairs whose lists of leaves are the same are settled once."""
     first = np.ones(len(a), bool)
+    if not len(a):
+        return first
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a):]
     for t in range(tree + 1):
-        rows, leaves = trees[t].route(unit)
-        left, right = _table(rows, leaves, len(unit), -1), _table(rows, leaves, len(unit), -2)
-        for k in range(0, len(a), 1 << 17):
-            part = slice(k, k + (1 << 17))
-            common = (left[a[part]][:, :, None] == right[b[part]][:, None, :])
+        lists, which = _leaf_lists(trees[t], unit[used])
+        kinds, of = np.unique(which[a] * len(lists) + which[b], return_inverse=True)
+        ok = np.empty(len(kinds), bool)
+        for k in range(0, len(kinds), 1 << 15):
+            left, right = lists[kinds[k:k + (1 << 15)] // len(lists)], lists[kinds[k:k + (1 << 15)] % len(lists)]
+            common = (left[:, :, None] == right[:, None, :]) & (left[:, :, None] >= 0)
             if t < tree:
-                first[part] &= ~common.any(axis=(1, 2))
+                ok[k:k + (1 << 15)] = ~common.any(axis=(1, 2))
             else:
-                least = np.where(common, left[a[part]][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
-                first[part] &= least == leaf
+                ok[k:k + (1 << 15)] = np.where(common, left[:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2)) == leaf
+        first &= ok[of]
     return first
 
 
+def _met_before(trees: list[Tree], tree: int, unit: np.ndarray) -> np.ndarray:
+    """Vectors of a large leaf that an earlier tree has in one leaf together, as many as any does; their pairs were compared there."""
+    best = np.zeros(len(unit), bool)
+    for t in range(tree):
+        rows, leaves = trees[t].route(unit)
+        found, counts = np.unique(leaves, return_counts=True)
+        if counts.max() > best.sum():
+            best = np.zeros(len(unit), bool)
+            best[rows[leaves == found[np.argmax(counts)]]] = True
+    return best
+
+
 def _compare(trees_of: dict[int, list[Tree]], rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of one block: for each vector the number of rows it links to here first, and a vector of its linked group."""
     tree, leaf, i, j = (int(rows[c].iloc[0]) for c in ("tree", "leaf", "i", "j"))
     unit = _unit(rows["vec"])
     block = rows["block"].to_numpy()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    near = unit[left] @ unit[right].T >= cosine
+    trees = trees_of[unit.shape[1]]
+    near = np.zeros((len(left), len(right)), bool)
+    met = _met_before(trees, tree, unit) if len(rows) > LEAF * 2 else np.zeros(len(rows), bool)
+    fresh = ~met[right]
+    near[:, fresh] = unit[left] @ unit[right[fresh]].T >= cosine
+    late = ~met[left]
+    near[np.ix_(late, ~fresh)] = unit[left[late]] @ unit[right[~fresh]].T >= cosine
     if i == j:
         near = np.triu(near, 1)
     a, b = np.nonzero(near)
     a, b = left[a], right[b]
-    first = _first_meeting(trees_of[unit.shape[1]], tree, leaf, unit, a, b)
+    first = _first_meeting(trees, tree, leaf, unit, a, b)
     copies = rows["n"].to_numpy(np.int64)
     links = np.bincount(a[first], copies[b[first]], len(rows)) + np.bincount(b[first], copies[a[first]], len(rows))
     group = np.arange(len(rows))
