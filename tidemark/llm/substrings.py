@@ -174,11 +174,14 @@ def _flat(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw])
 
 
-def _rows(docs: DataFrame, fields: str, make: Callable) -> DataFrame:
+def _rows(docs: DataFrame, fields: str, make: Callable, marks: Broadcast | None = None) -> DataFrame:
+    """Rows that ``make`` gives for the segments of each text, of those texts only whose mark passes the filter ``marks``."""
     doc = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if marks is not None:
+                batch = batch.filter(pa.array(_passes(marks.value, batch["mark"].to_numpy())))
             data, ends = _flat(batch["text"])
             begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             for start, windows, key, twice in segments(data, ends):
@@ -186,7 +189,7 @@ def _rows(docs: DataFrame, fields: str, make: Callable) -> DataFrame:
                 yield make(batch, data, which, start, start - begins[which], windows, key, twice)
             release()
 
-    return in_batches(docs).select("doc", "mark", "text").mapInArrow(run, f"doc {doc}, mark long, {fields}" if fields.startswith("start") else fields)
+    return in_batches(docs).select("doc", "mark", "text").mapInArrow(run, f"doc {doc}, mark long, {fields}")
 
 
 def _digests(data: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -232,35 +235,37 @@ def _block_spans(rows: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Stretches (doc, mark, start, end) of (doc, mark, text) rows that are covered by strings of 400 bytes with another start anywhere."""
+    """Stretches (doc, mark, start, end, by) of (doc, mark, text) rows that are covered by strings of 400 bytes with another start anywhere.
+
+    ``by`` says how a stretch was found: by the digest of a ``whole`` segment, ``expanded`` in a block, or by ``windows`` of a large key.
+    """
     doc = docs.schema["doc"].dataType
 
     def summary(batch, data, which, start, at, windows, key, twice):
-        d1, d2 = _digests(data, start, windows)
-        return pa.RecordBatch.from_arrays([pa.array(key), d1, d2, pa.array(twice)], names=["key", "d1", "d2", "twice"])
-
-    keys = _rows(docs, "key long, d1 long, d2 long, twice boolean", summary).groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"),
-    )
-    wanted = _filter(keys.where("n > 1 OR twice").select(F.col("key").alias("h")))
-
-    def details(batch, data, which, start, at, windows, key, twice):
-        hit = np.flatnonzero(_passes(wanted.value, key))
-        which, start, at, windows, key, twice = (x[hit] for x in (which, start, at, windows, key, twice))
         d1, d2 = _digests(data, start, windows)
         pick = pa.array(which, pa.int64())
-        own = _mix(batch["mark"].take(pick).to_numpy(zero_copy_only=False), at, windows)
         return pa.RecordBatch.from_arrays(
-            [batch["doc"].take(pick), batch["mark"].take(pick), pa.array(at.astype(np.int64)), pa.array(windows.astype(np.int32)), pa.array(key), d1, d2, pa.array(twice), pa.array(own)],
-            names=["doc", "mark", "start", "windows", "key", "d1", "d2", "twice", "own"],
+            [batch["doc"].take(pick), batch["mark"].take(pick), pa.array(at.astype(np.int64)), pa.array(windows.astype(np.int32)), pa.array(key), d1, d2, pa.array(twice)],
+            names=["doc", "mark", "start", "windows", "key", "d1", "d2", "twice"],
         )
 
-    found = cut(_rows(docs, "start long, windows int, key long, d1 long, d2 long, twice boolean, own long", details))
+    # Texts are hashed once for all that follows; what is left to do reads a row for each segment.
+    every = cut(_rows(docs, "start long, windows int, key long, d1 long, d2 long, twice boolean", summary))
+    keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"))
+    wanted = _filter(keys.where("n > 1 OR twice").select(F.col("key").alias("h")))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = batch.filter(pa.array(_passes(wanted.value, batch["key"].to_numpy())))
+            own = _mix(*[hit[c].to_numpy() for c in ("mark", "start", "windows")])
+            yield hit.append_column("own", pa.array(own))
+
+    found = cut(every.mapInArrow(passing, T.StructType([*every.schema.fields, T.StructField("own", T.LongType())])))
     classes = cut(found.groupBy("key", "d1", "d2").agg(
         F.count(F.lit(1)).alias("n"), F.min("own").alias("own"), F.max("windows").alias("windows"), F.max("twice").alias("twice"),
     ))
     same = classes.where("n > 1").select("key", "d1", "d2")
-    whole = found.join(same, ["key", "d1", "d2"]).select("doc", "mark", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"))
+    whole = found.join(same, ["key", "d1", "d2"]).select("doc", "mark", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"), F.lit("whole").alias("by"))
 
     by_key = classes.groupBy("key").agg(
         F.count(F.lit(1)).alias("forms"), F.sum(F.col("windows") + LENGTH).alias("bytes"), F.max("twice").alias("twice"), F.max(F.col("n") == 1).alias("single"),
@@ -268,6 +273,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     open_ = cut(classes.drop("twice", "windows").join(by_key.select("key", "bytes"), "key"))
     total = open_.agg(F.sum(F.lit(1)), F.count_if(F.col("bytes") > BLOCK_BYTES)).first()
     asked = _filter(open_.select(F.col("own").alias("h")))
+    # Only texts with a segment that is asked for are hashed again.
+    holders = _filter(found.join(open_.select("own").distinct(), "own", "left_semi").select(F.col("mark").alias("h")))
 
     def texts(batch, data, which, start, at, windows, key, twice):
         pick = pa.array(which, pa.int64())
@@ -282,7 +289,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             names=["doc", "mark", "start", "key", "d1", "d2", "own", "bytes"],
         )
 
-    sent = _rows(docs, "start long, key long, d1 long, d2 long, own long, bytes binary", texts)
+    sent = _rows(docs, "start long, key long, d1 long, d2 long, own long, bytes binary", texts, holders)
     sent = sent.join(open_.select("key", "d1", "d2", "own", "n", F.col("bytes").alias("weight")), ["key", "d1", "d2", "own"])
     spans = T.StructType([T.StructField("doc", doc), T.StructField("mark", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     n_blocks = max(1, int((total[0] or 0) * (LENGTH + 150) // BLOCK_BYTES))
@@ -295,10 +302,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc": rows["doc"].to_numpy()[i], "mark": rows["mark"].to_numpy()[i], "start": start + [x[1] for x in out], "end": start + [x[2] for x in out]})
 
     blocks = sent.where(F.col("weight") <= BLOCK_BYTES).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
-    apart = blocks.groupBy("block").applyInPandas(in_block, spans)
+    apart = blocks.groupBy("block").applyInPandas(in_block, spans).withColumn("by", F.lit("expanded"))
     result = whole.unionByName(apart)
     if total[1]:
-        result = result.unionByName(_large_keys(sent.where(F.col("weight") > BLOCK_BYTES), spans))
+        result = result.unionByName(_large_keys(sent.where(F.col("weight") > BLOCK_BYTES), spans).withColumn("by", F.lit("windows")))
     return result
 
 
