@@ -116,6 +116,12 @@ def test_frames(spark):
     assert simhash.near_duplicates(table.where("false")).count() == 0
 
 
+def test_rows_with_maps(spark):
+    table = docs(spark, [(1, "one and the same"), (1, "one and the same"), (2, "one and the same"), (3, "another text, far from it")]).selectExpr("*", "map('a', doc_id) AS extra", "array(1.5) AS more")
+    kept = simhash.keep_first(table, simhash.near_duplicates(table))
+    assert kept.columns == table.columns and sorted((r.doc_id, r.extra["a"]) for r in kept.collect()) == [(1, 1), (3, 3)]
+
+
 def test_query_on_given_table(spark):
     path = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}

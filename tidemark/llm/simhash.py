@@ -248,9 +248,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: among rows under the group's least id one text, by its mark, and of equal ones the least by its columns.
+    """One row of each group: among rows under the group's least id one text, by its mark, and of equal ones the least by a hash of its columns as JSON.
 
-    All columns stay. Only rows that stand more than once are gathered to choose among them; a group of them is one minimum.
+    All columns stay, whatever their types. Only rows that stand more than once are gathered to choose among them; a group of them is one minimum.
     """
     first = (
         groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("group", F.col(id_col).alias("id"), "mark").agg(F.count(F.lit(1)).alias("rows"))
@@ -261,5 +261,6 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
     single = docs.join(first.where("__rows = 1"), same, "left_semi")
     several = docs.join(first.where("__rows > 1"), same)
     columns = docs.columns
-    one = several.groupBy("__id", "__mark").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    one = several.groupBy("__id", "__mark").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
     return single.unionByName(one.select(*[F.col(f"__row.`{c}`") for c in columns]))
