@@ -63,3 +63,8 @@ def test_time_range_also_prunes_days(spark):
     df = spark.createDataFrame([(1, dt.date(2024, 1, 1))], "log_tm long, log_date date")
     plan = between_ms(df, "log_tm", 1704067200000, 1704153600000)._jdf.queryExecution().optimizedPlan().toString()
     assert "log_date" in plan.split("Filter")[1] and "2024-01-01" in plan
+
+
+def test_json_is_parsed_once_a_row_however_many_conditions_ask(plans):
+    plan = plans["condition_operators_variant"]
+    assert plan.count("parse_json(") <= 2 and "variant_get(" in plan and plan.count("variant_get(") > 5

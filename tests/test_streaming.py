@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import logtypes as lt
@@ -263,6 +264,43 @@ def test_increment_keeps_the_newest_row(spark, tmp_path):
     assert {r.event_id: (r.log_tm, r.n) for r in got} == newest
 
 
+@pytest.mark.parametrize("parts", [2, 5])
+def test_samples_merge_to_that_of_all_rows(spark, tmp_path, parts):
+    df = spark.range(3000).selectExpr("id AS event_id", "cast(id * 37 % 1700 AS bigint) AS ms", "if(id % 4 = 0, 'a', 'b') AS package_nm", "0L AS server_type", "cast(id * 7919 % 3000 AS double) AS _at")
+    twice = df.unionByName(df.filter("event_id % 5 = 0").withColumn("_at", F.lit(5000.0)))
+    run(split_files(twice, tmp_path / "in", "_at", parts).drop("_at"), streams.sample_sink(str(tmp_path / "s"), "ms", ["event_id"], cap=200), "sample", tmp_path)
+    got = streams.read_sample(spark, str(tmp_path / "s"), df.drop("_at").schema, "ms", ["event_id"], cap=200)
+    want = widgets.scatter_sample(df.drop("_at"), "ms", "", ["event_id"], cap=200)
+    same_rows(got, want)
+    assert want.filter("ms < 1500").count() == 400
+
+
+def test_identities_and_events_in_either_order(spark, tmp_path):
+    """Events and identity rows up to an hour apart meet, whichever comes first; events without one come out in the end."""
+    minute = 60_000
+    events = [(i, f"d{i % 7}", i * 10) for i in range(60)]
+    named = [(f"d{d}", f"u{d}", d * 45 + 100 * k) for d in range(5) for k in range(3)] + [("d5", " ", 50)]
+    e = spark.createDataFrame([(i, d, BASE + m * minute) for i, d, m in events], "event_id long, device_id string, ms long")
+    n = spark.createDataFrame([(d, u, BASE + m * minute) for d, u, m in named], "device_id string, user_id string, ms long")
+    both = e.selectExpr("event_id", "device_id", "'' AS user_id", "ms").unionByName(n.selectExpr("-1L AS event_id", "device_id", "user_id", "ms"))
+    # Half the identities come before all events, the others after them.
+    both = both.withColumn("_at", F.when(F.col("event_id") >= 0, F.lit(2.0)).when(F.col("device_id").isin("d0", "d2", "d4"), F.lit(1.0)).otherwise(F.lit(3.0)))
+    far = spark.createDataFrame([(10**6, "far", "", 2 * BASE, 4.0), (-1, "far", "x", 2 * BASE, 4.0)], both.schema)
+    every = both.unionByName(far)
+    for arrival in (1.0, 2.0, 3.0, 4.0):
+        every.filter(F.col("_at") == arrival).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark_stream(every, tmp_path / "in").drop("_at").withColumn("at", F.timestamp_millis("ms"))
+    left = stream.filter("event_id >= 0").select("event_id", "device_id", F.col("at").alias("event_time"))
+    right = stream.filter("event_id < 0").select("device_id", "user_id", F.col("at").alias("updated_at"))
+    run(streams.late_identities(left, right, "20 days", "1 hour"), streams.table_sink(str(tmp_path / "out"), []), "identities", tmp_path)
+    got = sorted((r.event_id, r.mapped_user or "") for r in spark.read.parquet(str(tmp_path / "out")).filter("device_id <> 'far'").collect())
+    want = []
+    for i, d, m in events:
+        users = [u for who, u, at in named if who == d and u.strip() and abs(at - m) <= 60]
+        want += [(i, u) for u in users] or [(i, "")]
+    assert got == sorted(want) and any(u for _, u in want) and any(not u for _, u in want)
+
+
 def test_counts_of_batches(spark, tmp_path):
     df = spark.createDataFrame([(i, BASE + i) for i in range(60)], "event_id long, log_tm long").withColumns(
         {"reg_dt": F.timestamp_millis("log_tm"), "package_nm": F.lit("p"), "server_type": F.lit(0)}
