@@ -96,3 +96,23 @@ def test_query_on_given_table(spark):
     rows = spark.read.parquet(f"{path}/documents.parquet").orderBy("doc_id").collect()
     found = QUERIES["op10_substring_bwt"](spark, path).orderBy("doc_id").collect()
     assert [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found] == plain([(x.text or "").encode() for x in rows])
+
+
+def test_segments_of_a_text_do_not_depend_on_its_neighbours(monkeypatch):
+    monkeypatch.setattr(substrings, "STRIDE", 3000)
+    r = random.Random(12)
+    texts = [bytes(r.choices(b"ab", k=n)) if n % 2 else (b"period nine " * n)[:n] for n in (10, 2500, 900, 7001, 3000, 1201, 400, 9999, 2, 2999)]
+
+    def of(batch):
+        """Segments of each text, from its own begin."""
+        ends = np.cumsum([len(t) for t in batch])
+        found = [[] for _ in batch]
+        for start, windows, key, twice in substrings.segments(np.frombuffer(b"".join(batch), np.uint8), ends):
+            for s, w, k, d in zip(start.tolist(), windows.tolist(), key.tolist(), twice.tolist()):
+                i = int(np.searchsorted(ends, s, side="right"))
+                found[i].append((s - int(ends[i]) + len(batch[i]), w, k, d))
+        return found
+
+    alone = [of([t])[0] for t in texts]
+    assert of(texts) == alone and of(texts[::-1]) == alone[::-1] and of(texts[1::2]) == alone[1::2]
+    assert all(sum(w for _, w, _, _ in found) == max(0, len(t) - substrings.LENGTH + 1) for t, found in zip(texts, alone))

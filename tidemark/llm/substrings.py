@@ -62,16 +62,33 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1: width - 1 + n])
 
 
+def _stretches(ends: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of texts laid end to end that are hashed at a time: whole texts together, a longer text by fixed steps from its own begin.
+
+    So where a text is cut depends on nothing but the text, whatever lies beside it.
+    """
+    out, begin, before = [], 0, 0
+    for end in ends.tolist():
+        if end - begin > STRIDE and before > begin:
+            out.append((begin, before))
+            begin = before
+        while end - begin > STRIDE:
+            out.append((begin, begin + STRIDE))
+            begin += STRIDE
+        before = end
+    return [*out, (begin, before)] if before > begin else out
+
+
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Start, windows, key and whether the key's piece stands in it twice, of the segments of texts laid end to end.
 
     ``ends`` are where the texts end. A segment of m windows is m + length - 1 bytes long and lies in one text.
     """
     inner = length - piece + 1
-    for base in range(0, len(data), STRIDE):
-        part = data[base: base + STRIDE + length - 1]
+    for base, until in _stretches(ends):
+        part = data[base: until + length - 1]
         hashes = _piece_hashes(part, piece)
-        least = _sliding_min(hashes, inner)[:STRIDE]
+        least = _sliding_min(hashes, inner)[: until - base]
         if not len(least):
             continue
         at = np.arange(base, base + len(least))
