@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, in_batches, release
+from tidemark.llm.common import cut, in_batches, release, run_folder
 
 LEAST_DOCS = 10  # documents of its language that a kept term is in
 TOP_TERMS = 10
@@ -120,7 +120,11 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     pairs, of value 0 in the latter case. An empty frame gives an empty frame.
     """
     given = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
-    counts = cut(term_counts(given))
+    # As a columnar table the counts take a fraction of what a checkpoint would; rare terms are most of them.
+    place = run_folder(docs.sparkSession, "term_counts")
+    made = term_counts(given)
+    made.write.parquet(place)
+    counts = docs.sparkSession.read.schema(made.schema).parquet(place)
     found = counts.where("term IS NOT NULL")
     kept = found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
     kept = cut(kept)
