@@ -16,7 +16,7 @@ HEADLINE = (
     "build_pages", "with_flow", "sessionize", "session_at", "log_context", "page_relations", "flow_summary", "funnel_level",
     "discover_group", "funnel_open", "device_distribution", "top_pages", "priority_pages", "page_series", "scatter_sample_all",
     "minute_stats", "heatmap", "daily_percentile", "api_errors", "page_aggregate", "waterfall_rows", "timing_summary",
-    "all_versions", "version_conversion", "device_lifecycle", "retention", "stack_frames", "map_frames",
+    "all_versions", "version_conversion", "device_lifecycle", "retention", "stack_frames", "map_frames", "active_users_sketch", "top_messages_sketch",
 )
 
 
