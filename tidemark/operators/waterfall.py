@@ -126,17 +126,24 @@ def nav_phases(entries: DataFrame) -> DataFrame:
     return phases.withColumn("duration", F.col("response_end") - F.col("start_time"))
 
 
+def _paint() -> Column:
+    """Size, order and URL of an entry that is a paint with a URL and a size; of several the greatest is the largest, the first of equals."""
+    size = _number("size").cast("long")
+    is_paint = (F.col("entry_type") == "largest-contentful-paint") & (_text("url") != "") & (size > 0)
+    return F.when(is_paint, F.struct(size.alias("size"), (-F.col("seq")).alias("before"), _text("url").alias("url")))
+
+
 def mark_lcp(entries: DataFrame) -> DataFrame:
-    """Largest paint of each page view: its URL, size, and the first entry with that URL as name."""
-    paints = entries.filter(F.col("entry_type") == "largest-contentful-paint").select(
-        *VIEW, "seq", _text("url").alias("lcp_url"), _number("size").cast("long").alias("lcp_size")
-    ).filter("lcp_url != '' AND lcp_size > 0")
-    largest = paints.groupBy(*VIEW).agg(
-        F.max_by("lcp_url", F.struct("lcp_size", -F.col("seq"))).alias("lcp_url"), F.max("lcp_size").alias("lcp_size")
-    )
-    named = entries.filter(F.col("entry_type") != "navigation").select(*VIEW, "seq", F.col("name").alias("lcp_url"))
-    first = named.join(largest, [*VIEW, "lcp_url"]).groupBy(*VIEW, "lcp_url", "lcp_size").agg(F.min("seq").alias("seq"))
-    return first
+    """Largest paint of each page view: its URL, size, and the first entry with that URL as name.
+
+    Paints and the entries they name meet in a window over one shuffle by view. No join is left to the planner, which cannot know how many
+    entries a text unfolds to and so may send all of them to every task. A view without a device or page id is none.
+    """
+    own = entries.filter((F.col("entry_type") != "navigation") & F.col(VIEW[0]).isNotNull() & F.col(VIEW[1]).isNotNull())
+    moved = own.select(*VIEW, "seq", "name", _paint().alias("_paint"))
+    known = moved.withColumn("_largest", F.max("_paint").over(Window.partitionBy(*VIEW)))
+    named = known.filter(F.col("name") == F.col("_largest.url"))
+    return named.groupBy(*VIEW, F.col("_largest.url").alias("lcp_url"), F.col("_largest.size").alias("lcp_size")).agg(F.min("seq").alias("seq"))
 
 
 def waterfall_rows(entries: DataFrame) -> DataFrame:
