@@ -5,6 +5,7 @@ import json
 import pytest
 
 from tidemark.operators import waterfall
+from tidemark.sources import driver_tables
 
 SCHEMA = "device_id string, page_id long, seq int, entry string"
 
@@ -46,3 +47,38 @@ def test_paints_meet_their_entries_without_a_join(spark, views):
     """The planner takes unfolded entries for few rows, so a join would be a broadcast of all of them."""
     plan = waterfall.mark_lcp(waterfall.read_entries(views))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1 and plan.count("Generate explode") == 1
+
+
+def test_rows_of_first_navigations_and_others(spark):
+    nav = {"18": "5", "19": "7", "22": "9", "26": "200"}  # request, response and its end: phases Waiting, Request Time, Response Time
+    given = frame(spark, [
+        # The first navigation shows no phase, so a later one shows none either.
+        ("d", 1, 1, named("n", "navigation", "0")), ("d", 1, 2, named("n", "navigation", "1", **nav)), ("d", 1, 3, named("", "mark", "4")),
+        # Two with the same place count both; other entries follow by start, whatever their order.
+        ("d", 2, 1, named("n", "navigation", "1", **nav)), ("d", 2, 1, named("n", "navigation", "2", **nav)),
+        ("d", 2, 3, named("y", start="8", **{"5": "IMG"})), ("d", 2, 2, named("x", start="9")), ("d", 2, 4, paint("y", 4)),
+        (None, None, 1, named("z", "")),
+    ])
+    rows = waterfall.waterfall_rows(waterfall.read_entries(given)).collect()
+    shown = sorted(((r.page_id or 0, r.position, r.name, r.kind, r.start_time, r.mark) for r in rows))
+    phase = "reformnavigation"
+    assert shown == [
+        (0, 1, "z", "other", 1.0, None), (1, 1, "mark", "mark", 4.0, None),
+        (2, 1, "Waiting", phase, 1.0, None), (2, 2, "Waiting", phase, 2.0, None), (2, 3, "Request Time", phase, 5.0, None),
+        (2, 4, "Request Time", phase, 5.0, None), (2, 5, "Response Time", phase, 7.0, None), (2, 6, "Response Time", phase, 7.0, None),
+        (2, 7, "y", "largest-contentful-paint", 5.0, None), (2, 8, "y", "img", 8.0, "lcp"), (2, 9, "x", "resource", 9.0, None),
+    ]
+
+
+def test_rows_are_sorted_once(spark, views):
+    plan = waterfall.waterfall_rows(waterfall.read_entries(views))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+
+
+def test_partitions_of_entries_follow_from_the_rows(spark, tmp_path, monkeypatch):
+    """Entries take many times the bytes of their views, so adaptive execution must not join partitions by the latter."""
+    events = spark.range(1000).selectExpr(
+        "id AS event_id", "timestamp_millis(1704067200000 + id) AS ts", "id AS user_id", "'view' AS event_type", "1.5D AS value", "'{\"k\": 7}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(driver_tables, "VIEWS_A_PART", 50)
+    assert driver_tables.perf_entries(spark, str(tmp_path)).rdd.getNumPartitions() == 20

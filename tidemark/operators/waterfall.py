@@ -150,34 +150,35 @@ def waterfall_rows(entries: DataFrame) -> DataFrame:
     """Rows of the waterfall: navigation phases first, then the other entries by start.
 
     A page view has few entries, so all that is asked of a view (its first navigation, its largest paint, the first entry
-    of that name, the position) is a window over one shuffle by view. Only the columns shown are moved.
+    of that name, the position) is a window over one shuffle by view. Navigations are unfolded before it and all windows ask for the
+    order of the rows shown, so a view's rows are sorted once. What follows from other columns is worked out after the sort.
     """
-    kind, shown = F.col("entry_type"), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(_text("url"), F.lit("")), F.col("entry_type"))
-    initiator = F.lower(_text("initiatorType"))
-    is_nav = kind == "navigation"
-    size = _number("size").cast("long")
-    paint = F.when((kind == "largest-contentful-paint") & (_text("url") != "") & (size > 0), F.struct(size, -F.col("seq"), _text("url").alias("url")))
-    moved = entries.select(
-        *VIEW, "seq", is_nav.alias("_nav"), F.col("name").alias("_name"), paint.alias("_paint"), F.when(is_nav, _phases()).alias("_phases"),
-        shown.alias("name"), "entry_type",
-        F.when((kind == "resource") & (initiator != ""), initiator).otherwise(F.coalesce(F.nullif(F.lower("entry_type"), F.lit("")), F.lit("other"))).alias("kind"),
-        "start_time", "duration", _number("transferSize").cast("long").alias("transfer_size"), _number("responseStatus").cast("long").alias("status"),
-    )
-    view = Window.partitionBy(*VIEW)
-    known = moved.withColumn("_first", F.min(F.when(F.col("_nav"), F.col("seq"))).over(view)).withColumn("_largest", F.max("_paint").over(view)["url"])
-    named = ~F.col("_nav") & (F.col("_name") == F.col("_largest"))
-    marked = known.withColumn("_marked", F.min(F.when(named, F.col("seq"))).over(view))
-    phases = F.transform("_phases", lambda p: F.struct(
-        F.lit(0).alias("_other"), p["phase_no"].alias("seq"), p["name"].alias("name"), F.lit("reformNavigation").alias("entry_type"),
-        F.lit("reformnavigation").alias("kind"), p["start_time"].alias("start_time"), (p["response_end"] - p["start_time"]).alias("duration"),
-        F.lit(None).cast("string").alias("mark"),
+    kind, initiator, is_nav = F.col("entry_type"), F.lower(_text("initiatorType")), F.col("entry_type") == "navigation"
+    phases = F.transform(_phases(), lambda p: F.struct(
+        F.lit(0).alias("_other"), p["phase_no"].alias("seq"), p["name"].alias("name"), F.lit(None).cast("string").alias("_url"),
+        F.lit("reformNavigation").alias("entry_type"), F.lit(None).cast("string").alias("_initiator"),
+        p["start_time"].alias("start_time"), (p["response_end"] - p["start_time"]).alias("duration"),
     ))
     single = F.array(F.struct(
-        F.lit(1).alias("_other"), F.col("seq"), F.col("name"), F.col("entry_type"), F.col("kind"), F.col("start_time"), F.col("duration"),
-        F.when(F.col("seq") == F.col("_marked"), "lcp").alias("mark"),
+        F.lit(1).alias("_other"), F.col("seq"), F.col("name"), F.nullif(_text("url"), F.lit("")).alias("_url"), F.col("entry_type"),
+        F.when(kind == "resource", F.nullif(initiator, F.lit(""))).alias("_initiator"), F.col("start_time"), F.col("duration"),
     ))
-    rows = F.when(~F.col("_nav"), single).when(F.col("seq") == F.col("_first"), phases)
-    placed = marked.select(*VIEW, "transfer_size", "status", F.inline(rows)).withColumn("position", F.row_number().over(view.orderBy("_other", "start_time", "seq")))
+    # A navigation without phases leaves a row without ``_other``, so that a later navigation does not count as the first.
+    moved = entries.select(
+        *VIEW, F.when(is_nav, F.col("seq")).alias("_nav"), _paint().alias("_paint"), _number("transferSize").cast("long").alias("transfer_size"),
+        _number("responseStatus").cast("long").alias("status"), F.inline_outer(F.when(is_nav, phases).otherwise(single)),
+    )
+    view = Window.partitionBy(*VIEW).orderBy("_other", "start_time", "seq")
+    whole = view.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = moved.withColumns({"_first": F.min("_nav").over(whole), "_largest": F.max("_paint").over(whole)["url"]})
+    named = (F.col("_other") == 1) & (F.col("name") == F.col("_largest"))
+    marked = known.withColumn("_marked", F.min(F.when(named, F.col("seq"))).over(whole))
+    rows = marked.filter((F.col("_other") == 1) | ((F.col("_other") == 0) & (F.col("_nav") == F.col("_first"))))
+    placed = rows.withColumn("position", F.row_number().over(view)).withColumns({
+        "name": F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("_url"), F.col("entry_type")),
+        "kind": F.coalesce("_initiator", F.nullif(F.lower("entry_type"), F.lit("")), F.lit("other")),
+        "mark": F.when((F.col("_other") == 1) & (F.col("seq") == F.col("_marked")), "lcp"),
+    })
     end = F.col("start_time") + F.greatest(F.col("duration"), F.lit(0.0))
     return placed.select(
         *VIEW, F.col("position").cast("long").alias("position"), "name", "entry_type", "kind",
