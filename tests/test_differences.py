@@ -1,9 +1,13 @@
 """Rollups kept up by differences equal the rollup of the rows as they are in the end."""
 
+import collections
 import datetime as dt
+import hashlib
 import json
+import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import rollup
@@ -114,3 +118,85 @@ def test_signed_parts_of_moved_rows_cancel(spark):
     both = pages.withColumn("sign", F.lit(1)).unionByName(pages.withColumn("sign", F.lit(-1)))
     assert rollup.signed_rollup(both, differences.BY, "sign").count() == 0
     assert rollup.signed_devices(both, differences.BY, "sign").count() == 0
+
+
+class _Handle:
+    """State in plain dicts that counts its calls; what was not written for longer than its time to live is gone."""
+
+    def __init__(self):
+        self.calls, self.now = 0, 0
+
+    def getMapState(self, name, key, value, ttl=None):
+        return _State(self, ttl)
+
+    def getValueState(self, name, value, ttl=None):
+        return _State(self, ttl)
+
+
+class _State:
+    def __init__(self, handle, ttl):
+        self.handle, self.ttl, self.kept = handle, ttl, {}
+
+    def getValue(self, key):
+        self.handle.calls += 1
+        at, value = self.kept.get(key, (0, None))
+        return value if not self.ttl or self.handle.now < at + self.ttl else None
+
+    def updateValue(self, key, value):
+        self.handle.calls += 1
+        self.kept[key] = (self.handle.now, value)
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.handle.now
+
+
+def test_images_in_pages_give_the_changes_of_single_entries():
+    rng, keep = random.Random(3), 1000
+    handle, kept, calls = _Handle(), {}, 0
+    images = differences._Images(1, ["a", "b"], keep)
+    images.init(handle)
+    for step, size in enumerate([10, 3000, 3000, 40, 8000, 1]):
+        handle.now += 400
+        rows = [Row("_key0", "a", "b", "_version", "_rank", "_hash")(
+            k, rng.choice(["x", None]), rng.randrange(3), rng.randrange(3), rng.randrange(5), int.from_bytes(hashlib.sha256(str(k).encode()).digest()[:8], signed=True),
+        ) for k in [rng.choice([None, rng.randrange(6000)]) for _ in range(size)]]
+        want, newest = collections.Counter(), {}
+        for r in rows:
+            if r[0] not in newest or r[3:5] >= newest[r[0]][3:5]:
+                newest[r[0]] = r
+        for k, r in newest.items():
+            at, version, image = kept.get(k, (-keep, 0, None))
+            if at + keep <= handle.now:
+                image = None
+            if image is not None and (version > r[3] or (version, image) == (r[3], tuple(r[1:3]))):
+                continue
+            if image != tuple(r[1:3]):
+                if image is not None:
+                    want[(-1, *image)] += 1
+                want[(1, *r[1:3])] += 1
+            kept[k] = (handle.now, r[3], tuple(r[1:3]))
+        before = handle.calls
+        got = collections.Counter(tuple(r) for r in images.handleInputRows((0,), iter(rows), _State(handle, None)))
+        assert got == want, step
+        # A page is called for once to read and once to write, whatever its rows; splitting pages costs some more.
+        assert handle.calls - before <= (2 * size + 2 if size < 100 else size / 10)
+
+
+def test_state_is_called_by_page_and_not_by_row(spark, tmp_path):
+    session = streams.stateful_session(spark)
+    rows = session.range(4000).selectExpr("id AS page_id", "concat('d', id % 9) AS device_id", "CAST('2024-01-02' AS DATE) AS log_date")
+    one = dtb.page_flow(session, SF_DIR).limit(1).drop("page_id", "device_id", "log_date")
+    pages = rows.crossJoin(one).withColumn("version", F.lit(0).cast("long"))
+    queries = play(session, [pages], tmp_path / "in", pages.schema, tmp_path / "roll")
+    progress = [json.loads(p.json) if hasattr(p, "json") else p for p in queries[0].recentProgress]
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in progress if p["stateOperators"]) <= 4000 / 50
+    # Four tasks write one day: a file each at most, and none more for the groups of the state.
+    assert len(list((tmp_path / "roll/devices").rglob("*.parquet"))) <= 4
+    found = differences.read_differences(spark, str(tmp_path / "roll"), ["page_name"]).collect()
+    assert [(r.cnt, r.device_count) for r in found] == [(4000, 9)]

@@ -7,6 +7,8 @@ written under the batch's id. A reader adds up the batches that are whole.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,7 +21,8 @@ from tidemark.operators.common import DIMS
 from tidemark.sources import files
 from tidemark.streaming.streams import BatchFn
 
-SLOTS = 256  # groups that the keys are dealt to; a group's state has an entry for each of its keys
+SLOTS = 256  # groups that the keys are dealt to; a group's state has an entry for each page of its images
+PAGE = 256  # images that a page holds about; at twice as many the pages of the group double in number
 SIGN = "sign"
 BY = ("log_date", *DIMS, "page_name")
 MEASURES = (*rollup.SUMMED, *rollup.AVERAGED)
@@ -27,40 +30,84 @@ IMAGE = (*BY, "device_id", *MEASURES)
 
 
 class _Images(StatefulProcessor):
-    """Keeps a group's images by key and tells how each row changes them."""
+    """Keeps a group's images by key and tells how each row changes them.
 
-    def __init__(self, keys: Sequence[str], columns: Sequence[str], key_type: T.StructType, image_type: T.StructType, keep_ms: int | None):
-        self.keys, self.columns = list(keys), list(columns)
-        self.key_type, self.image_type, self.keep_ms = key_type, image_type, keep_ms
+    A call to the state costs far more than a row, so images stand in pages by hash of their key: a batch reads and writes a page once for
+    all of its rows. Pages double in number as they fill, each split by one more bit, so a lone row costs a page of bounded size.
+    """
+
+    def __init__(self, keys: int, columns: Sequence[str], keep_ms: int | None):
+        self.keys, self.columns, self.keep_ms = keys, list(columns), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.images = handle.getMapState("images", self.key_type, self.image_type, self.keep_ms)
+        # A page that was not written for so long holds no image that was changed since.
+        self.pages = handle.getMapState("pages", "page int", "images binary", self.keep_ms)
+        self.bits = handle.getValueState("bits", "bits int")
+
+    def _read(self, page: int, since: float) -> dict[tuple, tuple]:
+        """Images of a page by key, each with its key's hash, the time of its last change, and its version."""
+        kept = self.pages.getValue((page,))
+        images = pickle.loads(zlib.decompress(kept[0])) if kept is not None else {}
+        return {at: image for at, image in images.items() if image[1] > since} if self.keep_ms else images
+
+    def _write(self, page: int, images: dict[tuple, tuple]) -> None:
+        self.pages.updateValue((page,), (zlib.compress(pickle.dumps(images, pickle.HIGHEST_PROTOCOL), 1),))
+
+    def _double(self, bits: int, since: float) -> int:
+        for page in range(1 << bits):
+            images = self._read(page, since)
+            for half in (page, page + (1 << bits)):
+                part = {at: image for at, image in images.items() if _page(image[0], bits + 1) == half}
+                if part or images:
+                    self._write(half, part)
+        self.bits.update((bits + 1,))
+        return bits + 1
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        k, end = self.keys, self.keys + len(self.columns)
         newest: dict[tuple, Row] = {}
         for row in rows:
-            at = tuple(row[k] for k in self.keys)
-            if at not in newest or (row["_version"], row["_rank"]) >= (newest[at]["_version"], newest[at]["_rank"]):
+            at = tuple(["NaN" if x != x else x for x in row[:k]])
+            if at not in newest or row[end:end + 2] >= newest[at][end:end + 2]:  # version and rank
                 newest[at] = row
-        made = Row(SIGN, *self.columns)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.keep_ms else 0
+        since = now - self.keep_ms if self.keep_ms else -1
+        kept = self.bits.get()
+        bits = kept[0] if kept is not None else 0
+        while len(newest) > 2 * PAGE << bits:
+            bits = self._double(bits, since)
+        by_page: dict[int, list[tuple]] = {}
         for at, row in newest.items():
-            image = tuple(row[c] for c in self.columns)
-            old = self.images.getValue(at)
-            if old is not None:
-                if old[0] > row["_version"]:
-                    continue
-                if tuple(old[1:]) == image:
-                    if old[0] != row["_version"]:
-                        self.images.updateValue(at, (row["_version"], *image))
-                    continue
-                yield made(-1, *old[1:])
-            self.images.updateValue(at, (row["_version"], *image))
-            yield made(1, *image)
+            by_page.setdefault(_page(row[end + 2], bits), []).append(at)
+        made, held = Row(SIGN, *self.columns), 0
+        for page, found in by_page.items():
+            images, changed = self._read(page, since), False
+            for at in found:
+                row = newest[at]
+                image, version, old = row[k:end], row[end], images.get(at)
+                if old is not None:
+                    if old[2] > version or (old[2] == version and old[3] == image):
+                        continue
+                    if old[3] != image:
+                        yield made(-1, *old[3])
+                if old is None or old[3] != image:
+                    yield made(1, *image)
+                images[at], changed = (row[end + 2], now, version, image), True
+            if changed:
+                self._write(page, images)
+            held += len(images)
+        while held > 2 * PAGE * len(by_page):
+            bits, held = self._double(bits, since), held / 2
 
     def close(self) -> None:
         pass
 
 
+def _page(hashed: int, bits: int) -> int:
+    """Page of a key among 2 to the ``bits``, by bits that do not tell its group."""
+    return (hashed >> 24) & ((1 << bits) - 1)
+
+
 def signed_changes(
     rows: DataFrame, keys: Sequence[str], columns: Sequence[str] = IMAGE, version: str | None = None, keep_ms: int | None = None, slots: int = SLOTS
 ) -> DataFrame:
@@ -71,18 +118,25 @@ def signed_changes(
     Images stay for ``keep_ms`` after their last change, or for good; a row that is corrected later than that counts as new.
     The stream's session has to keep state by entry, see ``streams.stateful_session``.
     """
-    shape = rows.select(*columns).schema
-    key_type = rows.select(*keys).schema
-    image_type = T.StructType([T.StructField("_version", T.LongType()), *shape.fields])
+    hashed = F.xxhash64(*keys)
     given = rows.select(
-        *dict.fromkeys([*keys, *columns]), F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int").alias("_slot"),
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *columns,
         F.coalesce(F.col(version) if version else F.lit(0), F.lit(0)).cast("long").alias("_version"), F.xxhash64(*columns).alias("_rank"),
+        hashed.alias("_hash"), F.pmod(hashed, F.lit(slots)).cast("int").alias("_slot"),
     )
-    out = T.StructType([T.StructField(SIGN, T.IntegerType()), *shape.fields])
-    processor = _Images(keys, columns, key_type, image_type, keep_ms)
+    out = T.StructType([T.StructField(SIGN, T.IntegerType()), *rows.select(*columns).schema.fields])
+    processor = _Images(len(keys), columns, keep_ms)
     return given.groupBy("_slot").transformWithState(processor, out, "Append", "ProcessingTime" if keep_ms else "None")
 
 
+def _ranged(rows: DataFrame, first: Sequence[str]) -> DataFrame:
+    """Even ranges of the folders' rows, so that a task writes into a folder or two.
+
+    Streams with state run without adaptive execution, which would rebalance the rows; as they come, every task writes into every folder.
+    """
+    return rows.repartitionByRange(*first, F.xxhash64(*[c for c in rows.columns if c not in first]))
+
+
 def difference_sink(path: str, by: Sequence[str] = BY) -> BatchFn:
     """Write a batch's changes by group, and by group and device, and last that the batch is whole.
 
@@ -95,8 +149,8 @@ def difference_sink(path: str, by: Sequence[str] = BY) -> BatchFn:
             parts = rollup.signed_rollup(batch, by, SIGN)
             devices = rollup.signed_devices(batch, by, SIGN)
             first = [by[0]]
-            files.write_batch(parts, f"{path}/parts", batch_id, first)
-            files.write_batch(devices, f"{path}/devices", batch_id, first)
+            files.write_batch(_ranged(parts, first), f"{path}/parts", batch_id, first)
+            files.write_batch(_ranged(devices, first), f"{path}/devices", batch_id, first)
             _mark(batch.sparkSession, path, "commits", batch_id)
         finally:
             batch.unpersist()
