@@ -24,6 +24,7 @@ from tidemark.streaming.streams import BatchFn
 SLOTS = 256  # groups that the keys are dealt to; a group's state has an entry for each page of its images
 PAGE = 256  # images that a page holds about; at twice as many the pages of the group double in number
 SIGN = "sign"
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # of times in images
 BY = ("log_date", *DIMS, "page_name")
 MEASURES = (*rollup.SUMMED, *rollup.AVERAGED)
 IMAGE = (*BY, "device_id", *MEASURES)
@@ -118,15 +119,16 @@ def signed_changes(
     Images stay for ``keep_ms`` after their last change, or for good; a row that is corrected later than that counts as new.
     The stream's session has to keep state by entry, see ``streams.stateful_session``.
     """
-    hashed = F.xxhash64(*keys)
+    shape, hashed = rows.select(*columns).schema, F.xxhash64(*keys)
+    # An image goes to Python and back as one text: each column of a row costs there as much as the work on it.
     given = rows.select(
-        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *columns,
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.to_json(F.struct(*columns), EXACT).alias("_image"),
         F.coalesce(F.col(version) if version else F.lit(0), F.lit(0)).cast("long").alias("_version"), F.xxhash64(*columns).alias("_rank"),
         hashed.alias("_hash"), F.pmod(hashed, F.lit(slots)).cast("int").alias("_slot"),
     )
-    out = T.StructType([T.StructField(SIGN, T.IntegerType()), *rows.select(*columns).schema.fields])
-    processor = _Images(len(keys), columns, keep_ms)
-    return given.groupBy("_slot").transformWithState(processor, out, "Append", "ProcessingTime" if keep_ms else "None")
+    processor = _Images(len(keys), ["_image"], keep_ms)
+    changes = given.groupBy("_slot").transformWithState(processor, f"{SIGN} int, _image string", "Append", "ProcessingTime" if keep_ms else "None")
+    return changes.select(SIGN, F.from_json("_image", shape, EXACT).alias("_image")).select(SIGN, "_image.*")
 
 
 def _ranged(rows: DataFrame, first: Sequence[str]) -> DataFrame:
