@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import clash, docs
 
@@ -116,3 +117,53 @@ def test_segments_of_a_text_do_not_depend_on_its_neighbours(monkeypatch):
     alone = [of([t])[0] for t in texts]
     assert of(texts) == alone and of(texts[::-1]) == alone[::-1] and of(texts[1::2]) == alone[1::2]
     assert all(sum(w for _, w, _, _ in found) == max(0, len(t) - substrings.LENGTH + 1) for t, found in zip(texts, alone))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_texts_apart_are_not_held_against_each_other(seed):
+    r = random.Random(100 + seed)
+    length = r.choice([1, 5, 20, 40, 100])
+    base = [bytes(r.choices(b"abcd"[: r.choice([1, 2, 4])], k=r.randint(0, 300))) for _ in range(3)]
+    texts = [r.choice(base)[r.randint(0, 30):] + bytes(r.choices(b"ab", k=r.randint(0, 90))) for _ in range(r.randint(1, 12))]
+    apart = np.array([r.choice([-(1 << 63), 7, (1 << 63) - 1]) for _ in texts])
+    found = substrings.repeated_windows(texts, length, apart)
+    for kind in set(apart.tolist()):
+        at = np.flatnonzero(apart == kind).tolist()
+        assert [found[i].tolist() for i in at] == repeated([texts[i] for i in at], length)
+
+
+def test_a_block_is_ordered_by_parts_of_whole_keys(monkeypatch):
+    r = random.Random(5)
+    shared = bytes(r.choices(b"abcdef", k=700))
+    rows = pd.DataFrame([(k, shared[a: a + 600]) for k in range(40) for a in (0, 50, 90)], columns=["key", "bytes"])
+    together, given = substrings.TOGETHER, []
+
+    def counted(texts, length=LENGTH, apart=None):
+        given.append((sum(map(len, texts)), set(apart.tolist())))
+        return substrings_repeated(texts, length, apart)
+
+    substrings_repeated = substrings.repeated_windows
+    monkeypatch.setattr(substrings, "repeated_windows", counted)
+    monkeypatch.setattr(substrings, "TOGETHER", 9000)
+    found = list(substrings._block_spans(rows))
+    assert together < substrings.BLOCK_BYTES and len(given) > 5 and max(n for n, _ in given) <= 9000 + 1800
+    assert sum(len(keys) for _, keys in given) == len(set().union(*(keys for _, keys in given))) == 40
+    assert found == [(3 * k + i, a, b) for k in range(40) for i, (a, b) in enumerate([(50, 600), (0, 600), (0, 560)])]
+
+
+def test_hash_work_in_chunks_equals_work_at_once(monkeypatch):
+    r = np.random.default_rng(6)
+    data = r.integers(97, 100, 5000).astype(np.uint8)
+    data[1000:1900] = 97
+    monkeypatch.setattr(substrings, "CHUNK", 100_000)
+    whole = substrings._piece_hashes(data, 16)
+    monkeypatch.setattr(substrings, "CHUNK", 64)
+    hashes = substrings._piece_hashes(data, 16)
+    assert (hashes == whole).all() and len(hashes) == 4985
+    least = substrings._sliding_min(hashes, 45)
+    assert least.tolist() == [hashes[i: i + 45].min() for i in range(len(hashes) - 44)]
+    begin = np.arange(0, len(least), 3)
+    want = [np.count_nonzero(hashes[i: i + 45] == least[i]) > 1 for i in begin]
+    assert substrings._twice(hashes, begin, begin + 45, least[begin]).tolist() == want
+    assert any(want) and not all(want)
+    assert len(substrings._sliding_min(hashes[:44], 45)) == len(substrings._piece_hashes(data[:15], 16)) == 0
